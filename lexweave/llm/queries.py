@@ -5,23 +5,91 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import secrets
 from .bpe_automaton import bpe_round_trip
 from .common import read_table
+from .mixing import mix_sources
+from .quality import quality_classifier
 from .token_counts import token_counts
+from .topk_search import topk_search
+from .url_filters import url_filter
+
+#: Integer target weights: every fourth source counts most.
+WEIGHTS = {f"src{i}": 4 - i % 4 for i in range(20)}
+
+# The rules of the contract, as host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS).select("doc_id", "source", "block", "slot", "position")
 
 
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_classifier(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "bits_per_char", "perplexity", "threshold", "kept")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.secret_scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    hidden = F.transform("secrets", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), F.sha2(s["text"], 256).alias("sha256"), s["score"].alias("score")))
+    return found.select("doc_id", "n_candidates", F.size("secrets").alias("n_secrets"), hidden.alias("secrets"), F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_automaton, op9_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op3_bpe_automaton, op5_topk_search, op6_url_filters, op7_quality, op8_secrets, op9_token_counts)}
+
+
+#: The pieces of a url, as the contract has them.
+_URL_SQL = """
+SELECT page_id, host, path,
+  CASE WHEN a THEN 'example.com/en/7' WHEN b THEN 'example.net/de/8' WHEN c THEN 'com/en/' WHEN d THEN 'net/de/' WHEN e THEN 'org/es/' END AS rule,
+  CASE WHEN a THEN 'allow' WHEN b THEN 'block' WHEN c THEN 'block' WHEN d THEN 'allow' WHEN e THEN 'block' ELSE 'allow' END AS verdict
+FROM (
+  SELECT *, (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/7') AS a,
+    (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/de/8') AS b,
+    (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/en/') AS c,
+    (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/de/') AS d,
+    (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/es/') AS e
+  FROM (
+    SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+  )
+)
+"""
+
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_topk_search": _TOPK_SQL, "op6_url_filters": _URL_SQL}
