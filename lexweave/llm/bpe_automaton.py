@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,7 +56,6 @@ class Automaton:
         self.special = special
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.words = re.compile(SPLIT_PATTERN)
-        self.token_of = {self.labels[i]: i for t, i in vocab.items()}
 
         self.left = [-1] * size  # the first part of a merged token
         self.born = [-1] * size  # the merge that made it
@@ -65,13 +65,18 @@ class Automaton:
             a, b = (vocab[x] for x in (m if isinstance(m, list) else m.split(" ")))
             self._gadget(a, b, vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)], time)
 
-        # How many bytes the longest token has that starts with these two bytes.
-        self.reach: dict[bytes, int] = {}
-        for label in self.token_of:
-            if len(label) > 1:
-                self.reach[label[:2]] = max(self.reach.get(label[:2], 0), len(label))
+        # A trie over the labels: (node * 256 + byte) -> node, and the token that ends at each node.
+        self.next: dict[int, int] = {}
+        self.ends = [-1]
+        for i in vocab.values():
+            node = 0
+            for byte in self.labels[i]:
+                node = self.next.setdefault(node << 8 | byte, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+            self.ends[node] = i
         self.table: dict[int, bool] = {}
-        self.cache = Cache(lambda piece: np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes(), MAX_CACHED_PIECES)
+        self.cache = Cache(lambda piece: struct.pack(f"<{len(ids := self.encode_piece(piece.encode()))}I", *ids), MAX_CACHED_PIECES)
         self.size = size
 
     def _gadget(self, a: int, b: int, c: int, time: int) -> None:
@@ -111,17 +116,20 @@ class Automaton:
     def encode_piece(self, raw: bytes) -> list[int]:
         n = len(raw)
         come = [-1] * (n + 1)  # the token on the path's arc into each position
-        token_of, reach, table, size = self.token_of.get, self.reach.get, self.table.get, self.size
+        step, ends, table, size = self.next.get, self.ends, self.table.get, self.size
         for i in range(n):
-            last = come[i] * size
-            for j in range(i + 1, min(n, i + reach(raw[i : i + 2], 1)) + 1):
-                t = token_of(raw[i:j])
-                if t is not None:
+            last, node = come[i] * size, 0
+            for j in range(i, n):
+                node = step(node << 8 | raw[j])
+                if node is None:
+                    break
+                t = ends[node]
+                if t >= 0:
                     fits = last < 0 or table(last + t)
                     if fits is None:
                         fits = self.follows(last // size, t)
                     if fits:
-                        come[j] = t
+                        come[j + 1] = t
         out = []
         while n:
             t = come[n]

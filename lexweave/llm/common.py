@@ -110,16 +110,23 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 class Cache(dict):
-    """What ``make`` gives for short texts, of which at most ``most`` are held; long ones are made each time."""
+    """What ``make`` gives for short texts; long ones are made each time.
+
+    When ``most`` are held they become the old half, from which what is asked for
+    again moves back; so at most twice as many are held and frequent ones stay.
+    """
 
     def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
