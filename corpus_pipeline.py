@@ -1,8 +1,62 @@
-"""Placeholder until the stages exist."""
+"""A corpus pipeline: quality, near duplicates, secrets, mixture, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+and read again as the next one's ``docs``. All but the last return the columns of
+``documents``, on all that the stage before has kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexweave.llm import secrets
+from lexweave.llm.bpe_automaton import bpe_encode
+from lexweave.llm.common import cut, read_table
+from lexweave.llm.mixing import mix_sources
+from lexweave.llm.ngram_join import keep_one
+from lexweave.llm.quality import quality_classifier
+from lexweave.llm.queries import WEIGHTS
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_classifier(docs, read_table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    found = secrets.secret_scan(docs, secrets.train(secrets.labelled_findings(spark)))
+    changed = {"text": F.col("redacted"), "n_chars": F.when(F.size("secrets") > 0, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    return found.withColumns(changed).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are put into the order of the mixture."""
+    return mix_sources(docs, WEIGHTS).orderBy("position").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers), in the order of ``docs``."""
+    return bpe_encode(docs).select("doc_id", "n_tokens", "ids")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("mixture", mixture), ("tokens", tokens)]
+
+#: SQL can't express the classifier, the forest or the tokenizer; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each but the last is written to the shared folder and read from there."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from . import secrets
 from .bpe_automaton import bpe_round_trip
 from .common import read_table
+from .embedding_dedup import embedding_dedup
 from .mixing import mix_sources
+from .ngram_join import ngram_join
 from .quality import quality_classifier
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .topk_search import topk_search
 from .url_filters import url_filter
@@ -27,10 +30,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS).select("doc_id", "source", "block", "slot", "position")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(read_table(spark, sf_dir, "embeddings"))
 
@@ -56,8 +68,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_bpe_automaton, op5_topk_search, op6_url_filters, op7_quality, op8_secrets, op9_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_bpe_automaton, op4_embedding_dedup, op5_topk_search, op6_url_filters, op7_quality, op8_secrets, op9_token_counts, op10_ngram_join)}
 
 
 #: The pieces of a url, as the contract has them.
@@ -91,5 +107,39 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 
+_SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+firsts AS (SELECT h, min(struct_pack(d := doc_id, i := i)) AS f FROM win WHERE doc_id IS NOT NULL GROUP BY h),
+hit AS (SELECT r, i FROM win JOIN firsts USING (h) WHERE struct_pack(d := doc_id, i := i) > f),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 20)) AS p FROM hit) GROUP BY r),
+kept AS (SELECT r, list(x ORDER BY p) AS k FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) LEFT JOIN gone USING (r) WHERE ps IS NULL OR NOT list_contains(ps, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+_EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+_JOIN_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+k AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a), l AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+r AS (SELECT text, min(doc_id) AS rep_id FROM d WHERE len(w) > 0 GROUP BY text)
+SELECT doc_id, coalesce(rep_id, doc_id) AS rep_id, class_id, coalesce(n, 0) AS n_links FROM d JOIN k ON k.a = doc_id LEFT JOIN l ON l.a = doc_id LEFT JOIN r ON r.text = d.text
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk_search": _TOPK_SQL, "op6_url_filters": _URL_SQL}
+    return {"op2_substring_dedup": _SUBSTRING_SQL, "op4_embedding_dedup": _EMBEDDING_SQL, "op5_topk_search": _TOPK_SQL, "op6_url_filters": _URL_SQL, "op10_ngram_join": _JOIN_SQL}
