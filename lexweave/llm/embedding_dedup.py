@@ -4,7 +4,7 @@ Equal vectors form a class, which goes on as its smallest id. Each class has a
 home cell, that of the centroid with the highest cosine, and visits every other
 cell whose centroid's cosine is less than ``MARGIN`` below it. Within a cell,
 residents are compared with residents and visitors by blocked cosine products;
-large cells are dealt into blocks, each pair of blocks in its own group. Tasks
+large cells are dealt into blocks of either, each pair of blocks in its own group. Tasks
 report numbers of links and a spanning forest of what they linked, never pairs.
 """
 
@@ -32,7 +32,9 @@ MAX_TRAINING_VECTORS = 16_384
 PER_CELL, MAX_CELLS = 512, 1024
 #: Centroids closer than this become one, so that one group of near copies has one cell.
 SAME_CENTROID = 0.8
-BLOCK = 1024
+#: Residents, and residents with visitors, that one group compares.
+RESIDENTS, COLUMNS = 1024, 4096
+MEETING = ["cell", "i", "j", "side", "rep", "copies", "home", "cells", "x"]
 
 
 def train_centroids(x: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
@@ -53,7 +55,7 @@ def train_centroids(x: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -76,46 +78,39 @@ def _assigned(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, margin:
 
 
 def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Groups (cell, i, j, block, rep, copies, home, cells, x), sorted, to exact links (rep, null, copies linked) and forest edges (a, b, 0)."""
+    """Groups (cell, i, j, side, rep, copies, home, cells, x), sorted, to exact links (rep, null, copies linked) and forest edges (a, b, 0).
+
+    Side 0 holds residents of the cell, side 1 those of its residents and visitors that they meet in this group.
+    """
+    stride = 1 << 21
     for table in _groups(batches, 3):
         bounds = _bounds(table, 3)
-        cell, left, right, block, rep, copies, home = (table.column(c).to_numpy() for c in range(7))
+        cell, _, _, side, rep, copies, home = (table.column(c).to_numpy() for c in range(7))
+        home = home.astype(np.int64)
         cells, vectors = table.column(7).combine_chunks(), table.column(8).combine_chunks()
         ends: list[np.ndarray] = []
         pairs: list[np.ndarray] = []
         for s, e in zip(bounds[:-1], bounds[1:]):
-            m = e - s
-            if m < 2:
+            m = int(np.searchsorted(side[s:e], 1))
+            if not 0 < m < e - s:
                 continue
-            own = vectors.slice(s, m)
-            x = _matrix(own, len(own[0]))
+            x = _matrix(vectors.slice(s, e - s), len(vectors[s]))
             c = int(cell[s])
-            resident = home[s:e] == c
             visits = cells.slice(s, m)
-            stride = 1 << 21
             seen = np.repeat(np.arange(m), visits.value_lengths().to_numpy()) * stride + visits.flatten().to_numpy().astype(np.int64) % stride
-            count = np.zeros(m, dtype=np.int64)
-            forest = Forest()
-            ids, own_copies, own_home, own_block = rep[s:e], copies[s:e], home[s:e].astype(np.int64), block[s:e]
-            for at in range(0, m, 512):
-                i, j = np.nonzero(x[at : at + 512] @ x.T >= threshold)
-                i += at
-                keep = (i < j) & (resident[i] | resident[j])
-                if left[s] != right[s]:
-                    keep &= own_block[i] != own_block[j]
-                i, j = i[keep], j[keep]
-                # A resident and a visitor may also meet in the visitor's home; then the smaller cell counts them.
-                stays = np.where(resident[i], i, j)
-                comes_from = own_home[np.where(resident[i], j, i)]
-                both = resident[i] & resident[j]
-                there = np.isin(stays * stride + comes_from % stride, seen)
-                keep = both | ~there | (c < comes_from)
-                i, j = i[keep], j[keep]
-                count += np.bincount(i, weights=own_copies[j], minlength=m).astype(np.int64) + np.bincount(j, weights=own_copies[i], minlength=m).astype(np.int64)
-                for a, b in zip(ids[i].tolist(), ids[j].tolist()):
-                    forest.union(a, b)
+            i, j = np.nonzero(x[:m] @ x[m:].T >= threshold)
+            j += m
+            ids, own, come = rep[s:e], copies[s:e], home[s:e]
+            # Two residents meet both ways; a resident and a visitor may also meet in the visitor's home, then the smaller cell counts them.
+            there = np.isin(i * stride + come[j] % stride, seen)
+            keep = np.where(come[j] == c, ids[i] < ids[j], ~there | (c < come[j]))
+            i, j = i[keep], j[keep]
+            count = np.bincount(i, weights=own[j], minlength=e - s) + np.bincount(j, weights=own[i], minlength=e - s)
             some = np.flatnonzero(count)
-            ends.append(np.stack([ids[some], count[some]]))
+            ends.append(np.stack([ids[some], count[some].astype(np.int64)]))
+            forest = Forest()
+            for a, b in zip(ids[i].tolist(), ids[j].tolist()):
+                forest.union(a, b)
             if edges := forest.edges():
                 pairs.append(np.array(edges, dtype=np.int64).T)
         e = np.concatenate(ends, axis=1) if ends else np.empty((2, 0), dtype=np.int64)
@@ -140,7 +135,10 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     linked. Centroids are trained on the ``max_training`` classes with the smallest
     hashed ids.
     """
-    x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    # Floats stay floats until they are compared: that is exact, and half the size.
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    x = F.col(vector_col).cast(kind)
     fine = F.col("id").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), x.alias("x")).withColumn("key", F.when(F.coalesce(fine, F.lit(False)), F.sha2(F.col("x").cast("string"), 256)))
     classes = cut(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("x").alias("x")))
@@ -153,14 +151,16 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
         centroids = train_centroids(unit / np.linalg.norm(unit, axis=1, keepdims=True), max(1, min(MAX_CELLS, math.ceil(n / per_cell), len(unit))))
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
-    fields = "rep bigint, copies bigint, x array<double>, home int, cells array<int>"
-    placed = classes.select("rep", "copies", "x").mapInArrow(lambda b: _assigned(b, shared.value, margin), fields)
-    placed = placed.withColumn("cell", F.explode("cells"))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "home", "cells", "x")
-    meets = meets.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "rep")
+    fields = f"rep bigint, copies bigint, x {kind}, home int, cells array<int>"
+    placed = classes.select("rep", "copies", "x").mapInArrow(lambda b: _assigned(b, shared.value, margin), fields).withColumn("cell", F.explode("cells"))
+    resident = F.col("home") == F.col("cell")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.when(resident, 1)) / RESIDENTS).cast("int").alias("rows"), F.ceil(F.count("*") / COLUMNS).cast("int").alias("columns"))
+    dealt = placed.join(sizes, "cell").where("rows > 0")
+    spread = F.xxhash64("rep")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    across = dealt.where(resident).withColumn("i", F.pmod(spread, F.col("rows")).cast("int")).withColumn("j", every("columns")).withColumn("side", F.lit(0))
+    down = dealt.withColumn("j", F.pmod(spread, F.col("columns")).cast("int")).withColumn("i", every("rows")).withColumn("side", F.lit(1))
+    meets = across.select(*MEETING).unionByName(down.select(*MEETING)).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "rep")
     exact = cut(meets.mapInArrow(lambda b: _linked(b, threshold), "a bigint, b bigint, links bigint"))
 
     links = exact.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
