@@ -1,0 +1,181 @@
+"""Mixing, top-k search, url filters, the quality classifier, secret scans and the pipeline."""
+
+from __future__ import annotations
+
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexweave.llm import secrets
+from lexweave.llm.mixing import mix_sources, period, plan
+from lexweave.llm.quality import quality_classifier, train_kneser_ney
+from lexweave.llm.topk_search import BitSlicedIndex, topk_search
+from lexweave.llm.url_filters import split_url, url_filter
+
+
+def test_a_period_keeps_every_source_within_a_block():
+    for seed in range(20):
+        r = random.Random(seed)
+        w = {f"s{i}": r.randint(1, 9) for i in range(r.randint(1, 8))}
+        total, given = sum(w.values()), dict.fromkeys(w, 0)
+        for slot, (s, k) in enumerate(period(w), 1):
+            given[s] += 1
+            assert given[s] == k
+            assert all(abs(given[x] - Fraction(slot * w[x], total)) < 1 for x in w)
+        assert given == w
+
+
+def brute_mix(sizes, weights, block):
+    """The source of each block, slot by slot, by the definition of the schedule."""
+    left, out = {s: -(-n // block) for s, n in sizes.items() if n}, []
+    while left:
+        total, begun, given = sum(weights[s] for s in left), len(out), dict.fromkeys(left, 0)
+        while True:
+            slot = len(out) - begun
+            ready = [(-(-(given[s] + 1) * total // weights[s]), s) for s in left if given[s] * total // weights[s] <= slot]
+            _, s = min(ready)
+            given[s] += 1
+            out.append(s)
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+    return out
+
+
+def test_mix_sources(spark):
+    r = random.Random(1)
+    rows = [(i, r.choice(["a", "a", "a", "b", "c", "z", None]), "x") for i in range(500)] + [(7, "a", "x"), (None, "b", "x"), (None, "b", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, slot string")
+    weights = {"a": 5, "b": 2, "c": 1, "never": 3}
+    found = mix_sources(docs, weights, block_rows=3, rows_per_bucket=40).collect()
+    assert sorted(x.position for x in found) == list(range(len(rows)))
+    kind = lambda s: f"s{s}" if s in weights else "o"
+    sizes = {}
+    for _, s, _ in rows:
+        sizes[kind(s)] = sizes.get(kind(s), 0) + 1
+    order = brute_mix(sizes, {f"s{s}": w for s, w in weights.items()} | {"o": 1}, 3)
+    assert {x.slot: kind(x.source) for x in found} == dict(enumerate(order))
+    by_slot = sorted(found, key=lambda x: x.position)
+    assert [x.slot for x in by_slot] == sorted(x.slot for x in by_slot)
+    assert mix_sources(docs.limit(0), weights).count() == 0
+    assert {x.mix_source for x in mix_sources(docs, {}).collect()} == {""}
+    with pytest.raises(ValueError):
+        mix_sources(docs, {"a": 0})
+
+
+def test_plan_has_no_gaps():
+    phases, _ = plan({"sa": 3, "sb": 2, "o": 1}, {"sa": 10, "sb": 1, "o": 4})
+    assert sum(t for _, _, _, t, *_ in phases) == 15
+
+
+def test_bit_sliced_index_is_exact():
+    r = np.random.default_rng(2)
+    for n, d, low, high in ((1, 3, -5, 5), (70, 8, -1024, 1024), (1000, 16, -3, 3), (500, 4, 0, 1)):
+        x = r.integers(low, high + 1, (n, d))
+        ids = r.permutation(n) * 3
+        index = BitSlicedIndex(ids, x)
+        for q in range(min(n, 20)):
+            got = list(zip(*(v.tolist() for v in index.top(x[q], ids[q], 10))))
+            every = sorted(((int(-(x[k] @ x[q])), int(ids[k])) for k in range(n) if ids[k] != ids[q]))[:10]
+            assert got == [(i, -s) for s, i in every]
+
+
+def test_topk_search(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in r.normal(size=8)]) for i in range(0, 350)] + [(400, [0.0] * 8), (500, None), (600, [float("nan")] * 8), (700, [None] * 8), (None, [1.0] * 8), (800, [1.0, 2.0])]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk_search(docs, block_rows=100).collect())
+    good = [(i, np.floor(np.array(v) * 1024).astype(int)) for i, v in rows if i is not None and i < 500 and v]
+    expected = []
+    for q, x in good:
+        if q % 100 == 0:
+            every = sorted((-int(x @ y), i) for i, y in good if i != q)[:10]
+            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(every)]
+    assert found == sorted(expected)
+    assert topk_search(docs.limit(0)).count() == 0
+
+
+URLS = ["http://a.example.com/en/7x?q", "https://EXAMPLE.com/en/8#x", "http://com/en/", "http://xcom/en/7", "nothing", None, "http://b.net/de/1", "http://b.example.net/de/8", "http://c.org/es", "http://c.org/es/", "ftp://", "http://d.com?x=/en/", "http://d.com/en/7://"]
+
+
+def test_url_filter_both_ways(spark):
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"), ("ORG", "/es/", "allow"), (None, "/", "block")]
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*URLS, URLS[0]])], "page_id int, url string, rule string")
+    rows = {limit: sorted(((x.page_id, x.host, x.path, x.rule, x.verdict) for x in url_filter(pages, table, max_broadcast_rules=limit).collect())) for limit in (0, 100)}
+    assert rows[0] == rows[100]
+    for i, host, path, rule, verdict in rows[100]:
+        fits = [(len(h), len(p), h.lower() + p, v) for h, p, v in rules if h and (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
+        best = max((f[:3] for f in fits), default=None)
+        assert rule == (best[2] if best else None), (host, path)
+        assert verdict == (max(f[3] for f in fits if f[:3] == best) if best else "allow")
+    assert {x.host for x in split_url(spark.createDataFrame([(None,), ("no",)], "url string")).collect()} == {""}
+    assert url_filter(pages, table.limit(0)).where("verdict <> 'allow'").count() == 0
+
+
+def words(r, n):
+    return " ".join("".join(r.choice(["ta", "ri", "no", "sel", "ka"]) for _ in range(r.randint(1, 3))) for _ in range(n))
+
+
+def test_quality_keeps_clean_and_rejects_junk(spark):
+    r = random.Random(6)
+    rows = [(i, words(r, r.randint(3, 150)), "en", "x") for i in range(400)]
+    rows += [(i, "".join(chr(r.randint(33, 120)) for _ in range(200)), r.choice(["en", None, "xx"]), "x") for i in range(400, 440)]
+    rows += [(440, None, "en", "x"), (441, "", None, "x"), (None, words(r, 50), "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, kept string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 2)] + [(2, 1, 0), (None, 1, 0)] + [(i, 0, 0) for i in range(400, 410)], "doc_id bigint, quality int, toxic int")
+    found = {x.doc_id: x for x in quality_classifier(docs, labels).collect()}
+    assert sum(found[i].kept for i in range(400)) >= 390
+    assert not any(found[i].kept for i in range(400, 440))
+    assert found[440].kept and found[441].kept and found[440].perplexity is None and found[None].kept
+    assert all(x.kept for x in quality_classifier(docs, labels.limit(0)).collect())
+    assert quality_classifier(docs.limit(0), labels).count() == 0
+
+
+def test_kneser_ney_sums_to_one(spark):
+    model = train_kneser_ney(spark.createDataFrame([("the cat sat on the mat " * 20,), ("a cat and a dog",)], "text string"))
+    p = np.exp2(-model.cost.astype(float)).reshape(64, 64, 64)
+    assert np.allclose(p.sum(axis=2), 1, atol=1e-3)
+
+
+def test_secret_scan(spark):
+    model = secrets.train(secrets.labelled_findings(spark, 4000))
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'a token = "{key}" and so on', f"commit {key} fixed it", "Schpfgegebeunger und Eserertiontionin", None, "", f'x password: "{key}" y api_key = "{key[::-1]}"', "-" * 50, "see https://example.com/some/long-path-here/index"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, secrets string")
+    found = {x.doc_id: x for x in secrets.secret_scan(docs, model).collect()}
+    assert [len(found[i].secrets) for i in range(8)] == [1, 0, 0, 0, 0, 2, 0, 0]
+    assert found[0].redacted == 'a token = "<SECRET>" and so on' and found[3].redacted is None and found[4].redacted == ""
+    for i, t in enumerate(texts):
+        assert all(t[s.start : s.start + s.length] == s.text for s in found[i].secrets)
+    held_out = secrets.labelled_findings(spark, 9000).where(F.length("candidate") > 0)
+    scored = held_out.withColumn("s", secrets.forest(model, F.array(*secrets.features(F.col("candidate"), F.col("before"), F.col("after")))))
+    assert scored.agg(F.avg(((F.col("s") >= 0.5).cast("double") == F.col("label")).cast("double"))).first()[0] > 0.97
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as p
+
+    r = random.Random(8)
+    rows = [(i, words(r, r.randint(30, 150)), "en", f"src{i % 5}", 10) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more", "en", "src1", 10) for i in range(20)]
+    rows += [(320, 'my token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ' + words(r, 3000), "en", "src2", 10), (321, "".join(chr(r.randint(33, 120)) for _ in range(300)), "en", "src2", 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(p.STAGES):
+        d = stage(spark, d, str(tmp_path))
+        if k < len(p.STAGES) - 1:
+            assert d.columns == docs.columns
+            d.write.parquet(f"{tmp_path}/{k}")
+            d = spark.read.parquet(f"{tmp_path}/{k}")
+    ids = {x.doc_id for x in d.collect()}
+    assert sorted(ids & set(range(300, 320))) == [] and 321 not in ids and 320 in ids and len(ids) >= 295
+    cleaned = spark.read.parquet(f"{tmp_path}/2").where("doc_id = 320").first()
+    assert "<SECRET>" in cleaned.text and cleaned.n_chars == len(cleaned.text)
+    assert {x.doc_id for x in p.run(spark, str(tmp_path)).collect()} == ids
