@@ -18,7 +18,7 @@ NO_CITATIONS, OUT_OF_RANGE, SEGMENT_OUT_OF_RANGE = "sin_citas", "fuera_de_rango"
 EMPTY_QUOTE, SHORT_QUOTE, NOT_LITERAL, NOT_RELEVANT = "quote_vacio", "quote_demasiado_corto", "quote_no_literal", "sin_relevancia"
 ANSWER, RETRY, ABSTAIN = "responder", "reintentar", "abstenerse"
 LEAST_RELEVANCE, MOST_RETRIES = 0.10, 2
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 QUOTE_PAIRS = (("«", "»"), ("“", "”"), ('"', '"'), ("'", "'"))
 HOLE_LINE = r"\A\[\[REF:(\d+)\]\](?U:\s)*(.*)\z"
 SEGMENT_MARK = r"\A[§S](?U:\s)*(\d+)(?U:\s)*\z"
