@@ -742,3 +742,67 @@ def _eval_sql() -> str:
 def eval_retrieval(spark, sf_dir):
     channels = {"lexical": _lexical(spark, sf_dir, False), "distinct_terms": _lexical(spark, sf_dir, True)}
     return evaluate.eval_retrieval(_cases(spark, sf_dir), {k: v.withColumnRenamed("query_id", "caso_id") for k, v in channels.items()}).withColumn("valor", F.round("valor", 9))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN event_id % 3 = 1 THEN value::VARCHAR END IS NOT NULL AS found FROM events""")
+def json_path_select(spark, sf_dir):
+    from ..operators.goals import select_path
+
+    e = table(spark, sf_dir, "events")
+    doc = F.concat(F.lit('{"report":{"metrics":[{"id":"0","v":1},{"id":"'), (F.col("event_id") % 3).cast("string"), F.lit('","v":"x"}]}}'))
+    hit = select_path(doc, "report.metrics[id=1].v")
+    return e.select("event_id", select_path(F.col("props"), "k").alias("k"), hit.isNotNull().alias("found"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 2 = 0 THEN NULL WHEN o_orderstatus = 'O' THEN 'N-1/2000#art2' ELSE 'N-1/2000#art1' END AS ref, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS texto FROM orders""")
+def mask_blind(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("q").alias("pregunta"), (F.col("o_orderkey") % 2 == 0).alias("a_ciegas"), F.when(F.col("o_orderstatus") == "O", "negativo").otherwise("positivo").alias("tipo"), F.lit("N-1/2000#art1").alias("ref"), F.lit("N-1/2000#art2").alias("responde"), F.lit("n").alias("nota"), F.col("o_orderpriority").alias("texto"))
+    return golden.blind_view(rows).select("id", "ref", "texto")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag = l_linestatus AS coincide, NOT (l_linenumber = 1 AND l_quantity > 25) AS valid FROM lineitem")
+def verdict_agreement(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    seen = golden.blind_verdict(F.col("l_returnflag"), F.col("l_linestatus"))
+    key = F.when(F.col("l_linenumber") == 1, "a").otherwise("b")
+    return l.select("l_orderkey", "l_linenumber", seen["coincide"].alias("coincide"), golden.key_valid(key, F.col("l_quantity") > 25, F.lit("positivo")).alias("valid"))
+
+
+@query(f"""WITH {PARAGRAPHS_CTE}, want AS (SELECT conv_id, 'C-1/2024#art' || conv_id || '.1' AS ref FROM conversations GROUP BY 1),
+whole AS (SELECT conv_id, string_agg(CASE WHEN numero IS NULL THEN texto ELSE numero || '. ' || texto END, chr(10) ORDER BY island) AS texto FROM items GROUP BY 1)
+SELECT ref, coalesce((SELECT min(texto) FROM items WHERE items.conv_id = want.conv_id AND numero = '1'), whole.texto) AS texto FROM want JOIN whole USING (conv_id)""")
+def article_text_lookup(spark, sf_dir):
+    u = _units(spark, sf_dir)
+    return golden.text_of_ref(u.select(F.concat("norma", F.lit("#art"), "articulo", F.lit(".1")).alias("ref")), u)
+
+
+@query("SELECT doc_id, CASE WHEN n_chars / 500.0 <= 6 THEN 'facil' WHEN n_chars / 500.0 >= 20 THEN 'dificil' ELSE 'media' END AS dificultad FROM documents")
+def difficulty_bucket(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sampling.difficulty(F.col("n_chars") / 500).alias("dificultad"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang <> 'de' AND source = 'src1'")
+def filter_by_type(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("lang") == "de", "si").otherwise("no").alias("depende_imagen"), F.when(F.col("source") == "src1", "rgc").when(F.col("source") == "src2", "mixto").otherwise("fuera").alias("cobertura_rgc"))
+    return sampling.by_kind(sampling.usable(d), "positivo").select("doc_id", "source")
+
+
+@query("SELECT source AS materia, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7")
+def sort_most_common(spark, sf_dir):
+    return _plan(spark, sf_dir).select(F.col("source").alias("materia"), F.col("available").alias("n"))
+
+
+@query(f"WITH {LEXICAL_CTE} SELECT query_id, legal_ref FROM lexical WHERE NOT EXISTS (SELECT 1 FROM distinct_terms t WHERE t.query_id = lexical.query_id AND t.legal_ref = lexical.legal_ref)")
+def except_named(spark, sf_dir):
+    named = _lexical(spark, sf_dir, True).select("query_id", "legal_ref")
+    return _lexical(spark, sf_dir, False).select("query_id", "legal_ref").join(named, ["query_id", "legal_ref"], "left_anti")
+
+
+@query(f"WITH {CASES_CTE} SELECT count(DISTINCT ref) AS n, min(ref) AS first, max(ref) AS last FROM want")
+def refs_index(spark, sf_dir):
+    from .ingest import refs_index as sorted_refs
+
+    known = _cases(spark, sf_dir).select(F.explode("refs").alias("ref"), F.lit("c").alias("chunker_id"))
+    r = sorted_refs(known)
+    return r.select(F.size("refs").cast("bigint").alias("n"), F.element_at("refs", 1).alias("first"), F.element_at("refs", -1).alias("last"))

@@ -42,6 +42,29 @@ def test_ingest_twice_changes_nothing(spark, tmp_path):
         index.active(ix.read("versions"), ix.read("aliases"), "other").collect()
 
 
+def test_ask(spark):
+    from lexweave.operators.goals import nest, select_path
+    from lexweave.plans import ask
+
+    chunks = spark.createDataFrame([("N-1/2000#art1", "El permiso caduca a los diez años de expedirse.", "t", [1.0, 0.0], "a"), ("N-1/2000#art2", "La velocidad máxima es de cien.", "t", [0.0, 1.0], "b")], "ref string, content string, titulo string, embedding array<double>, materia string")
+    questions = spark.createDataFrame([("q1", "¿Cuándo caduca el permiso?", [0.9, 0.1]), ("q2", "velocidad máxima", [0.1, 0.9])], "query_id string, pregunta string, vector array<double>")
+    assert {(r.query_id, r.legal_ref[-1]) for r in ask.ask(questions, chunks, 1).collect()} == {("q1", "1"), ("q2", "2")}
+    found = ask.retrieve(questions, chunks, 2)
+    assert {(r.query_id, r.legal_ref[-1]) for r in found.where("rank = 1").collect()} == {("q1", "1"), ("q2", "2")}
+    only = ask.retrieve(questions.where("query_id = 'q2'"), chunks.where("materia = 'b'"), 2, subject="a")
+    assert [r.legal_ref for r in only.collect()] == ["N-1/2000#art2"]
+    draft = lambda rows, attempt: rows.withColumn("draft", F.when(F.col("prompt").contains("[1] (1)"), F.lit("CITAS\n[[REF:1]] §1\nRESPUESTA\nSí.")))
+    got = ask.ask_cited(questions, found, draft).collect()
+    assert {r.salida for r in got} == {"responder"} and {r.answer for r in got} == {"Sí."}
+    with pytest.raises(Exception, match="3 to 500"):
+        ask.ask(questions.withColumn("pregunta", F.lit("x")), chunks).collect()
+    with pytest.raises(ValueError):
+        ask.ask(questions, chunks, 21)
+    doc = spark.createDataFrame([('{"a":{"m":[{"id":"x","v":{"w":1}},{"id":"y","v":2}]}}',)], "d string")
+    row = doc.select(select_path(F.col("d"), "a.m[id=x].v.w").alias("w"), select_path(F.col("d"), "a.m[id=z].v").alias("z"), F.to_json(nest({"b.c": F.lit(1), "a": F.lit(2)})).alias("n")).first()
+    assert tuple(row) == ("1", None, '{"a":2,"b":{"c":1}}')
+
+
 def test_recordings_and_cache(spark):
     texts = spark.createDataFrame([("a",), ("b",)], "content string").withColumn("embedding", F.array(F.lit(1.0)))
     recording = models.record_embeddings(texts, "m")
