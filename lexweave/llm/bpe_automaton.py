@@ -20,21 +20,20 @@ import json
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, tokenizer_file
+from .common import Cache, released, tokenizer_file
 from .token_counts import LETTERS, NUMBERS, WHITE, byte_characters
 
 # Fixed value: the pre-split pattern of the public byte-level vocabulary.
 SPLIT_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{WHITE}{LETTERS}{NUMBERS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
-MAX_CACHED_PIECES = 300_000
-MAX_TABLE = 2_000_000
+MAX_CACHED_PIECES = 120_000
+MAX_TABLE = 300_000
 
 
 class Automaton:
@@ -153,11 +152,6 @@ class Automaton:
         return b"".join([labels[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
-def automaton(spec: bytes) -> Automaton:
-    return Automaton(spec)
-
-
 def bpe_encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each whole text encoded: ``id_col``, ids (little-endian unsigned 32-bit integers), n_tokens.
 
@@ -168,14 +162,14 @@ def bpe_encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: st
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = automaton(spec.value).encode
+        a = Automaton(spec.value)  # a task's own, so that an idle worker holds nothing
         for b in batches:
-            ids = [encode(t) if t else b"" for t in b.column(1).to_pylist()]
+            ids = [a.encode(t) if t else b"" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["id", "ids", "n"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, ids binary, n bigint").select(F.col("id").alias(id_col), "ids", F.col("n").alias("n_tokens"))
+    return source.mapInArrow(released(run), f"id {kind}, ids binary, n bigint").select(F.col("id").alias(id_col), "ids", F.col("n").alias("n_tokens"))
 
 
 def bpe_decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -183,13 +177,13 @@ def bpe_decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
     spec = encoded.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = automaton(spec.value).decode
+        a = Automaton(spec.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else decode(x) for x in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else a.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, text string").select(F.col("id").alias(id_col), "text")
+    return source.mapInArrow(released(run), f"id {kind}, text string").select(F.col("id").alias(id_col), "text")
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -201,7 +195,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> Dat
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(spec.value)
+        a = Automaton(spec.value)
         for b in batches:
             rows = [[], [], []]
             for t in b.column(1).to_pylist():
@@ -213,4 +207,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> Dat
 
     source = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n bigint, i string, d string").toDF("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return source.mapInArrow(released(run), f"id {kind}, n bigint, i string, d string").toDF("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -26,14 +28,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there; lost executors lose nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and read it from there; lost executors lose nothing.
+
+    The shuffle files of the job that made it are not needed any more and go when it ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new plan, made under the setting
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``most`` bytes at most: texts are long, and each task holds several copies of a batch."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH_BYTES)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most:
+        conf.set(_BATCH_BYTES, str(most))
+    return df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_file(name: str) -> bytes:
@@ -70,11 +96,10 @@ def word_hashes(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     lengths = ends - starts
     powers = np.cumprod(np.full(int(lengths.max()), _BYTE_BASE, dtype=np.uint64))
-    total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
-    offset = np.arange(total) - np.repeat(first, lengths)
-    at = offset + np.repeat(starts, lengths)
-    value = (np.frombuffer(buf, dtype=np.uint8)[at].astype(np.uint64) + np.uint64(1)) * powers[offset]
+    offset = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    a = np.frombuffer(buf, dtype=np.uint8)
+    value = (a[~((a == 32) | ((a >= 9) & (a <= 13)))].astype(np.uint64) + np.uint64(1)) * powers[offset]
     return mix64(np.add.reduceat(value, first))
 
 
@@ -89,7 +114,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(acc)
 
 
-def by_bytes(texts: Iterable[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def by_bytes(texts: Iterable[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts in lists of about ``limit`` bytes, each with the index of its first text."""
     held: list[bytes] = []
     size = first = 0
@@ -132,6 +157,26 @@ class Cache(dict):
         return value
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: idle workers stay alive beside active ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
+def released(run):
+    """``run`` over a task's batches; afterwards what it held goes back to the system."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 class Forest:
     """Union-find over the integers it has seen; the smallest member is the root."""
 

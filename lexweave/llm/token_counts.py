@@ -13,16 +13,16 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, tokenizer_file
+from .common import Cache, released, tokenizer_file
 
 # The Unicode White_Space characters, as a character-class body.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _ranges(initial: str) -> str:
@@ -42,7 +42,7 @@ LETTERS, NUMBERS = _ranges("L"), _ranges("N")
 # Fixed value: the pre-split pattern of the public word-end vocabulary.
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{WHITE}{LETTERS}{NUMBERS}]+"
 
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -121,11 +121,6 @@ class MergeCounter:
         return total
 
 
-@lru_cache(maxsize=2)
-def counter(spec: bytes) -> MergeCounter:
-    return MergeCounter(spec)
-
-
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of each whole text: ``id_col``, n_bytes, n_tokens, over_limit (more than ``limit``).
 
@@ -137,21 +132,12 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(spec.value).count
+        known = MergeCounter(spec.value)  # a task's own, so that an idle worker holds nothing
         for b in batches:
-            texts = b.column(1).to_pylist()
-            tokens = [count(t) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64())], names=["id", "n"])
-
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    # The length in bytes is read in the same pass as the text.
-    def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        for b in batches:
-            (out,) = run(iter([b]))
+            tokens = [known.count(t) if t else 0 for t in b.column(1).to_pylist()]
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([out.column(0), size, out.column(1)], names=["id", "b", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(tokens, pa.int64())], names=["id", "b", "n"])
 
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(with_bytes, f"id {kind}, b bigint, n bigint").select(F.col("id").alias(id_col), F.col("b").alias("n_bytes"), F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))
+    return source.mapInArrow(released(run), f"id {kind}, b bigint, n bigint").select(F.col("id").alias(id_col), F.col("b").alias("n_bytes"), F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))

@@ -15,7 +15,7 @@ from lexweave.llm.token_counts import MergeCounter, token_counts
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 
-PIECES = ["a", "aa", "aaa", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "<|startoftext|>", "<|", "Σ", "ΑΣ", "İ", "é", "é", "中", "1", "23", "'s", "'LL", "!!", "🎉", "ß", "ing", "\x00", "\x1c", " ", "----", "===", "\r\n", "zz", "ee"]
+PIECES = ["a", "aa", "aaa", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "<|startoftext|>", "<|", "Σ", "ΑΣ", "İ", "é", "é", "中", "1", "23", "'s", "'LL", "!!", "🎉", "ß", "ing", "\x00", "\x1c", " ", "----", "===", "\r\n", "zz", "ee", "\u2003", "\u3000", "\x85", "\u2028", "\u1680", "\u200b"]
 
 
 def texts(n: int = 1500) -> list[str]:
