@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, by_bytes, cut, gram_hashes, utf8, word_hashes, word_spans
+from .common import Forest, by_bytes, cut, gram_hashes, released, utf8, word_hashes, word_spans
 from .components import components
 
 WORDS = 5
@@ -207,13 +207,14 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS
     """doc_id, rep_id, class_id, n_links: one row for each row of ``docs`` with an id.
 
     Two rows are linked if their texts' sets of ``words``-word shingles have a
-    Jaccard similarity of ``threshold`` or more. ``n_links`` counts the other rows
-    linked, copies included; ``rep_id`` is the smallest id with the same text and
+    Jaccard similarity of ``threshold`` or more. ``n_links`` counts the other
+    documents linked, copies included; ``rep_id`` is the smallest id with the same text and
     ``class_id`` the smallest id that links reach. Words are
     ``[^\\x20\\x09-\\x0D]+``, unchanged; a text of fewer words is one shingle of them
     all. A null, empty or blank text has no shingles and is linked with nothing,
-    not even its copies. Rows with a null id take no part and don't appear; rows
-    repeated under one id count as copies. Other columns are not read.
+    not even its copies. Rows with a null id take no part and don't appear. Rows
+    with one id are one document: it counts once, with the text of the smallest
+    MD5, and each of them gets its result. Other columns are not read.
 
     Candidates miss a pair at the threshold with probability (1 - t**4)**32 (5e-8
     at 0.8) and pruning drops one with ``tolerance``; what is reported is exact but
@@ -224,14 +225,16 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(shingle_sets(utf8(b.column(2)), words)) if len(b) else []
+            sets = list(shingle_sets(utf8(b.column(1)), words)) if len(b) else []
             signed = [signature(s) for s in sets]
             flat = np.concatenate(signed) if signed else np.empty(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), lists], names=["id", "key", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), lists], names=["key", "size", "sig"])
 
-    signed = source.mapInArrow(sign, "id bigint, key string, size int, sig array<bigint>")
-    classes = cut(signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
+    signed = source.select("key", "text").mapInArrow(released(sign), "key string, size int, sig array<bigint>")
+    own = cut(source.select("id", "key").groupBy("id").agg(F.min("key").alias("key")))
+    signatures = signed.groupBy("key").agg(F.first("size").alias("size"), F.first("sig").alias("sig"))
+    classes = cut(own.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).join(signatures, "key"))
 
     bands = classes.where("size > 0").select("rep", F.posexplode("sig").alias("band", "value"))
     buckets = bands.groupBy("band", "value").agg(F.count("*").alias("members"), F.min("rep").alias("low")).where("members > 1")
@@ -239,7 +242,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS
     chained = found.where(F.col("members") > LARGE_BUCKET).select(F.col("low").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     small = found.where(F.col("members") <= LARGE_BUCKET).select("band", "value", "rep").join(classes.select("rep", "size", "sig"), "rep")
     small = small.select("band", "value", "rep", "size", "sig").repartition("band", "value").sortWithinPartitions("band", "value", "rep")
-    near = small.mapInArrow(lambda b: _pruned(b, threshold, tolerance), "a bigint, b bigint")
+    near = small.mapInArrow(released(lambda b: _pruned(b, threshold, tolerance)), "a bigint, b bigint")
     clusters = cut(components(near.unionByName(chained)))
 
     members = clusters.withColumnRenamed("id", "rep").join(classes.select("rep", "copies", "size"), "rep")
@@ -249,18 +252,19 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS
     meets = texts.select("component", "block", "rep", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     meets = meets.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "text")
     meets = meets.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
-    exact = cut(meets.mapInArrow(lambda b: _verified(b, words, threshold), "a bigint, b bigint, links bigint"))
+    exact = cut(meets.mapInArrow(released(lambda b: _verified(b, words, threshold)), "a bigint, b bigint, links bigint"))
 
     links = exact.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     groups = components(exact.where("b is not null")).withColumnRenamed("id", "rep")
     known = classes.select("key", "rep", "copies", "size").join(links, "rep", "left").join(groups, "rep", "left")
     has = F.col("size") > 0
-    return source.select("id", "key").join(known, "key").select(
-        F.col("id").alias(id_col),
+    told = own.join(known, "key").select(
+        F.col("id"),
         F.when(has, F.col("rep")).otherwise(F.col("id")).alias("rep_id"),
         F.when(has, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("class_id"),
         F.when(has, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
     )
+    return source.select("id").join(told, "id").withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
