@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import secrets
 from lexweave.llm.bpe_automaton import bpe_encode
-from lexweave.llm.common import cut, read_table
+from lexweave.llm.common import cut, read_table, small_batches
 from lexweave.llm.mixing import mix_sources
 from lexweave.llm.ngram_join import keep_one
 from lexweave.llm.quality import quality_classifier
@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    return keep_one(docs)
+    return keep_one(small_batches(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers), in the order of ``docs``."""
-    return bpe_encode(docs).select("doc_id", "n_tokens", "ids")
+    return bpe_encode(small_batches(docs)).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("mixture", mixture), ("tokens", tokens)]
