@@ -13,6 +13,10 @@ backward search; a window's interval of the suffix order names its content, so
 the first place of each interval is the one to keep, and every other place has a
 match of full length that starts earlier. Those intervals are removed.
 
+Repetition that needs no index is settled first: later copies of a whole text
+(equal MD5) go entirely, and of windows that a document itself repeats (equal
+64-bit hashes within it) only the first is looked up.
+
 A minimizer with many occurrences (a passage that many documents share, in
 different surroundings) is dealt out window by window instead, by the whole
 window's hash: equal windows still meet, their surroundings don't.
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, gram_hashes, utf8, word_hashes, word_spans
+from .common import by_bytes, cut, gram_hashes, mix64, utf8, word_hashes, word_spans
 
 WINDOW, GRAM = 20, 8
 #: Minimizers with more occurrences are dealt out window by window.
@@ -41,7 +45,7 @@ class WaveletMatrix:
     """Rank queries over a sequence of small integers, from packed bits."""
 
     def __init__(self, values: np.ndarray, levels: int) -> None:
-        self.levels = levels
+        self.levels, self.starts = levels, None
         n = len(values)
         words = n // 64 + 1
         self.bits = np.zeros((levels, words), dtype=np.uint64)
@@ -62,16 +66,21 @@ class WaveletMatrix:
         word, rest = at >> 6, (at & 63).astype(np.uint64)
         return self.before[k, word] + np.bitwise_count(self.bits[k, word] & ((np.uint64(1) << rest) - np.uint64(1)))
 
+    def _down(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where positions end up when they follow the bits of their symbols through the levels."""
+        for k in range(self.levels):
+            one = (symbols >> (self.levels - 1 - k) & 1).astype(bool)
+            ones = self.ones(k, at)
+            at = np.where(one, self.zeros[k] + ones, at - ones)
+        return at
+
     def rank(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol stands before ``low`` and before ``high``."""
-        start = np.zeros_like(low)
-        both = np.concatenate([start, low, high])
-        n = len(low)
-        for k in range(self.levels):
-            one = np.tile((symbols >> (self.levels - 1 - k) & 1).astype(bool), 3)
-            ones = self.ones(k, both)
-            both = np.where(one, self.zeros[k] + ones, both - ones)
-        return both[n : 2 * n] - both[:n], both[2 * n :] - both[:n]
+        if self.starts is None:
+            kinds = np.arange(1 << self.levels)
+            self.starts = self._down(kinds, np.zeros_like(kinds))
+        both = self._down(np.concatenate([symbols, symbols]), np.concatenate([low, high])) - np.tile(self.starts[symbols], 2)
+        return both[: len(low)], both[len(low) :]
 
 
 class FMIndex:
@@ -80,69 +89,104 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int) -> None:
         n = len(text)
         rank, h = text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         while h < depth + 1:
             beyond = np.zeros(n, dtype=np.int64)
             beyond[: n - h] = rank[h:] + 1 if n > h else 0
             key = rank * (n + int(text.max()) + 2) + beyond
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
             h *= 2
+            if rank[order[-1]] == n - 1:
+                break  # every suffix has its place
         kinds = int(text.max()) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])
         self.wavelet = WaveletMatrix(text[order - 1].astype(np.int64), max(1, (kinds - 1).bit_length()))
 
     def intervals(self, text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix intervals of text[p : p + length] for each p in ``at``, by backward search of all at once."""
-        last = text[at + length - 1]
-        low, high = self.first[last], self.first[last + 1]
+        """The suffix intervals of text[p : p + length] for each p in ``at``, by backward search of all at once.
+
+        A search ends early when its interval holds one suffix: what stands there
+        is ``p``'s own, so the interval is given as (-1 - p, -p).
+        """
+        low, high = -1 - at, -at
+        going, last = np.arange(len(at)), text[at + length - 1]
+        a, b = self.first[last], self.first[last + 1]
         for back in range(length - 2, -1, -1):
-            c = text[at + back]
-            a, b = self.wavelet.rank(c, low, high)
-            low, high = self.first[c] + a, self.first[c] + b
+            more = b - a > 1
+            going, a, b = going[more], a[more], b[more]
+            if not len(going):
+                return low, high
+            c = text[at[going] + back]
+            x, y = self.wavelet.rank(c, a, b)
+            a, b = self.first[c] + x, self.first[c] + y
+        more = b - a > 1
+        low[going[more]], high[going[more]] = a[more], b[more]
         return low, high
 
 
-def minimizers(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows of ``width`` grams: each run's minimizer, first window and number of windows."""
-    view = np.lib.stride_tricks.sliding_window_view(grams, width)
-    at = np.arange(len(view)) + view.argmin(axis=1)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return grams[at[first]], first, np.diff(np.append(first, len(view)))
+def minimizers(grams: np.ndarray, width: int) -> np.ndarray:
+    """Of each window of ``width`` grams, where its least one stands; of equal ones the first."""
+    return np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
 
 
-def _documents(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, text, starts, ends, word hashes) of each text."""
-    for first, part in by_bytes(texts):
-        buf = b"\n".join(part)
+class _Part:
+    """The words of some texts, end to end, and their windows; those that reach over a text's end are not ``valid``."""
+
+    def __init__(self, texts: list[bytes], window: int) -> None:
+        buf = b"\n".join(texts)
         starts, ends = word_spans(buf)
-        hashes = word_hashes(buf, starts, ends)
-        offsets = np.cumsum([0, *(len(t) + 1 for t in part)])
-        edge = np.searchsorted(starts, offsets)
-        for i, t in enumerate(part):
-            s, e = edge[i], edge[i + 1]
-            yield first + i, t, starts[s:e] - offsets[i], ends[s:e] - offsets[i], hashes[s:e]
+        self.hashes, self.window = word_hashes(buf, starts, ends), window
+        self.edge = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        self.row = np.repeat(np.arange(len(texts)), np.diff(self.edge))
+        n = max(0, len(self.row) - window + 1)
+        self.valid = self.row[:n] == self.row[window - 1 :] if n else np.zeros(0, dtype=bool)
+        self._own = None
+
+    @property
+    def own_first(self) -> np.ndarray:
+        """Windows that are valid and no repetition of an earlier one of their own text."""
+        if self._own is None:
+            key = gram_hashes(self.hashes, self.window) ^ mix64(self.row[: len(self.valid)].astype(np.uint64))
+            at = np.flatnonzero(self.valid)
+            self._own = self.valid.copy()
+            ordered = np.sort(key[at])
+            twice = ordered[1:][ordered[1:] == ordered[:-1]]
+            if len(twice):
+                at = at[np.isin(key[at], twice)]
+                self._own[at] = False
+                self._own[at[np.unique(key[at], return_index=True)[1]]] = True
+        return self._own
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(id, key, text) to (minimizer, id, key, first window, windows)."""
+    """(id, uid, text) to (minimizer, uid, place): runs of windows, those left out that their document repeats.
+
+    ``place`` is the first window times 256 and the number of windows.
+    """
     for b in batches:
-        ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for row, _, _, _, hashes in _documents(utf8(b.column(2))):
-            if len(hashes) >= window:
-                m, first, size = minimizers(gram_hashes(hashes, gram), window - gram + 1)
-                for column, x in zip(out, (m.view(np.int64), np.full(len(m), ids[row]), np.full(len(m), keys[row]), first.astype(np.int32), size.astype(np.int32))):
-                    column.append(x)
-        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, k)) for c, k in zip(out, kinds)], names=["m", "id", "key", "first", "size"])
+        known, uids = np.asarray(b.column(0).is_valid()), b.column(1).to_numpy()
+        out: list[list[np.ndarray]] = [[], [], []]
+        for first, texts in by_bytes([t or b"" for t in utf8(b.column(2))]):
+            p = _Part(texts, window)
+            at = np.flatnonzero(p.own_first & known[first + p.row[: len(p.valid)]])
+            if not len(at):
+                continue
+            grams = gram_hashes(p.hashes, gram)
+            least = minimizers(grams, window - gram + 1)[at]
+            start = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(least) != 0) | (np.diff(p.row[at]) != 0)]))
+            begin = at[start]
+            out[0].append(grams[least[start]].view(np.int64))
+            out[1].append(uids[first + p.row[begin]])
+            out[2].append((begin - p.edge[p.row[begin]]) * 256 + np.diff(np.append(start, len(at))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64)) for c in out], names=["m", "uid", "place"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], window: int, with_words: bool) -> Iterator[pa.RecordBatch]:
-    """(id, key, text, segments) to (shard, content, id, key, first window, windows[, words]); hot segments window by window."""
-    names = ["shard", "content", "id", "key", "first", "size", *["words"] * with_words]
+    """(id, uid, text, segments) to (shard, content, id, uid, first window, windows[, words]); hot segments window by window."""
+    names = ["shard", "content", "id", "uid", "first", "size", *["words"] * with_words]
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -150,20 +194,24 @@ def _occurrences(batches: Iterator[pa.RecordBatch], window: int, with_words: boo
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     for b in batches:
-        ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
+        ids, uids = b.column(0).to_pylist(), b.column(1).to_pylist()
         lists, rows, held = b.column(3), [], 0
-        for row, text, _, _, hashes in _documents(utf8(b.column(2))):
+        for row, text in enumerate(utf8(b.column(2))):
             words = text.split()
             whole = None
             for s in lists[row].as_py():
-                pieces = [(s["first"], s["size"], s["m"])]
+                first, size = divmod(s["place"], 256)
+                pieces = [(first, size, s["m"])]
                 if s["hot"]:
-                    whole = gram_hashes(hashes, window).view(np.int64) if whole is None else whole
-                    pieces = [(p, 1, int(whole[p])) for p in range(s["first"], s["first"] + s["size"])]
+                    whole = gram_hashes(word_hashes(text, *word_spans(text)), window).view(np.int64) if whole is None else whole
+                    pieces = [(p, 1, int(whole[p])) for p in range(first, min(first + size, len(whole)))]
                 for first, size, shard in pieces:
-                    content = b" ".join(words[first : first + size + window - 1])
+                    part = words[first : first + size + window - 1]
+                    if len(part) < size + window - 1:
+                        continue  # the place is of another text whose uid is equal
+                    content = b" ".join(part)
                     digest = hashlib.blake2b(content, digest_size=16).digest()
-                    rows.append((shard, digest, ids[row], keys[row], first, size, content)[: len(names)])
+                    rows.append((shard, digest, ids[row], uids[row], first, size, content)[: len(names)])
                     held += len(content)
             if held > 1 << 22 or len(rows) > 50_000:
                 yield batch(rows)
@@ -215,26 +263,32 @@ def _first_places(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(row id, text, lists of repeated windows) to counts, the removed spans of words and the kept words."""
+    """(row id, text, copy, lists of repeated windows) to counts, the removed spans of words and the kept words."""
     for b in batches:
-        texts, lists = utf8(b.column(1)), b.column(2)
+        known, copy, lists = b.column(0).is_valid().to_pylist(), b.column(2).to_pylist(), b.column(3)
         out: list[list] = [[], [], [], []]
-        for i, t in enumerate(texts):
-            words = (t or b"").split()
-            cover = np.zeros(len(words) + 1, dtype=np.int64)
-            for starts in lists[i].as_py() or []:
-                s = np.array(starts, dtype=np.int64)
-                np.add.at(cover, s, 1)
-                np.add.at(cover, s + window, -1)
-            gone = np.cumsum(cover)[:-1] > 0
-            kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
-            out[0].append(len(words))
-            out[1].append(len(words) - len(kept))
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
-            out[2].append([{"start": int(s), "end": int(e)} for s, e in edge])
-            out[3].append(b" ".join(kept).decode())
-        spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], spans), pa.array(out[3], pa.string())], names=["id", "n_words", "n_removed", "removed", "kept"])
+        for first, texts in by_bytes([t or b"" for t in utf8(b.column(1))]):
+            p = _Part(texts, window)
+            for k, t in enumerate(texts):
+                words, i, spans = t.split(), first + k, np.empty((0, 2), dtype=np.int64)
+                if len(words) >= window and known[i]:
+                    s = p.edge[k]
+                    repeated = np.ones(len(words) - window + 1, dtype=bool) if copy[i] else ~p.own_first[s : s + len(words) - window + 1]
+                    for starts in lists[i].as_py() or []:
+                        repeated[starts] = True
+                    at = np.flatnonzero(repeated)
+                    if len(at):
+                        # Windows that touch or overlap make one span.
+                        new = np.flatnonzero(np.diff(at) > window) + 1
+                        spans = np.stack([at[np.append(0, new)], at[np.append(new - 1, len(at) - 1)] + window], axis=1)
+                out[0].append(len(words))
+                out[1].append(int((spans[:, 1] - spans[:, 0]).sum()))
+                out[2].append([{"start": s, "end": e} for s, e in spans.tolist()])
+                for s, e in spans[::-1].tolist():
+                    del words[s:e]
+                out[3].append(b" ".join(words).decode())
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind), pa.array(out[3], pa.string())], names=["id", "n_words", "n_removed", "removed", "kept"])
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,15 +301,20 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     repeated under one id don't remove each other's words, for neither is earlier.
     Each row of ``docs`` gives one row; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    full = rows.where("id is not null and text is not null")
-    segments = full.mapInArrow(lambda b: _segments(b, window, gram), "m bigint, id bigint, key bigint, first int, size int")
+    text, own = F.col(text_col).cast("string"), F.col(id_col).cast("bigint")
+    rows = docs.select(own.alias("id"), F.xxhash64(own, text).alias("uid"), text.alias("text"))
+    # Later copies of whole texts.
+    digests = docs.where(own.isNotNull() & text.isNotNull()).select(own.alias("id"), F.xxhash64(own, text).alias("uid"), F.unhex(F.md5(text.cast("binary"))).alias("md5"))
+    first = digests.groupBy("md5").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = cut(digests.join(first, "md5").where("id > first").select("uid").distinct())
+
+    segments = rows.mapInArrow(lambda b: _segments(b, window, gram), "m bigint, uid bigint, place bigint")
     often = segments.groupBy("m").agg(F.count("*").alias("n")).where("n > 1")
-    listed = segments.join(often, "m").groupBy("id", "key").agg(F.collect_set(F.struct("m", "first", "size", (F.col("n") > hot).alias("hot"))).alias("segments"))
-    listed = cut(listed)
+    listed = segments.join(often, "m").groupBy("uid").agg(F.collect_set(F.struct("m", "place", (F.col("n") > hot).alias("hot"))).alias("segments"))
+    listed = cut(listed.join(copies, "uid", "left_anti"))
 
-    lists = full.join(listed, ["id", "key"]).select("id", "key", "text", "segments")
-    found = "shard bigint, content binary, id bigint, key bigint, first int, size int"
+    lists = rows.join(listed, "uid").select("id", "uid", "text", "segments")
+    found = "shard bigint, content binary, id bigint, uid bigint, first int, size int"
     held = lists.mapInArrow(lambda b: _occurrences(b, window, True), f"{found}, words binary")
     contents = held.groupBy("shard", "content").agg(F.min(F.struct("id", "first")).alias("place"), F.first("words").alias("words"))
     contents = contents.select("shard", "content", "place.id", "place.first", "words").repartition("shard").sortWithinPartitions("shard", "content")
@@ -263,8 +322,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
 
     where = lists.mapInArrow(lambda b: _occurrences(b, window, False), found).join(places, ["shard", "content"])
     again = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: ~((F.get("ids", i) == F.col("id")) & (F.get("firsts", i) == F.col("first") + i)))
-    starts = where.select("id", "key", F.transform(again, lambda i: F.col("first") + i).alias("starts")).where("size(starts) > 0")
-    repeated = starts.groupBy("id", "key").agg(F.collect_set("starts").alias("starts"))
-    judged = rows.join(repeated, ["id", "key"], "left").select("id", "text", "starts")
+    starts = where.select("uid", F.transform(again, lambda i: F.col("first") + i).alias("starts")).where("size(starts) > 0")
+    marks = starts.select("uid", "starts", F.lit(False).alias("copy")).unionByName(copies.select("uid", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
+    marks = cut(marks.groupBy("uid").agg(F.collect_set("starts").alias("starts"), F.max("copy").alias("copy")))
+    judged = rows.join(marks, "uid", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
     done = judged.mapInArrow(lambda b: _kept(b, window), "id bigint, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept string")
     return done.withColumnRenamed("id", id_col)
