@@ -1,7 +1,7 @@
 """Secret scans: a random forest removes the false positives among candidates.
 
-A candidate is a run of 16 or more characters of keys and encodings. Its features
-are its length, the changes between kinds of characters in it, how much of it a
+A candidate is a run of 16 or more characters of keys and encodings, without the
+``NAME=`` that it may begin with. Its features are its length, the changes between kinds of characters in it, how much of it a
 word list covers, signs of a path around it, and the words beside it. A random
 forest trained on labelled findings tells secrets from what only looks like them;
 its trees are turned into CASE expressions, so that the scan is one projection of
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
+#: Names before a value in one run, as in ``token=...``: up to the first secret's name, or else all; what follows has 8 characters or more.
+_NAME = r"[-_/]*+[A-Za-z]++(?:[0-9]{1,2}[A-Za-z]*+)?(?:[-_/]++[A-Za-z]++(?:[0-9]{1,2}[A-Za-z]*+)?){0,9}+[-_]*+="
 BEFORE, AFTER = 40, 16
 REDACTED = "<SECRET>"
 TREES, DEPTH = 15, 5
@@ -34,11 +36,13 @@ DICTIONARY = (
     "window with word work world write year the and ing tion ent"
 ).split()
 # Names that stand before a secret, and names that stand before a harmless digest or identifier.
-SECRET_WORDS = "token|secret|passw|pwd|passphrase|credential|api.?key|access.?key|private.?key|auth|bearer"
+SECRET_WORDS = "tokens?|secrets?|passw(?:or[dt]|d)?|pwd|passphrase|credentials?|(?:api|access|private|secret).?keys?|auth|bearer"
 HARMLESS_WORDS = "sha.?1|sha.?256|md5|checksum|digest|commit|revision|uuid|guid|etag|integrity|build.?id|isbn|hash"
 
 FEATURES = ("length", "digits", "uppers", "switches", "case_switches", "hex_only", "dictionary", "longest_letters", "slashes", "path_beside", "secret_word", "harmless_word", "assigned", "quoted", "uuid_form")
 
+NAMES = rf"\A(?:(?:{_NAME}){{0,3}}?(?<=(?i:{SECRET_WORDS})[-_]{{0,2}}=)|(?:{_NAME}){{1,4}})(?=[^=]\S{{7}})"
+
 
 def features(candidate: Column, before: Column, after: Column) -> list[Column]:
     """The features of one candidate, as doubles, in the order of ``FEATURES``."""
@@ -67,12 +71,34 @@ def features(candidate: Column, before: Column, after: Column) -> list[Column]:
     ]
 
 
+def _split(df: DataFrame, text: Column) -> DataFrame:
+    """Adds the candidates ``_c`` and the gaps ``_g`` around them, one more; null where there is no candidate."""
+    hit = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
+    runs = F.when(hit, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    df = df.withColumns({"_r": runs, "_g": F.when(hit, F.split(text, CANDIDATE, -1))})
+    df = df.withColumn("_n", F.transform("_r", lambda r: F.regexp_extract(r, NAMES, 0)))
+    rest = F.transform("_r", lambda r, i: F.substring(r, F.length(F.get("_n", i)) + 1, F.length(r)))
+    gaps = F.transform("_g", lambda g, i: F.concat(g, F.coalesce(F.get("_n", i), F.lit(""))))  # names go to the gap before
+    return df.withColumns({"_c": rest, "_g": gaps}).drop("_r", "_n")
+
+
+def _beside(i: Column) -> tuple[Column, Column]:
+    """What stands before and after the candidate ``i``, through the candidates next to it."""
+    part = lambda name, k: F.coalesce(F.get(F.col(name), k), F.lit(""))
+    tail = lambda s: F.substring(s, -BEFORE, BEFORE)
+    head = lambda s: F.substring(s, 1, AFTER)
+    before = F.concat(F.when(i > 0, F.concat(tail(part("_g", i - 1)), tail(part("_c", i - 1)))).otherwise(""), tail(part("_g", i)))
+    return tail(before), head(F.concat(head(part("_g", i + 1)), head(part("_c", i + 1))))
+
+
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """before, candidate, after, label: made-up findings, one kind for each row by its number; bounded by ``n``.
+    """before, candidate, after, label: what the scanner finds in ``n`` made-up lines, one kind for each line by its number.
 
-    Secrets: random keys under a secret's name, assigned or quoted, and keys with
-    an issuer's form anywhere. Harmless: digests under their names, UUIDs, paths,
-    urls, long words, numbers, identifiers, and rulers of one character.
+    Secrets: random keys under a secret's name, assigned (``NAME=value`` in text
+    and urls included) or quoted, and keys with an issuer's form anywhere.
+    Harmless: digests under their names, UUIDs, paths, urls and their parameters,
+    long words, numbers, identifiers, rulers of one character, and the names
+    before secrets.
     """
     i = F.col("id")
     digest = F.sha2(i.cast("string"), 256)
@@ -87,6 +113,10 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     mild = F.concat(at(["the ", "un ", ". ", "\n", "see ", "und "], 1), at(["sha256", "md5", "commit", "checksum", "revision", "uuid", "hash", "digest"], 2), at([" = \"", "=", ": ", " ", "-"], 3))
     prose = at(["of the ", "in the ", ". ", "\n", "und der ", "le ", ", "], 4)
     close = F.when(F.substring(name, -1, 1).isin("\"", "'"), F.concat(F.substring(name, -1, 1), F.lit(" and"))).otherwise(at([" of", "\n", ", the", "###"], 5))
+    url = F.concat(prose, F.lit("https://example.com/"), at(["", "login", "a/b", "api/v1/users"], 11))
+    asks, shows = at(["?token=", "?api_key=", "?x=1&access_token=", "?auth=", "?password="], 12), at(["?v=", "?id=", "?x=1&page=", "?ref=", "?etag="], 12)
+    tight = F.concat(at(["the ", "un ", ". ", "\n", "--", "export "], 1), at(["token", "secret", "password", "auth_token", "API_KEY", "SECRET_TOKEN", "SECRET_KEY", "db-password"], 2), F.lit("="))
+    plain = F.concat(at(["the ", "un ", ". ", "\n", "--", "export "], 1), at(["commit", "build_id", "sha256", "checksum", "etag", "revision", "md5"], 2), F.lit("="))
     size = 20 + F.pmod(F.hash(i, F.lit(6)), F.lit(21))
     kinds = [
         (name, F.substring(digest, 1, 40), close, 1), (name, F.substring(digest, 1, 32), close, 1), (name, F.substring(base64, 1, 40), close, 1), (name, F.expr("substring(regexp_replace(base64(unhex(sha2(cast(id as string), 256))), '[+/=]', ''), 1, 24 + pmod(hash(id), 16))"), close, 1),
@@ -94,10 +124,21 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (mild, F.substring(digest, 1, 40), at([" ", "\n", "\""], 5), 0), (mild, digest, at([" ", "\n", "\""], 5), 0), (prose, F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4), F.substring(digest, 17, 4), F.substring(digest, 21, 12)), at([" ", "\n", ","], 5), 0),
         (F.concat(prose, F.lit("https://example.com/")), F.concat(snake, F.lit("/"), F.substring(digest, 1, 12)), at(["?x", "/", ".html", " "], 5), 0), (F.concat(prose, F.lit("src/")), snake, F.lit(".py "), 0), (prose, word, at([" ", ".", ","], 5), 0), (prose, syllables, at([" ", ".", ","], 5), 0), (prose, F.initcap(syllables), at([" ", ".", ",", "ä", "é"], 5), 0), (at([".\n", "ä", "é", ". ", "(", "\""], 10), F.initcap(syllables), at([" ", ".", ",", "***"], 5), 0),
         (prose, F.substring(F.regexp_replace(digest, "[a-f]", "7"), 1, 18), at([" ", "\n", "$$$"], 5), 0), (name, snake, close, 0), (name, word, close, 0), (prose, F.repeat(at(["-", "=", "_", "a", "x"], 8), size.cast("int")), F.lit("\n"), 0), (prose, F.concat_ws("-", snake, F.substring(other, 1, 3)), at([" ", "\n"], 5), 0), (prose, F.upper(syllables), at(["!!", " "], 5), 0),
+        (F.concat(url, asks), F.substring(digest, 1, 40), at([" ", "\n", "&x=1 "], 5), 1), (F.concat(url, asks), F.substring(base64, 1, 32), at([" ", "\n", "&x=1 "], 5), 1), (F.concat(url, shows), F.substring(digest, 1, 32), at([" ", "\n", "&x=1 "], 5), 0),
+        (tight, F.substring(digest, 1, 40), at([" of", "\n", ", the"], 5), 1), (tight, digest, at([" of", "\n", ", the"], 5), 1), (tight, base64, at([" of", "\n", ", the"], 5), 1), (plain, F.substring(digest, 1, 40), at([" of", "\n", ", the"], 5), 0), (plain, digest, at([" of", "\n", ", the"], 5), 0), (tight, snake, at([" of", "\n", ", the"], 5), 0),
     ]
     pick = F.pmod(i, F.lit(len(kinds)))
     row = F.element_at(F.array(*[F.struct(b.alias("before"), c.alias("candidate"), a.alias("after"), F.lit(float(y)).alias("label")) for b, c, a, y in kinds]), (pick + 1).cast("int"))
-    return spark.range(n).select(row.alias("r")).select("r.*")
+    lines = _split(spark.range(n).select(row.alias("r")).withColumn("line", F.concat("r.before", "r.candidate", "r.after")), F.col("line"))
+    start, end = F.length("r.before"), F.length("r.before") + F.length("r.candidate")
+
+    def labelled(c: Column, i: Column) -> Column:
+        before, after = _beside(i)
+        at = F.aggregate(F.slice("_c", 1, i), F.lit(0), lambda t, x: t + F.length(x)) + F.aggregate(F.slice("_g", 1, i + 1), F.lit(0), lambda t, x: t + F.length(x))
+        own = (at < end) & (at + F.length(c) > start)  # the line's key, not its name or its neighbours
+        return F.struct(before.alias("before"), c.alias("candidate"), after.alias("after"), F.when(own, F.col("r.label")).otherwise(0.0).alias("label"))
+
+    return lines.select(F.explode(F.transform("_c", labelled)).alias("f")).select("f.*")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> RandomForestClassificationModel:
@@ -139,13 +180,14 @@ def secret_scan(docs: DataFrame, model: RandomForestClassificationModel, text_co
     """
     docs = docs.drop("n_candidates", "secrets", "redacted")
     text = F.col(text_col).cast("string")
-    hit = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
-    found = F.when(hit, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    gaps = F.when(hit, F.split(text, CANDIDATE, -1))  # one more than there are candidates
-    df = docs.withColumns({"_c": found, "_g": gaps})
+    df = _split(docs, text)
     gap = lambda i: F.get(F.col("_g"), i)
-    tail = lambda s, n: F.substring(s, -n, n)
-    df = df.withColumn("_f", F.transform("_c", lambda c, i: F.array(*features(c, tail(gap(i), BEFORE), F.substring(gap(i + 1), 1, AFTER)))))
+
+    def described(c: Column, i: Column) -> Column:
+        before, after = _beside(i)
+        return F.array(*features(c, before, after))
+
+    df = df.withColumn("_f", F.transform("_c", described))
     df = df.withColumn("_s", F.transform("_f", lambda f: forest(model, f)))
     empty = F.expr("struct(0 as at, cast(array() as array<struct<start:int,length:int,text:string,score:double>>) as found, cast(array() as array<string>) as parts)")
 
@@ -164,7 +206,7 @@ def secret_scan(docs: DataFrame, model: RandomForestClassificationModel, text_co
     df = df.withColumn("_w", walked)
     return df.select(
         *docs.columns,
-        F.coalesce(F.when(hit, F.size("_c")), F.lit(0)).alias("n_candidates"),
+        F.coalesce(F.when(F.col("_c").isNotNull(), F.size("_c")), F.lit(0)).alias("n_candidates"),
         F.coalesce("_w.found", F.expr("cast(array() as array<struct<start:int,length:int,text:string,score:double>>)")).alias("secrets"),
         F.when(F.col("_w").isNull(), text).otherwise(F.concat(F.array_join("_w.parts", ""), F.element_at("_g", -1))).alias("redacted"),
     )

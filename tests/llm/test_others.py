@@ -157,6 +157,24 @@ def test_secret_scan(spark):
     assert scored.agg(F.avg(((F.col("s") >= 0.5).cast("double") == F.col("label")).cast("double"))).first()[0] > 0.97
 
 
+def test_secrets_written_as_name_and_value(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    r = random.Random(3)
+    keys = ["".join(r.choices("0123456789abcdef", k=k)) for k in (32, 40, 64)]
+    forms = ["a token={} and so on", "export SECRET_TOKEN={}\n", "password={}", "see https://example.com/a?token={}", "https://example.com/a?x=1&access_token={}&y=2", "--auth_token={} run", "x=token={} y", "SECRET_KEY={}", 'AWS_SECRET_ACCESS_KEY = "{}"', "my_db_password_and_secret={}="]
+    texts = [(f.format(k), k) for f in forms for k in keys]
+    harmless = ["commit={} fixed", "build_id={}", "sha256={}", "https://example.com/a.css?v={}"]
+    texts += [(f.format(k), None) for f in harmless for k in keys]
+    found = {x.text: x for x in secrets.secret_scan(spark.createDataFrame(texts, "text string, key string"), model).collect()}
+    for t, key in texts:
+        want = [key + "=" * t.endswith("=")] if key else []
+        assert [s.text for s in found[t].secrets] == want, t
+        assert found[t].redacted == (t.replace(want[0], "<SECRET>") if key else t)
+        assert all(t[s.start : s.start + s.length] == s.text for s in found[t].secrets)
+    kinds = secrets.labelled_findings(spark, 9000).where(F.col("before").rlike("(?i)(token|password|secret)=$"))
+    assert kinds.where("label = 1 and candidate rlike '^[0-9a-f]+$'").count() > 100
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
