@@ -79,12 +79,14 @@ def _stemmed(tokens: pa.Array) -> pa.Array:
 
 
 def spanish_lexemes(x: Column) -> Column:
-    """Words without stop words, stemmed, then without accents."""
+    """Words without accents, then without stop words, stemmed: the order of the reference's ``spanish_unaccent``.
+
+    As there, stop words that the list has only with an accent (``más``) stay.
+    """
     from pyspark.ml.feature import StopWordsRemover
 
     stop = F.array(*map(F.lit, StopWordsRemover.loadDefaultStopWords("spanish")))
-    words = F.filter(simple_lexemes(x), lambda t: ~F.array_contains(stop, t))
-    return F.transform(_stemmed(words), lambda t: F.translate(t, "áéíóúüñ", "aeiouun"))
+    return _stemmed(F.filter(simple_lexemes(_bare(F.lower(x))), lambda t: ~F.array_contains(stop, t)))
 
 
 def tokens_of_stream(x: Column) -> Column:

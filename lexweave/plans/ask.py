@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations as C
+from ..functions.text import spanish_lexemes
 from ..operators import search, verification
 from .index import Index
 
@@ -30,12 +31,15 @@ def ask(questions: DataFrame, chunks: DataFrame, k: int = search.FINAL) -> DataF
     return hits.join(docs.select("legal_ref", "content", "titulo"), "legal_ref").select("query_id", "rank", "legal_ref", "content", "titulo", "distance")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int = search.FINAL, subject: str | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, per_channel: int = search.PER_CHANNEL) -> DataFrame:
-    """query_id, rank, legal_ref, content, titulo by words and vectors. ``subject`` holds in the channel of words only."""
+def retrieve(questions: DataFrame, chunks: DataFrame, k: int = search.FINAL, subject: str | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, per_channel: int = search.PER_CHANNEL, tokens: Callable[[Column], Column] = spanish_lexemes) -> DataFrame:
+    """query_id, rank, legal_ref, content, titulo by words and vectors. ``subject`` holds in the channel of words only.
+
+    ``tokens`` are the words' forms that are compared, in questions and chunks.
+    """
     docs = chunks.withColumnRenamed("ref", "legal_ref")
     worded = docs.where(F.col("materia") == subject) if subject is not None else docs
     asked = checked(questions)
-    lexical = search.lexical_topk(asked, worded, per_channel)
+    lexical = search.lexical_topk(asked, worded, per_channel, tokens=tokens)
     vector = search.vector_topk(asked, docs, per_channel)
     found = search.hybrid_search(lexical, vector, k, rerank=rerank)
     return found.join(docs.select("legal_ref", "content", "titulo"), "legal_ref").select("query_id", "rank", "legal_ref", "content", "titulo")

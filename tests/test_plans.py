@@ -65,6 +65,18 @@ def test_ask(spark):
     assert tuple(row) == ("1", None, '{"a":2,"b":{"c":1}}')
 
 
+def test_retrieve_finds_inflected_words(spark):
+    from lexweave.functions.text import simple_lexemes
+    from lexweave.plans import ask
+
+    rows = [("N-1/2000#art1", "Los vehículos tienen luces.", "t", [0.0, 1.0], "a"), ("N-1/2000#art2", "La norma de la vía y de los peatones.", "t", [1.0, 0.0], "a"), ("N-1/2000#art3", "Se conducirá con cuidado.", "t", [0.0, -1.0], "a")]
+    chunks = spark.createDataFrame(rows, "ref string, content string, titulo string, embedding array<double>, materia string")
+    questions = spark.createDataFrame([("q1", "de la luz del vehiculo", None), ("q2", "¿Quien conducira?", None), ("q3", "de la y de los", None)], "query_id string, pregunta string, vector array<double>")
+    found = lambda **how: sorted((r.query_id, r.legal_ref[-1]) for r in ask.retrieve(questions, chunks, 3, **how).collect())
+    assert found() == [("q1", "1"), ("q2", "3")]  # stop words find nothing
+    assert found(tokens=simple_lexemes) == [("q1", "2"), ("q3", "1"), ("q3", "2")]
+
+
 def test_recordings_and_cache(spark):
     texts = spark.createDataFrame([("a",), ("b",)], "content string").withColumn("embedding", F.array(F.lit(1.0)))
     recording = models.record_embeddings(texts, "m")
