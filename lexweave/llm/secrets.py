@@ -1,7 +1,9 @@
 """Secret scans: a random forest removes the false positives among candidates.
 
 A candidate is a run of 16 or more characters of keys and encodings, without the
-``NAME=`` that it may begin with. Its features are its length, the changes between kinds of characters in it, how much of it a
+``NAME=`` that it may begin with, or right after a secret's name and an assignment
+or quote a run of 8 or more characters of any kind but white space (and quotes,
+where it isn't in other ones). Its features are its length, the changes between kinds of characters in it, how much of it a
 word list covers, signs of a path around it, and the words beside it. A random
 forest trained on labelled findings tells secrets from what only looks like them;
 its trees are turned into CASE expressions, so that the scan is one projection of
@@ -18,8 +20,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
-#: Names before a value in one run, as in ``token=...``: up to the first secret's name, or else all; what follows has 8 characters or more.
+RUN = r"[A-Za-z0-9_+/=\-]"
+#: Names before a value in one run, as in ``x=...``: up to the first secret's name, or else all; what follows has 8 characters or more.
 _NAME = r"[-_/]*+[A-Za-z]++(?:[0-9]{1,2}[A-Za-z]*+)?(?:[-_/]++[A-Za-z]++(?:[0-9]{1,2}[A-Za-z]*+)?){0,9}+[-_]*+="
 BEFORE, AFTER = 40, 16
 REDACTED = "<SECRET>"
@@ -39,9 +41,17 @@ DICTIONARY = (
 SECRET_WORDS = "tokens?|secrets?|passw(?:or[dt]|d)?|pwd|passphrase|credentials?|(?:api|access|private|secret).?keys?|auth|bearer"
 HARMLESS_WORDS = "sha.?1|sha.?256|md5|checksum|digest|commit|revision|uuid|guid|etag|integrity|build.?id|isbn|hash"
 
-FEATURES = ("length", "digits", "uppers", "switches", "case_switches", "hex_only", "dictionary", "longest_letters", "slashes", "path_beside", "secret_word", "harmless_word", "assigned", "quoted", "uuid_form")
+FEATURES = ("length", "digits", "uppers", "switches", "case_switches", "hex_only", "dictionary", "longest_letters", "slashes", "path_beside", "secret_word", "harmless_word", "assigned", "quoted", "uuid_form", "symbols", "letters_only")
 
-NAMES = rf"\A(?:(?:{_NAME}){{0,3}}?(?<=(?i:{SECRET_WORDS})[-_]{{0,2}}=)|(?:{_NAME}){{1,4}})(?=[^=]\S{{7}})"
+_SECRET_NAME = rf"(?i:{SECRET_WORDS})[-_]{{0,2}}"
+# Between a name and its value: the quote that ends the name, an assignment, the quote that begins the value.
+_ASSIGNED = r"[\"'`]?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?+|\s{0,3}[\"'`]"
+# A url is no value of its own, and a value ends before the next parameter, the next secret's name and closing punctuation.
+_ENDS = rf"&[\w.\-]{{1,40}}=|{_SECRET_NAME}[\"'`]?\s{{0,3}}[:=]|[.,;:)\]}}>]++(?:[\s\"'`]|\z)"
+_VALUE = r"(?![A-Za-z][A-Za-z0-9+.\-]{0,20}://)(?:" + "|".join(rf"{at}(?:(?!{_ENDS})[^\s{quotes}]){{8,}}+" for at, quotes in (('(?<=")', '"'), ("(?<=')", "'"), ("(?<=`)", "`"), ("(?<![\"'`])", "\"'`"))) + ")"
+_NAMED = rf"{RUN}*?{_SECRET_NAME}(?:{_ASSIGNED})"
+CANDIDATE = rf"(?<!{RUN}){_NAMED}{_VALUE}|{RUN}{{16,}}"
+NAMES = rf"\A(?:{_NAMED}(?={_VALUE})|(?:{_NAME}){{1,4}}(?=[^=]\S{{7}}))"
 
 
 def features(candidate: Column, before: Column, after: Column) -> list[Column]:
@@ -68,6 +78,8 @@ def features(candidate: Column, before: Column, after: Column) -> list[Column]:
         flag(before.rlike(r"[:=]\s*[\"']?\z")),
         flag(before.rlike(r"[\"'`]\z") & after.rlike(r"\A[\"'`]")),
         flag(lower.rlike(r"\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z")),
+        count(r"[^A-Za-z0-9_+/=\-]") / n,
+        flag(candidate.rlike(r"\A\p{L}+\z")),
     ]
 
 
@@ -94,8 +106,9 @@ def _beside(i: Column) -> tuple[Column, Column]:
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     """before, candidate, after, label: what the scanner finds in ``n`` made-up lines, one kind for each line by its number.
 
-    Secrets: random keys under a secret's name, assigned (``NAME=value`` in text
-    and urls included) or quoted, and keys with an issuer's form anywhere.
+    Secrets: random keys and passwords under a secret's name, assigned
+    (``NAME=value`` in text and urls included) or quoted, and keys with an
+    issuer's form anywhere.
     Harmless: digests under their names, UUIDs, paths, urls and their parameters,
     long words, numbers, identifiers, rulers of one character, and the names
     before secrets.
@@ -117,6 +130,13 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     asks, shows = at(["?token=", "?api_key=", "?x=1&access_token=", "?auth=", "?password="], 12), at(["?v=", "?id=", "?x=1&page=", "?ref=", "?etag="], 12)
     tight = F.concat(at(["the ", "un ", ". ", "\n", "--", "export "], 1), at(["token", "secret", "password", "auth_token", "API_KEY", "SECRET_TOKEN", "SECRET_KEY", "db-password"], 2), F.lit("="))
     plain = F.concat(at(["the ", "un ", ". ", "\n", "--", "export "], 1), at(["commit", "build_id", "sha256", "checksum", "etag", "revision", "md5"], 2), F.lit("="))
+    # Passwords of 8 to 23 characters, half of them with other characters inside; words, places and calls stand where they could.
+    mixed = F.substring(F.regexp_replace(F.base64(F.unhex(other)), "[+/=]", ""), F.lit(1), F.lit(8) + F.pmod(F.hash(i, F.lit(13)), F.lit(16)))
+    marked = F.concat(F.substring(mixed, 1, 4), at(list("!@#$%^&*?.,:;~|"), 14), F.substring(mixed, 5, 3), at(list("!@#$%^&*?") + [""], 15), F.substring(mixed, 8, 20))
+    spoken = at(["required", "forgotten?", "unbekannt!", "contraseña", "undefined", "optional,", "os.environ[x]", "getpass.getpass()", "request.headers.get", "config.value.name", "${PASSWORD}", "{{secret}}", "********", "xxxxxxxx", "........", "<password>", "process.env.TOKEN", "self.password"], 16)
+    lower = F.substring(syllables, F.lit(1), F.lit(8) + F.pmod(F.hash(i, F.lit(17)), F.lit(6)))
+    given = F.concat(at(["the ", "un ", ". ", "\n", "db_", "user "], 1), at(["token", "secret", "password", "api_key", "passwd", "pwd", "auth_token", "credential"], 2), at([" = \"", "=", ": ", " = '", "\": \"", "='", " \""], 3))
+    shut = F.when(F.substring(given, -1, 1).isin("\"", "'"), F.concat(F.substring(given, -1, 1), at([" and", ",", "\n"], 5))).otherwise(at([" of", "\n", ", the", ". "], 5))
     size = 20 + F.pmod(F.hash(i, F.lit(6)), F.lit(21))
     kinds = [
         (name, F.substring(digest, 1, 40), close, 1), (name, F.substring(digest, 1, 32), close, 1), (name, F.substring(base64, 1, 40), close, 1), (name, F.expr("substring(regexp_replace(base64(unhex(sha2(cast(id as string), 256))), '[+/=]', ''), 1, 24 + pmod(hash(id), 16))"), close, 1),
@@ -126,6 +146,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (prose, F.substring(F.regexp_replace(digest, "[a-f]", "7"), 1, 18), at([" ", "\n", "$$$"], 5), 0), (name, snake, close, 0), (name, word, close, 0), (prose, F.repeat(at(["-", "=", "_", "a", "x"], 8), size.cast("int")), F.lit("\n"), 0), (prose, F.concat_ws("-", snake, F.substring(other, 1, 3)), at([" ", "\n"], 5), 0), (prose, F.upper(syllables), at(["!!", " "], 5), 0),
         (F.concat(url, asks), F.substring(digest, 1, 40), at([" ", "\n", "&x=1 "], 5), 1), (F.concat(url, asks), F.substring(base64, 1, 32), at([" ", "\n", "&x=1 "], 5), 1), (F.concat(url, shows), F.substring(digest, 1, 32), at([" ", "\n", "&x=1 "], 5), 0),
         (tight, F.substring(digest, 1, 40), at([" of", "\n", ", the"], 5), 1), (tight, digest, at([" of", "\n", ", the"], 5), 1), (tight, base64, at([" of", "\n", ", the"], 5), 1), (plain, F.substring(digest, 1, 40), at([" of", "\n", ", the"], 5), 0), (plain, digest, at([" of", "\n", ", the"], 5), 0), (tight, snake, at([" of", "\n", ", the"], 5), 0),
+        (given, mixed, shut, 1), (given, marked, shut, 1), (given, marked, shut, 1), (F.concat(url, asks), marked, at([" ", "\n", "&x=1 "], 5), 1), (given, spoken, shut, 0), (given, lower, shut, 0), (given, F.substring(word, F.lit(1), F.lit(8) + F.pmod(F.hash(i, F.lit(17)), F.lit(9))), shut, 0),
     ]
     pick = F.pmod(i, F.lit(len(kinds)))
     row = F.element_at(F.array(*[F.struct(b.alias("before"), c.alias("candidate"), a.alias("after"), F.lit(float(y)).alias("label")) for b, c, a, y in kinds]), (pick + 1).cast("int"))

@@ -175,6 +175,23 @@ def test_secrets_written_as_name_and_value(spark):
     assert kinds.where("label = 1 and candidate rlike '^[0-9a-f]+$'").count() > 100
 
 
+def test_short_and_wide_secrets(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    keys = ["hT7kq2Wz9xLm", "kq2W!z9xLm7hT4vB8n$", "Xk29$fQ!w8", "aB3#xY7@"]
+    forms = ['password: "{}" and', "db_password={} ", "token = '{}'", "the secret: {}.", '{{"api_key": "{}", "x": 1}}', "https://x.example.com/a?password={}&next=1", 'password "{}"']
+    texts = [(f.format(k), k) for f in forms for k in keys]
+    for x in secrets.secret_scan(spark.createDataFrame(texts, "text string, key string"), model).collect():
+        assert x.redacted == x.text.replace(x.key, "<SECRET>")
+        assert all(x.text[s.start : s.start + s.length] == s.text for s in x.secrets)
+    harmless = ["the secret: everything", "password: required", 'a "token" is a word', "auth: https://example.com/docs/index", "tokens = something", "ein Token: irgendwas und", "commit: kq2W!z9xLm7hT", "hT7kq2Wz9xLm"]
+    assert [x.text for x in secrets.secret_scan(spark.createDataFrame([(t,) for t in harmless], "text string"), model).where("size(secrets) > 0").collect()] == []
+    hidden = "0123456789abcdef0123456789abcdef"
+    inside = ["auth: https://example.com/a?token=" + hidden, "secret = f(token=" + hidden + ")", "password='a'; token=" + hidden]
+    assert secrets.secret_scan(spark.createDataFrame([(t,) for t in inside], "text string"), model).where(F.col("redacted").contains(hidden)).count() == 0
+    long = "token=" + "aB3!" * 200_000  # whole, and without deep recursion
+    assert secrets.secret_scan(spark.createDataFrame([(long,)], "text string"), model).first().n_candidates == 1
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
