@@ -77,9 +77,9 @@ class BitSlicedIndex:
             k += 1
         return out
 
-    def kth(self, slices: list[np.ndarray], k: int) -> int:
-        """The k-th highest value, from the most significant slice downward."""
-        among, value, left = self.valid, 0, k
+    def kth(self, slices: list[np.ndarray], k: int, among: np.ndarray | None = None) -> int:
+        """The k-th highest value of all rows or those in ``among``, from the most significant slice downward."""
+        among, value, left = self.valid if among is None else among, 0, k
         for b in range(len(slices) - 1, -1, -1):
             ones = among & slices[b]
             count = int(np.bitwise_count(ones).sum())
@@ -111,10 +111,11 @@ class BitSlicedIndex:
         # How far a row's score can lie from (scale * step) times its coarse one, besides what is the same for all rows.
         error = scale * float(np.linalg.norm(weights)) * self.rest + float(np.linalg.norm(size - scale * weights)) * self.length
         slack = int(2 * error / (scale * self.step)) + 2
-        rows = self.at_least(slices, self.kth(slices, min(k + 1, self.n)) - slack)  # k + 1: its own row may be among them
+        other = self.ids != own
+        others = self._bitmap(other[None].astype(np.uint8), len(self.valid))[0]
+        rows = self.at_least(slices, self.kth(slices, min(k, int(other.sum())), others) - slack)
+        rows = rows[other[rows]]
         scores, ids = self.vectors[rows] @ query, self.ids[rows]
-        keep = ids != own
-        scores, ids = scores[keep], ids[keep]
         best = np.lexsort((ids, -scores))[:k]
         return ids[best], scores[best]
 

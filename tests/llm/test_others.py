@@ -142,6 +142,17 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.allclose(p.sum(axis=2), 1, atol=1e-3)
 
 
+def test_topk_of_a_repeated_query_id():
+    r = np.random.default_rng(4)
+    vectors = np.concatenate([np.tile([1000, 1000, 1000, 1000], (60, 1)), r.integers(-1000, 1000, (3000, 4))])
+    ids = np.concatenate([np.full(60, 7), np.arange(100, 3100)])
+    got, scores = BitSlicedIndex(ids, vectors).top(vectors[0], 7, 10)
+    want = sorted((-int(s), int(i)) for i, s in zip(ids, vectors @ vectors[0]) if i != 7)[:10]
+    assert list(zip((-scores).tolist(), got.tolist())) == want
+    only = BitSlicedIndex(np.full(30, 7), vectors[:30])
+    assert len(only.top(vectors[0], 7, 10)[0]) == 0
+
+
 def test_secret_scan(spark):
     model = secrets.train(secrets.labelled_findings(spark, 4000))
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
