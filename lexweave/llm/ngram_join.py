@@ -271,7 +271,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one document of each group: the one with the smallest id; its columns as they are.
 
     Rows repeated with the same id and text stay once; rows with a null id stay.
+    Where an id has several texts, each of them is a document, judged by itself;
+    of those in one group that of the smallest MD5 stays.
     """
-    gone = ngram_join(docs, id_col=id_col, text_col=text_col, **options).where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col, text_col])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    key = F.coalesce(F.md5(F.col(text_col).cast("string").cast("binary")), F.lit("null"))
+    named = docs.where(F.col(id_col).isNotNull())
+    units = named.select(F.col(id_col).cast("bigint").alias("_keep_id"), key.alias("_keep_key"))
+    if units.groupBy("_keep_id").agg((F.min("_keep_key") < F.max("_keep_key")).alias("several")).where("several").isEmpty():
+        gone = ngram_join(docs, id_col=id_col, text_col=text_col, **options).where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
+        left = named.join(gone, id_col, "left_anti")
+    else:
+        units = cut(cut(units.distinct()).withColumn("_keep_unit", F.monotonically_increasing_id()))  # numbers that stay as they are
+        texts = named.select(F.col(id_col).cast("bigint").alias("_keep_id"), key.alias("_keep_key"), F.col(text_col)).join(units, ["_keep_id", "_keep_key"]).select("_keep_unit", text_col)
+        found = ngram_join(cut(texts), id_col="_keep_unit", text_col=text_col, **options).select("_keep_unit", "class_id").distinct()
+        groups = cut(units.join(found, "_keep_unit"))
+        first = groups.groupBy("class_id").agg(F.min(F.struct("_keep_id", "_keep_key")).alias("first"))
+        gone = groups.join(first, "class_id").where(F.struct("_keep_id", "_keep_key") != F.col("first")).select("_keep_id", "_keep_key")
+        left = named.withColumns({"_keep_id": F.col(id_col).cast("bigint"), "_keep_key": key}).join(gone, ["_keep_id", "_keep_key"], "left_anti")
+    left = left.dropDuplicates([id_col, text_col])
+    return left.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

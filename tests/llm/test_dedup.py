@@ -146,3 +146,18 @@ def test_embedding_dedup(spark):
     expected = sorted(((i, links[k], None if i is None else f.find(i), i is None or f.find(i) == i) for k, (i, _) in enumerate(rows)), key=str)
     assert found == expected
     assert embedding_dedup(docs.limit(0)).count() == 0
+
+
+def test_keep_one_judges_each_text_of_an_id(spark):
+    from hashlib import md5
+
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(4)]
+    near = [t + " more" for t in texts]
+    low, high = sorted(texts[2:], key=lambda t: md5(t.encode()).hexdigest())
+    rows = [(1, texts[0]), (2, near[0]), (2, texts[1]), (3, near[1]), (5, low), (5, high), (6, low + " more"), (7, high + " more"), (9, "x " + low), (9, "x " + low + " y"), (8, None), (8, ""), (None, low)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id int, text string, n int")
+    left = keep_one(docs.unionByName(docs.where("doc_id = 5")))
+    assert left.columns == docs.columns
+    # Of 2 the near copy of 1 goes and the other text stays; 3, 6, 7 and both of 9 are near copies of what stays.
+    assert sorted((x.doc_id or 0, x.text or "") for x in left.collect()) == sorted([(1, texts[0]), (2, texts[1]), (5, low), (5, high), (8, ""), (8, ""), (0, low)])
