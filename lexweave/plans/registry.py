@@ -13,6 +13,9 @@ from ..operators import chunking, golden, metrics, sampling, search, stats, stru
 from ..streaming.guard import guard, windowed_counts
 from . import evaluate, index
 
+# Fixed value: the resamples of the reference's configuration (docs/GOALS.yaml).
+N_RESAMPLES = 10_000
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -692,13 +695,13 @@ def goal_predicate(spark, sf_dir):
 @query()
 def bootstrap_ci(spark, sf_dir):
     o = table(spark, sf_dir, "labels").select(F.lit("quality").alias("metric"), F.col("doc_id").alias("case_id"), F.col("toxic").cast("double").alias("base"), F.col("quality").cast("double").alias("head"))
-    return stats.bootstrap_ci(o, 2000, 7)
+    return stats.bootstrap_ci(o, N_RESAMPLES, 7)
 
 
 @query()
 def bootstrap_ci_hashed(spark, sf_dir):
     o = table(spark, sf_dir, "labels").select(F.lit("quality").alias("metric"), F.col("doc_id").alias("case_id"), F.col("toxic").cast("double").alias("base"), F.col("quality").cast("double").alias("head"))
-    return stats.bootstrap_ci_hashed(o, 200, 7)
+    return stats.bootstrap_ci_hashed(o, N_RESAMPLES, 7)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -77,6 +77,14 @@ def test_retrieve_finds_inflected_words(spark):
     assert found(tokens=simple_lexemes) == [("q1", "2"), ("q3", "1"), ("q3", "2")]
 
 
+def test_bootstrap_queries_take_the_references_resamples(spark, monkeypatch):
+    taken = []
+    for name in ("bootstrap_ci", "bootstrap_ci_hashed"):
+        monkeypatch.setattr(registry.stats, name, lambda scores, n, seed: taken.append(n))
+        registry.queries()[name](spark, str(DATA))
+    assert taken == [10_000, 10_000]
+
+
 def test_recordings_and_cache(spark):
     texts = spark.createDataFrame([("a",), ("b",)], "content string").withColumn("embedding", F.array(F.lit(1.0)))
     recording = models.record_embeddings(texts, "m")
