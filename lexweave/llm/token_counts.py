@@ -25,20 +25,22 @@ from .common import Cache, released, tokenizer_file
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def _ranges(initial: str) -> str:
-    """The characters whose general category starts with ``initial``, as a character-class body."""
+def _spans(initial: str) -> list[tuple[int, int]]:
+    """The first and last characters of the runs whose general category starts with ``initial``."""
     out, start = [], None
     for c in range(sys.maxunicode + 2):
         inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == initial
         if inside and start is None:
             start = c
         elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            out.append((start, c - 1))
             start = None
-    return "".join(out)
+    return out
 
 
-LETTERS, NUMBERS = _ranges("L"), _ranges("N")
+LETTER_SPANS, NUMBER_SPANS = _spans("L"), _spans("N")
+# The same as character-class bodies.
+LETTERS, NUMBERS = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) for spans in (LETTER_SPANS, NUMBER_SPANS))
 # Fixed value: the pre-split pattern of the public word-end vocabulary.
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{WHITE}{LETTERS}{NUMBERS}]+"
 

@@ -8,14 +8,14 @@ import random
 import numpy as np
 import pytest
 
-from lexweave.llm.bpe_automaton import Automaton, bpe_decode, bpe_encode, bpe_round_trip
+from lexweave.llm.bpe_automaton import Automaton, Table, bpe_decode, bpe_encode, bpe_round_trip
 from lexweave.llm.common import tokenizer_file
 from lexweave.llm.token_counts import MergeCounter, token_counts
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 
-PIECES = ["a", "aa", "aaa", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "<|startoftext|>", "<|", "Σ", "ΑΣ", "İ", "é", "é", "中", "1", "23", "'s", "'LL", "!!", "🎉", "ß", "ing", "\x00", "\x1c", " ", "----", "===", "\r\n", "zz", "ee", "\u2003", "\u3000", "\x85", "\u2028", "\u1680", "\u200b"]
+PIECES = ["a", "aa", "aaa", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "<|startoftext|>", "<|", "Σ", "ΑΣ", "İ", "é", "é", "中", "1", "23", "'s", "'LL", "!!", "🎉", "ß", "ing", "\x00", "\x1c", " ", "----", "===", "\r\n", "zz", "ee", "\u2003", "\u3000", "\x85", "\u2028", "\u1680", "\u200b", "'", "'re", "'v", "'ve", "l", "s"]
 
 
 def texts(n: int = 1500) -> list[str]:
@@ -45,6 +45,32 @@ def test_ids_and_text_equal_the_library():
         assert own.decode(own.encode(x)) == t.decode(ids, skip_special_tokens=False) == x
 
 
+def test_pieces_encoded_together_equal_the_library(monkeypatch):
+    from lexweave.llm import bpe_automaton
+
+    t, own = library("byte_bpe_50k.json"), Automaton(tokenizer_file("byte_bpe_50k.json"))
+    every = [*texts(3000), "x's's 's'sx 'll'l ''s don't\n's a  'sb 'r 'ree '", "\u3000x \t y \n", *("'" + x for x in PIECES)]
+    every.append(" ".join(every))
+    expected = [e.ids for e in t.encode_batch(every, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(every)] == expected
+    # Texts parted, the table of transitions filled up again and again, and every piece by itself.
+    monkeypatch.setattr(bpe_automaton, "TOGETHER", 500)
+    monkeypatch.setattr(bpe_automaton, "MAX_TABLE", 300)
+    fresh = Automaton(tokenizer_file("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in fresh.encode_all(every)] == expected
+    monkeypatch.setattr(bpe_automaton, "LONG_PIECE", 0)
+    assert [np.frombuffer(x, "<u4").tolist() for x in fresh.encode_all(every)] == expected
+
+
+def test_table_of_integers():
+    r = np.random.default_rng(8)
+    keys = np.unique(r.integers(0, 1 << 40, 5000))
+    table = Table(keys[::2], np.arange(len(keys[::2])))
+    assert (table.get(keys[::2]) == np.arange(len(keys[::2]))).all() and (table.get(keys[1::2]) == -1).all()
+    table.put(keys[1::2], np.arange(len(keys[1::2])) + 10**6)
+    assert (table.get(keys[1::2]) >= 10**6).all() and len(table.get(keys[:0])) == 0
+
+
 def test_queries_on_nulls_repeats_and_other_columns(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "the cat", "x"), (3, "the cat " * 2000, "x"), (3, "the cat " * 2000, "x")], "doc_id bigint, text string, n_tokens string")
     counted = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs).collect()}
