@@ -53,8 +53,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_classifier(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "lang", "bits_per_char", "perplexity", "threshold", "kept")
+    return quality_classifier(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), read_table(spark, sf_dir, "labels"), ["doc_id", "lang"])
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.llm import secrets
+from lexweave.llm import quality, secrets
 from lexweave.llm.mixing import mix_sources, period, plan
-from lexweave.llm.quality import quality_classifier, train_kneser_ney
+from lexweave.llm.quality import quality_classifier
 from lexweave.llm.topk_search import BitSlicedIndex, topk_search
 from lexweave.llm.url_filters import split_url, url_filter
 
@@ -136,10 +136,99 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert quality_classifier(docs.limit(0), labels).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    model = train_kneser_ney(spark.createDataFrame([("the cat sat on the mat " * 20,), ("a cat and a dog",)], "text string"))
-    p = np.exp2(-model.cost.astype(float)).reshape(64, 64, 64)
-    assert np.allclose(p.sum(axis=2), 1, atol=1e-3)
+def brute_kneser_ney(training):
+    """The cost of a text's characters in bits, by the definition of the interpolated modified model of four characters."""
+    from collections import Counter, defaultdict
+
+    def characters(t):
+        return ["0" if c.isdecimal() else c for c in quality.KEY.sub("\ue000", t)]
+
+    known = set(c for t in training for c in characters(t)) - {"\ue000"}
+    sign = lambda c: c if c in known else "other"
+    grams = lambda t: list(zip(*[(["start"] * 3 + [sign(c) for c in characters(t)])[k:] for k in range(4)]))
+    counts = {4: Counter(g for t in training for g in grams(t))}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    base = sum(counts[1].values()) + 0.5 * (len(known) + 1)
+    level = {}
+    for k in (2, 3, 4):
+        n = [sum(c == i for c in counts[k].values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        d = [0, 0.75, 1.5, 1.5]
+        for i in (1, 2, 3):
+            value = i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else 0
+            d[i] = value if 0 < value < i else d[i]
+        total, less = defaultdict(int), defaultdict(float)
+        for g, c in counts[k].items():
+            total[g[:-1]] += c
+            less[g[:-1]] += d[min(c, 3)]
+        level[k] = d, total, less
+
+    def p(g):
+        if len(g) == 1:
+            return (counts[1].get(g, 0) + 0.5) / base
+        d, total, less = level[len(g)]
+        if not total.get(g[:-1]):
+            return p(g[1:])
+        c = counts[len(g)].get(g, 0)
+        return (c - (d[min(c, 3)] if c else 0)) / total[g[:-1]] + less[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return lambda t: (sum(-np.log2(p(g)) for g in grams(t)) / len(grams(t)), len(grams(t))), p, known
+
+
+def test_kneser_ney_against_its_definition(spark):
+    r = random.Random(11)
+    training = [words(r, r.randint(1, 60)) for _ in range(60)] + ["日本語の文章です。" * 3, "日本の語", "tel 12 and 345 ٣", "key 24be64439e3e49cf46b2d7c90f3602a3 end", ""]
+    model = quality.train_kneser_ney(spark.createDataFrame([(t,) for t in [*training, None]], "text string"))
+    bits, p, known = brute_kneser_ney([t for t in training if t])
+    for context in [("start",) * 3, ("t", "a", "r"), ("語", "の", "文"), ("x", "y", "z"), ("z", "z", "日")]:
+        assert abs(sum(p((*context, c)) for c in [*known, "other"]) - 1) < 1e-9
+    texts = [*training, "zzz ÿ 日本語 99", "a", "ta " * 5000, "token = 24be64439e3e49cf46b2d7c90f3602a3"] + [words(r, 40) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "ta ri", "x"), (None, "ta ri", "y"), (1000, None, "z")], "doc_id bigint, text string, block string")
+    found = quality.with_bits(docs, model, block_characters=3000).collect()
+    assert len(found) == len(texts) + 3
+    for x in found:
+        if x.text:
+            want, n = bits(x.text)
+            assert abs(x.bits_per_char - want) < 1e-9 and x["_chars"] == n, x.text[:50]
+        else:
+            assert x.bits_per_char is None
+    assert quality.with_bits(docs.limit(0), model).count() == 0
+    assert quality.train_kneser_ney(docs.limit(0)) is None
+
+
+def test_thresholds_by_language_and_length(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["en", "en", "fr", "xx", None]), round(r.gauss(3, 0.5), 3), 2 ** r.choice([3, 3, 5, 9]) + r.randint(0, 7)) for _ in range(700)]
+    rows = [x for x in rows if x[0] != "xx"] + [x for x in rows if x[0] == "xx"][:20]
+    found = {(x.lang, x.size): x.threshold for x in quality.thresholds(spark.createDataFrame(rows, "lang string, bits double, chars bigint"), 0.9).collect()}
+    for lang in ("en", "fr", "xx", None):
+        own = [(b, int(np.log2(n))) for la, b, n in rows if lang in (la, None)]
+        for size in range(32):
+            if len(own) < 50:
+                assert (lang, size) not in found
+                continue
+            off = next(o for o in range(quality.NEXT, 32) if sum(abs(s - size) <= o for _, s in own) >= 50)
+            near = sorted(b for b, s in own if abs(s - size) <= off)
+            assert found[lang, size] == next(b for k, b in enumerate(near, 1) if k >= 0.9 * len(near)), (lang, size)
+
+
+def test_quality_by_length(spark):
+    """Clean texts stay at every length, those with a key among them; junk goes."""
+    r = random.Random(16)
+    key = lambda: "".join(r.choices("0123456789abcdef", k=40))
+    trusted = [(i, words(r, r.choice([5, 20, 80, 300])), "en") for i in range(600)]
+    sizes = [120, 400, 1500, 6000]
+    clean = [(1000 + i, words(r, sizes[i % 4]), "en") for i in range(40)]
+    keyed = [(2000 + i, words(r, sizes[i % 4]) + f' token = "{key()}" ' + words(r, sizes[i % 4]), "en") for i in range(40)]
+    junk = [(3000 + i, " | ".join(words(r, 1).upper() for _ in range(sizes[i % 4])), r.choice(["en", None, "xx"])) for i in range(40)]
+    junk += [(4000 + i, "".join(chr(r.randint(33, 120)) for _ in range(60)), "en") for i in range(10)]
+    docs = spark.createDataFrame([*trusted, *clean, *keyed, *junk], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id bigint, quality int, toxic int")
+    kept = {x.doc_id for x in quality.quality_classifier(docs, labels, ["doc_id", "lang"]).where("kept").collect()}
+    assert sum(i < 600 for i in kept) >= 594
+    assert sum(1000 <= i < 2000 for i in kept) >= 39 and sum(2000 <= i < 3000 for i in kept) >= 35
+    assert not [i for i in kept if i >= 3000]
 
 
 def test_topk_of_a_repeated_query_id():
