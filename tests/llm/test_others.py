@@ -141,7 +141,7 @@ def brute_kneser_ney(training):
     from collections import Counter, defaultdict
 
     def characters(t):
-        return ["0" if c.isdecimal() else c for c in quality.KEY.sub("\ue000", t)]
+        return ["0" if c.isdecimal() else c for c in quality.masked(t)]
 
     known = set(c for t in training for c in characters(t)) - {"\ue000"}
     sign = lambda c: c if c in known else "other"
@@ -176,6 +176,14 @@ def brute_kneser_ney(training):
     return lambda t: (sum(-np.log2(p(g)) for g in grams(t)) / len(grams(t)), len(grams(t))), p, known
 
 
+def test_keys_are_masked():
+    m = quality.KEY_MARK
+    key = "24be64439e3e49cf46b2d7c90f3602a3"
+    assert quality.masked(f'my token = "{key}" and so') == f"my token{m} and so"
+    assert quality.masked(f"{key} {key}: '{key}'") == f"{m} {m}{m}"
+    assert quality.masked("abcdefghijklmnopqrstuvwxyz 12345678901234567890 x=1") == "abcdefghijklmnopqrstuvwxyz 12345678901234567890 x=1"
+
+
 def test_kneser_ney_against_its_definition(spark):
     r = random.Random(11)
     training = [words(r, r.randint(1, 60)) for _ in range(60)] + ["日本語の文章です。" * 3, "日本の語", "tel 12 and 345 ٣", "key 24be64439e3e49cf46b2d7c90f3602a3 end", ""]
