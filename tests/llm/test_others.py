@@ -72,6 +72,27 @@ def test_plan_has_no_gaps():
     assert sum(t for _, _, _, t, *_ in phases) == 15
 
 
+def test_long_plans_and_many_buckets(spark, monkeypatch):
+    """Weights with a long period: the plan is written in pieces, and the result is the same."""
+    from lexweave.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKETS_PER_GROUP", 3)
+    r = random.Random(2)
+    rows = [(i, r.choices("abcz", [8, 4, 2, 1])[0]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string")
+    weights = {"a": 1_000_003, "b": 400_009, "c": 77}
+    got = [sorted((x.doc_id, x.block, x.slot, x.position) for x in mix_sources(docs, weights, block_rows=4, rows_per_bucket=10, most=n).collect()) for n in (50, 100_000)]
+    assert got[0] == got[1] and sorted(x[3] for x in got[0]) == list(range(900))
+    kind = lambda s: f"s{s}" if s in weights else "o"
+    order = brute_mix({kind(s): sum(y == s for _, y in rows) for s in "abcz"}, {f"s{s}": w for s, w in weights.items()} | {"o": 1}, 4)
+    source = dict(rows)
+    assert {s: kind(source[i]) for i, _, s, _ in got[0]} == dict(enumerate(order))
+    # Rows of a source are in its order: positions rise with the block, and each block has its rows.
+    for s in "abcz":
+        own = sorted((p, b) for i, b, _, p in got[0] if source[i] == s)
+        assert [b for _, b in own] == [k // 4 for k in range(len(own))]
+
+
 def test_bit_sliced_index_is_exact():
     r = np.random.default_rng(2)
     for n, d, low, high in ((1, 3, -5, 5), (70, 8, -1024, 1024), (1000, 16, -3, 3), (500, 4, 0, 1)):
@@ -115,6 +136,11 @@ def test_url_filter_both_ways(spark):
         assert verdict == (max(f[3] for f in fits if f[:3] == best) if best else "allow")
     assert {x.host for x in split_url(spark.createDataFrame([(None,), ("no",)], "url string")).collect()} == {""}
     assert url_filter(pages, table.limit(0)).where("verdict <> 'allow'").count() == 0
+    # Long hosts and hosts with many labels, in memory that is linear in them.
+    deep = ".".join(["a"] * 200_000) + ".example.com"
+    long = spark.createDataFrame([(1, f"http://{deep}/en/7"), (2, f"http://{'a' * 500_000}.net/de/" + "x" * 500_000), (3, "http://" + "." * 100_000 + "/de/8")], "page_id int, url string")
+    for limit in (0, 100):
+        assert {x.page_id: x.rule for x in url_filter(long, table, max_broadcast_rules=limit).collect()} == {1: "example.com/en/7", 2: "net/de/", 3: None}
 
 
 def words(r, n):
