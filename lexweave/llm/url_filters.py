@@ -4,7 +4,8 @@ A rule (host, path) fits its host and all subdomains where the url's path starts
 with the rule's. A host's labels are reversed and each label is closed by a
 separator, so that ``com.example.`` and everything below it is one interval of
 sorted keys; within a host the path prefix is again an interval. Each url gives
-one key for each of its host suffixes, (reversed suffix, path). Keys and rule
+one key, (reversed suffix, path), for each of its host suffixes that is a rule's
+host; suffixes with more labels than any rule are not formed. Keys and rule
 intervals are sorted together and swept once; a stack holds the rules that are
 open at the sweep line, nested ones on top, so the top is the longest that fits.
 """
@@ -34,17 +35,17 @@ def split_url(df: DataFrame, url_col: str = "url") -> DataFrame:
     return df.withColumns({"host": host, "path": path})
 
 
-def suffix_keys(host: str) -> list[str]:
-    """The reversed key of each suffix of ``host`` that starts at a label, shortest first."""
-    key, out = "", []
-    for label in reversed(host.split(".")):
-        key += label + SEPARATOR
-        out.append(key)
-    return out
+def rule_key(host: str) -> str:
+    """The labels of ``host`` from the last to the first, each closed by a separator."""
+    return SEPARATOR.join(reversed(host.split("."))) + SEPARATOR
 
 
-def rule_key(host: str) -> str:
-    return suffix_keys(host)[-1]
+def suffix_keys(host: str, labels: Sequence[int]) -> Iterator[str]:
+    """The keys of the suffixes of ``host`` that have one of these numbers of labels (sorted)."""
+    last = host.rsplit(".", labels[-1])[-labels[-1] :] if labels else []
+    for n in labels:
+        if n <= len(last):
+            yield SEPARATOR.join(reversed(last[-n:])) + SEPARATOR
 
 
 def sweep(keys: list[tuple[str, str, int]], rules: list[tuple[str, str, int]]) -> Iterator[tuple[int, int]]:
@@ -74,7 +75,8 @@ def longest(urls: Sequence[tuple[str, str]], rules: Sequence[tuple[str, str]]) -
     """
     known = sorted((rule_key(h), p, i) for i, (h, p) in enumerate(rules))
     hosts = {k for k, _, _ in known}
-    keys = sorted((k, path, row) for row, (host, path) in enumerate(urls) for k in suffix_keys(host) if k in hosts)
+    labels = sorted({h.count(".") + 1 for h, _ in rules})  # suffixes of other numbers of labels have no rule
+    keys = sorted((k, path, row) for row, (host, path) in enumerate(urls) for k in suffix_keys(host, labels) if k in hosts)
     best = [-1] * len(urls)
     depth = [(-1, -1)] * len(urls)
     for row, rule in sweep(keys, known):
@@ -114,17 +116,18 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 def _dealt(given: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """Many rules: distinct (host, path) are dealt out by host suffix, hot suffixes over ``SALTS`` groups, and swept there."""
     deal = F.hash("suffix") % 256
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.concat_ws(".", F.slice(F.split("host", r"\."), -i, i)))
+    most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0  # labels that a rule has
+    suffixes = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
     urls = given.select("host", "path").distinct()
-    probes = urls.select("host", "path", F.explode(suffixes).alias("suffix")).join(rules.select(F.col("host").alias("suffix")).distinct(), "suffix", "left_semi")
+    probes = urls.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("suffix")).join(rules.select(F.col("host").alias("suffix")).distinct(), "suffix", "left_semi")
     probes = probes.select("suffix", "host", "path", deal.alias("deal"), (F.hash("host", "path") % SALTS).alias("salt"))
     dealt = rules.select(F.col("host").alias("suffix"), "path", "verdict").withColumn("deal", deal)
     dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(1 - SALTS), F.lit(SALTS - 1))))
 
     def run(keys: pa.Table, rules: pa.Table) -> pa.Table:
         rows, own = keys.to_pylist(), rules.to_pylist()
-        known = sorted((r["suffix"], r["path"], i) for i, r in enumerate(own))
-        found = list(sweep(sorted((r["suffix"], r["path"], i) for i, r in enumerate(rows)), known))
+        known = sorted((rule_key(r["suffix"]), r["path"], i) for i, r in enumerate(own))
+        found = list(sweep(sorted((rule_key(r["suffix"]), r["path"], i) for i, r in enumerate(rows)), known))
         hits = [{"host": rows[r]["host"], "path": rows[r]["path"], "rule": own[k]["suffix"] + own[k]["path"], "size": len(own[k]["suffix"]), "verdict": own[k]["verdict"]} for r, k in found]
         return pa.Table.from_pylist(hits, schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("size", pa.int32()), ("verdict", pa.string())]))
 
