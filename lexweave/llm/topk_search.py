@@ -7,10 +7,13 @@ additions, which give the slices of every row's coarse score at once. The k-th
 highest coarse score is found from the most significant slice downward. What
 coarsening can hide is bounded, so rows whose coarse score lies within that bound
 of the k-th are kept beside it, and these boundary rows are scored exactly.
+Vectors with attributes so large that a score could leave 64 bits stand beside the
+index and are scored in integers of any size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import released
+
 BLOCK_ROWS = 8192
-BLOCK_QUERIES = 64
+#: Queries of a part, at least, and visits that there should be, so that few index blocks don't keep most tasks idle.
+BLOCK_QUERIES, VISITS = 64, 256
 BITS = 5
 QUERY_BITS = 4
 
@@ -120,61 +126,116 @@ class BitSlicedIndex:
         return ids[best], scores[best]
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, factor: int = 1024) -> DataFrame:
-    """id and the integer attributes floor(factor * x), x as double; rows with a null id or with null or non-finite components are left out."""
-    x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * factor).cast("int"))
-    fit = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
-    return vectors.where(F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
+def attributes(x: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
+    """floor(factor * x) of the rows of doubles, and which rows have none too large for 64-bit scores with each other."""
+    with np.errstate(over="ignore"):
+        q = np.floor(x * factor)
+    bound = 2.0 ** ((62 - max(1, x.shape[1]).bit_length()) // 2)
+    return q, (np.abs(q) < bound).all(axis=1)
+
+
+def whole(x: np.ndarray, factor: int) -> np.ndarray:
+    """floor(factor * x) as Python's integers."""
+    return np.array([math.floor(v * factor) if math.isfinite(v * factor) else int(v) * factor for v in x.tolist()], dtype=object)
+
+
+class _Block:
+    """The rows of one block and width: an index, and the rows that don't fit it."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, factor: int) -> None:
+        self.factor = factor
+        q, narrow = attributes(x, factor)
+        self.index = BitSlicedIndex(ids[narrow], q[narrow].astype(np.int64))
+        self.wide = [(int(i), whole(v, factor)) for i, v in zip(ids[~narrow], x[~narrow])]
+
+    def top(self, x: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """(id, score) of the k highest rows whose id is not ``own``, ties to smaller ids."""
+        q, narrow = attributes(x[None], self.factor)
+        if narrow[0]:
+            ids, scores = self.index.top(q[0], own, k)
+            found = list(zip(ids.tolist(), scores.tolist()))
+        else:
+            q = whole(x, self.factor)
+            found = [(i, int(s)) for i, s in zip(self.index.ids.tolist(), self.index.vectors.astype(object) @ q if self.index.n else []) if i != own]
+        if self.wide:
+            q = whole(x, self.factor)
+            found += [(i, int(v @ q)) for i, v in self.wide if i != own]
+        return sorted(found, key=lambda f: (-f[1], f[0]))[:k] if self.wide or not narrow[0] else found
+
+
+def ordered(score: int) -> bytes:
+    """Bytes that sort as the integers do."""
+    size = (score.bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\x01" + raw if score >= 0 else b"\x00" + bytes(255 - b for b in raw)
+
+
+def _visits(batches: Iterator[pa.RecordBatch], k: int, factor: int) -> Iterator[pa.RecordBatch]:
+    """(block, part, kind, id, x), sorted: a block's rows (kind 0) before the queries that visit it (kind 1); to (query_id, vec_id, score, sort key)."""
+    at, held, blocks = None, [], None
+    for b in batches:
+        keys = np.stack([b.column(c).to_numpy() for c in range(3)])
+        edges = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), keys.shape[1]]
+        out: list[list] = [[], [], [], []]
+        for s, e in zip(edges[:-1], edges[1:]):
+            if s == e:
+                continue
+            if at != (place := tuple(keys[:2, s])):
+                at, held, blocks = place, [], None
+            part = b.slice(s, e - s)
+            ids, vectors = part.column(3).to_numpy(), _lists(part.column(4))
+            if keys[2, s] == 0:
+                held.append((ids, vectors))
+                continue
+            if blocks is None:
+                every, rows = np.concatenate([i for i, _ in held] or [ids[:0]]), [v for _, x in held for v in x]
+                widths = np.array([len(v) for v in rows], dtype=np.int64)
+                blocks = {int(w): _Block(every[widths == w], np.stack([v for v in rows if len(v) == w]), factor) for w in np.unique(widths) if w}
+                held = []
+            for own, x in zip(ids.tolist(), vectors):
+                for i, score in blocks[len(x)].top(x, own, k) if len(x) in blocks else []:
+                    out[0].append(own)
+                    out[1].append(i)
+                    out[2].append(max(-(2**63), min(2**63 - 1, score)))
+                    out[3].append(ordered(score))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], names=["query_id", "vec_id", "score", "key"])
 
 
 def topk_search(vectors: DataFrame, k: int = 10, query_every: int = 100, factor: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """For each row whose id is divisible by ``query_every``: query_id, rank, vec_id, score of its k highest others.
 
-    The score is the integer inner product of floor(factor * x); ties go to the
-    smaller id; a query with fewer than k others gets all. Rows of different
-    widths are not compared. Rows with a null id or a null vector, or with null
-    or non-finite components, take no part. An id that comes twice counts as two
-    candidates and one query. Other columns are not read.
-
-    Rows are dealt into index blocks of about ``block_rows`` by the hash of their
-    id, queries into blocks of ``block_queries``; each query block visits each
-    index block, and only k rows of each visit are shuffled on. Nothing is
+    The score is the integer inner product of floor(factor * x), x as double; ties
+    go to the smaller id; a query with fewer than k others gets all. Rows of
+    different widths are not compared. Rows with a null id or a null vector, or
+    with null or non-finite components, take no part. Scores beyond 64 bits rank
+    exactly and are given as the nearest 64-bit integer. An id that comes twice
+    counts as two candidates and one query (with the smaller vector). Other
+    columns are not read.
+
+    Rows are dealt into index blocks of about ``block_rows``; each query visits
+    each index block, and only k rows of each visit are shuffled on. A block's
+    queries are streamed past it, in parts where there are few blocks. Nothing is
     broadcast or collected.
     """
-    rows = quantised(vectors, id_col, vector_col, factor)
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats stay floats on the way: that is exact, and half the size
+    fine = F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("x")).where(F.coalesce(fine, F.lit(False)))
     n = rows.count()
     index_blocks = max(1, -(-n // block_rows))
     query_blocks = max(1, -(-n // (query_every * block_queries)))
-    blocks = rows.select(F.pmod(F.xxhash64("id"), F.lit(index_blocks)).alias("block"), F.lit(0).alias("kind"), "id", "x")
-    asked = rows.where(F.pmod("id", F.lit(query_every)) == 0).groupBy("id").agg(F.first("x").alias("x"))
-    asked = asked.select(F.explode(F.expr(f"sequence(0L, {index_blocks - 1}L)")).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).alias("part"), "id", "x")
-    # A block's rows go to each of the parts its queries are dealt into, so that many queries don't wait for one task.
-    parts = max(1, min(query_blocks, 64))
-    asked = asked.withColumn("part", F.col("part") % parts)
-    left = blocks.withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
-
-    def visit(found: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if len(found) and len(queries):
-            groups: dict[int, list[tuple[int, np.ndarray]]] = {}
-            for i, x in zip(found["id"].to_pylist(), _lists(found["x"])):
-                groups.setdefault(len(x), []).append((i, x))
-            index = {w: BitSlicedIndex(np.array([i for i, _ in g], dtype=np.int64), np.stack([x for _, x in g])) for w, g in groups.items() if w}
-            for q, x in zip(queries["id"].to_pylist(), _lists(queries["x"])):
-                if len(x) in index:
-                    ids, scores = index[len(x)].top(x, q, k)
-                    out[0] += [q] * len(ids)
-                    out[1] += ids.tolist()
-                    out[2] += scores.tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
-
-    hits = left.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(visit, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    parts = min(query_blocks, max(1, -(-VISITS // index_blocks)))
+    every = lambda m: F.explode(F.expr(f"sequence(0L, {m - 1}L)"))
+    blocks = rows.select(F.pmod(F.xxhash64("id", "x"), F.lit(index_blocks)).alias("block"), every(parts).alias("part"), F.lit(0).alias("kind"), "id", "x")
+    asked = rows.where(F.pmod("id", F.lit(query_every)) == 0).groupBy("id").agg(F.min("x").alias("x"))
+    asked = asked.select(every(index_blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).alias("part"), F.lit(1).alias("kind"), "id", "x")
+    meets = blocks.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    hits = meets.mapInArrow(released(lambda b: _visits(b, k, factor)), "query_id bigint, vec_id bigint, score bigint, key binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    column = column.combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False)
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
     return np.split(values, ends[:-1]) if len(column) else []

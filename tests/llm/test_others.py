@@ -120,6 +120,26 @@ def test_topk_search(spark):
     assert topk_search(docs.limit(0)).count() == 0
 
 
+def test_topk_search_of_any_finite_vector(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in r.normal(size=3)]) for i in range(0, 210)]
+    rows += [(1000 + 50 * i, [float(v) for v in r.normal(size=3) * 10.0 ** r.choice([3, 6, 9, 20, 300])]) for i in range(30)]
+    rows += [(5000, [1.7e308, -1.7e308, 1.0]), (5001, [1.7e308, 1.7e308, 0.0]), (0, rows[0][1]), (100, [9.0, 9.0, 9.0])]
+    docs = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id bigint, embedding array<double>, x string, score int")
+    found = [(x.query_id, x.rank, x.vec_id, x.score) for x in topk_search(docs, block_rows=60, block_queries=1).collect()]
+    exact = [(i, [int(np.floor(v * 1024)) if np.isfinite(v * 1024) else int(v) * 1024 for v in x]) for i, x in rows]
+    queries = {}
+    for i, x in rows:
+        if i % 100 == 0:
+            queries[i] = min(queries.get(i, x), x)
+    expected = []
+    for q, x in queries.items():
+        x = next(e for (i, e), (j, y) in zip(exact, rows) if j == q and y == x)
+        every = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in exact if i != q)[:10]
+        expected += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(every)]
+    assert sorted(found) == sorted(expected)
+
+
 URLS = ["http://a.example.com/en/7x?q", "https://EXAMPLE.com/en/8#x", "http://com/en/", "http://xcom/en/7", "nothing", None, "http://b.net/de/1", "http://b.example.net/de/8", "http://c.org/es", "http://c.org/es/", "ftp://", "http://d.com?x=/en/", "http://d.com/en/7://"]
 
 
