@@ -3,7 +3,8 @@
 A candidate is a run of 16 or more characters of keys and encodings, without the
 ``NAME=`` that it may begin with, or right after a secret's name and an assignment
 or quote a run of 8 or more characters of any kind but white space (and quotes,
-where it isn't in other ones). Its features are its length, the changes between kinds of characters in it, how much of it a
+where it isn't in other ones), or a web token with its dots, or the password in a
+url of 8 characters or more. Its features are its length, the changes between kinds of characters in it, how much of it a
 word list covers, signs of a path around it, and the words beside it. A random
 forest trained on labelled findings tells secrets from what only looks like them;
 its trees are turned into CASE expressions, so that the scan is one projection of
@@ -25,7 +26,7 @@ RUN = r"[A-Za-z0-9_+/=\-]"
 _NAME = r"[-_/]*+[A-Za-z]++(?:[0-9]{1,2}[A-Za-z]*+)?(?:[-_/]++[A-Za-z]++(?:[0-9]{1,2}[A-Za-z]*+)?){0,9}+[-_]*+="
 BEFORE, AFTER = 40, 16
 REDACTED = "<SECRET>"
-TREES, DEPTH = 15, 5
+TREES, DEPTH = 15, 7
 
 # Words that are common inside identifiers, file names and prose.
 DICTIONARY = (
@@ -41,7 +42,7 @@ DICTIONARY = (
 SECRET_WORDS = "tokens?|secrets?|passw(?:or[dt]|d)?|pwd|passphrase|credentials?|(?:api|access|private|secret).?keys?|auth|bearer"
 HARMLESS_WORDS = "sha.?1|sha.?256|md5|checksum|digest|commit|revision|uuid|guid|etag|integrity|build.?id|isbn|hash"
 
-FEATURES = ("length", "digits", "uppers", "switches", "case_switches", "hex_only", "dictionary", "longest_letters", "slashes", "path_beside", "secret_word", "harmless_word", "assigned", "quoted", "uuid_form", "symbols", "letters_only")
+FEATURES = ("length", "digits", "uppers", "switches", "case_switches", "hex_only", "dictionary", "longest_letters", "slashes", "path_beside", "secret_word", "harmless_word", "assigned", "quoted", "uuid_form", "symbols", "letters_only", "issued", "words")
 
 _SECRET_NAME = rf"(?i:{SECRET_WORDS})[-_]{{0,2}}"
 # Between a name and its value: the quote that ends the name, an assignment, the quote that begins the value.
@@ -50,8 +51,12 @@ _ASSIGNED = r"[\"'`]?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?+|\s{0,3}[\"'`]"
 _ENDS = rf"&[\w.\-]{{1,40}}=|{_SECRET_NAME}[\"'`]?\s{{0,3}}[:=]|[.,;:)\]}}>]++(?:[\s\"'`]|\z)"
 _VALUE = r"(?![A-Za-z][A-Za-z0-9+.\-]{0,20}://)(?:" + "|".join(rf"{at}(?:(?!{_ENDS})[^\s{quotes}]){{8,}}+" for at, quotes in (('(?<=")', '"'), ("(?<=')", "'"), ("(?<=`)", "`"), ("(?<![\"'`])", "\"'`"))) + ")"
 _NAMED = rf"{RUN}*?{_SECRET_NAME}(?:{_ASSIGNED})"
-CANDIDATE = rf"(?<!{RUN}){_NAMED}{_VALUE}|{RUN}{{16,}}"
-NAMES = rf"\A(?:{_NAMED}(?={_VALUE})|(?:{_NAME}){{1,4}}(?=[^=]\S{{7}}))"
+_WEB_TOKEN = r"eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{8,}+){1,4}+"
+_IN_URL = r"(?<=://[^\s/:@]{0,64}:)[^\s/:@]{8,}+(?=@)"
+CANDIDATE = rf"(?<!{RUN}){_NAMED}{_VALUE}|{_WEB_TOKEN}|{_IN_URL}|{RUN}{{16,}}"
+NAMES = rf"\A(?:{_NAMED}(?={_VALUE})|(?:{_NAME}){{1,4}}(?=[^=]\S{{7}})|//++(?=[A-Za-z0-9]))"
+# How issuers begin their keys.
+ISSUED = r"\A(?:gh[opsu]_|github_pat_|glpat-|sk[-_]|pk_live_|xox[abpr]-|AKIA|ASIA|AIza|eyJ)"
 
 
 def features(candidate: Column, before: Column, after: Column) -> list[Column]:
@@ -80,6 +85,8 @@ def features(candidate: Column, before: Column, after: Column) -> list[Column]:
         flag(lower.rlike(r"\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z")),
         count(r"[^A-Za-z0-9_+/=\-]") / n,
         flag(candidate.rlike(r"\A\p{L}+\z")),
+        flag(candidate.rlike(ISSUED)),
+        (n - F.length(F.regexp_replace(candidate, "[A-Z]?[a-z]{2,}", ""))) / n,
     ]
 
 
@@ -103,13 +110,13 @@ def _beside(i: Column) -> tuple[Column, Column]:
     return tail(before), head(F.concat(head(part("_g", i + 1)), head(part("_c", i + 1))))
 
 
-def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 9000) -> DataFrame:
     """before, candidate, after, label: what the scanner finds in ``n`` made-up lines, one kind for each line by its number.
 
     Secrets: random keys and passwords under a secret's name, assigned
-    (``NAME=value`` in text and urls included) or quoted, and keys with an
-    issuer's form anywhere.
-    Harmless: digests under their names, UUIDs, paths, urls and their parameters,
+    (``NAME=value`` in text and urls included) or quoted, passwords in urls, and
+    keys with an issuer's form anywhere.
+    Harmless: digests under their names, names of classes, UUIDs, paths, urls and their parameters,
     long words, numbers, identifiers, rulers of one character, and the names
     before secrets.
     """
@@ -137,6 +144,12 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     lower = F.substring(syllables, F.lit(1), F.lit(8) + F.pmod(F.hash(i, F.lit(17)), F.lit(6)))
     given = F.concat(at(["the ", "un ", ". ", "\n", "db_", "user "], 1), at(["token", "secret", "password", "api_key", "passwd", "pwd", "auth_token", "credential"], 2), at([" = \"", "=", ": ", " = '", "\": \"", "='", " \""], 3))
     shut = F.when(F.substring(given, -1, 1).isin("\"", "'"), F.concat(F.substring(given, -1, 1), at([" and", ",", "\n"], 5))).otherwise(at([" of", "\n", ", the", ". "], 5))
+    camel = F.concat(*[F.initcap(F.element_at(F.array(*map(F.lit, DICTIONARY)), F.pmod(F.hash(i, F.lit(k + 20)), F.lit(len(DICTIONARY))) + 1)) for k in range(4)])
+    strange = F.concat(*[F.initcap(F.substring(syllables, F.lit(1 + 5 * k), F.lit(3) + F.pmod(F.hash(i, F.lit(k + 30)), F.lit(3)))) for k in range(4)])
+    amazon = F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(base64, "[+/]", ""), 1, 16)))
+    coded = lambda x: F.substring(F.regexp_replace(F.regexp_replace(F.base64(F.unhex(x)), r"\+", "-"), "/", "_"), 1, 24)
+    web = F.concat(F.lit("eyJ"), coded(digest), F.lit(".eyJ"), coded(other), F.lit("."), F.regexp_replace(F.regexp_replace(base64, r"\+", "-"), "/", "_"))
+    summed = F.concat(at(["sha512-", "sha256-", "sha384-", ""], 18), base64, at(["==", "=", ""], 19))
     size = 20 + F.pmod(F.hash(i, F.lit(6)), F.lit(21))
     kinds = [
         (name, F.substring(digest, 1, 40), close, 1), (name, F.substring(digest, 1, 32), close, 1), (name, F.substring(base64, 1, 40), close, 1), (name, F.expr("substring(regexp_replace(base64(unhex(sha2(cast(id as string), 256))), '[+/=]', ''), 1, 24 + pmod(hash(id), 16))"), close, 1),
@@ -147,6 +160,11 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(url, asks), F.substring(digest, 1, 40), at([" ", "\n", "&x=1 "], 5), 1), (F.concat(url, asks), F.substring(base64, 1, 32), at([" ", "\n", "&x=1 "], 5), 1), (F.concat(url, shows), F.substring(digest, 1, 32), at([" ", "\n", "&x=1 "], 5), 0),
         (tight, F.substring(digest, 1, 40), at([" of", "\n", ", the"], 5), 1), (tight, digest, at([" of", "\n", ", the"], 5), 1), (tight, base64, at([" of", "\n", ", the"], 5), 1), (plain, F.substring(digest, 1, 40), at([" of", "\n", ", the"], 5), 0), (plain, digest, at([" of", "\n", ", the"], 5), 0), (tight, snake, at([" of", "\n", ", the"], 5), 0),
         (given, mixed, shut, 1), (given, marked, shut, 1), (given, marked, shut, 1), (F.concat(url, asks), marked, at([" ", "\n", "&x=1 "], 5), 1), (given, spoken, shut, 0), (given, lower, shut, 0), (given, F.substring(word, F.lit(1), F.lit(8) + F.pmod(F.hash(i, F.lit(17)), F.lit(9))), shut, 0),
+        (F.concat(prose, at(["class ", "new ", "import ", "see "], 21)), camel, at([" ", "(", ".", ";"], 5), 0), (prose, strange, at([" ", "(", ".", ";"], 5), 0),
+        (at(["AWS_ACCESS_KEY_ID=", "aws_access_key_id = ", "key id: ", "the "], 22), amazon, at(["\n", " ", ","], 5), 1), (at(["Authorization: Bearer ", "jwt ", "auth=", "cookie: "], 23), web, at(["\n", " ", "\""], 5), 1),
+        (F.concat(prose, at(["postgres://admin:", "https://user:", "amqp://x:", "mysql://root:"], 24)), F.regexp_replace(marked, "[:@/]", "-"), at(["@db.example.com/x", "@localhost:5432/app", "@host "], 5), 1), (F.concat(prose, at(["postgres://admin:", "https://user:", "amqp://x:"], 24)), mixed, at(["@db.example.com/x", "@localhost:5432/app"], 5), 1),
+        (F.concat(prose, at(["https://", "git://"], 25)), F.concat(at(["ghp_", "glpat-", "gho_"], 7), F.substring(F.regexp_replace(base64, "[+/]", ""), 1, 30)), at(["@example.com/a", ":x@host"], 5), 1),
+        (F.concat(at(["\"integrity", "checksum", "sha384", "\"digest", "md5"], 26), at(["\": \"", ": ", "=", " "], 3)), summed, at(["\"", " ", "\n"], 5), 0),
     ]
     pick = F.pmod(i, F.lit(len(kinds)))
     row = F.element_at(F.array(*[F.struct(b.alias("before"), c.alias("candidate"), a.alias("after"), F.lit(float(y)).alias("label")) for b, c, a, y in kinds]), (pick + 1).cast("int"))
@@ -210,24 +228,24 @@ def secret_scan(docs: DataFrame, model: RandomForestClassificationModel, text_co
 
     df = df.withColumn("_f", F.transform("_c", described))
     df = df.withColumn("_s", F.transform("_f", lambda f: forest(model, f)))
-    empty = F.expr("struct(0 as at, cast(array() as array<struct<start:int,length:int,text:string,score:double>>) as found, cast(array() as array<string>) as parts)")
-
-    def step(acc: Column, i: Column) -> Column:
-        c, s = F.get(F.col("_c"), i), F.get(F.col("_s"), i)
-        start = (acc["at"] + F.length(gap(i))).cast("int")
-        own = F.struct(start.alias("start"), F.length(c).cast("int").alias("length"), c.alias("text"), s.alias("score"))
-        is_secret = s >= threshold
-        return F.struct(
-            (start + F.length(c)).cast("int").alias("at"),
-            F.when(is_secret, F.concat(acc["found"], F.array(own))).otherwise(acc["found"]).alias("found"),
-            F.concat(acc["parts"], F.array(gap(i), F.when(is_secret, F.lit(REDACTED)).otherwise(c))).alias("parts"),
-        )
-
-    walked = F.when(F.size("_c") > 0, F.aggregate(F.sequence(F.lit(0), F.size("_c") - 1), empty, step))
-    df = df.withColumn("_w", walked)
+    # Where candidates start: sums of lengths in parts of about the square root of their number, and of the parts before.
+    last = F.size("_c") - 1
+    df = df.withColumns({"_l": F.transform("_c", lambda c, i: F.length(gap(i)) + F.length(c)), "_b": F.ceil(F.sqrt(F.greatest(F.size("_c"), F.lit(1)))).cast("int")})
+    total = lambda x: F.aggregate(x, F.lit(0), lambda t, y: t + y)
+    parts = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.floor(last / F.col("_b")).cast("int")), lambda j: total(F.slice("_l", j * F.col("_b") + 1, F.col("_b")))))
+    df = df.withColumn("_t", parts).withColumn("_p", F.transform("_t", lambda t, j: total(F.slice("_t", F.lit(1), j))))
+
+    def secret(i: Column) -> Column:
+        part = F.floor(i / F.col("_b")).cast("int")
+        start = F.get("_p", part) + total(F.slice("_l", part * F.col("_b") + 1, i - part * F.col("_b"))) + F.length(gap(i))
+        c = F.get("_c", i)
+        return F.struct(start.cast("int").alias("start"), F.length(c).cast("int").alias("length"), c.alias("text"), F.get("_s", i).alias("score"))
+
+    found = F.when(last >= 0, F.transform(F.filter(F.sequence(F.lit(0), last), lambda i: F.get("_s", i) >= threshold), secret))
+    hidden = F.transform("_c", lambda c, i: F.concat(gap(i), F.when(F.get("_s", i) >= threshold, F.lit(REDACTED)).otherwise(c)))
     return df.select(
         *docs.columns,
         F.coalesce(F.when(F.col("_c").isNotNull(), F.size("_c")), F.lit(0)).alias("n_candidates"),
-        F.coalesce("_w.found", F.expr("cast(array() as array<struct<start:int,length:int,text:string,score:double>>)")).alias("secrets"),
-        F.when(F.col("_w").isNull(), text).otherwise(F.concat(F.array_join("_w.parts", ""), F.element_at("_g", -1))).alias("redacted"),
+        F.coalesce(found, F.expr("cast(array() as array<struct<start:int,length:int,text:string,score:double>>)")).alias("secrets"),
+        F.when(F.col("_c").isNull(), text).otherwise(F.concat(F.array_join(hidden, ""), F.element_at("_g", -1))).alias("redacted"),
     )
