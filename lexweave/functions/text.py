@@ -79,7 +79,7 @@ def _stemmed(tokens: pa.Array) -> pa.Array:
 
 
 def spanish_lexemes(x: Column) -> Column:
-    """Words without accents, then without stop words, stemmed: the order of the reference's ``spanish_unaccent``.
+    """Words without accents, then without stop words, stemmed: the order of the reference's text search.
 
     As there, stop words that the list has only with an accent (``más``) stay.
     """

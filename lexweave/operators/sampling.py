@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
+
 # Classes of questions, and the shares of failure that part easy from hard.
 COVERAGE_OF = {"positivo": "rgc", "negativo": "fuera"}
 EASY, HARD = 6, 20
@@ -57,16 +59,15 @@ def blind_round_robin(rows: DataFrame, n: int, seed: str | int, subject: str = "
     return rows.join(chosen, id_col, "left").withColumn("a_ciegas", F.coalesce("_blind", F.lit(False))).drop("_blind")
 
 
-def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", bucket_length: float | None = None) -> DataFrame:
+def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", block_rows: int = 8192) -> DataFrame:
     """(a, b, cosine) for a < b with a cosine of ``threshold`` or more; a row without a vector fails the query.
 
-    Blocks of rows are compared in groups, each pair of blocks in its own, by
-    matrix products; only pairs that reach the threshold leave a group.
+    Exact. Blocks of rows are compared in groups, each pair of blocks in its own,
+    by products of narrow strips; only pairs that reach the threshold leave a group.
     """
     import numpy as np
     import pyarrow as pa
 
-    block_rows = 2048
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.when(F.col(vector_col).isNull(), F.raise_error(F.concat(F.lit("no vector for "), F.col(id_col).cast("string"))).cast("array<double>")).otherwise(F.transform(vector_col, lambda x: x.cast("double"))).alias("x"))
     blocks = max(1, -(-rows.count() // block_rows))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -77,40 +78,39 @@ def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector_
         x = np.array(t["x"].to_pylist(), dtype=float)
         length = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.where(length > 0, x / np.where(length > 0, length, 1), 0)
-        c = x @ x.T
-        a, b = np.nonzero(c >= threshold)
-        keep = ids[a] < ids[b]
-        if t["i"][0].as_py() != t["j"][0].as_py():
-            keep &= own[a] != own[b]
-        a, b = a[keep], b[keep]
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "cosine": pa.array(c[a, b])})
+        apart = t["i"][0].as_py() != t["j"][0].as_py()
+        out: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        for at in range(0, len(ids), 1024):
+            c = x[at : at + 1024] @ x.T
+            a, b = np.nonzero(c >= threshold)
+            keep = (ids[a + at] < ids[b]) & (own[a + at] != own[b] if apart else True)
+            a, b = a[keep], b[keep]
+            for part, values in zip(out, (ids[a + at], ids[b], c[a, b])):
+                part.append(values)
+        a, b, c = (np.concatenate(part) for part in out)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(c)})
 
     return meets.groupBy("i", "j").applyInArrow(run, "a bigint, b bigint, cosine double")
 
 
-def greedy_dedupe(rows: DataFrame, edges: DataFrame, id_col: str = "id", most_rounds: int = 100) -> DataFrame:
+def greedy_dedupe(rows: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """The rows that going through them in order would keep, dropping each that is near one already kept.
 
     ``edges`` holds pairs a < b in that order. In each round an undecided row goes
     if an earlier neighbour is kept, and stays if all its earlier neighbours have
-    gone; rounds are checkpointed.
+    gone; at least the first undecided one is decided, so the rounds end. Each is
+    checkpointed.
     """
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    state = edges.select(F.col("b").alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
-    e = edges.select("a", F.col("b").alias("id")).distinct().checkpoint()
-    for _ in range(most_rounds):
+    state = written(edges.select(F.col("b").alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    e = written(edges.select("a", F.col("b").alias("id")).distinct())
+    while True:
         # A row without earlier neighbours isn't in the state: it is kept.
         seen = e.join(state.select(F.col("id").alias("a"), F.col("kept").alias("a_kept"), F.lit(True).alias("known")), "a", "left")
         own = seen.groupBy("id").agg(F.max(F.when(F.col("known").isNull(), True).otherwise(F.col("a_kept"))).alias("some_kept"), F.count(F.when(F.col("known") & F.col("a_kept").isNull(), 1)).alias("open"))
-        state = own.select("id", F.when(F.col("some_kept"), False).when(F.col("open") == 0, True).alias("kept")).checkpoint()
+        state = written(own.select("id", F.when(F.col("some_kept"), False).when(F.col("open") == 0, True).alias("kept")))
         if state.where("kept is null").isEmpty():
             gone = state.where("not kept").select(F.col("id").alias(id_col))
             return rows.join(gone, id_col, "left_anti")
-    raise RuntimeError(f"not settled in {most_rounds} rounds")
 
 
 def queue(rows: DataFrame, edges: DataFrame, total: int, subjects: int, seed: str | int, oversample: float = 1.25, subject: str = "tema", id_col: str = "source_id") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +47,17 @@ def lexical_topk(questions: DataFrame, docs: DataFrame, k: int = PER_CHANNEL, qu
     return _top(hits, k, [query_col], [F.desc("n"), F.col(id_col)]).select(query_col, id_col, (F.col("n") * F.lit(0.1)).alias("score"), "rank")
 
 
+def lexical_distance(score: Column) -> Column:
+    """A lexical score as a distance: less is nearer, as in the channel of vectors."""
+    return F.lit(1.0) - score.cast("double")
+
+
 def vector_topk(questions: DataFrame, docs: DataFrame, k: int = PER_CHANNEL, query_col: str = "query_id", query_vector: str = "vector", id_col: str = "legal_ref", vector_col: str = "embedding", skip_self: bool = False) -> DataFrame:
     """``query_col``, ``id_col``, distance, rank: the k documents with the smallest cosine distance, ties to the smaller id.
 
     Exact: each task multiplies its documents with a pass's questions and sends on
-    its k best for each. Questions go in passes of ``QUERIES_PER_PASS``, so what is
+    its k best for each, ties cut by id there too. Distances are rounded to 1e-12,
+    so that copies of a vector tie wherever they are. Questions go in passes of ``QUERIES_PER_PASS``, so what is
     sent to the tasks is bounded. Null vectors, and those of another width than the
     questions of the pass, are not compared; a zero vector has distance 1.
     ``skip_self`` leaves out the document with the question's own id.
@@ -91,11 +98,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _best(b: pa.RecordBatch, ids: list, vectors: np.ndarray, k: int, q_kind: str, d_kind: str) -> pa.RecordBatch:
     x = _unit(b.column(1).flatten().to_numpy().reshape(len(b), -1))
-    distance = 1.0 - x @ vectors.T
+    distance = np.round(1.0 - x @ vectors.T, 12)
     keep = min(k, len(b))
-    # All that tie with the k-th stay; ids decide among them later.
     limit = np.partition(distance, keep - 1, axis=0)[keep - 1]
-    at, q = np.nonzero(distance <= limit + 1e-12)
+    at, q = np.nonzero(distance <= limit)
+    # Of all that tie with the k-th those with the smallest ids stay.
+    by_id = pc.rank(b.column(0), null_placement="at_start", tiebreaker="first").to_numpy()
+    order = np.lexsort((by_id[at], distance[at, q], q))
+    at, q = at[order], q[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    at, q = at[place < k], q[place < k]
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kinds[q_kind]), b.column(0).take(pa.array(at)), pa.array(distance[at, q])], names=["q", "d", "distance"])
 
@@ -188,7 +200,7 @@ def quote_search(quotes: DataFrame, docs: DataFrame, id_col: str = "quote_id", q
     A quote's words but the first and the last stand whole in any text that
     contains it, so the longest of them leads to the candidates and ``contains``
     decides. Quotes of fewer than three words have no such word; they are
-    compared with all texts, and must be few (``QUERIES_PER_PASS``).
+    compared with all texts, ``QUERIES_PER_PASS`` or so in each pass.
     """
     words = F.split(quote_col, r"\s+", -1)
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
@@ -200,9 +212,8 @@ def quote_search(quotes: DataFrame, docs: DataFrame, id_col: str = "quote_id", q
     candidates = places.join(anchored, "anchor").select(doc_col, id_col, quote_col)
     found = candidates.join(docs.select(doc_col, text_col), doc_col).where(F.col(text_col).contains(F.col(quote_col))).select(id_col, doc_col)
     short = anchored.where("anchor is null").select(id_col, quote_col)
-    n = short.limit(QUERIES_PER_PASS + 1).count()
-    if n > QUERIES_PER_PASS:
-        raise ValueError(f"more than {QUERIES_PER_PASS} quotes of fewer than three words")
-    if n:
-        found = found.unionByName(docs.select(doc_col, text_col).join(F.broadcast(short), F.col(text_col).contains(F.col(quote_col))).select(id_col, doc_col))
+    passes = -(-short.count() // QUERIES_PER_PASS)
+    for p in range(passes):
+        part = short.where(F.pmod(F.xxhash64(id_col, quote_col), F.lit(passes)) == p)
+        found = found.unionByName(docs.select(doc_col, text_col).join(F.broadcast(part), F.col(text_col).contains(F.col(quote_col))).select(id_col, doc_col))
     return found.distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..functions import citations as C
 from ..functions.text import fold_for_compare, segments
 
@@ -47,9 +48,16 @@ def courses(verdicts: DataFrame) -> DataFrame:
 
 
 def drafts_to_verdicts(drafts: DataFrame) -> DataFrame:
-    """Parses, verifies and decides: (request_id, attempt, draft, sources, relevance) to request_id, attempt, answer, ok, refs, motivo."""
+    """Parses, verifies and decides: (request_id, attempt, draft, sources, relevance) to request_id, attempt, answer, ok, refs, motivo.
+
+    Drafts with a column retracted that is true point outside their sources.
+    """
     parsed = drafts.withColumn("parts", C.split_draft(F.col("draft"))).withColumn("citations", C.parse_citations(F.col("parts.lines"), F.col("sources")))
     told = verify(parsed)
+    if "retracted" in drafts.columns:
+        cut = F.col("retracted")
+        told = told.join(parsed.select("request_id", "attempt", "retracted"), ["request_id", "attempt"])
+        told = told.select("request_id", "attempt", (F.col("ok") & ~cut).alias("ok"), F.when(cut, F.expr("cast(array() as array<string>)")).otherwise(F.col("refs")).alias("refs"), F.when(cut, C.OUT_OF_RANGE).otherwise(F.col("motivo")).alias("motivo"))
     return parsed.select("request_id", "attempt", F.col("parts.prose").alias("answer"), "citations", C.says_cannot(F.col("draft")).alias("cannot"), (F.size("sources") > 0).alias("has_sources"), "relevance").join(told, ["request_id", "attempt"])
 
 
@@ -57,14 +65,19 @@ def answer_requests(requests: DataFrame, generate, most_retries: int = C.MOST_RE
     """Drafts, verifies and retries in at most ``most_retries + 1`` passes over the requests still undecided.
 
     ``requests`` has request_id, pregunta, sources, relevance; ``generate(df, attempt)``
-    adds draft. Gives request_id, salida, reintentos, refs, motivo, answer.
+    adds draft. Gives request_id, salida, reintentos, refs, motivo, answer. Nothing is
+    generated for a request whose sources are not relevant. Each attempt's drafts are
+    written, so each is asked for once and told as it was judged.
     """
-    open_requests, told = requests, None
+    far = F.coalesce((F.col("relevance") < C.LEAST_RELEVANCE) & (F.size("sources") > 0), F.lit(False))
+    open_requests, told = requests.where(~far), None
     for attempt in range(most_retries + 1):
-        drafts = generate(open_requests, attempt).withColumn("attempt", F.lit(attempt))
+        drafts = written(generate(open_requests, attempt).withColumn("attempt", F.lit(attempt)))
         now = drafts_to_verdicts(drafts)
         told = now if told is None else told.unionByName(now)
         again = now.where((C.decide(F.col("ok"), F.col("attempt"), F.col("has_sources"), F.col("relevance")) == C.RETRY) & ~F.col("cannot"))
+        if again.isEmpty():
+            break
         open_requests = open_requests.join(again.select("request_id"), "request_id", "left_semi")
     course = courses(told)
     # A draft that says it can't answer ends its request.
@@ -72,7 +85,35 @@ def answer_requests(requests: DataFrame, generate, most_retries: int = C.MOST_RE
     final = course.join(last, "request_id").withColumns({"salida": F.when(F.col("cannot"), C.ABSTAIN).otherwise(F.col("salida")), "motivo": F.when(F.col("cannot"), F.lit(None)).otherwise(F.col("motivo")), "reintentos": F.when(F.col("cannot"), F.col("attempt")).otherwise(F.col("reintentos")), "refs": F.when(F.col("cannot"), F.expr("cast(array() as array<string>)")).otherwise(F.col("refs"))})
     prose = told.select("request_id", F.col("attempt").alias("reintentos"), "answer")
     out = final.drop("cannot", "attempt").join(prose, ["request_id", "reintentos"], "left")
-    return out.withColumn("answer", F.when(F.col("salida") == C.ANSWER, F.col("answer")))
+    out = out.withColumn("answer", F.when(F.col("salida") == C.ANSWER, F.col("answer")))
+    none = requests.where(far).select("request_id", F.lit(0).alias("reintentos"), F.lit(C.ABSTAIN).alias("salida"), F.expr("cast(array() as array<string>)").alias("refs"), F.lit(C.NOT_RELEVANT).alias("motivo"), F.lit(None).cast("string").alias("answer"))
+    return out.unionByName(none)
+
+
+def serve_requests(requests: DataFrame, emit, most_retries: int = C.MOST_RETRIES) -> tuple[DataFrame, DataFrame]:
+    """What is shown while answers are written, and the results of ``answer_requests``.
+
+    ``emit(df, attempt)`` gives (request_id, seq, token). Each attempt goes through
+    the guard: only what it lets out is shown and verified, and an attempt that it
+    retracts is judged as one that cites outside its sources. The pieces are
+    request_id, attempt, emitted, holes, state.
+    """
+    from ..streaming.guard import RETRACTED, guard
+
+    shown: list[DataFrame] = []
+
+    def generate(rows: DataFrame, attempt: int) -> DataFrame:
+        tokens = emit(rows, attempt).join(rows.select("request_id", F.size("sources").alias("n_sources")), "request_id")
+        pieces = written(guard(tokens.withColumn("attempt", F.lit(attempt))))
+        shown.append(pieces)
+        told = pieces.select("request_id", F.col("emitted").alias("draft"), (F.col("state") == RETRACTED).alias("retracted"))
+        return rows.join(told, "request_id", "left").withColumns({"draft": F.coalesce("draft", F.lit("")), "retracted": F.coalesce("retracted", F.lit(False))})
+
+    results = written(answer_requests(requests, generate, most_retries))
+    pieces = shown[0]
+    for more in shown[1:]:
+        pieces = pieces.unionByName(more)
+    return pieces, results
 
 
 def sse_events(results: DataFrame) -> DataFrame:

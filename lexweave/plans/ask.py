@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations as C
-from ..functions.text import spanish_lexemes
+from ..functions.text import query_terms, spanish_lexemes
 from ..operators import search, verification
 from .index import Index
 
@@ -16,6 +16,12 @@ from .index import Index
 QUESTION_LENGTH, RESULTS = (3, 500), (1, 20)
 
 
+def with_terms(questions: DataFrame) -> DataFrame:
+    """Questions that have a word to search for; others fail the query."""
+    some = F.size(query_terms(F.col("pregunta"))) > 0
+    return questions.where(F.when(some, F.lit(True)).otherwise(F.raise_error(F.lit("a question without a word")).cast("boolean")))
+
+
 def checked(questions: DataFrame) -> DataFrame:
     """Questions of an allowed length; others fail the query."""
     n = F.length("pregunta")
@@ -38,7 +44,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = search.FINAL, sub
     """
     docs = chunks.withColumnRenamed("ref", "legal_ref")
     worded = docs.where(F.col("materia") == subject) if subject is not None else docs
-    asked = checked(questions)
+    asked = with_terms(checked(questions))
     lexical = search.lexical_topk(asked, worded, per_channel, tokens=tokens)
     vector = search.vector_topk(asked, docs, per_channel)
     found = search.hybrid_search(lexical, vector, k, rerank=rerank)

@@ -2,13 +2,15 @@
 
 An index is a folder of Parquet tables: ``chunks`` (partitioned by
 index_version), ``versions`` and ``aliases``. Functions on DataFrames give the new
-state; ``Index`` writes it, each table through a fresh folder that replaces the
-old one by name.
+state; ``Index`` writes it to fresh folders and then commits a manifest that names
+them, so that a reader sees the state before or after and never one between.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,12 @@ def bound_to_index(questions: DataFrame, index: DataFrame, model: str = "model",
     return both.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit("the question's embedder is not the index's")).cast("boolean"))).drop("embedding_model", "dim")
 
 
+def metadata(chunker: Column, version: Column, in_force: Column) -> Column:
+    """A chunk's provenance as JSON, keys sorted, nulls kept."""
+    fields = {"chunker_id": chunker, "fecha_vigencia": in_force, "id_norma_version": version}
+    return F.to_json(F.struct(*[fields[k].cast("string").alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
 def violations(chunks: DataFrame, dim: int | None = None) -> DataFrame:
     """(chunk_id, rule) of rows that break the table's constraints."""
     rules: dict[str, Column] = {
@@ -80,7 +88,12 @@ def document_state_violations(states: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Tables of an index under ``folder``, in any store that Spark writes."""
+    """Tables of an index under ``folder``, in any store that Spark writes and that renames.
+
+    ``log`` holds numbered manifests: by table and part (index version, or nothing)
+    the folder that holds it. The highest number counts; the one before stays for
+    readers that have begun, and what only older ones name is deleted.
+    """
 
     CHUNKS = "chunks"
 
@@ -88,36 +101,77 @@ class Index:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _numbers(self) -> list[int]:
+        fs, log = self._fs("log")
+        names = [f.getPath().getName() for f in fs.listStatus(log)] if fs.exists(log) else []
+        return sorted(int(x[:-5]) for x in names if x.endswith(".json") and not x.startswith("."))
+
+    def _manifest(self, number: int) -> dict[str, dict[str, str]]:
+        return json.loads(self.spark.read.text(f"{self.folder}/log/{number:012d}.json", wholetext=True).first()[0])
+
+    def _now(self) -> dict[str, dict[str, str]]:
+        numbers = self._numbers()
+        return self._manifest(numbers[-1]) if numbers else {}
+
+    def _commit(self, after: list[int], manifest: dict[str, dict[str, str]]) -> None:
+        """Makes ``manifest`` the next one after the numbers that its writer saw; another writer's in between fails this one."""
+        fs, fresh = self._fs(f"log/.{uuid.uuid4().hex}")
+        _, final = self._fs(f"log/{after[-1] + 1 if after else 0:012d}.json")
+        out = fs.create(fresh)
+        out.write(json.dumps(manifest, sort_keys=True).encode())
+        out.close()
+        if fs.exists(final) or not fs.rename(fresh, final):
+            fs.delete(fresh, False)
+            raise OSError(f"{final} is there already: another writer was faster")
+        named = lambda m: {f for parts in m.values() for f in parts.values()}
+        keep = named(manifest) | (named(self._manifest(after[-1])) if after else set())
+        for number in after[:-1]:
+            for gone in named(self._manifest(number)) - keep:
+                fs.delete(self._fs(gone)[1], True)
+            fs.delete(self._fs(f"log/{number:012d}.json")[1], False)
+
+    def _write(self, table: str, rows: DataFrame, partition: str | None = None) -> str:
+        fresh = f"{table}-{uuid.uuid4().hex}"
+        (rows.write.partitionBy(partition) if partition else rows.write).parquet(f"{self.folder}/{fresh}")
+        return fresh
+
     def exists(self, table: str) -> bool:
-        fs, p = self._fs(f"{self.folder}/{table}")
-        return fs.exists(p)
+        return table in self._now()
+
+    def _read(self, parts: dict[str, str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.folder}/{f}") for f in parts.values()])
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}")
-
-    def write(self, table: str, rows: DataFrame, partition: str | None = None) -> None:
-        """Writes beside the table, then renames; readers of the old files may finish meanwhile or retry."""
-        fresh = f"{self.folder}/.{table}-{uuid.uuid4().hex}"
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(partition) if partition else writer).parquet(fresh)
-        fs, new = self._fs(fresh)
-        _, old = self._fs(f"{self.folder}/{table}")
-        if fs.exists(old):
-            fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"{fresh} could not be renamed to {self.folder}/{table}")
+        return self._read(self._now()[table])
 
     def put(self, chunks: DataFrame, version: DataFrame, alias: DataFrame, keep_others: bool = False) -> None:
-        """Registers the version, points the alias at it and upserts its chunks; others go unless kept."""
+        """Upserts a version's chunks, registers it and points the alias at it, all with one commit; others go unless kept.
+
+        Only the version's own part is written, and of the others those that give a
+        chunk to it.
+        """
         name = version.first()["id"]
-        old = self.read(self.CHUNKS) if self.exists(self.CHUNKS) else chunks.limit(0)
+        seen = self._numbers()
+        now = self._manifest(seen[-1]) if seen else {}
+        held = lambda table: self._read(now[table])
+        old = held(self.CHUNKS) if self.CHUNKS in now else chunks.limit(0)
         rows = upsert(old, chunks)
-        self.write(self.CHUNKS, rows if keep_others else purge_other_versions(rows, name), "index_version")
-        self.write("versions", register(self.read("versions"), version) if self.exists("versions") else version)
-        self.write("aliases", point_alias(self.read("aliases"), alias) if self.exists("aliases") else alias)
+        parts = {name: self._write(self.CHUNKS, purge_other_versions(rows, name), "index_version")}
+        for other, folder in now.get(self.CHUNKS, {}).items() if keep_others else ():
+            if other != name:
+                own = old.where(F.col("index_version") == other)
+                given = not own.join(chunks.select("chunk_id"), "chunk_id", "left_semi").isEmpty()
+                left = rows.where(F.col("index_version") == other)
+                if not given:
+                    parts[other] = folder
+                elif not left.isEmpty():
+                    parts[other] = self._write(self.CHUNKS, left, "index_version")
+        versions = register(held("versions"), version) if "versions" in now else version
+        aliases = point_alias(held("aliases"), alias) if "aliases" in now else alias
+        self._commit(seen, {self.CHUNKS: parts, "versions": {"": self._write("versions", versions)}, "aliases": {"": self._write("aliases", aliases)}})
 
     def chunks(self, alias: str = ACTIVE) -> DataFrame:
         """The chunks of the version behind an alias; the version is a partition, so others aren't read."""

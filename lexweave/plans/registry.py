@@ -13,7 +13,7 @@ from ..operators import chunking, golden, metrics, sampling, search, stats, stru
 from ..streaming.guard import guard, windowed_counts
 from . import evaluate, index
 
-# Fixed value: the resamples of the reference's configuration (docs/GOALS.yaml).
+# Fixed value: the resamples of the reference's configuration.
 N_RESAMPLES = 10_000
 
 Query = Callable[[SparkSession, str], DataFrame]

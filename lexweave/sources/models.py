@@ -104,6 +104,35 @@ def http_generator(base_url: str, model: str, max_tokens: int = 512, temperature
     return lambda rows, attempt: rows.withColumn("draft", drafts(F.col("prompt")))
 
 
+def _lines(url: str, body: dict, timeout: float) -> Iterator[str]:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        for line in answer:
+            yield line.decode()
+
+
+def http_token_stream(base_url: str, model: str, max_tokens: int = 256, temperature: float = 0.0, timeout: float = 120, lines: Callable = _lines) -> Callable[[DataFrame, int], DataFrame]:
+    """The same endpoint asked to stream: from rows with request_id and prompt to (request_id, seq, token), a token for each line with text."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for request, prompt in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                body = {"model": model, "messages": [{"role": "user", "content": prompt}], "max_tokens": max_tokens, "temperature": temperature, "stream": True}
+                told: list[str] = []
+                for line in map(str.strip, lines(f"{base_url}/v1/chat/completions", body, timeout)):
+                    if line.startswith("data:") and line[5:].strip() != "[DONE]":
+                        choices = json.loads(line[5:]).get("choices") or [{}]
+                        if text := (choices[0].get("delta") or {}).get("content"):
+                            told.append(text)
+                yield pa.RecordBatch.from_arrays([pa.array([request] * len(told), b.column(0).type), pa.array(range(len(told)), pa.int64()), pa.array(told, pa.string())], names=["request_id", "seq", "token"])
+
+    def emit(rows: DataFrame, attempt: int) -> DataFrame:
+        kind = rows.schema["request_id"].dataType.simpleString()
+        return rows.select("request_id", "prompt").mapInArrow(tokens, f"request_id {kind}, seq bigint, token string")
+
+    return emit
+
+
 def scored_by(score: Callable[[list[str], list[str]], list[float]], question_col: str = "pregunta", text_col: str = "content", longest: int = 500) -> Callable[[DataFrame], DataFrame]:
     """A port for a cross-encoder: ``score`` takes questions and texts (cut to ``longest``) of a batch."""
 

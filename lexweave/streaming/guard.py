@@ -83,15 +83,26 @@ PIECES = T.StructType([T.StructField(name, kind) for name, kind in _FIELDS.items
 
 
 class _GuardProcessor(StatefulProcessor):
-    """State by attempt: what is buffered, and tokens that came before their turn (order is not kept across micro-batches)."""
+    """State by attempt: what is buffered, and tokens that came before their turn (order is not kept across micro-batches).
+
+    An attempt that is over leaves a mark, so that its tokens aren't taken again;
+    marks, and attempts that nothing comes for, go after ``keep_ms``.
+    """
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "next bigint, state string, buffer string, n_sources int")
-        self.early = handle.getMapState("early", "seq bigint", "token string, is_last boolean")
+        self.at = handle.getValueState("at", "next bigint, state string, buffer string, n_sources int, over boolean", self.keep_ms)
+        self.early = handle.getMapState("early", "seq bigint", "token string, is_last boolean", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         request, attempt = key
         known = self.at.get() if self.at.exists() else None
+        if known and known[4]:
+            for _ in rows:  # what comes after the end
+                pass
+            return
         turn, n = (known[0] if known else 0), (known[3] if known else None)
         for batch in rows:
             for seq, token, last, sources in zip(batch["seq"], batch["token"], batch["is_last"], batch["n_sources"]):
@@ -99,16 +110,18 @@ class _GuardProcessor(StatefulProcessor):
                 if seq >= turn:
                     self.early.updateValue((int(seq),), (token or "", bool(last)))
         g = Guard(n or 0, known[1] if known else OPEN, known[2] if known else "")
-        out = []
-        while self.early.containsKey((turn,)):
+        out, over = [], False
+        while not over and self.early.containsKey((turn,)):
             token, last = self.early.getValue((turn,))
             self.early.removeKey((turn,))
-            was = g.state
             text, holes = g.take(token)
-            if text or holes or last or g.state != was:
-                out.append((request, attempt, turn, text, holes, g.state, bool(last)))
+            over = bool(last) or g.state == RETRACTED
+            if text or holes or over:
+                out.append((request, attempt, turn, text, holes, g.state, over))
             turn += 1
-        self.at.update((turn, g.state, g.buffer, n or 0))
+        if over:
+            self.early.clear()
+        self.at.update((turn, g.state, "" if over else g.buffer, n or 0, over))
         if out:
             yield pd.DataFrame(out, columns=PIECES.names)
 
@@ -116,14 +129,15 @@ class _GuardProcessor(StatefulProcessor):
         pass
 
 
-def guard_stream(tokens: DataFrame) -> DataFrame:
+def guard_stream(tokens: DataFrame, keep_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """Pieces that may be shown, as tokens come: (request_id, attempt, seq, token, n_sources, is_last) in any order.
 
     ``seq`` counts from 0 in each attempt; a piece goes out once all before it have
-    come. What is held back when an attempt ends is dropped. The session needs the
-    RocksDB state store.
+    come. ``done`` marks the last one: the attempt's end, or its retraction. What is
+    held back when an attempt ends is dropped, and its state but for a mark, which
+    goes after ``keep_ms``. The session needs the RocksDB state store.
     """
-    return tokens.groupBy("request_id", "attempt").transformWithStateInPandas(statefulProcessor=_GuardProcessor(), outputStructType=PIECES, outputMode="Append", timeMode="None")
+    return tokens.groupBy("request_id", "attempt").transformWithStateInPandas(statefulProcessor=_GuardProcessor(keep_ms), outputStructType=PIECES, outputMode="Append", timeMode="ProcessingTime")
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours", ts: str = "ts", by: str = "event_type") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,91 @@ def test_retry_loop(spark):
         recorded_generator(recorded)(requests, 5).collect()
 
 
+def test_each_draft_is_asked_for_once(spark, tmp_path):
+    """A generator with a memory of its calls: one for each request and attempt, none for sources that don't matter."""
+    source = F.array(*[F.struct(F.lit(r).alias("ref"), F.lit(t).alias("texto")) for r, t in SOURCES])
+    requests = spark.createDataFrame([("a", 0.9), ("b", 0.9), ("c", None), ("far", 0.01)], "request_id string, relevance double").withColumn("pregunta", F.lit("q")).withColumn("sources", source)
+    bad, folder = DRAFTS["wrong"][0], str(tmp_path)
+
+    def generate(rows, attempt):
+        @F.udf("string")
+        def draft(request):
+            import uuid
+
+            with open(f"{folder}/{request}-{attempt}-{uuid.uuid4().hex}", "w"):
+                return bad
+
+        return rows.withColumn("draft", draft.asNondeterministic()("request_id"))
+
+    got = {r.request_id: (r.salida, r.reintentos, r.motivo) for r in verification.answer_requests(requests, generate).collect()}
+    assert got == {**{k: (C.ABSTAIN, 2, C.NOT_LITERAL) for k in "abc"}, "far": (C.ABSTAIN, 0, C.NOT_RELEVANT)}
+    calls = sorted(x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir())
+    assert calls == sorted(f"{k}-{i}" for k in "abc" for i in range(3))
+
+
+def test_serving_retracts_and_retries(spark):
+    from lexweave.sources.models import http_token_stream
+
+    source = F.array(*[F.struct(F.lit(r).alias("ref"), F.lit(t).alias("texto")) for r, t in SOURCES])
+    good = DRAFTS["ok"][0]
+    told = {("a", 0): good, ("b", 0): "see [[REF:99]] and more", ("b", 1): good, ("c", 0): "no puedo responder", ("d", 0): ""}
+
+    def lines(url, body, timeout):
+        request, attempt = body["messages"][0]["content"].split(":")
+        text = told.get((request, int(attempt)), "nothing")
+        assert body["stream"] and url.endswith("/v1/chat/completions")
+        yield ": a comment"
+        for k in range(0, len(text), 3):
+            yield "data: " + json.dumps({"choices": [{"delta": {"content": text[k : k + 3]}}]}) + "\n"
+        yield 'data: {"choices": [{"delta": {}}]}'
+        yield "data: [DONE]"
+
+    emit = http_token_stream("http://x", "m", lines=lines)
+    requests = spark.createDataFrame([("a", 0.5), ("b", None), ("c", 0.5), ("d", 0.5), ("e", 0.05)], "request_id string, relevance double").withColumn("pregunta", F.lit("q")).withColumn("sources", source)
+    pieces, results = verification.serve_requests(requests, lambda rows, attempt: emit(rows.withColumn("prompt", F.concat("request_id", F.lit(f":{attempt}"))), attempt))
+    got = {r.request_id: (r.salida, r.reintentos, r.motivo) for r in results.collect()}
+    assert got == {"a": (C.ANSWER, 0, None), "b": (C.ANSWER, 1, None), "c": (C.ABSTAIN, 0, None), "d": (C.ABSTAIN, 2, C.NO_CITATIONS), "e": (C.ABSTAIN, 0, C.NOT_RELEVANT)}
+    shown = {(r.request_id, r.attempt): (r.emitted, r.state) for r in pieces.collect()}
+    assert shown["b", 0] == ("see ", "retractado") and shown["a", 0] == (good, "abierto") and not [k for k in shown if k[0] == "e"]
+
+
+def test_ties_are_cut_where_they_are_found(spark):
+    from lexweave.operators import search
+
+    docs = spark.createDataFrame([(f"d{i:04d}", [1.0, 2.0, 3.0]) for i in range(2000)] + [("z", [1.0, 2.0, 3.1]), (None, [1.0, 2.0, 3.0])], "legal_ref string, embedding array<double>").coalesce(1)
+    questions = spark.createDataFrame([(i, [1.0, 2.0, 3.0 + i / 100]) for i in range(50)], "query_id int, vector array<double>")
+    found = search.vector_topk(questions, docs.where("legal_ref is not null"), 5)
+    assert {(r.query_id, r.rank): r.legal_ref for r in found.collect()} == {(q, k + 1): (f"d{k:04d}" if q < 5 else "z" if k == 0 else f"d{k - 1:04d}") for q in range(50) for k in range(5)}
+    plan = found._jdf.queryExecution()
+    from lexweave.operators.search import _best, _unit
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i:04d}" for i in range(2000)]), pa.array([[1.0, 2.0, 3.0]] * 2000)], names=["d", "v"])
+    assert len(_best(batch, list(range(50)), _unit(np.array([[1.0, 2.0, 3.0]] * 50)), 5, "int", "string")) == 250 and plan is not None
+
+
+def test_short_quotes_in_passes(spark, monkeypatch):
+    from lexweave.operators import search
+
+    monkeypatch.setattr(search, "QUERIES_PER_PASS", 3)
+    docs = spark.createDataFrame([(i, f"uno w{i} dos tres cuatro w{i + 1} fin") for i in range(20)], "doc_id int, text string")
+    quotes = spark.createDataFrame([(i, f"w{i}") for i in range(12)] + [(100, "dos tres"), (101, "uno w3 dos"), (102, None)], "quote_id int, quote string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = sorted((q, d) for q, t in [(r.quote_id, r.quote) for r in quotes.collect()] if t for d, x in texts.items() if t in x)
+    assert sorted((r.quote_id, r.doc_id) for r in search.quote_search(quotes, docs).collect()) == want
+
+
+def test_near_pairs_over_blocks_and_strips(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(1500, 6))
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id bigint, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    a, b = np.nonzero(np.triu(c >= 0.95, 1))
+    for block in (100, 5000):
+        got = sampling.near_pairs(rows, 0.95, block_rows=block).collect()
+        assert sorted((g.a, g.b) for g in got) == sorted(zip(a.tolist(), b.tolist()))
+
+
 def test_metrics_of_nothing_are_null(spark):
     cases = spark.createDataFrame([], "id string, refs array<string>")
     pairs = spark.createDataFrame([], "id string, refs array<string>, cited array<string>, abstenida boolean")

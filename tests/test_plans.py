@@ -42,6 +42,54 @@ def test_ingest_twice_changes_nothing(spark, tmp_path):
         index.active(ix.read("versions"), ix.read("aliases"), "other").collect()
 
 
+def test_a_crash_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    ix = index.Index(spark, str(tmp_path))
+    schema = "chunk_id string, content string, embedding array<double>, ordinal int, index_version string"
+
+    def put(name, rows, keep_others=False):
+        version = spark.range(1).select(F.lit(name).alias("id"), F.lit("m").alias("embedding_model"), F.lit(2).alias("dim"))
+        alias = spark.range(1).select(F.lit("active").alias("alias"), F.lit(name).alias("index_version"), F.lit("chunks").alias("physical_table"), F.current_timestamp().alias("switched_at"))
+        ix.put(spark.createDataFrame([(i, t, [1.0, 2.0], 0, name) for i, t in rows], schema), version, alias, keep_others)
+
+    state = lambda: sorted((r.chunk_id, r.content, r.index_version) for r in ix.read("chunks").collect())
+    put("v1", [("a", "one"), ("b", "two")])
+    first = state()
+    for broken in ("_commit", "_write"):
+        with monkeypatch.context() as m:
+            calls = []
+
+            def fail(self, *args, was=getattr(index.Index, broken), broken=broken):
+                calls.append(args)
+                if broken == "_commit" or len(calls) == 3:  # chunks and versions are written, aliases are not
+                    raise OSError("lost")
+                return was(self, *args)
+
+            m.setattr(index.Index, broken, fail)
+            with pytest.raises(OSError, match="lost"):
+                put("v2", [("c", "three")])
+        assert state() == first and sorted(r.chunk_id for r in ix.chunks().collect()) == ["a", "b"]
+    put("v2", [("c", "three")], keep_others=True)
+    assert [r.chunk_id for r in ix.chunks().collect()] == ["c"] and len(state()) == 3
+    kept = ix._now()["chunks"]["v1"]
+    put("v2", [("d", "four")], keep_others=True)
+    assert ix._now()["chunks"]["v1"] == kept  # another version's part isn't written again
+    put("v3", [("a", "uno")], keep_others=True)  # a chunk moves
+    assert state() == [("a", "uno", "v3"), ("b", "two", "v1"), ("c", "three", "v2"), ("d", "four", "v2")]
+    seen = ix._numbers()
+    with pytest.raises(OSError, match="another writer"):
+        ix._commit(seen[:-1], {})
+    put("v3", [("e", "five")])
+    assert state() == [("a", "uno", "v3"), ("e", "five", "v3")] and len(ix._numbers()) == 2
+
+
+def test_a_question_needs_a_word(spark):
+    from lexweave.plans import ask
+
+    chunks = spark.createDataFrame([("N-1/2000#art1", "texto", "t", [1.0], "a")], "ref string, content string, titulo string, embedding array<double>, materia string")
+    with pytest.raises(Exception, match="without a word"):
+        ask.retrieve(spark.createDataFrame([("q", "¿¿!!", [1.0])], "query_id string, pregunta string, vector array<double>"), chunks).collect()
+
+
 def test_ask(spark):
     from lexweave.operators.goals import nest, select_path
     from lexweave.plans import ask
@@ -163,6 +211,11 @@ def test_guard_stream_equals_batch(spark, tmp_path):
     batch = {r.request_id: r for r in guard(spark.createDataFrame(rows, schema)).collect()}
     for k in CASES:
         assert served[k].emitted == batch[k].emitted and served[k].state == batch[k].state and served[k].done, k
+    # Attempts that are over hold nothing but a mark.
+    early = spark.read.format("statestore").option("stateVarName", "early").load(f"{tmp_path}/cp")
+    assert early.count() == 0
+    marks = spark.read.format("statestore").option("stateVarName", "at").load(f"{tmp_path}/cp").select("value.*").select("value.*" if "value" in spark.read.format("statestore").option("stateVarName", "at").load(f"{tmp_path}/cp").select("value.*").columns else "*").collect()
+    assert len(marks) == len(CASES) and all(m.over and m.buffer == "" for m in marks)
 
 
 def _norm(columns, rows):
