@@ -8,14 +8,18 @@ corpus can't belong to a repeated window and is left out before any text moves.
 
 A shard holds each different segment once, with its first place. Its words are
 indexed by an FM-index: their Burrows-Wheeler transform in a wavelet matrix of
-packed bits with rank counts. The segments are then streamed through it by
-backward search; a window's interval of the suffix order names its content, so
-the first place of each interval is the one to keep, and every other place has a
-match of full length that starts earlier. Those intervals are removed.
+packed bits with rank counts. The documents' segments are then streamed through
+it: backward search over the wavelet matrix gives, for each position, its
+matching statistic (the length of the longest run of words ending there that
+stands elsewhere in the shard, up to a window) and that run's interval of the
+suffix order. Statistics of a whole window are reported. The interval names the
+window's content, so the first place of each interval is the one to keep, and
+every other place has a match of full length that starts earlier. Those windows
+are removed.
 
 Repetition that needs no index is settled first: later copies of a whole text
-(equal MD5) go entirely, and of windows that a document itself repeats (equal
-64-bit hashes within it) only the first is looked up.
+(equal MD5) go entirely, and of windows that a document itself
+repeats (found by hash, compared byte by byte) only the first is looked up.
 
 A minimizer with many occurrences (a passage that many documents share, in
 different surroundings) is dealt out window by window instead, by the whole
@@ -84,7 +88,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """An index of a word sequence, sorted deeply enough for patterns of up to ``depth`` words."""
+    """An index of a word sequence, sorted deeply enough for matches of up to ``depth`` words."""
 
     def __init__(self, text: np.ndarray, depth: int) -> None:
         n = len(text)
@@ -105,26 +109,27 @@ class FMIndex:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])
         self.wavelet = WaveletMatrix(text[order - 1].astype(np.int64), max(1, (kinds - 1).bit_length()))
 
-    def intervals(self, text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix intervals of text[p : p + length] for each p in ``at``, by backward search of all at once.
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each position in ``ends``: how many words of ``text`` that end there, ``most`` at most, stand at two or more places of the index, and their suffix interval.
 
-        A search ends early when its interval holds one suffix: what stands there
-        is ``p``'s own, so the interval is given as (-1 - p, -p).
+        All searches step backward together; each ends where its interval holds no
+        second suffix. A position whose very word stands once has statistic 0 and an
+        empty interval.
         """
-        low, high = -1 - at, -at
-        going, last = np.arange(len(at)), text[at + length - 1]
+        length, low, high = (np.zeros(len(ends), dtype=np.int64) for _ in range(3))
+        going, last = np.arange(len(ends)), text[ends]
         a, b = self.first[last], self.first[last + 1]
-        for back in range(length - 2, -1, -1):
+        for n in range(1, most + 1):
             more = b - a > 1
             going, a, b = going[more], a[more], b[more]
             if not len(going):
-                return low, high
-            c = text[at[going] + back]
-            x, y = self.wavelet.rank(c, a, b)
-            a, b = self.first[c] + x, self.first[c] + y
-        more = b - a > 1
-        low[going[more]], high[going[more]] = a[more], b[more]
-        return low, high
+                break
+            length[going], low[going], high[going] = n, a, b
+            if n < most:
+                c = text[ends[going] - n]
+                x, y = self.wavelet.rank(c, a, b)
+                a, b = self.first[c] + x, self.first[c] + y
+        return length, low, high
 
 
 def minimizers(grams: np.ndarray, width: int) -> np.ndarray:
@@ -139,6 +144,7 @@ class _Part:
         buf = b"\n".join(texts)
         starts, ends = word_spans(buf)
         self.hashes, self.window = word_hashes(buf, starts, ends), window
+        self.buf, self.starts, self.ends = buf, starts, ends
         self.edge = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
         self.row = np.repeat(np.arange(len(texts)), np.diff(self.edge))
         n = max(0, len(self.row) - window + 1)
@@ -156,10 +162,26 @@ class _Part:
             twice = ordered[1:][ordered[1:] == ordered[:-1]]
             if len(twice):
                 at = at[np.isin(key[at], twice)]
-                self._own[at] = False
-                self._own[at[np.unique(key[at], return_index=True)[1]]] = True
+                at = at[np.argsort(key[at], kind="stable")]
+                new = np.concatenate([[True], key[at][1:] != key[at][:-1]])
+                first = at[new][np.cumsum(new) - 1]
+                self._own[at[~new & self._equal(first, at)]] = False
         return self._own
 
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the windows at ``a`` and ``b`` have the same words."""
+        lengths = self.ends - self.starts
+        same = np.ones(len(a), dtype=bool)
+        for j in range(self.window):
+            same &= lengths[a + j] == lengths[b + j]
+        raw = np.frombuffer(self.buf, dtype=np.uint8)
+        words = raw[~((raw == 32) | ((raw >= 9) & (raw <= 13)))].tobytes()
+        place = np.concatenate([[0], np.cumsum(lengths)])
+        size = place[a + self.window] - place[a]
+        at = np.flatnonzero(same)
+        same[at] = [words[i : i + n] == words[j : j + n] for i, j, n in zip(place[a[at]].tolist(), place[b[at]].tolist(), size[at].tolist())]
+        return same
+
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(id, uid, text) to (minimizer, uid, place): runs of windows, those left out that their document repeats.
@@ -240,7 +262,8 @@ def _first_places(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
         t = np.array(text, dtype=np.int64)
         sizes = np.array([len(x) for x in at])
         at, own, place = (np.concatenate(x) for x in (at, own, place))
-        low, _ = FMIndex(t, window).intervals(t, at, window)
+        length, low, _ = FMIndex(t, window).matching_statistics(t, at + window - 1, window)
+        low = np.where(length == window, low, -1 - at)  # the others stand once: they are their own first place
         order = np.lexsort((place, own, low))
         new = np.concatenate([[True], low[order][1:] != low[order][:-1]])
         best = np.empty(len(order), dtype=np.int64)
@@ -299,19 +322,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     id, or earlier in the same one. Windows are judged on the input. A null text
     has no words; a row with a null id keeps all its words and removes none; rows
     repeated under one id don't remove each other's words, for neither is earlier.
-    Each row of ``docs`` gives one row; other columns are not read.
+    Each row of ``docs`` gives one row; other columns are not read. A row is known
+    by its id and a 64-bit hash of its text, equal segments by 128-bit digests.
     """
     text, own = F.col(text_col).cast("string"), F.col(id_col).cast("bigint")
     rows = docs.select(own.alias("id"), F.xxhash64(own, text).alias("uid"), text.alias("text"))
     # Later copies of whole texts.
     digests = docs.where(own.isNotNull() & text.isNotNull()).select(own.alias("id"), F.xxhash64(own, text).alias("uid"), F.unhex(F.md5(text.cast("binary"))).alias("md5"))
-    first = digests.groupBy("md5").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = cut(digests.join(first, "md5").where("id > first").select("uid").distinct())
+    # Written, so that the join has plain shuffles on both sides and a large group of copies can be parted among tasks.
+    first = cut(digests.groupBy("md5").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    copies = cut(digests.join(first, "md5").where("id > first").select("id", "uid").distinct())
 
     segments = rows.mapInArrow(lambda b: _segments(b, window, gram), "m bigint, uid bigint, place bigint")
     often = segments.groupBy("m").agg(F.count("*").alias("n")).where("n > 1")
     listed = segments.join(often, "m").groupBy("uid").agg(F.collect_set(F.struct("m", "place", (F.col("n") > hot).alias("hot"))).alias("segments"))
-    listed = cut(listed.join(copies, "uid", "left_anti"))
+    listed = cut(listed.join(copies.select("uid"), "uid", "left_anti"))
 
     lists = rows.join(listed, "uid").select("id", "uid", "text", "segments")
     found = "shard bigint, content binary, id bigint, uid bigint, first int, size int"
@@ -322,9 +347,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
 
     where = lists.mapInArrow(lambda b: _occurrences(b, window, False), found).join(places, ["shard", "content"])
     again = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: ~((F.get("ids", i) == F.col("id")) & (F.get("firsts", i) == F.col("first") + i)))
-    starts = where.select("uid", F.transform(again, lambda i: F.col("first") + i).alias("starts")).where("size(starts) > 0")
-    marks = starts.select("uid", "starts", F.lit(False).alias("copy")).unionByName(copies.select("uid", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
-    marks = cut(marks.groupBy("uid").agg(F.collect_set("starts").alias("starts"), F.max("copy").alias("copy")))
-    judged = rows.join(marks, "uid", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
+    starts = where.select("id", "uid", F.transform(again, lambda i: F.col("first") + i).alias("starts")).where("size(starts) > 0")
+    marks = starts.select("id", "uid", "starts", F.lit(False).alias("copy")).unionByName(copies.select("id", "uid", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
+    marks = cut(marks.groupBy("id", "uid").agg(F.collect_set("starts").alias("starts"), F.max("copy").alias("copy")))
+    judged = rows.join(marks, ["id", "uid"], "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
     done = judged.mapInArrow(lambda b: _kept(b, window), "id bigint, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept string")
     return done.withColumnRenamed("id", id_col)

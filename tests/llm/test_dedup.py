@@ -63,17 +63,46 @@ def test_substring_dedup(spark, hot):
     assert substring_dedup(docs.limit(0)).count() == 0
 
 
-def test_fm_index_intervals_name_contents():
+def test_matching_statistics():
     r = np.random.default_rng(3)
-    t = np.concatenate([r.integers(1, 4, 400), [0]])
-    at = np.arange(400 - 6 + 1)
-    low, high = FMIndex(t, 6).intervals(t, at, 6)
-    kinds = {}
-    for p, a, b in zip(at, low, high):
-        kinds.setdefault(tuple(t[p : p + 6]), set()).add((a, b))
-        assert (b - a == 1) == (a < 0)
-        assert b - a == sum(tuple(t[q : q + 6]) == tuple(t[p : p + 6]) for q in at if q + 6 <= 400)
-    assert all(len(x) == 1 for x in kinds.values()) and len({next(iter(x)) for x in kinds.values()}) == len(kinds)
+    t = np.concatenate([r.integers(1, 4, 300), [7], r.integers(1, 5, 100), [0]])
+    ends = np.arange(9, 401)
+    for most in (1, 6, 10):
+        length, low, high = FMIndex(t, most).matching_statistics(t, ends, most)
+        kinds = {}
+        for e, n, a, b in zip(ends, length, low, high):
+            times = lambda k, e=e: sum(tuple(t[q - k + 1 : q + 1]) == tuple(t[e - k + 1 : e + 1]) for q in range(k - 1, 401))
+            want = next((k for k in range(most, 0, -1) if times(k) > 1), 0)
+            assert n == want and b - a == (times(want) if want else 0)
+            if n:
+                kinds.setdefault(tuple(t[e - n + 1 : e + 1]), set()).add((a, b))
+        assert all(len(x) == 1 for x in kinds.values())
+
+
+def test_own_repeats_are_compared_by_their_words(monkeypatch):
+    """Windows whose hashes are made equal are told apart."""
+    from lexweave.llm import substring_dedup as s
+
+    part = s._Part([b"a b c d a b c e a b", b"a b c d"], 3)
+    assert part.own_first.tolist() == [True, True, True, True, False, True, True, True, False, False, True, True]
+    monkeypatch.setattr(s, "gram_hashes", lambda words, k: np.zeros(len(words) - k + 1, dtype=np.uint64))
+    assert s._Part([b"a b c d a b c e a b", b"a b c d"], 3).own_first.tolist() == part.own_first.tolist()
+
+
+def test_substring_dedup_of_many_copies_and_a_hot_passage(spark, monkeypatch):
+    """Small shards, hot minimizers and a large group of copies, with ids and texts that repeat."""
+    from lexweave.llm import substring_dedup as s
+
+    monkeypatch.setattr(s, "INDEX_WORDS", 64)
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(90)]
+    line = [r.choice(words) for _ in range(25)]
+    rows = [(i, " ".join([r.choice(words) for _ in range(r.randint(0, 40))] + line * (i % 2) + [r.choice(words) for _ in range(30)])) for i in range(120)]
+    rows += [(500 + i, rows[3][1]) for i in range(150)] + [(7, rows[8][1]), (8, rows[7][1]), (None, rows[3][1])]
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id int, text string, starts string")
+    found = substring_dedup(docs, hot=5).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in found), key=str) == brute_substring(rows)
 
 
 def brute_join(rows):
