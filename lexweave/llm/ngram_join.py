@@ -33,8 +33,8 @@ BANDS, ROWS = 32, 4
 COMPARED = (16, 32, 64, 96, 128)
 #: Buckets with more classes are chained instead of compared.
 LARGE_BUCKET = 256
-#: Classes, and shingles, in a block of a cluster.
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Classes, and shingles, in a block of a cluster. A text goes to as many groups as its cluster has blocks.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 
 _rng = np.random.default_rng(20240601)
 _FACTORS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -147,8 +147,8 @@ def _pruned(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: floa
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in forest], pa.int64()), pa.array([y for _, y in forest], pa.int64())], names=["a", "b"])
 
 
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each two sets share."""
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each of the sets ``left`` shares with each of ``right``; both name all sets, or each set is in one of them."""
     m = len(sets)
     every = np.concatenate(sets)
     rows = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -157,7 +157,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     number = np.cumsum(common) - 1
     keep = common[column]
     rows, column = rows[keep], number[column[keep]]
-    out = np.zeros((m, m), dtype=np.float64)
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
     width = max(256, (1 << 22) // m)
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
@@ -166,7 +166,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
         s, e = np.searchsorted(column, [at, at + width])
         x = np.zeros((m, min(width, total - at)), dtype=np.float32)
         x[rows[s:e], column[s:e] - at] = 1
-        out += x @ x.T
+        out += x[left] @ x[right].T
     return out
 
 
@@ -182,19 +182,24 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> It
                 continue
             sets = list(shingle_sets(texts[s:e], k))
             n = np.array([len(x) for x in sets], dtype=np.float64)
-            linked = _shared(sets) * (1 + threshold) >= threshold * (n[:, None] + n[None, :]) - 1e-9
-            np.fill_diagonal(linked, False)
-            if left[s] != right[s]:
-                linked &= block[s:e, None] != block[None, s:e]
-            own = ids[s:e]
-            count = linked @ copies[s:e]
+            # One block is compared with itself, or the texts of one with those of another.
+            alone = left[s] == right[s]
+            here = np.arange(e - s) if alone else np.flatnonzero(block[s:e] == left[s])
+            there = here if alone else np.flatnonzero(block[s:e] == right[s])
+            linked = _shared(sets, here, there) * (1 + threshold) >= threshold * (n[here, None] + n[None, there]) - 1e-9
+            if alone:
+                np.fill_diagonal(linked, False)
+            own, times, count = ids[s:e], copies[s:e], np.zeros(e - s, dtype=np.int64)
+            count[here] = linked @ times[there]
+            if not alone:
+                count[there] = linked.T @ times[here]
             for x in np.flatnonzero(count).tolist():
                 out[0].append(int(own[x]))
                 out[1].append(None)
                 out[2].append(int(count[x]))
             f = Forest()
-            i, j = np.nonzero(np.triu(linked))
-            for x, y in zip(own[i].tolist(), own[j].tolist()):
+            i, j = np.nonzero(np.triu(linked) if alone else linked)
+            for x, y in zip(own[here[i]].tolist(), own[there[j]].tolist()):
                 f.union(x, y)
             for x, y in f.edges():
                 out[0].append(x)

@@ -177,6 +177,53 @@ def test_embedding_dedup(spark):
     assert embedding_dedup(docs.limit(0)).count() == 0
 
 
+def test_embedding_dedup_at_its_own_margin(spark, monkeypatch):
+    """Many cells in 64 dimensions, and blocks that are crossed: every link found is right, and 99 in 100 are found."""
+    from lexweave.llm import embedding_dedup as e
+
+    monkeypatch.setattr(e, "RESIDENTS", 40)
+    monkeypatch.setattr(e, "COLUMNS", 90)
+    monkeypatch.setattr(e, "HELD", 3000)
+    r = np.random.default_rng(14)
+    base = r.normal(size=(2500, 64))
+    pairs = base[r.integers(0, 600, 700)] + r.uniform(0.2, 0.5, size=(700, 1)) * r.normal(size=(700, 64))
+    group = base[700] + 0.2 * r.normal(size=(300, 64))
+    x = np.concatenate([base, pairs, group, np.repeat(base[701:702], 60, axis=0)]).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = {f.vec_id: f for f in e.embedding_dedup(docs, per_cell=32).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    want = linked.sum(axis=1)
+    got = np.array([found[i].n_links for i in range(len(x))])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() and want.sum() > 50_000
+    f = Forest()
+    for a, b in zip(*np.nonzero(np.triu(linked))):
+        f.union(int(a), int(b))
+    assert np.mean([found[i].component_id == f.find(i) for i in range(len(x))]) > 0.99
+    assert all(found[i].kept == (found[i].component_id == i) for i in range(len(x)))
+
+
+def test_ngram_join_over_blocks_and_large_buckets(spark, monkeypatch):
+    from lexweave.llm import ngram_join as n
+
+    monkeypatch.setattr(n, "BLOCK", 16)
+    monkeypatch.setattr(n, "LARGE_BUCKET", 20)
+    r = random.Random(17)
+    words = [f"w{i}" for i in range(300)]
+    base = [[r.choice(words) for _ in range(80)] for _ in range(4)]
+    rows = []
+    for i in range(200):
+        w = list(base[i % 4])
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice(words)
+        rows.append((i, " ".join(w)))
+    rows += [(300 + i, rows[i][1]) for i in range(30)] + [(400 + i, " ".join(r.choice(words) for _ in range(60))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((x.doc_id, x.n_links, x.class_id) for x in ngram_join(docs).collect()) == brute_join(rows)
+
+
 def test_keep_one_judges_each_text_of_an_id(spark):
     from hashlib import md5
 
