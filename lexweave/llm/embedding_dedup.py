@@ -28,8 +28,10 @@ THRESHOLD = 0.9
 MARGIN = 0.15
 #: Vectors that the centroids are trained on, at most.
 MAX_TRAINING_VECTORS = 16_384
-#: Classes a cell should hold, and centroids, at most; more than that only makes cells larger.
-PER_CELL, MAX_CELLS = 512, 1024
+#: Classes a cell should hold, and centroids, at most: one for each training vector. Beyond 8 million classes cells grow.
+PER_CELL, MAX_CELLS = 512, MAX_TRAINING_VECTORS
+#: Cosines with centroids that are held at a time.
+HELD = 1 << 22
 #: Centroids closer than this become one, so that one group of near copies has one cell.
 SAME_CENTROID = 0.8
 #: Residents, and residents with visitors, that one group compares.
@@ -40,18 +42,19 @@ MEETING = ["cell", "i", "j", "side", "rep", "copies", "home", "cells", "x"]
 def train_centroids(x: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     """Unit centroids of unit vectors ``x``: spherical k-means from the first ``cells`` rows, then without near copies."""
     centroids = x[:cells].copy()
+    strip = max(1, HELD // cells)
     for _ in range(rounds):
-        home = (x @ centroids.T).argmax(axis=1)
+        home = np.concatenate([(x[at : at + strip] @ centroids.T).argmax(axis=1) for at in range(0, len(x), strip)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, home, x)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), centroids)
-    kept: list[int] = []
-    close = centroids @ centroids.T >= SAME_CENTROID
-    for c in range(len(centroids)):
-        if not close[c, kept].any():
-            kept.append(c)
-    return centroids[kept]
+    kept, n = np.empty_like(centroids), 0
+    for c in centroids:
+        if not (kept[:n] @ c >= SAME_CENTROID).any():
+            kept[n] = c
+            n += 1
+    return kept[:n]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -65,7 +68,7 @@ def _assigned(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, margin:
         widths = np.array(b.column(2).value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
         home, cells = -widths, [[int(-w)] for w in widths]
         own = np.flatnonzero(widths == centroids.shape[1]) if len(centroids) else np.empty(0, dtype=np.int64)
-        for at in np.array_split(own, max(1, -(-len(own) // 2048))):
+        for at in np.array_split(own, max(1, -(-len(own) * len(centroids) // HELD))):
             if not len(at):
                 continue
             cosine = _matrix(b.column(2).take(pa.array(at)), centroids.shape[1]) @ centroids.T
