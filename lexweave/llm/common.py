@@ -5,29 +5,19 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..checkpoints import ensure_checkpoint_dir
+
 _MASK = (1 << 64) - 1
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _GRAM_BASE = np.uint64(0xD6E8FEB86659FD93 | 1)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's, else (tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -50,7 +40,10 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold ``most`` bytes at most: texts are long, and each task holds several copies of a batch."""
+    """``df``, in a session whose Arrow batches hold ``most`` bytes at most: texts are long, and each task holds several copies of a batch.
+
+    The plan runs later, under the session's setting, so the setting stays lowered; one that is lower already stays as it is.
+    """
     conf = df.sparkSession.conf
     now = conf.get(_BATCH_BYTES)
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most:
