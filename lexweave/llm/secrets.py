@@ -52,9 +52,10 @@ _ENDS = rf"&[\w.\-]{{1,40}}=|{_SECRET_NAME}[\"'`]?\s{{0,3}}[:=]|[.,;:)\]}}>]++(?
 _VALUE = r"(?![A-Za-z][A-Za-z0-9+.\-]{0,20}://)(?:" + "|".join(rf"{at}(?:(?!{_ENDS})[^\s{quotes}]){{8,}}+" for at, quotes in (('(?<=")', '"'), ("(?<=')", "'"), ("(?<=`)", "`"), ("(?<![\"'`])", "\"'`"))) + ")"
 _NAMED = rf"{RUN}*?{_SECRET_NAME}(?:{_ASSIGNED})"
 _WEB_TOKEN = r"eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{8,}+){1,4}+"
-_IN_URL = r"(?<=://[^\s/:@]{0,64}:)[^\s/:@]{8,}+(?=@)"
+_USER = r"://[^\s/:@]{0,64}+:"
+_IN_URL = rf"{_USER}[^\s/:@]{{8,}}+(?=@)"
 CANDIDATE = rf"(?<!{RUN}){_NAMED}{_VALUE}|{_WEB_TOKEN}|{_IN_URL}|{RUN}{{16,}}"
-NAMES = rf"\A(?:{_NAMED}(?={_VALUE})|(?:{_NAME}){{1,4}}(?=[^=]\S{{7}})|//++(?=[A-Za-z0-9]))"
+NAMES = rf"\A(?:{_NAMED}(?={_VALUE})|(?:{_NAME}){{1,4}}(?=[^=]\S{{7}})|{_USER}|//++(?=[A-Za-z0-9]))"
 # How issuers begin their keys.
 ISSUED = r"\A(?:gh[opsu]_|github_pat_|glpat-|sk[-_]|pk_live_|xox[abpr]-|AKIA|ASIA|AIza|eyJ)"
 
