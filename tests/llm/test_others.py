@@ -434,10 +434,10 @@ def plain_scan(trees, text):
 
 
 def test_secret_scan_against_a_plain_one(spark):
-    model = secrets.train(secrets.labelled_findings(spark, 3000), trees=5)
+    model = secrets.train(secrets.labelled_findings(spark, 3000), trees=3)
     r = random.Random(21)
     lines = [t for _, t in UNSEEN]
-    texts = [*lines, *("\n".join(r.choices(lines, k=r.randint(2, 9))) for _ in range(25)), "token=" * 5 + "x" * 20, "é" * 30 + " " + "Ab1" * 9 + "🎉" + "Cd2" * 9, None, ""]
+    texts = [*lines, *("\n".join(r.choices(lines, k=r.randint(2, 9))) for _ in range(8)), "token=" * 5 + "x" * 20, "é" * 30 + " " + "Ab1" * 9 + "🎉" + "Cd2" * 9, None, ""]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
     for x in secrets.secret_scan(docs, model).collect():
         want = plain_scan(model.trees, x.text or "")
@@ -489,3 +489,36 @@ def test_pipeline_stages(spark, tmp_path):
     cleaned = spark.read.parquet(f"{tmp_path}/2").where("doc_id = 320").first()
     assert "<SECRET>" in cleaned.text and cleaned.n_chars == len(cleaned.text)
     assert {x.doc_id for x in p.run(spark, str(tmp_path)).collect()} == ids
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, ties, an extra column and empty tables, stage by stage."""
+    import corpus_pipeline as p
+
+    r = random.Random(19)
+    prose = [words(r, 60) for _ in range(150)]
+    rows = [(i, t, "en", "src0", len(t), i) for i, t in enumerate(prose)]
+    key = "9b2f8c31d5e64a70b1c2d3e4f5a6b7c8"
+    rows += [(200, None, "en", "src1", None, 0), (201, "", None, None, 0, 0), (None, prose[0] + " tail", None, "src2", 1, 0), (202, f'a token = "{key}" ' + prose[1] + " " + prose[2], None, "zzz", 7, None)]
+    rows += [(203, prose[3], "en", "src0", 1, 1)] * 3 + [rows[5]] * 2 + [(204, " \n", "xx", "src3", 2, 2)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot int"
+    spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(None, 1, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    quality_left = p.quality(spark, docs, str(tmp_path))
+    assert quality_left.columns == docs.columns
+    left = quality_left.collect()
+    assert {x.doc_id for x in left} >= {200, 201, None} and sum(x.doc_id == 203 for x in left) in (0, 3) and sum(x.doc_id is not None and x.doc_id < 150 for x in left) >= 148
+    one = p.near_duplicates(spark, docs, str(tmp_path)).collect()
+    ids = [x.doc_id for x in one]
+    assert 203 not in ids and ids.count(5) == 1 and {200, 201, 202, 204, None} <= set(ids) and len(ids) == 150 + 5
+    hidden = {x.doc_id: x for x in p.secret_scan(spark, docs, str(tmp_path)).collect()}
+    assert hidden[202].text.startswith('a token = "<SECRET>" ') and hidden[202].n_chars == len(hidden[202].text)
+    assert (hidden[200].text, hidden[200].n_chars, hidden[201].text, hidden[1].n_chars) == (None, None, "", len(prose[1]))
+    mixed = p.mixture(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
+    coded = p.tokens(spark, docs, str(tmp_path)).collect()
+    assert len(coded) == len(rows) and {x.n_tokens for x in coded if x.doc_id in (200, 201)} == {0}
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert p.quality(spark, docs, str(tmp_path)).count() == len(rows)
