@@ -94,9 +94,14 @@ def tokens_of_stream(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"(?U)\S+\s*|\s+"), F.lit(0))
 
 
-def _packed(sentence: Column) -> Column:
-    """A sentence in pieces of at most ``LONGEST_SEGMENT``, cut between words, or inside a longer word."""
-    n = F.lit(LONGEST_SEGMENT)
+def wrap(x: Column, width: int) -> Column:
+    """A text's lines, each wrapped at ``width`` characters between words; a longer word is cut."""
+    return F.array_join(F.flatten(F.transform(F.split(x, "\n", -1), lambda line: _packed(line, width))), "\n")
+
+
+def _packed(sentence: Column, longest: int = LONGEST_SEGMENT) -> Column:
+    """A sentence in pieces of at most ``longest`` characters, cut between words, or inside a longer word."""
+    n = F.lit(longest)
     cut = lambda w: F.when(F.length(w) <= n, F.array(w)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / n).cast("int")), lambda i: F.substring(w, i * n + 1, n)))
     words = F.flatten(F.transform(F.split(sentence, " ", -1), cut))
 
@@ -113,7 +118,7 @@ def segments(x: Column) -> Column:
     """The segments of a text that can be cited: sentences, none longer than the cap, short ones joined to their neighbours."""
     none = F.expr("cast(array() as array<string>)")
     sentences = F.filter(F.transform(F.split(x, SENTENCE_END, -1), strip), lambda s: s != "")
-    pieces = F.flatten(F.transform(sentences, _packed))
+    pieces = F.flatten(F.transform(sentences, lambda s: _packed(s)))
 
     def join(done: Column, piece: Column) -> Column:
         short = (F.size(done) > 0) & (F.length(F.try_element_at(done, F.lit(-1))) < LEAST_QUOTE)

@@ -110,6 +110,18 @@ def statistical_floor(cases: DataFrame, floor: dict = FLOOR, subject: str = "mat
     return total.join(F.broadcast(big)).select(F.inline(rules)).withColumn("ok", F.col("value") >= F.col("least"))  # both sides are one row
 
 
+def gate(results: DataFrame, order: str = "id") -> DataFrame:
+    """Goal results up to the first that is not passed, that one included: a goal that was not measured is not passed."""
+    first = results.where(~F.col("passed")).agg(F.min(order).alias("_red"))
+    return results.crossJoin(F.broadcast(first)).where(F.col("_red").isNull() | (F.col(order) <= F.col("_red"))).drop("_red")  # first is one row
+
+
+def fallen(now: DataFrame, before: DataFrame, key: str = "file", count: str = "n") -> DataFrame:
+    """(``key``, was, is): counts that are lower than in the snapshot, 0 for what has gone."""
+    both = before.select(key, F.col(count).alias("was")).join(now.select(key, F.col(count).alias("is")), key, "left")
+    return both.withColumn("is", F.coalesce("is", F.lit(0).cast(now.schema[count].dataType))).where("is < was")
+
+
 def goal_results(goals: DataFrame, measured: DataFrame) -> DataFrame:
     """Each goal (id, operator, target) with its measured value: passed is false where nothing was measured."""
     v, t, o = F.col("valor"), F.col("target"), F.col("operator")

@@ -113,6 +113,11 @@ def greedy_dedupe(rows: DataFrame, edges: DataFrame, id_col: str = "id") -> Data
             return rows.join(gone, id_col, "left_anti")
 
 
+def random_case(cases: DataFrame, seed: str | int, id_col: str = "id") -> DataFrame:
+    """One case by draw: the same for the same seed."""
+    return cases.orderBy(draw_key(seed, F.col(id_col)), id_col).limit(1)
+
+
 def queue(rows: DataFrame, edges: DataFrame, total: int, subjects: int, seed: str | int, oversample: float = 1.25, subject: str = "tema", id_col: str = "source_id") -> DataFrame:
     """Draws more than is needed, drops near duplicates and trims each subject to its quota."""
     plan = quota_plan(rows, total, subjects, subject)

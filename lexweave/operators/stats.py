@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The modulus of hashed draws: 2 ** 31 - 1.
+PRIME = 2147483647
+#: The shares of a Poisson(1) weight of at most 0, 1, 2, ... 7.
+POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
+
+
 def paired_difference_ci(base: np.ndarray, head: np.ndarray, n_resamples: int, seed: int, level: float = 0.95) -> tuple[float, float, float]:
     """Point, low and high of the mean difference, by the percentile bootstrap over resampled cases."""
     if len(base) != len(head) or not len(base):
@@ -41,12 +47,19 @@ def bootstrap_ci_hashed(scores: DataFrame, n_resamples: int, seed: int, level: f
     """The same interval with hashed resampling, built-in functions only: no task holds a set of cases.
 
     Each case's weight in a resample is Poisson(1) by the hash of resample and
-    case, so resamples are sums that are taken before the shuffle.
+    case, so resamples are sums that are taken before the shuffle. A case is hashed
+    once, by MD5; case and resample are mixed by squares modulo a prime, which any
+    engine's 64-bit integers hold.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", F.col("case_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    bounds = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
-    weight = sum((F.when(u >= float(b), 1).otherwise(0) for b in bounds[1:]), F.when(u >= float(bounds[0]), 1).otherwise(0))
-    drawn = scores.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n_resamples)))).withColumn("w", weight)
+    p = F.lit(PRIME)
+    case = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("case_id").cast("string"))), 1, 7), 16, 10).cast("bigint")
+    first = (F.col("c") * 48271 + F.col("r") * 69621) % p
+    second = (first * first + F.col("r")) % p
+    third = (second * second + F.col("c")) % p
+    u = (third * third + first) % p / F.lit(float(PRIME))
+    weight = sum((F.when(F.col("u") >= float(b), 1).otherwise(0) for b in POISSON[1:]), F.when(F.col("u") >= float(POISSON[0]), 1).otherwise(0))
+    hashed = scores.select(by, "base", "head", case.alias("c"))
+    drawn = hashed.withColumn("r", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_resamples).cast("bigint")))).withColumn("u", u).withColumn("w", weight)
     means = drawn.groupBy(by, "r").agg((F.sum(F.col("w") * (F.col("head") - F.col("base"))) / F.sum("w")).alias("m"))
     interval = means.groupBy(by).agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
     point = scores.groupBy(by).agg(F.avg(F.col("head") - F.col("base")).alias("point"), F.count("*").alias("n"))

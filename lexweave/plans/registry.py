@@ -32,11 +32,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import more_queries  # noqa: F401  it adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: _SQL[name] for name in queries() if name in _SQL}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -440,9 +442,14 @@ def project_designator(spark, sf_dir):
     return t.select("title", "doc_id", structure.designator(F.col("plain")).alias("d"), structure.heading_rank(F.col("plain")).alias("rank")).select("title", "doc_id", "d.designator", "d.tipo", "rank")
 
 
-@query("SELECT doc_id, text, NOT regexp_matches(text, '(?i)\\(derogad[oa]') AS vigente FROM documents")
+# Documents are articles of their source's norm; every seventh says that it is repealed.
+@query("""SELECT source AS doc_id, doc_id AS pos, 'rd-' || doc_id AS articulo FROM documents WHERE regexp_matches(text, '[^\n]') AND doc_id % 7 <> 0 AND NOT regexp_matches(text, '(?i)\\(derogad[oa]')""")
 def filter_in_force(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", (~F.col("text").rlike(structure.REPEALED)).alias("vigente"))
+    lines = F.transform(F.split("text", "\n", -1), lambda t: F.struct(F.lit("parrafo").alias("class"), t.alias("text")))
+    repealed = F.when(F.col("doc_id") % 7 == 0, F.array(F.struct(F.lit("parrafo").alias("class"), F.lit("(Derogado).").alias("text")))).otherwise(F.expr("cast(array() as array<struct<class:string,text:string>>)"))
+    version = F.struct(F.lit("N-1/2000").alias("id_norma"), F.lit("20000101").alias("fecha_vigencia"))
+    blocks = table(spark, sf_dir, "documents").where("text rlike '[^\\n]'").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("pos"), F.lit("precepto").alias("tipo"), F.concat(F.lit("Artículo "), F.col("doc_id").cast("string")).alias("titulo"), version.alias("version"), F.concat(lines, repealed).alias("paras"), F.lit(None).cast("string").alias("error"))
+    return structure.units(blocks, F.lit("N-1/2000")).where("vigente").select("doc_id", "pos", "articulo")
 
 
 # Requests: the turns of a conversation are its sources; it cites one of them, literally or not.
@@ -495,19 +502,44 @@ def first_terminal(spark, sf_dir):
     return verification.courses(_attempts(spark, sf_dir)).select("request_id", "salida", "reintentos", "motivo")
 
 
-@query(f"WITH {COURSES}, e AS (SELECT request_id, 'sources' AS event, 1 AS n FROM course UNION ALL SELECT request_id, 'retract', reintentos FROM course UNION ALL SELECT request_id, unnest(CASE WHEN salida = 'responder' THEN ['token', 'citations'] ELSE ['abstain'] END), 1 FROM course UNION ALL SELECT request_id, 'done', 1 FROM course) SELECT event, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY 1 HAVING sum(n) > 0")
+_EVENTS = rf"""WITH {VERIFY_CTE}, {COURSES}, k AS (SELECT request_id, list(turn::VARCHAR ORDER BY turn) AS turns FROM ({ATTEMPTS}) GROUP BY 1),
+d AS (SELECT course.*, r.n, r.quote, s.t, s.k, k.turns, conv_id % 7 = 0 AS bare FROM course JOIN r ON r.conv_id = request_id JOIN s USING (conv_id) JOIN k USING (request_id)),
+e AS (SELECT request_id, [struct_pack(event := 'sources', data := to_json(struct_pack(fuentes := list_transform(t, lambda x, i: struct_pack(legal_ref := 'N-1/2000#art' || k[i], n := i, titulo := split_part(x, chr(10), 1)))))::VARCHAR)]
+|| list_transform(range(1, reintentos + 1), lambda i: struct_pack(event := 'retract', data := to_json(struct_pack(intento := i, motivo := CASE WHEN i = reintentos AND motivo IS NOT NULL THEN motivo ELSE 'no_verificado' END))::VARCHAR))
+|| CASE WHEN salida = 'responder' THEN [struct_pack(event := 'token', data := to_json(struct_pack(texto := 'text'))::VARCHAR), struct_pack(event := 'citations', data := CASE WHEN bare THEN to_json(struct_pack(citas := [struct_pack(legal_ref := turns[reintentos + 1])])) ELSE to_json(struct_pack(citas := [struct_pack(legal_ref := turns[reintentos + 1], n := n, quote := coalesce(quote, ''))])) END::VARCHAR)]
+ELSE [struct_pack(event := 'abstain', data := to_json(struct_pack(motivo := coalesce(motivo, 'sin_fuentes'), reintentos := reintentos))::VARCHAR)] END
+|| [struct_pack(event := 'done', data := to_json(struct_pack(reintentos := reintentos, salida := salida))::VARCHAR)] AS es FROM d)
+SELECT request_id, CAST(i - 1 AS INTEGER) AS seq, es[i].event AS event, es[i].data AS data FROM (SELECT *, unnest(range(1, len(es) + 1)) AS i FROM e)"""
+
+
+@query(_EVENTS)
 def sse_events(spark, sf_dir):
     course = verification.courses(_attempts(spark, sf_dir))
     full = course.join(_requests(spark, sf_dir).select("request_id", "sources", "citations"), "request_id").withColumn("answer", F.lit("text"))
-    return verification.sse_events(full).groupBy("event").agg(F.count("*").alias("n"))
+    return verification.sse_events(full)
 
 
-@query()
+# Sentence ends are found twice, for a match takes in the first character of the next sentence. Pieces are packed and joined by folds over lists.
+def segments_cte(source: str) -> str:
+    """CTEs that add ``segs`` to the rows (id, text) of ``source``, as seg(id, text, segs)."""
+    end = r"""regexp_replace({}, '(^|[^0-9])([.:;])\s+([¿¡"«A-ZÁÉÍÓÚÑ0-9])', '\1\2' || chr(1) || '\3', 'g')"""
+    return rf"""
+seg1 AS (SELECT id, text, list_filter(list_transform(string_split_regex({end.format(end.format("text"))}, '\x01|\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM {source}),
+seg2 AS (SELECT id, text, flatten(list_transform(ss, lambda s: CASE WHEN length(s) <= 300 THEN [s] ELSE list_reduce(list_transform(flatten(list_transform(string_split(s, ' '), lambda w: CASE WHEN length(w) <= 300 THEN [w] ELSE list_transform(range(0, (length(w) + 299) // 300), lambda i: substr(w, i * 300 + 1, 300)) END)), lambda w: [w]),
+  lambda acc, w: CASE WHEN acc[len(acc)] = '' OR length(acc[len(acc)]) + 1 + length(w[1]) <= 300 THEN list_slice(acc, 1, len(acc) - 1) || [CASE WHEN acc[len(acc)] = '' THEN w[1] ELSE acc[len(acc)] || ' ' || w[1] END] ELSE acc || w END) END)) AS ps FROM seg1),
+seg3 AS (SELECT id, text, CASE WHEN len(ps) = 0 THEN [] ELSE list_reduce(list_transform(ps, lambda p: [p]), lambda acc, p: CASE WHEN length(acc[len(acc)]) < 12 THEN list_slice(acc, 1, len(acc) - 1) || [acc[len(acc)] || ' ' || p[1]] ELSE acc || p END) END AS js FROM seg2),
+seg AS (SELECT id, text, CASE WHEN len(js) > 1 AND length(js[len(js)]) < 12 THEN list_slice(js, 1, len(js) - 2) || [js[len(js) - 1] || ' ' || js[len(js)]] ELSE js END AS segs FROM seg3)"""
+
+
+@query(f"WITH src AS (SELECT doc_id AS id, text FROM documents), {segments_cte('src')} SELECT id AS doc_id, CAST(i - 1 AS INTEGER) AS pos, segs[i] AS segment FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS i FROM seg)")
 def segments(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.segments(F.col("text"))).alias("pos", "segment"))
 
 
-@query()
+@query(rf"""WITH {VERIFY_CTE}, src AS (SELECT conv_id AS id, t[1] AS text FROM s), {segments_cte('src')},
+l AS (SELECT conv_id, coalesce(t[2], '') AS x, segs FROM s JOIN seg ON id = conv_id)
+SELECT conv_id AS request_id, 'It is so.' AS prose, 0 AS pos, 1 AS n, coalesce(segs[1], '') AS quote, 1 AS segmento FROM l
+UNION ALL SELECT conv_id, 'It is so.', 1, 2, CASE WHEN contains(x, chr(10)) THEN regexp_replace('«' || split_part(x, chr(10), 1), '\s+$', '') ELSE regexp_replace(x, '^\s+|\s+$', '', 'g') END, NULL FROM l""")
 def parse_draft(spark, sf_dir):
     r = _requests(spark, sf_dir)
     draft = F.concat(F.lit("CITAS\n[[REF:1]] §1\n[[REF:2]] «"), F.coalesce(F.get("sources", F.lit(1))["texto"], F.lit("")), F.lit("»\nRESPUESTA\nIt is so.\n"))
@@ -515,7 +547,10 @@ def parse_draft(spark, sf_dir):
     return d.select("request_id", F.col("parts.prose").alias("prose"), F.posexplode(C.parse_citations(F.col("parts.lines"), F.col("sources"))).alias("pos", "c")).select("request_id", "prose", "pos", "c.n", "c.quote", "c.segmento")
 
 
-@query()
+@query(rf"""WITH src AS (SELECT struct_pack(c := conv_id, t := turn) AS id, text FROM conversations), {segments_cte('src')},
+fit AS (SELECT id, list_filter(range(1, len(segs) + 1), lambda i: i = 1 OR list_sum(list_transform(list_slice(segs, 1, i - 1), lambda x: length(x) + 1)) + length(segs[i]) <= 500) AS f, segs FROM seg),
+shown AS (SELECT id, array_to_string(list_transform(f, lambda i: '(' || i || ') ' || segs[i]), ' ') AS x FROM fit)
+SELECT id.c AS request_id, string_agg('[' || rn || '] ' || x, chr(10) || chr(10) ORDER BY rn) AS blocks FROM (SELECT *, row_number() OVER (PARTITION BY id.c ORDER BY id.t) AS rn FROM shown) GROUP BY 1""")
 def source_blocks(spark, sf_dir):
     return _requests(spark, sf_dir).select("request_id", C.source_blocks(F.col("sources")).alias("blocks"))
 
@@ -536,7 +571,19 @@ def near_duplicate_pairs(spark, sf_dir):
     return sampling.near_pairs(table(spark, sf_dir, "embeddings"), 0.4, "vec_id", "embedding").withColumn("cosine", F.round("cosine", 6))
 
 
-@query()
+# Rows go by one after another; one stays if none of its earlier neighbours has stayed.
+def greedy_cte(rows: str, edges: str) -> str:
+    """CTEs over ``rows`` (id) and ``edges`` (a < b); the ids that stay are kept(id). Needs WITH RECURSIVE."""
+    return f"""
+nb AS (SELECT r.id, row_number() OVER (ORDER BY r.id) AS rn, coalesce(e.bs, []) AS bs FROM {rows} r LEFT JOIN (SELECT b, list(a) AS bs FROM {edges} GROUP BY b) e ON e.b = r.id),
+walk(rn, stay) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT nb.rn, CASE WHEN list_has_any(stay, bs) THEN stay ELSE stay || [nb.id] END FROM walk JOIN nb ON nb.rn = walk.rn + 1),
+kept AS (SELECT unnest(stay) AS id FROM (SELECT stay FROM walk ORDER BY rn DESC LIMIT 1))"""
+
+
+PAIRS_CTE = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.4)"
+
+
+@query(f"WITH RECURSIVE {PAIRS_CTE}, ids AS (SELECT vec_id AS id FROM embeddings), {greedy_cte('ids', 'pairs')} SELECT id AS vec_id FROM kept")
 def greedy_dedupe(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return sampling.greedy_dedupe(e.select("vec_id"), sampling.near_pairs(e, 0.4, "vec_id", "embedding"), "vec_id")
@@ -698,10 +745,19 @@ def bootstrap_ci(spark, sf_dir):
     return stats.bootstrap_ci(o, N_RESAMPLES, 7)
 
 
-@query()
+_WEIGHT = " + ".join(f"CASE WHEN u >= {float(b)!r} THEN 1 ELSE 0 END" for b in stats.POISSON)
+
+
+@query(f"""WITH c AS (SELECT toxic::DOUBLE AS base, quality::DOUBLE AS head, ('0x' || substr(md5('7|' || doc_id), 1, 7))::BIGINT AS c FROM labels),
+x AS (SELECT base, head, c, r, (c * 48271 + r * 69621) % {stats.PRIME} AS f FROM c, (SELECT unnest(range(1, {N_RESAMPLES} + 1)) AS r)),
+y AS (SELECT *, (f * f + r) % {stats.PRIME} AS g FROM x), z AS (SELECT *, (g * g + c) % {stats.PRIME} AS h FROM y),
+d AS (SELECT base, head, r, ((h * h + f) % {stats.PRIME}) / {stats.PRIME}.0::DOUBLE AS u FROM z),
+m AS (SELECT r, sum(w * (head - base)) / sum(w) AS m FROM (SELECT *, {_WEIGHT} AS w FROM d) GROUP BY r)
+SELECT 'quality' AS metric, (SELECT round(avg(head - base), 9) FROM c) AS point, round(quantile_cont(m, {(1 - 0.95) / 2!r}), 9) AS low, round(quantile_cont(m, {(1 + 0.95) / 2!r}), 9) AS high, (SELECT count(*) FROM c) AS n FROM m""")
 def bootstrap_ci_hashed(spark, sf_dir):
     o = table(spark, sf_dir, "labels").select(F.lit("quality").alias("metric"), F.col("doc_id").alias("case_id"), F.col("toxic").cast("double").alias("base"), F.col("quality").cast("double").alias("head"))
-    return stats.bootstrap_ci_hashed(o, N_RESAMPLES, 7)
+    found = stats.bootstrap_ci_hashed(o, N_RESAMPLES, 7)
+    return found.select("metric", *[F.round(c, 9).alias(c) for c in ("point", "low", "high")], "n")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
