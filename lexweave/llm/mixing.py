@@ -103,7 +103,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], other_weight: int =
 
     ``weights`` are positive integers by source. Rows of any other source, and
     with a null source, form one more class with ``other_weight``. Within a source
-    rows come in the order of a hash of their id; equal rows (repeated, or with a
+    rows come in the order of buckets and MD5 of their id; equal rows (repeated, or with a
     null id) stand side by side in any order. No row is dropped: when a source
     ends, the others go on by their weights. An empty table gives an empty result.
     Columns of ``docs`` named like results are replaced.
@@ -130,7 +130,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], other_weight: int =
     phases, slots = plan(own, {k: -(-n // block_rows) for k, n in sizes.items()}, lambda rows: pieces.append(cut(written(rows))), most)
 
     buckets = F.element_at(F.create_map(*[F.lit(x) for k in own for x in (k, -(-sizes.get(k, 1) // rows_per_bucket))]), kind)
-    rows = docs.withColumns({"_k": kind, "_h": F.xxhash64(F.col(id_col).cast("string"))}).withColumn("_b", F.pmod("_h", buckets.cast("bigint")))
+    drawn = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")  # as any engine can draw
+    rows = docs.withColumns({"_k": kind, "_h": drawn}).withColumn("_b", F.pmod("_h", buckets.cast("bigint")))
     counts = rows.groupBy("_k", "_b").count().withColumn("_g", F.floor(F.col("_b") / BUCKETS_PER_GROUP))
     groups = counts.groupBy("_k", "_g").agg(F.sum("count").alias("n"))
     groups = groups.select("_k", "_g", (F.sum("n").over(Window.partitionBy("_k").orderBy("_g")) - F.col("n")).alias("_start"))

@@ -11,7 +11,7 @@ from . import secrets
 from .bpe_automaton import bpe_round_trip
 from .common import read_table
 from .embedding_dedup import embedding_dedup
-from .mixing import mix_sources
+from .mixing import BLOCK_ROWS, ROWS_PER_BUCKET, mix_sources
 from .ngram_join import ngram_join
 from .quality import quality_classifier
 from .substring_dedup import substring_dedup
@@ -93,6 +93,26 @@ FROM (
 )
 """
 
+# The schedule slot by slot: of the blocks that are released the one that is due first.
+_MIXING_SQL = f"""
+WITH RECURSIVE w AS (SELECT * FROM (VALUES {", ".join(f"('s{s}', {w})" for s, w in WEIGHTS.items())}, ('o', 1)) AS t(k, w)),
+d AS (SELECT doc_id, source, CASE WHEN source IN ({", ".join(f"'{s}'" for s in WEIGHTS)}) THEN 's' || source ELSE 'o' END AS k, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+z AS (SELECT k, w, count(*) AS n, (count(*) + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS blocks, (count(*) + {ROWS_PER_BUCKET - 1}) // {ROWS_PER_BUCKET} AS buckets, row_number() OVER (ORDER BY k) AS i FROM d JOIN w USING (k) GROUP BY k, w),
+r AS (SELECT doc_id, source, k, row_number() OVER (PARTITION BY k ORDER BY h % buckets, h, doc_id) - 1 AS row FROM d JOIN z USING (k)),
+l AS (SELECT list(w ORDER BY i) AS ws, list(blocks ORDER BY i) AS bs, count(*) AS m FROM z),
+walk(slot, s, given, rest, pick) AS (
+  SELECT 0::BIGINT, 0::BIGINT, list_transform(bs, lambda x: 0::BIGINT), bs, NULL::BIGINT FROM l
+  UNION ALL
+  SELECT slot + 1, CASE WHEN rest[p] = 1 THEN 0 ELSE s + 1 END, CASE WHEN rest[p] = 1 THEN list_transform(given, lambda x: 0::BIGINT) ELSE list_transform(given, lambda x, j: x + (j = p)::BIGINT) END, list_transform(rest, lambda x, j: x - (j = p)::BIGINT), p
+  FROM (SELECT *, list_min(list_transform(list_filter(range(1, m + 1), lambda j: rest[j] > 0 AND (given[j] * total) // ws[j] <= s), lambda j: struct_pack(due := ((given[j] + 1) * total + ws[j] - 1) // ws[j], j := j))).j AS p
+    FROM (SELECT walk.*, ws, m, list_sum(list_transform(range(1, m + 1), lambda j: CASE WHEN rest[j] > 0 THEN ws[j] ELSE 0 END))::BIGINT AS total FROM walk, l WHERE list_sum(rest) > 0))
+),
+placed AS (SELECT k, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block FROM walk JOIN z ON z.i = pick),
+sized AS (SELECT k, slot, block, least({BLOCK_ROWS}, n - {BLOCK_ROWS} * block) AS size FROM placed JOIN z USING (k)),
+begun AS (SELECT k, slot, block, sum(size) OVER (ORDER BY slot) - size AS start FROM sized)
+SELECT doc_id, source, block, slot, CAST(start + row % {BLOCK_ROWS} AS BIGINT) AS position FROM r JOIN begun ON begun.k = r.k AND begun.block = r.row // {BLOCK_ROWS}
+"""
+
 _TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
@@ -141,4 +161,4 @@ SELECT doc_id, coalesce(rep_id, doc_id) AS rep_id, class_id, coalesce(n, 0) AS n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": _SUBSTRING_SQL, "op4_embedding_dedup": _EMBEDDING_SQL, "op5_topk_search": _TOPK_SQL, "op6_url_filters": _URL_SQL, "op10_ngram_join": _JOIN_SQL}
+    return {"op1_mixing": _MIXING_SQL, "op2_substring_dedup": _SUBSTRING_SQL, "op4_embedding_dedup": _EMBEDDING_SQL, "op5_topk_search": _TOPK_SQL, "op6_url_filters": _URL_SQL, "op10_ngram_join": _JOIN_SQL}
