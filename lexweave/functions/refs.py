@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DASHES, nfkc, strip
+from .text import DASHES, bound, nfkc, strip
 
 #: Match levels, from coarse to fine.
 NORM, ARTICLE, PARAGRAPH = 0, 1, 2
@@ -19,38 +19,43 @@ ARTICLE_MARK = r"\A(?:art[íi]culo|art)\.?"
 
 def normalize_ref(raw: Column, ascii_only: bool = False) -> Column:
     """The canonical spelling of a reference, whatever it refers to; ``ascii_only`` skips NFKC."""
-    text = strip(F.translate(raw if ascii_only else nfkc(raw), DASHES, "-" * len(DASHES)))
-    text = F.regexp_replace(F.regexp_replace(text, r"(?U)\s*#\s*", "#"), r"(?U)\s*\.\s*", ".")
-    norm = F.regexp_replace(strip(F.substring_index(text, "#", 1)), r"(?U)\s+", "-")
-    rest = F.lower(F.regexp_extract(text, r"(?s)\A[^#]*#(.*)\z", 1))
-    marked = F.concat(F.lit("#art"), F.regexp_replace(F.regexp_replace(rest, ARTICLE_MARK, ""), r"(?U)\s+", ""))
-    plain = F.concat(F.lit("#"), F.regexp_replace(rest, r"(?U)\s+", ""))
-    return F.when(text.contains("#"), F.concat(norm, F.when(rest.rlike(ARTICLE_MARK), marked).otherwise(plain))).otherwise(norm)
+    plain = strip(F.translate(raw if ascii_only else nfkc(raw), DASHES, "-" * len(DASHES)))
+
+    def spelled(text: Column) -> Column:
+        norm = F.regexp_replace(strip(F.substring_index(text, "#", 1)), r"(?U)\s+", "-")
+        tail = lambda rest: F.when(rest.rlike(ARTICLE_MARK), F.concat(F.lit("#art"), F.regexp_replace(F.regexp_replace(rest, ARTICLE_MARK, ""), r"(?U)\s+", ""))).otherwise(F.concat(F.lit("#"), F.regexp_replace(rest, r"(?U)\s+", "")))
+        rest = F.lower(F.regexp_extract(text, r"(?s)\A[^#]*#(.*)\z", 1))
+        return F.when(text.contains("#"), F.concat(norm, bound(rest, tail))).otherwise(norm)
+
+    return bound(F.regexp_replace(F.regexp_replace(plain, r"(?U)\s*#\s*", "#"), r"(?U)\s*\.\s*", "."), spelled)
 
 
 def parse_ref(raw: Column, ascii_only: bool = False) -> Column:
     """struct(norma, articulo, apartado, error); where error is set the others are null."""
-    text = normalize_ref(raw, ascii_only)
-    norm, rest = F.substring_index(text, "#", 1), F.regexp_extract(text, r"(?s)\A[^#]*#(.*)\z", 1)
-    designator = F.substring(rest, 4, 1 << 30)
-    article = F.substring_index(designator, ".", 1)
-    dotted = designator.contains(".")
-    paragraph = F.regexp_extract(designator, r"(?s)\A[^.]*\.(.*)\z", 1)
-    has = text.contains("#")
-    error = (
-        F.when(raw.isNull() | (text == ""), "empty")
-        .when(F.length(text) - F.length(F.replace(text, F.lit("#"), F.lit(""))) > 1, "several references")
-        .when(~norm.rlike(NORM_FORM), "unknown norm")
-        .when(~has, F.lit(None).cast("string"))
-        .when(~rest.startswith("art"), "no article mark")
-        .when(designator == "", "mark without designator")
-        .when(dotted & (paragraph == ""), "empty paragraph")
-        .when(article == "", "empty article")
-        .when(~article.rlike(DESIGNATOR_FORM), "designator not canonical")
-        .when(dotted & ~paragraph.rlike(PARAGRAPH_FORM), "paragraph not canonical")
-    )
-    fine = error.isNull()
-    return F.struct(F.when(fine, norm).alias("norma"), F.when(fine & has, article).alias("articulo"), F.when(fine & has & dotted, paragraph).alias("apartado"), error.alias("error"))
+
+    def parts(text: Column) -> Column:
+        rest = F.regexp_extract(text, r"(?s)\A[^#]*#(.*)\z", 1)
+        designator = F.substring(rest, 4, 1 << 30)
+        paragraph = F.regexp_extract(designator, r"(?s)\A[^.]*\.(.*)\z", 1)
+        return F.struct(text.alias("text"), F.substring_index(text, "#", 1).alias("norm"), rest.alias("rest"), designator.alias("designator"), F.substring_index(designator, ".", 1).alias("article"), paragraph.alias("paragraph"), text.contains("#").alias("has"), designator.contains(".").alias("dotted"))
+
+    def judged(p: Column) -> Column:
+        text, norm, rest, designator, article, paragraph, has, dotted = (p[c] for c in ("text", "norm", "rest", "designator", "article", "paragraph", "has", "dotted"))
+        error = (
+            F.when(text.isNull() | (text == ""), "empty")
+            .when(F.length(text) - F.length(F.replace(text, F.lit("#"), F.lit(""))) > 1, "several references")
+            .when(~norm.rlike(NORM_FORM), "unknown norm")
+            .when(~has, F.lit(None).cast("string"))
+            .when(~rest.startswith("art"), "no article mark")
+            .when(designator == "", "mark without designator")
+            .when(dotted & (paragraph == ""), "empty paragraph")
+            .when(article == "", "empty article")
+            .when(~article.rlike(DESIGNATOR_FORM), "designator not canonical")
+            .when(dotted & ~paragraph.rlike(PARAGRAPH_FORM), "paragraph not canonical")
+        )
+        return bound(error, lambda e: F.struct(F.when(e.isNull(), norm).alias("norma"), F.when(e.isNull() & has, article).alias("articulo"), F.when(e.isNull() & has & dotted, paragraph).alias("apartado"), e.alias("error")))
+
+    return bound(bound(normalize_ref(raw, ascii_only), parts), judged)
 
 
 def parse_ref_strict(raw: Column) -> Column:

@@ -7,6 +7,7 @@ all else stays in the JVM. ``(?U)`` makes Java's classes follow Unicode.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -38,6 +39,11 @@ def _bare(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts.to_pylist()], pa.string())
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``x``, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(x), lambda v: use(v)), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
 

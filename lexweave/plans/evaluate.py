@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.refs import article_of
+from ..functions.refs import article_of, cites
 from ..operators import metrics as M
 
 
-def at_article_level(cases: DataFrame, retrieved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides cut to articles; references that become equal still count apart."""
-    return cases.withColumn("refs", F.transform("refs", article_of)), retrieved.withColumn("legal_ref", article_of(F.col("legal_ref")))
-
-
 def eval_retrieval(cases: DataFrame, channels: dict[str, DataFrame], ks: tuple[int, ...] = (5, 30)) -> DataFrame:
-    """(channel, reading, id, valor, n): recall at each k, strict and by article, of each channel's ranking."""
-    out = None
+    """(channel, reading, id, valor, n): recall at each k, strict and by article, of each channel's ranking.
+
+    By article both sides are cut to articles; references that become equal still
+    count apart. Each wanted reference's first place in each ranking decides all k
+    at once, so a ranking is read once.
+    """
+    readings = lambda ref: F.explode(F.array(F.struct(F.lit("strict").alias("reading"), ref.alias("ref")), F.struct(F.lit("article").alias("reading"), article_of(ref).alias("ref"))))
+    names = F.array(*map(F.lit, channels))
+    every = None
     for name, ranking in channels.items():
-        for reading, (c, r) in {"strict": (cases, ranking), "article": at_article_level(cases, ranking)}.items():
-            for k in ks:
-                one = M.recall_at_k(c, r, k).select(F.lit(name).alias("channel"), F.lit(reading).alias("reading"), "id", "valor", "n")
-                out = one if out is None else out.unionByName(one)
-    return out
+        one = ranking.where(F.col("rank") <= max(ks)).select(F.lit(name).alias("channel"), F.col("caso_id").alias("id"), "rank", "legal_ref")
+        every = one if every is None else every.unionByName(one)
+    hits = every.select("channel", "id", "rank", readings(F.col("legal_ref")).alias("h")).select("channel", "id", "rank", "h.reading", F.col("h.ref").alias("legal_ref"))
+    wanted = cases.select("id", F.posexplode("refs").alias("pos", "want")).select("id", "pos", F.explode(names).alias("channel"), readings(F.col("want")).alias("w")).select("id", "pos", "channel", "w.reading", F.col("w.ref").alias("want"))
+    place = F.min(F.when(cites(F.col("legal_ref"), F.col("want")), F.col("rank")))
+    first = wanted.join(hits, ["channel", "reading", "id"], "left").groupBy("channel", "reading", "id", "pos").agg(place.alias("place"))
+    each = first.groupBy("channel", "reading", "id").agg(*[F.avg(F.coalesce(F.col("place") <= k, F.lit(False)).cast("double")).alias(f"k{k}") for k in ks])
+    means = each.groupBy("channel", "reading").agg(F.count("*").alias("n"), *[F.avg(f"k{k}").alias(f"k{k}") for k in ks])
+    grid = cases.sparkSession.range(1).select(F.explode(names).alias("channel")).withColumn("reading", F.explode(F.array(F.lit("strict"), F.lit("article"))))
+    rows = F.explode(F.array(*[F.struct(F.lit(f"recall@{k}").alias("id"), F.col(f"k{k}").alias("valor")) for k in ks]))
+    return grid.join(means, ["channel", "reading"], "left").select("channel", "reading", rows.alias("r"), F.coalesce("n", F.lit(0)).alias("n")).select("channel", "reading", "r.id", "r.valor", "n")
 
 
 def eval_answers(cases: DataFrame, predictions: DataFrame, known_refs: DataFrame, citations: DataFrame | None = None) -> DataFrame:
