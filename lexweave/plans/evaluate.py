@@ -45,6 +45,17 @@ def eval_answers(cases: DataFrame, predictions: DataFrame, known_refs: DataFrame
     return out
 
 
+def eval_agent(cases: DataFrame, predictions: DataFrame, known_refs: DataFrame, results: DataFrame, citations: DataFrame | None = None) -> DataFrame:
+    """The answer metrics, and the abstentions by reason as rows ``motivo:<reason>`` with their share and number.
+
+    ``results`` has motivo for each abstained request.
+    """
+    reasons = M.abstain_by_reason(results)
+    total = results.agg(F.count("*").alias("all"))
+    shares = reasons.crossJoin(F.broadcast(total)).select(F.concat(F.lit("motivo:"), "motivo").alias("id"), (F.col("n") / F.col("all")).alias("valor"), "n")  # total is one row
+    return eval_answers(cases, predictions, known_refs, citations).unionByName(shares)
+
+
 def smoke(hits: DataFrame, known_refs: DataFrame) -> DataFrame:
     """(query_id, unknown, found) of each question's hits: references that the index lacks, and whether any is known."""
     flagged = hits.join(known_refs.select(F.col("ref").alias("legal_ref"), F.lit(True).alias("known")).distinct(), "legal_ref", "left")

@@ -68,6 +68,35 @@ def metadata(chunker: Column, version: Column, in_force: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].cast("string").alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+# The columns of each table, their types, and whether they must have a value.
+TABLES = {
+    "versions": [("id", "string", True), ("embedding_model", "string", True), ("dim", "int", True), ("distance", "string", True), ("chunker_id", "string", True), ("corpus_snapshot", "string", True), ("physical_table", "string", True), ("created_at", "timestamp", True)],
+    "aliases": [("alias", "string", True), ("index_version", "string", True), ("physical_table", "string", True), ("switched_at", "timestamp", True)],
+    "chunks": [("chunk_id", "string", True), ("index_version", "string", True), ("content", "string", True), ("content_hash", "string", True), ("embedding", "array<double>", True), ("ref", "string", True), ("norma", "string", True), ("articulo", "string", False), ("apartado", "string", False)],
+    "document_state": [("doc_id", "string", True), ("source_uri", "string", True), ("doc_hash", "string", True), ("state", "string", True), ("quarantine_reason", "string", False), ("n_chunks", "int", False), ("last_seen_at", "timestamp", True)],
+}
+NOW = ("created_at", "switched_at", "last_seen_at")
+
+
+def conform(rows: DataFrame, table: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` first, cast to its types; others follow.
+
+    A time that isn't given is now, any other missing column is an error, and a
+    null where there must be a value, or a distance other than cosine, fails the query.
+    """
+    out = []
+    for name, kind, needed in TABLES[table]:
+        if name not in rows.columns and (needed and name not in NOW):
+            raise ValueError(f"{table} has no column {name}")
+        given = F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+        given = F.coalesce(given, F.current_timestamp()) if name in NOW else given
+        wrong = given.isNull() if needed else F.lit(False)
+        wrong = wrong | (given != "cosine") if name == "distance" else wrong
+        out.append(F.when(wrong, F.raise_error(F.lit(f"{table}.{name} breaks its rule")).cast(kind)).otherwise(given).alias(name))
+    known = {name for name, *_ in TABLES[table]}
+    return rows.select(*out, *[c for c in rows.columns if c not in known])
+
+
 def violations(chunks: DataFrame, dim: int | None = None) -> DataFrame:
     """(chunk_id, rule) of rows that break the table's constraints."""
     rules: dict[str, Column] = {

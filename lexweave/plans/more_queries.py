@@ -144,6 +144,23 @@ def eval_answers(spark, sf_dir):
     return _rounded(evaluate.eval_answers(cases, _predictions(spark, sf_dir), cases.select(F.explode("refs").alias("ref"))))
 
 
+_REASONS = "SELECT CASE WHEN conv_id % 3 = 0 THEN 'sin_citas' WHEN conv_id % 3 = 1 THEN 'quote_no_literal' ELSE 'sin_motivo_declarado' END AS m, count(*) AS n FROM conversations GROUP BY 1"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_SQL[name]})" for name in _ANSWERS) + f" UNION ALL SELECT 'motivo:' || m, round(n::DOUBLE / sum(n) OVER (), 9), n FROM ({_REASONS})")
+def eval_agent(spark, sf_dir):
+    cases = _cases(spark, sf_dir)
+    i = F.col("conv_id") % 3
+    results = table(spark, sf_dir, "conversations").select(F.when(i == 0, "sin_citas").when(i == 1, "quote_no_literal").alias("motivo"))
+    return _rounded(evaluate.eval_agent(cases, _predictions(spark, sf_dir), cases.select(F.explode("refs").alias("ref")), results))
+
+
+@query("SELECT p_partkey::VARCHAR AS id, p_brand AS embedding_model, p_size::INTEGER AS dim, 'cosine' AS distance, p_type AS chunker_id, '2024' AS corpus_snapshot, 'chunks' AS physical_table, p_name AS more FROM part")
+def schema_conform(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("more"), F.col("p_size").alias("dim"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("embedding_model"), F.lit("cosine").alias("distance"), F.col("p_type").alias("chunker_id"), F.lit(2024).alias("corpus_snapshot"), F.lit("chunks").alias("physical_table"))
+    return index.conform(p, "versions").drop("created_at")
+
+
 @query("""WITH c AS (SELECT doc_id::VARCHAR AS id, CASE WHEN lang = 'en' THEN 'negativo' ELSE 'positivo' END AS tipo, n_chars % 2 AS refs, source, lang, doc_id FROM documents UNION ALL SELECT '0', 'positivo', 1, 'src0', 'de', 0),
 f AS (SELECT count(*) FILTER (tipo = 'positivo')::DOUBLE AS p, count(*) FILTER (tipo = 'negativo')::DOUBLE AS m, count(*) AS n, (SELECT count(*) FROM (SELECT source FROM c GROUP BY 1 HAVING count(*) >= 20))::DOUBLE AS s FROM c)
 SELECT 'coherence' AS rule, id, 'negative with references' AS detail FROM c WHERE tipo = 'negativo' AND refs > 0 UNION ALL SELECT 'coherence', id, 'positive without references' FROM c WHERE tipo = 'positivo' AND refs = 0

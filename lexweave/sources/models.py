@@ -133,12 +133,19 @@ def http_token_stream(base_url: str, model: str, max_tokens: int = 256, temperat
     return emit
 
 
-def scored_by(score: Callable[[list[str], list[str]], list[float]], question_col: str = "pregunta", text_col: str = "content", longest: int = 500) -> Callable[[DataFrame], DataFrame]:
-    """A port for a cross-encoder: ``score`` takes questions and texts (cut to ``longest``) of a batch."""
+def scored_by(load: Callable[[], Callable[[list[str], list[str]], list[float]]], question_col: str = "pregunta", text_col: str = "content", longest: int = 500) -> Callable[[DataFrame], DataFrame]:
+    """A port for a cross-encoder: ``load`` gives, once a task and when its first rows come, what scores a batch's questions and texts (cut to ``longest``)."""
 
     @F.arrow_udf("double")
-    def points(questions: pa.Array, texts: pa.Array) -> pa.Array:
-        return pa.array([float(x) for x in score(questions.to_pylist(), texts.to_pylist())], pa.float64())
+    def points(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        score = None
+        for questions, texts in batches:
+            if score is None:
+                score = load()
+            found = [float(x) for x in score(questions.to_pylist(), texts.to_pylist())]
+            if len(found) != len(questions):
+                raise ValueError(f"{len(found)} scores for {len(questions)} pairs")
+            yield pa.array(found, pa.float64())
 
     return lambda rows: rows.withColumn("points", points(F.col(question_col), F.substring(text_col, 1, longest)))
 

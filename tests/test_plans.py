@@ -82,6 +82,36 @@ def test_a_crash_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
     assert state() == [("a", "uno", "v3"), ("e", "five", "v3")] and len(ix._numbers()) == 2
 
 
+def test_rows_conform_to_their_table(spark):
+    rows = spark.createDataFrame([("active", "v1", "chunks", 3)], "alias string, index_version string, physical_table string, more int")
+    assert index.conform(rows, "aliases").columns == ["alias", "index_version", "physical_table", "switched_at", "more"]
+    assert index.conform(rows, "aliases").first().switched_at is not None
+    with pytest.raises(ValueError, match="no column"):
+        index.conform(rows.drop("alias"), "aliases")
+    with pytest.raises(Exception, match="breaks its rule"):
+        index.conform(rows.withColumn("alias", F.lit(None).cast("string")), "aliases").collect()
+
+
+def test_a_model_is_loaded_once_a_task(spark, tmp_path):
+    from lexweave.sources.models import scored_by
+
+    folder = str(tmp_path)
+
+    def load():
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return lambda questions, texts: [len(q) + len(t) / 1000 for q, t in zip(questions, texts)]
+
+    rows = spark.createDataFrame([("q" * i, "t" * 600) for i in range(1, 50)], "pregunta string, content string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        assert sorted(r.points for r in scored_by(load)(rows).collect()) == [i + 0.5 for i in range(1, 50)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_a_question_needs_a_word(spark):
     from lexweave.plans import ask
 
