@@ -34,7 +34,7 @@ COMPARED = (16, 32, 64, 96, 128)
 #: Buckets with more classes are chained instead of compared.
 LARGE_BUCKET = 256
 #: Classes, and shingles, in a block of a cluster. A text goes to as many groups as its cluster has blocks.
-BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 
 _rng = np.random.default_rng(20240601)
 _FACTORS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
