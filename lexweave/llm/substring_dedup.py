@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,9 @@ HOT = 1000
 INDEX_WORDS = 16_384
 
 
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """Rank queries over a sequence of small integers, from packed bits."""
 
@@ -53,22 +57,22 @@ class WaveletMatrix:
         n = len(values)
         words = n // 64 + 1
         self.bits = np.zeros((levels, words), dtype=np.uint64)
-        self.before = np.zeros((levels, words), dtype=np.int64)
-        self.zeros = np.zeros(levels, dtype=np.int64)
+        self.before = np.zeros((levels, words), dtype=np.int32)
+        self.zeros = np.zeros(levels, dtype=np.int32)
         for k in range(levels):
             bit = (values >> (levels - 1 - k) & 1).astype(np.uint8)
             packed = np.zeros(words * 8, dtype=np.uint8)
             row = np.packbits(bit, bitorder="little")
             packed[: len(row)] = row
             self.bits[k] = packed.view(np.uint64)
-            self.before[k, 1:] = np.cumsum(np.bitwise_count(self.bits[k]).astype(np.int64))[:-1]
+            self.before[k, 1:] = np.cumsum(np.bitwise_count(self.bits[k]).astype(np.int32))[:-1]
             self.zeros[k] = n - int(bit.sum())
             values = np.concatenate([values[bit == 0], values[bit == 1]])
 
     def ones(self, k: int, at: np.ndarray) -> np.ndarray:
         """Ones of level ``k`` before each position."""
-        word, rest = at >> 6, (at & 63).astype(np.uint64)
-        return self.before[k, word] + np.bitwise_count(self.bits[k, word] & ((np.uint64(1) << rest) - np.uint64(1)))
+        word = at >> 6
+        return self.before[k].take(word) + np.bitwise_count(self.bits[k].take(word) & _BELOW.take(at & 63))
 
     def _down(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where positions end up when they follow the bits of their symbols through the levels."""
@@ -81,9 +85,10 @@ class WaveletMatrix:
     def rank(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol stands before ``low`` and before ``high``."""
         if self.starts is None:
-            kinds = np.arange(1 << self.levels)
+            kinds = np.arange(1 << self.levels, dtype=np.int32)
             self.starts = self._down(kinds, np.zeros_like(kinds))
-        both = self._down(np.concatenate([symbols, symbols]), np.concatenate([low, high])) - np.tile(self.starts[symbols], 2)
+        symbols = np.concatenate([symbols, symbols])
+        both = self._down(symbols, np.concatenate([low, high])) - self.starts[symbols]
         return both[: len(low)], both[len(low) :]
 
 
@@ -106,8 +111,8 @@ class FMIndex:
             if rank[order[-1]] == n - 1:
                 break  # every suffix has its place
         kinds = int(text.max()) + 1
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])
-        self.wavelet = WaveletMatrix(text[order - 1].astype(np.int64), max(1, (kinds - 1).bit_length()))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))]).astype(np.int32)
+        self.wavelet = WaveletMatrix(text[order - 1].astype(np.int32), max(1, (kinds - 1).bit_length()))
 
     def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each position in ``ends``: how many words of ``text`` that end there, ``most`` at most, stand at two or more places of the index, and their suffix interval.
@@ -117,6 +122,7 @@ class FMIndex:
         empty interval.
         """
         length, low, high = (np.zeros(len(ends), dtype=np.int64) for _ in range(3))
+        text = text.astype(np.int32)  # an index holds far fewer words than that
         going, last = np.arange(len(ends)), text[ends]
         a, b = self.first[last], self.first[last + 1]
         for n in range(1, most + 1):
@@ -243,45 +249,51 @@ def _occurrences(batches: Iterator[pa.RecordBatch], window: int, with_words: boo
 
 def _first_places(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Sorted (shard, content, id, first, words) to (shard, content, ids, firsts): where each window of the segment first stands."""
-    shards: list[int] = []
-    rows: list[tuple] = []
-    words = 0
+    held: list[pa.RecordBatch] = []
+    words, last = 0, None
 
     def index() -> pa.RecordBatch:
-        number: dict[bytes, int] = {}
-        text: list[int] = []
-        at, own, place = [], [], []
-        for k, (_, _, doc, first, content) in enumerate(rows):
-            split = content.split(b" ")
-            n = len(split) - window + 1
-            at.append(np.arange(n) + len(text))
-            own.append(np.full(n, doc))
-            place.append(np.arange(n) + first)
-            text += [number.setdefault(w, len(number) + 1) for w in split]
-            text.append(0)  # parts the segments
-        t = np.array(text, dtype=np.int64)
-        sizes = np.array([len(x) for x in at])
-        at, own, place = (np.concatenate(x) for x in (at, own, place))
-        length, low, _ = FMIndex(t, window).matching_statistics(t, at + window - 1, window)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        column = lambda name: rows[name].chunk(0)
+        split = pc.split_pattern(column("words"), " ")
+        sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
+        numbers = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+        text = np.zeros(int(sizes.sum()) + len(sizes), dtype=np.int64)  # 0 parts the segments
+        text[np.arange(len(numbers)) + np.repeat(np.arange(len(sizes)), sizes)] = numbers
+        windows = sizes - window + 1
+        ends = np.cumsum(windows)
+        step = np.arange(int(ends[-1])) - np.repeat(ends - windows, windows)
+        at = np.repeat(np.cumsum(sizes + 1) - sizes - 1, windows) + step
+        own = np.repeat(column("id").to_numpy(), windows)
+        place = np.repeat(column("first").to_numpy().astype(np.int64), windows) + step
+        length, low, _ = FMIndex(text, window).matching_statistics(text, at + window - 1, window)
         low = np.where(length == window, low, -1 - at)  # the others stand once: they are their own first place
         order = np.lexsort((place, own, low))
         new = np.concatenate([[True], low[order][1:] != low[order][:-1]])
         best = np.empty(len(order), dtype=np.int64)
         best[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(own[best], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(place[best], pa.int32()))],
+            [column("shard"), column("content"), pa.ListArray.from_arrays(offsets, pa.array(own[best], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(place[best], pa.int32()))],
             names=["shard", "content", "ids", "firsts"],
         )
 
     for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns)):
-            if rows and r[0] != rows[-1][0] and words >= INDEX_WORDS:
+        if not len(b):
+            continue
+        shards = b.column(0).to_numpy()
+        total = np.cumsum(pc.count_substring(b.column(4), " ").to_numpy() + 2)
+        begins = np.concatenate([[last is not None and shards[0] != last], shards[1:] != shards[:-1]])
+        at = done = 0  # rows and words of this batch that have been indexed
+        for k in np.flatnonzero(begins).tolist():
+            here = int(total[k - 1]) if k else 0
+            if words + here - done >= INDEX_WORDS:
+                held.append(b.slice(at, k - at))
                 yield index()
-                rows, words = [], 0
-            rows.append(r)
-            words += r[4].count(b" ") + 2
-    if rows:
+                held, words, at, done = [], 0, k, here
+        held.append(b.slice(at))
+        words, last = words + int(total[-1]) - done, shards[-1]
+    if held:
         yield index()
 
 
