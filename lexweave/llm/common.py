@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..checkpoints import ensure_checkpoint_dir
 
-_MASK = (1 << 64) - 1
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _GRAM_BASE = np.uint64(0xD6E8FEB86659FD93 | 1)
 
