@@ -14,10 +14,12 @@ from .embedding_dedup import embedding_dedup
 from .mixing import BLOCK_ROWS, ROWS_PER_BUCKET, mix_sources
 from .ngram_join import ngram_join
 from .quality import quality_classifier
+from .ranked_search import lexical_search
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .topk_search import topk_search
 from .url_filters import url_filter
+from .vector_codes import books_sha256, hexadecimal, vector_codes
 
 #: Integer target weights: every fourth source counts most.
 WEIGHTS = {f"src{i}": 4 - i % 4 for i in range(20)}
@@ -71,8 +73,17 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes(read_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", hexadecimal(F.col("codes")).alias("code"), "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(read_table(spark, sf_dir, "benchmark"), read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_bpe_automaton, op4_embedding_dedup, op5_topk_search, op6_url_filters, op7_quality, op8_secrets, op9_token_counts, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_bpe_automaton, op4_embedding_dedup, op5_topk_search, op6_url_filters, op7_quality, op8_secrets, op9_token_counts, op10_ngram_join, op12_vector_codes, op13_ranked_search)}
 
 
 #: The pieces of a url, as the contract has them.
@@ -159,6 +170,43 @@ r AS (SELECT text, min(doc_id) AS rep_id FROM d WHERE len(w) > 0 GROUP BY text)
 SELECT doc_id, coalesce(rep_id, doc_id) AS rep_id, class_id, coalesce(n, 0) AS n_links FROM d JOIN k ON k.a = doc_id LEFT JOIN l ON l.a = doc_id LEFT JOIN r ON r.text = d.text
 """
 
+_SQUARED = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+#: Four rounds of assigning and averaging, and the last assignment.
+_CODES_SQL = (
+    """
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (SELECT r, part, list_slice(x, (part - 1) * len(x) // 4 + 1, part * len(x) // 4) AS x FROM v, (SELECT unnest([1, 2, 3, 4]) AS part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS e, x FROM p WHERE r <= 256),"""
+    + "".join(
+        f"""
+a{i} AS MATERIALIZED (SELECT p.r, p.part, min(struct_pack(d := {_SQUARED}, e := b.e)) AS f FROM p JOIN b{i} b USING (part) GROUP BY p.r, p.part),
+b{i + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (SELECT part, e, list(y ORDER BY i) AS x FROM (SELECT part, f.e AS e, i, CAST(floor(sum(y)::DOUBLE / count(*)) AS BIGINT) AS y FROM (SELECT p.part, f, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM p JOIN a{i} USING (r, part)) GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (part, e)),"""
+        for i in range(4)
+    )
+    + f"""
+a4 AS (SELECT p.r, p.part, min(struct_pack(d := {_SQUARED}, e := b.e)) AS f FROM p JOIN b4 b USING (part) GROUP BY p.r, p.part),
+c AS (SELECT r, string_agg(lpad(lower(to_hex(f.e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(f.d) AS BIGINT) AS error FROM a4 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (r), h
+"""
+)
+
+_TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_RANKED_SQL = f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS t FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) SEMI JOIN q USING (term) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+i AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * len(t) * docs) // total)))) AS part FROM p JOIN d USING (r) JOIN w USING (term), s),
+f AS (SELECT item_id, doc_id, r, CAST(sum(part) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY 1, 2, 3)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM f WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _MIXING_SQL, "op2_substring_dedup": _SUBSTRING_SQL, "op4_embedding_dedup": _EMBEDDING_SQL, "op5_topk_search": _TOPK_SQL, "op6_url_filters": _URL_SQL, "op10_ngram_join": _JOIN_SQL}
+    return {"op1_mixing": _MIXING_SQL, "op2_substring_dedup": _SUBSTRING_SQL, "op4_embedding_dedup": _EMBEDDING_SQL, "op5_topk_search": _TOPK_SQL, "op6_url_filters": _URL_SQL, "op10_ngram_join": _JOIN_SQL, "op12_vector_codes": _CODES_SQL, "op13_ranked_search": _RANKED_SQL}
