@@ -11,6 +11,7 @@ from . import secrets
 from .bpe_automaton import bpe_round_trip
 from .common import read_table
 from .embedding_dedup import embedding_dedup
+from .maxent_lm import lm_scores
 from .mixing import BLOCK_ROWS, ROWS_PER_BUCKET, mix_sources
 from .ngram_join import ngram_join
 from .quality import quality_classifier
@@ -73,6 +74,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = vector_codes(read_table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", hexadecimal(F.col("codes")).alias("code"), "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
@@ -83,7 +88,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_bpe_automaton, op4_embedding_dedup, op5_topk_search, op6_url_filters, op7_quality, op8_secrets, op9_token_counts, op10_ngram_join, op12_vector_codes, op13_ranked_search)}
+    return {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_bpe_automaton, op4_embedding_dedup, op5_topk_search, op6_url_filters, op7_quality, op8_secrets, op9_token_counts, op10_ngram_join, op11_lm_scores, op12_vector_codes, op13_ranked_search)}
 
 
 #: The pieces of a url, as the contract has them.
