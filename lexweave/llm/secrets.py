@@ -3,8 +3,8 @@
 A candidate is a run of 16 or more characters of keys and encodings, without the
 ``NAME=`` that it may begin with, or right after a secret's name and an assignment
 or quote a run of 8 or more characters of any kind but white space (and quotes,
-where it isn't in other ones), or a web token with its dots, or the password in a
-url of 8 characters or more. Its features are its length, the changes between kinds of characters in it, how much of it a
+where it isn't in other ones), or a web token or other key in parts with its dots, or the password in a
+url of 8 characters or more. Names are those of English, German, Spanish and French. Its features are its length, the changes between kinds of characters in it, how much of it a
 word list covers, signs of a path around it, and the words beside it. A random
 forest trained on labelled findings tells secrets from what only looks like them;
 its trees are turned into CASE expressions, so that the scan is one projection of
@@ -21,6 +21,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 RUN = r"[A-Za-z0-9_+/=\-]"
 #: Names before a value in one run, as in ``x=...``: up to the first secret's name, or else all; what follows has 8 characters or more.
 _NAME = r"[-_/]*+[A-Za-z]++(?:[0-9]{1,2}[A-Za-z]*+)?(?:[-_/]++[A-Za-z]++(?:[0-9]{1,2}[A-Za-z]*+)?){0,9}+[-_]*+="
@@ -39,22 +41,31 @@ DICTIONARY = (
     "window with word work world write year the and ing tion ent"
 ).split()
 # Names that stand before a secret, and names that stand before a harmless digest or identifier.
-SECRET_WORDS = "tokens?|secrets?|passw(?:or[dt]|d)?|pwd|passphrase|credentials?|(?:api|access|private|secret).?keys?|auth|bearer"
+SECRET_WORDS = "tokens?|secrets?|passw(?:or[dt]|d)?|pwd|passphrase|credentials?|(?:api|access|private|secret).?keys?|auth|bearer|kennw(?:ort|örter)|zugangsdaten|geheimnis|(?:api|zugangs).?schl(?:ü|ue)ssel|contrase(?:ñ|n)as?|claves?(?: secreta| de acceso)?|secretos?|credencial(?:es)?|mots? de passe|mdp|cl(?:é|e) (?:secr(?:è|e)te|api|d'acc(?:è|e)s)|jetons?|identifiants?"
+#: Between a name and its value in prose, in the languages of the names.
+COPULAS = "is|was|ist|lautet|est|es"
 HARMLESS_WORDS = "sha.?1|sha.?256|md5|checksum|digest|commit|revision|uuid|guid|etag|integrity|build.?id|isbn|hash"
 
 FEATURES = ("length", "digits", "uppers", "switches", "case_switches", "hex_only", "dictionary", "longest_letters", "slashes", "path_beside", "secret_word", "harmless_word", "assigned", "quoted", "uuid_form", "symbols", "letters_only", "issued", "words")
 
 _SECRET_NAME = rf"(?i:{SECRET_WORDS})[-_]{{0,2}}"
 # Between a name and its value: the quote that ends the name, an assignment, the quote that begins the value.
-_ASSIGNED = r"[\"'`]?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?+|\s{0,3}[\"'`]"
-# A url is no value of its own, and a value ends before the next parameter, the next secret's name and closing punctuation.
-_ENDS = rf"&[\w.\-]{{1,40}}=|{_SECRET_NAME}[\"'`]?\s{{0,3}}[:=]|[.,;:)\]}}>]++(?:[\s\"'`]|\z)"
+# or the end of the tag that is the name.
+_ASSIGNED = r"[\"'`]?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?+|\s{0,3}[\"'`]|>"
+# A url is no value of its own, and a value ends before the next parameter, the next secret's name, the end of its tag and closing punctuation.
+_ENDS = rf"</[A-Za-z]|&[\w.\-]{{1,40}}=|{_SECRET_NAME}[\"'`]?\s{{0,3}}[:=]|[.,;:)\]}}>]++(?:[\s\"'`]|\z)"
 _VALUE = r"(?![A-Za-z][A-Za-z0-9+.\-]{0,20}://)(?:" + "|".join(rf"{at}(?:(?!{_ENDS})[^\s{quotes}]){{8,}}+" for at, quotes in (('(?<=")', '"'), ("(?<=')", "'"), ("(?<=`)", "`"), ("(?<![\"'`])", "\"'`"))) + ")"
 _NAMED = rf"{RUN}*?{_SECRET_NAME}(?:{_ASSIGNED})"
 _WEB_TOKEN = r"eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{8,}+){1,4}+"
 _USER = r"://[^\s/:@]{0,64}+:"
 _IN_URL = rf"{_USER}[^\s/:@]{{8,}}+(?=@)"
-CANDIDATE = rf"(?<!{RUN}){_NAMED}{_VALUE}|{_WEB_TOKEN}|{_IN_URL}|{RUN}{{16,}}"
+# A key in parts of 16 characters or more, after a short head.
+_DOTTED = r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{2,}+(?:\.[A-Za-z0-9_\-]{16,}+){1,4}+"
+CANDIDATE = rf"(?<!{RUN}){_NAMED}{_VALUE}|{_WEB_TOKEN}|{_IN_URL}|{_DOTTED}|{RUN}{{16,}}"
+# What stands right before a secret, or a harmless value, and how an assignment ends.
+SECRET_BEFORE = rf"(?i)({SECRET_WORDS})(?:\W{{0,8}}|\W{{1,3}}(?:{COPULAS})\W{{1,4}})\z"
+HARMLESS_BEFORE = rf"(?i)({HARMLESS_WORDS})\W{{0,8}}\z"
+ASSIGNED_BEFORE = r"(?:[:=]|\w>)\s*[\"']?\z"
 NAMES = rf"\A(?:{_NAMED}(?={_VALUE})|(?:{_NAME}){{1,4}}(?=[^=]\S{{7}})|{_USER}|//++(?=[A-Za-z0-9]))"
 # How issuers begin their keys.
 ISSUED = r"\A(?:gh[opsu]_|github_pat_|glpat-|sk[-_]|pk_live_|xox[abpr]-|AKIA|ASIA|AIza|eyJ)"
@@ -79,9 +90,9 @@ def features(candidate: Column, before: Column, after: Column) -> list[Column]:
         (n - without_letters) / n,
         count("[/_-]") / n,
         flag(before.rlike(r"(://|[/\\.])\S*\z") | after.rlike(r"\A\S{0,8}[/\\@]|\A\.[A-Za-z]")),
-        flag(before.rlike(rf"(?i)({SECRET_WORDS})\W{{0,8}}\z")),
-        flag(before.rlike(rf"(?i)({HARMLESS_WORDS})\W{{0,8}}\z")),
-        flag(before.rlike(r"[:=]\s*[\"']?\z")),
+        flag(before.rlike(SECRET_BEFORE)),
+        flag(before.rlike(HARMLESS_BEFORE)),
+        flag(before.rlike(ASSIGNED_BEFORE)),
         flag(before.rlike(r"[\"'`]\z") & after.rlike(r"\A[\"'`]")),
         flag(lower.rlike(r"\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z")),
         count(r"[^A-Za-z0-9_+/=\-]") / n,
@@ -111,13 +122,13 @@ def _beside(i: Column) -> tuple[Column, Column]:
     return tail(before), head(F.concat(head(part("_g", i + 1)), head(part("_c", i + 1))))
 
 
-def labelled_findings(spark: SparkSession, n: int = 9000) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 11000) -> DataFrame:
     """before, candidate, after, label: what the scanner finds in ``n`` made-up lines, one kind for each line by its number.
 
-    Secrets: random keys and passwords under a secret's name, assigned
-    (``NAME=value`` in text and urls included) or quoted, passwords in urls, and
-    keys with an issuer's form anywhere.
-    Harmless: digests under their names, names of classes, UUIDs, paths, urls and their parameters,
+    Secrets: random keys, passwords and UUIDs under a secret's name in four languages, assigned
+    (``NAME=value`` in text and urls included), quoted or in a tag, passwords in urls, and
+    keys with an issuer's form, or in parts, anywhere.
+    Harmless: digests under their names, names of classes and packages, UUIDs, encoded urls, paths, urls and their parameters,
     long words, numbers, identifiers, rulers of one character, and the names
     before secrets.
     """
@@ -151,6 +162,14 @@ def labelled_findings(spark: SparkSession, n: int = 9000) -> DataFrame:
     coded = lambda x: F.substring(F.regexp_replace(F.regexp_replace(F.base64(F.unhex(x)), r"\+", "-"), "/", "_"), 1, 24)
     web = F.concat(F.lit("eyJ"), coded(digest), F.lit(".eyJ"), coded(other), F.lit("."), F.regexp_replace(F.regexp_replace(base64, r"\+", "-"), "/", "_"))
     summed = F.concat(at(["sha512-", "sha256-", "sha384-", ""], 18), base64, at(["==", "=", ""], 19))
+    uuid = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4), F.substring(digest, 17, 4), F.substring(digest, 21, 12))
+    named = F.concat(at(["the ", "", ". ", "\n", "  ", "client_", "our "], 1), at(["token", "secret", "password", "api_key", "api key", "credential"], 2), at([" is ", ": ", "=", " = \"", "\": \"", " ist ", " est "], 3))
+    foreign = F.concat(at(["la ", "das ", "le ", ". ", "\n", "mi "], 1), at(["contraseña", "clave", "mot de passe", "mdp", "Kennwort", "Passwort", "clé secrète", "jeton", "Zugangsdaten", "clave secreta"], 2), at([": ", " : ", "=", " = \"", ": '", " \""], 3))
+    closed = lambda x: F.when(F.substring(x, -1, 1).isin("\"", "'"), F.substring(x, -1, 1)).otherwise(at(["\n", " ", ", ", ""], 5))
+    tag, end = at(["<password>", "<token>", "<secret>", "<pwd>", "<api-key>"], 27), at(["</password>", "</token>", "</secret>", "</pwd>", "</x>"], 27)
+    parted = F.concat(at(["SG.", "sq0.", "pat7.", "v1."], 28), F.substring(coded(digest), 1, 22), F.lit("."), F.substring(F.regexp_replace(F.regexp_replace(base64, r"\+", "-"), "/", "_"), 1, 43))
+    package = F.concat(at(["org.", "com.", "example.", "self."], 29), F.substring(syllables, 1, 16), F.lit("."), F.concat(camel, F.lit("Context")))
+    said = F.base64(F.concat(F.lit("https://example.com/"), snake))
     size = 20 + F.pmod(F.hash(i, F.lit(6)), F.lit(21))
     kinds = [
         (name, F.substring(digest, 1, 40), close, 1), (name, F.substring(digest, 1, 32), close, 1), (name, F.substring(base64, 1, 40), close, 1), (name, F.expr("substring(regexp_replace(base64(unhex(sha2(cast(id as string), 256))), '[+/=]', ''), 1, 24 + pmod(hash(id), 16))"), close, 1),
@@ -166,10 +185,14 @@ def labelled_findings(spark: SparkSession, n: int = 9000) -> DataFrame:
         (F.concat(prose, at(["postgres://admin:", "https://user:", "amqp://x:", "mysql://root:"], 24)), F.regexp_replace(marked, "[:@/]", "-"), at(["@db.example.com/x", "@localhost:5432/app", "@host "], 5), 1), (F.concat(prose, at(["postgres://admin:", "https://user:", "amqp://x:"], 24)), mixed, at(["@db.example.com/x", "@localhost:5432/app"], 5), 1),
         (F.concat(prose, at(["https://", "git://"], 25)), F.concat(at(["ghp_", "glpat-", "gho_"], 7), F.substring(F.regexp_replace(base64, "[+/]", ""), 1, 30)), at(["@example.com/a", ":x@host"], 5), 1),
         (F.concat(at(["\"integrity", "checksum", "sha384", "\"digest", "md5"], 26), at(["\": \"", ": ", "=", " "], 3)), summed, at(["\"", " ", "\n"], 5), 0),
+        (named, uuid, closed(named), 1), (foreign, marked, closed(foreign), 1), (foreign, F.substring(digest, 1, 32), closed(foreign), 1), (foreign, lower, closed(foreign), 0), (tag, marked, end, 1), (tag, F.substring(digest, 1, 32), end, 1), (tag, lower, end, 0), (tag, spoken, end, 0),
+        (F.concat(prose, at(["key ", "", "send with ", "use "], 21)), parted, at([" ", "\n", ","], 5), 1), (F.concat(prose, at(["class ", "import ", "see ", ""], 21)), package, at([" ", "(", ".", ";"], 5), 0), (F.concat(prose, at(["issue ", "see ", "data ", "id "], 21)), said, at([" ", "\n", ","], 5), 0),
     ]
     pick = F.pmod(i, F.lit(len(kinds)))
-    row = F.element_at(F.array(*[F.struct(b.alias("before"), c.alias("candidate"), a.alias("after"), F.lit(float(y)).alias("label")) for b, c, a, y in kinds]), (pick + 1).cast("int"))
-    lines = _split(spark.range(n).select(row.alias("r")).withColumn("line", F.concat("r.before", "r.candidate", "r.after")), F.col("line"))
+    # A line evaluates its own kind only; lines are written, for they are read by several jobs.
+    row = reduce(lambda rest, k: F.when(pick == k[0], F.struct(k[1][0].alias("before"), k[1][1].alias("candidate"), k[1][2].alias("after"), F.lit(float(k[1][3])).alias("label"))).otherwise(rest), enumerate(kinds), F.lit(None))
+    made = cut(spark.range(n).select(row.alias("r")))
+    lines = _split(made.withColumn("line", F.concat("r.before", "r.candidate", "r.after")), F.col("line"))
     start, end = F.length("r.before"), F.length("r.before") + F.length("r.candidate")
 
     def labelled(c: Column, i: Column) -> Column:
@@ -184,7 +207,7 @@ def labelled_findings(spark: SparkSession, n: int = 9000) -> DataFrame:
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> RandomForestClassificationModel:
     """A forest from before, candidate, after, label; the caller bounds the number of findings."""
     values = findings.select(F.array(*features(F.col("candidate"), F.col("before"), F.col("after"))).alias("f"), "label")
-    columns = values.select(*[F.col("f")[k].alias(name) for k, name in enumerate(FEATURES)], "label")
+    columns = cut(values).select(*[F.col("f")[k].alias(name) for k, name in enumerate(FEATURES)], "label")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="v").transform(columns)
     return RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
 
