@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import article_of
 from ..functions.text import simple_lexemes
+from . import vector_index
 
 # The fusion constant, and how many rows a channel, the reranker and the generator take.
 RRF_K, PER_CHANNEL, RERANKED, FINAL = 60, 30, 30, 5
-#: Questions whose vectors are sent to every task at once; more take further passes over the index.
+#: Short quotes that are sent to every task at once; more take further passes.
 QUERIES_PER_PASS = 4096
 #: Distinct question terms that are sent to every task; more are joined by shuffle.
 MAX_BROADCAST_TERMS = 100_000
@@ -52,64 +50,17 @@ def lexical_distance(score: Column) -> Column:
     return F.lit(1.0) - score.cast("double")
 
 
-def vector_topk(questions: DataFrame, docs: DataFrame, k: int = PER_CHANNEL, query_col: str = "query_id", query_vector: str = "vector", id_col: str = "legal_ref", vector_col: str = "embedding", skip_self: bool = False) -> DataFrame:
+def vector_topk(questions: DataFrame, docs: DataFrame, k: int = PER_CHANNEL, query_col: str = "query_id", query_vector: str = "vector", id_col: str = "legal_ref", vector_col: str = "embedding", skip_self: bool = False, lists: int | None = None) -> DataFrame:
     """``query_col``, ``id_col``, distance, rank: the k documents with the smallest cosine distance, ties to the smaller id.
 
-    Exact: each task multiplies its documents with a pass's questions and sends on
-    its k best for each, ties cut by id there too. Distances are rounded to 1e-12,
-    so that copies of a vector tie wherever they are. Questions go in passes of ``QUERIES_PER_PASS``, so what is
-    sent to the tasks is bounded. Null vectors, and those of another width than the
-    questions of the pass, are not compared; a zero vector has distance 1.
-    ``skip_self`` leaves out the document with the question's own id.
+    Exact: an index of the documents is built and searched until nothing nearer can
+    be left. Distances are rounded to 1e-12, so that copies of a vector tie wherever
+    they are. Null vectors, and those of another width than the question's, are not
+    compared; a zero vector has distance 1. ``skip_self`` leaves out the document
+    with the question's own id. For many searches build the index once and store it.
     """
-    q = questions.where(F.col(query_vector).isNotNull()).select(F.col(query_col).alias("q"), F.transform(query_vector, lambda x: x.cast("double")).alias("v"))
-    n = q.count()
-    passes = max(1, -(-n // QUERIES_PER_PASS))
-    d = docs.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("d"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
-    q_kind, d_kind = q.schema["q"].dataType.simpleString(), d.schema["d"].dataType.simpleString()
-    spark, found = docs.sparkSession, None
-    for p in range(passes):
-        rows = (q if passes == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == p)).collect()
-        groups: dict[int, list] = {}
-        for r in rows:
-            groups.setdefault(len(r.v), []).append(r)
-        asked = spark.sparkContext.broadcast({w: ([r.q for r in g], _unit(np.array([r.v for r in g], dtype=float))) for w, g in groups.items() if w})
-
-        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                widths = np.asarray(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
-                for w, (ids, vectors) in asked.value.items():
-                    at = np.flatnonzero(widths == w)
-                    for part in np.array_split(at, max(1, -(-len(at) // 2048))):
-                        if len(part):
-                            yield _best(b.take(pa.array(part)), ids, vectors, k + skip_self, q_kind, d_kind)
-
-        one = d.mapInArrow(run, f"q {q_kind}, d {d_kind}, distance double")
-        found = one if found is None else found.unionByName(one)
-    if skip_self:
-        found = found.where("q <> d")
-    return _top(found, k, ["q"], [F.col("distance"), F.col("d")]).select(F.col("q").alias(query_col), F.col("d").alias(id_col), "distance", "rank")
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.where(n > 0, x / np.where(n > 0, n, 1), 0.0)
-
-
-def _best(b: pa.RecordBatch, ids: list, vectors: np.ndarray, k: int, q_kind: str, d_kind: str) -> pa.RecordBatch:
-    x = _unit(b.column(1).flatten().to_numpy().reshape(len(b), -1))
-    distance = np.round(1.0 - x @ vectors.T, 12)
-    keep = min(k, len(b))
-    limit = np.partition(distance, keep - 1, axis=0)[keep - 1]
-    at, q = np.nonzero(distance <= limit)
-    # Of all that tie with the k-th those with the smallest ids stay.
-    by_id = pc.rank(b.column(0), null_placement="at_start", tiebreaker="first").to_numpy()
-    order = np.lexsort((by_id[at], distance[at, q], q))
-    at, q = at[order], q[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    at, q = at[place < k], q[place < k]
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kinds[q_kind]), b.column(0).take(pa.array(at)), pa.array(distance[at, q])], names=["q", "d", "distance"])
+    index = vector_index.build(docs, id_col, vector_col, lists)
+    return index.search(questions, k, query_col, query_vector, id_col, skip_self=skip_self)
 
 
 def best_per_group(ranked: DataFrame, group: Column, query_col: str = "query_id") -> DataFrame:

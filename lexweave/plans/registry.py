@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import more_queries  # noqa: F401  it adds its own
+    from . import more_queries, retrieval_queries  # noqa: F401  they add their own
 
     return dict(_QUERIES)
 

@@ -102,17 +102,41 @@ def test_rrf(spark):
         search.rrf([ranking("a")], k=0)
 
 
-def test_vector_topk_in_passes(spark, monkeypatch):
+def test_vector_index(spark, monkeypatch, tmp_path):
+    from lexweave.operators import vector_index
+
     r = np.random.default_rng(1)
-    x = r.normal(size=(90, 6)).round(3)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [1.0]), (102, [0.0] * 6)], "vec_id bigint, embedding array<double>")
-    asked = df.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    monkeypatch.setattr(search, "QUERIES_PER_PASS", 7)
-    got = {(g.query_id, g.rank): g.vec_id for g in search.vector_topk(asked, df, 4, id_col="vec_id", skip_self=True).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    for q in range(20):
-        order = [i for i in np.argsort(1 - u @ u[q], kind="stable") if i != q][:4]
-        assert [got[q, k + 1] for k in range(4)] == order
+    x = np.concatenate([r.normal(size=(90, 6)).round(3), np.repeat(r.normal(size=(5, 6)), 30, axis=0) + 0.05 * r.normal(size=(150, 6)), np.ones((40, 6))])
+    n = len(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [1.0]), (1002, [0.0] * 6), (1003, [2.0]), (1004, [])], "vec_id bigint, embedding array<double>").repartition(5)
+    asked = df.where("vec_id % 7 = 0 or vec_id > 999").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vector_index, "QUESTIONS", 5)
+    u = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((1, 6))])
+    ids = [*range(n), 1002]
+    want = {}
+    for q in [*range(0, n, 7), 1002]:
+        d = np.round(1 - u @ u[ids.index(q)], 12)
+        order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:4]
+        want |= {(q, k + 1): (ids[i], d[i]) for k, i in enumerate(order)}
+    want |= {(1001, 1): (1003, 0.0), (1003, 1): (1001, 0.0)}
+    for lists in (None, 1, 12, 60):
+        got = {(g.query_id, g.rank): (g.vec_id, g.distance) for g in search.vector_topk(asked, df, 4, id_col="vec_id", skip_self=True, lists=lists).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}, lists
+        assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    # Stored by version, approximate, and what it visits.
+    index = vector_index.build(df, "vec_id", lists=12)
+    index.write(str(tmp_path), "v1")
+    again = vector_index.VectorIndex.read(spark, str(tmp_path), "v1")
+    exact = again.search(asked, 4, id_col="vec_id", probes=2)
+    near = again.search(asked, 4, id_col="vec_id", probes=2, exact=False)
+    rows = vector_index.recall(near, exact, id_col="vec_id").collect()
+    assert sum(r.found for r in rows) >= 0.6 * sum(r.n for r in rows) and all(r.n == 4 or r.n <= 2 for r in rows)
+    assert again.search(asked.limit(0), 3, id_col="vec_id").count() == 0 == vector_index.build(df.limit(0), "vec_id").search(asked, 3, id_col="vec_id").count()
+    # Shells that can't hold anything nearer are not visited.
+    one = spark.createDataFrame([(0, [1.0] * 6, 0.0)], "q bigint, v array<double>, kth double")
+    reached, every = again._targets(one, 2, False).count(), again.shells.where("list >= 0").count()
+    assert reached < every / 2
 
 
 def test_rerank(spark):
@@ -213,17 +237,15 @@ def test_serving_retracts_and_retries(spark):
 
 
 def test_ties_are_cut_where_they_are_found(spark):
-    from lexweave.operators import search
+    from lexweave.operators.vector_index import best, unit
 
     docs = spark.createDataFrame([(f"d{i:04d}", [1.0, 2.0, 3.0]) for i in range(2000)] + [("z", [1.0, 2.0, 3.1]), (None, [1.0, 2.0, 3.0])], "legal_ref string, embedding array<double>").coalesce(1)
     questions = spark.createDataFrame([(i, [1.0, 2.0, 3.0 + i / 100]) for i in range(50)], "query_id int, vector array<double>")
     found = search.vector_topk(questions, docs.where("legal_ref is not null"), 5)
     assert {(r.query_id, r.rank): r.legal_ref for r in found.collect()} == {(q, k + 1): (f"d{k:04d}" if q < 5 else "z" if k == 0 else f"d{k - 1:04d}") for q in range(50) for k in range(5)}
-    plan = found._jdf.queryExecution()
-    from lexweave.operators.search import _best, _unit
-
-    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i:04d}" for i in range(2000)]), pa.array([[1.0, 2.0, 3.0]] * 2000)], names=["d", "v"])
-    assert len(_best(batch, list(range(50)), _unit(np.array([[1.0, 2.0, 3.0]] * 50)), 5, "int", "string")) == 250 and plan is not None
+    x = unit(np.array([[1.0, 2.0, 3.0]] * 2000))
+    q, at, _ = best(x, x[:50], np.arange(2000)[::-1], 5)
+    assert len(q) == 250 and sorted(set(at.tolist())) == list(range(1995, 2000))
 
 
 def test_short_quotes_in_passes(spark, monkeypatch):
