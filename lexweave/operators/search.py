@@ -23,11 +23,6 @@ def _top(df: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(term, ``id_col``, tf): the inverted index as a table."""
-    return docs.select(id_col, F.explode(tokens).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
-
-
 def lexical_topk(questions: DataFrame, docs: DataFrame, k: int = PER_CHANNEL, query_col: str = "query_id", question_col: str = "pregunta", id_col: str = "legal_ref", text_col: str = "content", tokens: Callable[[Column], Column] = simple_lexemes, distinct: bool = False) -> DataFrame:
     """``query_col``, ``id_col``, score, rank: documents with any of the question's terms.
 

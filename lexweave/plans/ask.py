@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions.text import query_terms, spanish_lexemes
 from ..operators import search, verification
+from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
 from .index import Index
 
 # What a question and a number of results may be.
@@ -37,16 +39,18 @@ def ask(questions: DataFrame, chunks: DataFrame, k: int = search.FINAL) -> DataF
     return hits.join(docs.select("legal_ref", "content", "titulo"), "legal_ref").select("query_id", "rank", "legal_ref", "content", "titulo", "distance")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int = search.FINAL, subject: str | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, per_channel: int = search.PER_CHANNEL, tokens: Callable[[Column], Column] = spanish_lexemes) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, k: int = search.FINAL, subject: str | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, per_channel: int = search.PER_CHANNEL, tokens: Callable[[Column], Column] = spanish_lexemes, words: TextIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
     """query_id, rank, legal_ref, content, titulo by words and vectors. ``subject`` holds in the channel of words only.
 
-    ``tokens`` are the words' forms that are compared, in questions and chunks.
+    ``tokens`` are the words' forms that are compared, in questions and chunks. ``words`` and
+    ``vectors`` are stored indexes of the chunks, by these forms; without them, and of words
+    with a ``subject``, the chunks themselves are searched.
     """
     docs = chunks.withColumnRenamed("ref", "legal_ref")
     worded = docs.where(F.col("materia") == subject) if subject is not None else docs
     asked = with_terms(checked(questions))
-    lexical = search.lexical_topk(asked, worded, per_channel, tokens=tokens)
-    vector = search.vector_topk(asked, docs, per_channel)
+    lexical = words.search(asked, per_channel, tokens=tokens) if words is not None and subject is None else search.lexical_topk(asked, worded, per_channel, tokens=tokens)
+    vector = vectors.search(asked, per_channel, id_col="legal_ref") if vectors is not None else search.vector_topk(asked, docs, per_channel)
     found = search.hybrid_search(lexical, vector, k, rerank=rerank)
     return found.join(docs.select("legal_ref", "content", "titulo"), "legal_ref").select("query_id", "rank", "legal_ref", "content", "titulo")
 

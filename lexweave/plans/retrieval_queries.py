@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import vector_index
-from .registry import _SQL, query, table
+from ..functions import text
+from ..operators import text_index, vector_index
+from .registry import _SQL, REF, WORD, lexical_index, query, table
 
 #: Lists of the vectors' index here, and how many a question visits where the search is approximate.
 LISTS, PROBES = 16, 14  # these vectors lie in all directions alike, the hardest case for lists
@@ -29,3 +30,27 @@ def vector_index_recall(spark, sf_dir):
     search = lambda exact: index.search(asked, 5, id_col="vec_id", probes=PROBES, exact=exact, skip_self=True)
     rows = vector_index.recall(search(False), search(True), id_col="vec_id")
     return rows.agg(F.count("*").alias("questions"), F.sum("n").alias("neighbours"), (F.sum("found") >= 0.95 * F.sum("n")).alias("recall_of_95_percent"), (F.sum("found") / F.sum("n")).alias("recall")).drop("recall")
+
+
+# Questions with all terms, a phrase, or an excluded term: the three shortest words of a passage, or its first two.
+_SPLIT = f"regexp_extract_all(lower(text), '{WORD}')"
+_SHORT = f"list_transform(list_sort(list_transform(list_distinct({_SPLIT}), lambda w: struct_pack(n := length(w), w := w))), lambda s: s.w)"
+
+
+@query(f"""WITH b AS (SELECT item_id AS q, {_SPLIT} AS t, {_SHORT} AS s FROM benchmark),
+d AS (SELECT {REF} AS legal_ref, {_SPLIT} AS t FROM documents), o AS (SELECT legal_ref, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM d),
+a AS (SELECT q, s[1] AS t1, s[2] AS t2, CASE WHEN q % 3 = 0 THEN s[3] END AS t3, CASE WHEN q % 3 = 2 THEN s[3] END AS no FROM b WHERE q % 3 <> 1),
+e AS (SELECT q, o.legal_ref, pos, t3, row_number() OVER w AS i, max(CASE WHEN term = t1 THEN pos END) OVER w AS l1, max(CASE WHEN term = t2 THEN pos END) OVER w AS l2, max(CASE WHEN term = t3 THEN pos END) OVER w AS l3
+  FROM a JOIN o ON term IN (t1, t2, t3) WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.legal_ref = o.legal_ref AND x.term = no) WINDOW w AS (PARTITION BY q, o.legal_ref ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT q, legal_ref, least(l1, l2, l3) AS b, min(pos) AS e FROM e WHERE l1 IS NOT NULL AND l2 IS NOT NULL AND (t3 IS NULL OR l3 IS NOT NULL) GROUP BY 1, 2, 3),
+n AS (SELECT c.q, c.legal_ref, c.e - c.b + 1 - count(*) AS noise FROM c JOIN e ON e.q = c.q AND e.legal_ref = c.legal_ref AND e.pos BETWEEN c.b AND c.e GROUP BY c.q, c.legal_ref, c.b, c.e)
+SELECT q AS query_id, legal_ref, round(sum(0.1 / (1 + noise)), 9) AS score FROM n GROUP BY 1, 2
+UNION ALL SELECT q, x.legal_ref, round(0.1 * count(*), 9) FROM b JOIN o x ON q % 3 = 1 AND x.term = t[1] JOIN o y ON y.legal_ref = x.legal_ref AND y.pos = x.pos + 1 AND y.term = t[2] GROUP BY 1, 2""")
+def cover_density(spark, sf_dir):
+    words = text.simple_lexemes(F.col("text"))
+    short = F.transform(F.array_sort(F.transform(F.array_distinct("w"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), lambda s: s["w"])
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).withColumn("s", short)
+    kind = F.col("query_id") % 3
+    said = F.when(kind == 0, F.concat_ws(" ", F.slice("s", 1, 3))).when(kind == 1, F.concat(F.lit('"'), F.concat_ws(" ", F.slice("w", 1, 2)), F.lit('"'))).otherwise(F.concat_ws(" ", F.slice("s", 1, 2), F.concat(F.lit("-"), F.get("s", F.lit(2)))))
+    asked = b.select("query_id", text_index.web_query(said).alias("asked"))
+    return lexical_index(spark, sf_dir).covers(asked).withColumn("score", F.round("score", 9))

@@ -236,6 +236,68 @@ def test_serving_retracts_and_retries(spark):
     assert shown["b", 0] == ("see ", "retractado") and shown["a", 0] == (good, "abierto") and not [k for k in shown if k[0] == "e"]
 
 
+def plain_covers(units):
+    """By the definition: windows that hold every unit and no shorter one."""
+    at = [[p for p in unit[0] if all(p + k in word for k, word in enumerate(unit))] for unit in units]
+    places = {p for unit in units for word in unit for p in word}
+    whole = lambda b, e: all(any(b <= p and p + len(unit) - 1 <= e for p in starts) for unit, starts in zip(units, at))
+    windows = [(b, e) for b in places for e in places if b <= e and whole(b, e) and not whole(b + 1, e) and not whole(b, e - 1)]
+    return sum(0.1 / (1 + (e - b + 1) - sum(b <= p <= e for p in places)) for b, e in windows)
+
+
+def test_text_index(spark, monkeypatch, tmp_path):
+    from lexweave.operators import text_index
+    from lexweave.plans import ask
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(f"d{i:03d}", " ".join(r.choices(words, [1 / (k + 1) for k in range(25)], k=r.randint(0, 40)))) for i in range(300)] + [("d000", "w3 w3"), ("n", None)]
+    docs = spark.createDataFrame([(*x, "own") for x in rows], "legal_ref string, content string, term string").repartition(4)
+    asked = spark.createDataFrame([(i, " ".join(r.sample(words, r.randint(1, 4)))) for i in range(25)] + [(100, ""), (101, None), (102, "nothing w0 w0")], "query_id int, pregunta string")
+    monkeypatch.setattr(text_index, "BLOCK_DOCS", 8)
+    text_index.build(docs).write(str(tmp_path), "a")
+    index = text_index.stored(spark, str(tmp_path), "a", lambda: pytest.fail("it is there"))
+    assert index.blocks == 38
+    as_set = lambda df: {(x.query_id, x.legal_ref, x.score, x["rank"]) for x in df.collect()}
+    for distinct in (False, True):
+        for first in (2, 100):
+            assert as_set(index.search(asked, 5, distinct=distinct, first_blocks=first)) == as_set(search.lexical_topk(asked, docs, 5, distinct=distinct))
+    assert as_set(text_index.stored(spark, str(tmp_path), "b", lambda: docs).search(asked, 5)) == as_set(index.search(asked, 5))
+    assert text_index.build(docs.limit(0)).search(asked, 5).count() == 0
+    # One term: its folder alone is read.
+    plan = index._of(index.postings, spark.createDataFrame([("w1",)], "term string").withColumn("bucket", text_index._bucket("term")))
+    said = plan._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert plan.select("bucket").distinct().count() == 1 and "PartitionFilters: [isnotnull(bucket" in said
+
+    said = ["w0 w1", '"w0 w1"', "w0 w2 -w1", 'w3 "w0 w1" w0', '"w0 w0"', '"w1 w0 w2" -w5', '-"w0 w7" w1', "-w1", "w0 nothing", '"w4"', "w1 w1"]
+    q = spark.createDataFrame(list(enumerate(said)), "query_id int, said string").withColumn("asked", text_index.web_query(F.col("said")))
+    parsed = {x.said: (x.asked.terms, x.asked.phrases, x.asked.excluded) for x in q.collect()}
+    assert parsed['w3 "w0 w1" w0'] == (["w3", "w0"], [["w0", "w1"]], []) and parsed['-"w0 w7" w1'] == (["w1"], [], ["w0", "w7"]) and parsed['"w4"'] == (["w4"], [], [])
+    unique = docs.where("content <> 'w3 w3'")
+    want = {}
+    for i, s in enumerate(said):
+        terms, phrases, out = parsed[s]
+        units = [[t] for t in dict.fromkeys(terms)] + phrases
+        for ref, t in rows[:300]:
+            there = t.split()
+            if units and not set(out) & set(there) and set(sum(units, [])) <= set(there):
+                score = plain_covers([[[p for p, x in enumerate(there) if x == w] for w in u] for u in units])
+                if score:
+                    want[i, ref] = score
+    got = {(x.query_id, x.legal_ref): x.score for x in text_index.build(unique).covers(q).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 100
+
+    from lexweave.operators import vector_index
+
+    chunks = docs.where("content is not null").withColumnsRenamed({"legal_ref": "ref"}).select("ref", "content", F.lit("t").alias("titulo"), F.lit("m").alias("materia"), F.array(F.length("content").cast("double"), F.lit(1.0)).alias("embedding")).dropDuplicates(["ref"])
+    asked = asked.where("query_id < 25").select("query_id", F.rpad("pregunta", 5, " ").alias("pregunta"), F.array(F.lit(20.0), F.col("query_id").cast("double")).alias("vector"))
+    named = chunks.withColumnRenamed("ref", "legal_ref")
+    from lexweave.functions.text import simple_lexemes
+
+    found = [{(x.query_id, x["rank"], x.legal_ref) for x in ask.retrieve(asked, chunks, 3, tokens=simple_lexemes, **how).collect()} for how in ({}, {"words": text_index.build(named), "vectors": vector_index.build(named, "legal_ref")})]
+    assert found[0] == found[1] and found[0]
+
+
 def test_ties_are_cut_where_they_are_found(spark):
     from lexweave.operators.vector_index import best, unit
 
