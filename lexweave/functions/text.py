@@ -63,6 +63,16 @@ def fold_for_compare(x: Column) -> Column:
     return squeeze(F.translate(nfkc(x), "".join(QUOTES) + DASHES, "".join(QUOTES.values()) + "-" * len(DASHES)))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(lists: pa.Array) -> pa.Array:
+    return pa.array([None if row is None else [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in row] for row in lists.to_pylist()], pa.list_(pa.string()))
+
+
+def fold_each_for_compare(xs: Column) -> Column:
+    """``fold_for_compare`` of each text of an array."""
+    return F.transform(_nfkc_each(xs), lambda x: squeeze(F.translate(x, "".join(QUOTES) + DASHES, "".join(QUOTES.values()) + "-" * len(DASHES))))
+
+
 def strip_accents(x: Column) -> Column:
     """For headings: no accents, lower case, no outer white space."""
     return strip(F.lower(_bare(x)))

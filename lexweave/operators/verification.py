@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import written
 from ..functions import citations as C
-from ..functions.text import fold_for_compare, segments
+from ..functions.text import fold_each_for_compare, fold_for_compare, segments
 
 
 def verify(drafts: DataFrame, keys: tuple[str, ...] = ("request_id", "attempt")) -> DataFrame:
@@ -27,6 +27,22 @@ def verify(drafts: DataFrame, keys: tuple[str, ...] = ("request_id", "attempt"))
     return seen.select(*keys, ok.alias("ok"), F.when(ok, F.transform("refs", lambda r: r["ref"])).otherwise(F.expr("cast(array() as array<string>)")).alias("refs"), F.when(ok, none).otherwise(F.col("bad.reason")).alias("motivo"))
 
 
+def verify_rows(drafts: DataFrame) -> DataFrame:
+    """``verify`` row by row, without a shuffle, for streams: adds ok, refs, motivo to rows with sources and citations."""
+    quotes = fold_each_for_compare(F.transform("citations", lambda c: c["quote"]))
+    texts = fold_each_for_compare(F.transform("sources", lambda s: s["texto"]))
+    df = drafts.withColumns({"_q": quotes, "_t": texts})
+
+    def reason(c: Column, i: Column) -> Column:
+        pieces = F.when(c["segmento"].isNotNull(), F.size(segments(F.get("sources", c["n"] - 1)["texto"])))
+        return C.citation_reason(c["n"], c["segmento"], F.size("sources"), pieces, F.get("_q", i), F.get("_t", c["n"] - 1))
+
+    df = df.withColumn("_r", F.transform("citations", reason))
+    bad = F.when(F.size("citations") == 0, F.lit(C.NO_CITATIONS)).otherwise(F.get(F.filter("_r", lambda r: r.isNotNull()), F.lit(0)))
+    refs = F.transform("citations", lambda c: F.get("sources", c["n"] - 1)["ref"])
+    return df.withColumns({"motivo": bad, "ok": bad.isNull(), "refs": F.when(bad.isNull(), refs).otherwise(F.expr("cast(array() as array<string>)"))}).drop("_q", "_t", "_r")
+
+
 def courses(verdicts: DataFrame) -> DataFrame:
     """request_id, salida, reintentos, refs, motivo from (request_id, attempt, ok, refs, motivo, has_sources, relevance).
 
@@ -100,20 +116,18 @@ def serve_requests(requests: DataFrame, emit, most_retries: int = C.MOST_RETRIES
     """
     from ..streaming.guard import RETRACTED, guard
 
-    shown: list[DataFrame] = []
+    none = "request_id {}, attempt int, emitted string, holes array<int>, state string".format(requests.schema["request_id"].dataType.simpleString())
+    shown = [requests.sparkSession.createDataFrame([], none)]
 
     def generate(rows: DataFrame, attempt: int) -> DataFrame:
         tokens = emit(rows, attempt).join(rows.select("request_id", F.size("sources").alias("n_sources")), "request_id")
         pieces = written(guard(tokens.withColumn("attempt", F.lit(attempt))))
-        shown.append(pieces)
+        shown[0] = shown[0].unionByName(pieces)
         told = pieces.select("request_id", F.col("emitted").alias("draft"), (F.col("state") == RETRACTED).alias("retracted"))
         return rows.join(told, "request_id", "left").withColumns({"draft": F.coalesce("draft", F.lit("")), "retracted": F.coalesce("retracted", F.lit(False))})
 
-    results = written(answer_requests(requests, generate, most_retries))
-    pieces = shown[0]
-    for more in shown[1:]:
-        pieces = pieces.unionByName(more)
-    return pieces, results
+    results = written(answer_requests(requests, generate, most_retries))  # every attempt has been made now
+    return shown[0], results
 
 
 def sse_events(results: DataFrame) -> DataFrame:
@@ -131,3 +145,41 @@ def sse_events(results: DataFrame) -> DataFrame:
     done = F.array(event("done", F.to_json(F.struct(F.col("reintentos").alias("reintentos"), F.col("salida").alias("salida")))))
     every = F.concat(F.array(event("sources", sources)), retries, F.when(F.col("salida") == C.ANSWER, answered).otherwise(abstained), done)
     return results.select("request_id", F.posexplode(every).alias("seq", "e")).select("request_id", "seq", "e.event", "e.data")
+
+
+def sse_lines(events: DataFrame) -> DataFrame:
+    """request_id, line_no, line: events as the lines that a client reads: name, data, and an empty one."""
+    lines = F.array(F.concat(F.lit("event: "), F.col("event")), F.concat(F.lit("data: "), F.col("data")), F.lit(""))
+    each = events.select("request_id", "seq", F.posexplode(lines).alias("k", "line"))
+    return each.select("request_id", (F.col("seq") * 3 + F.col("k")).alias("line_no"), "line")
+
+
+def read_sse(lines: DataFrame) -> DataFrame:
+    """request_id, texto, citas, fuentes, abstenida, motivo, latencias_ms: what a client shows of each answer, from its lines.
+
+    ``lines``: request_id, line_no, line. Data belong to the last event named before
+    them, wherever its line stands; what comes before any name, lines of another kind, and events that are not known, change nothing. Texts of
+    token events are joined in order; of sources, citations and the reason the last
+    counts. An error is an abstention whose reason begins with "error: ". Data that are not JSON fail the query.
+    """
+    named = F.when(F.col("line").startswith("event:"), F.trim(F.substring("line", 7, 1 << 30)))
+    order = Window.partitionBy("request_id").orderBy("line_no")
+    told = lines.withColumn("event", F.last(named, ignorenulls=True).over(order)).where(F.col("line").startswith("data:"))
+    data = F.trim(F.regexp_replace(F.substring("line", 6, 1 << 30), r"\n+\z", ""))
+    kinds = "struct<fuentes:array<struct<legal_ref:string,n:int,titulo:string>>,texto:string,citas:array<struct<legal_ref:string,quote:string>>,motivo:string,detalle:string,latencias_ms:map<string,double>>"
+    told = told.select("request_id", "line_no", "event", F.from_json(data, kinds, {"mode": "FAILFAST"}).alias("d"))
+    last = lambda value, *events: F.max_by(value, F.when(F.col("event").isin(*events), F.col("line_no")))
+    reason = F.when(F.col("event") == "abstain", F.coalesce("d.motivo", F.lit(""))).otherwise(F.concat(F.lit("error: "), F.coalesce("d.detalle", F.lit(""))))
+    parts = F.array_sort(F.collect_list(F.when(F.col("event") == "token", F.struct("line_no", F.coalesce("d.texto", F.lit("")).alias("t")))))
+    ended = F.max(F.col("event").isin("abstain", "error"))
+    of = told.groupBy("request_id").agg(
+        F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("texto"),
+        F.coalesce(last(F.col("d.citas"), "citations"), F.expr("cast(array() as array<struct<legal_ref:string,quote:string>>)")).alias("citas"),
+        F.coalesce(last(F.col("d.fuentes"), "sources"), F.expr("cast(array() as array<struct<legal_ref:string,n:int,titulo:string>>)")).alias("fuentes"),
+        F.coalesce(ended, F.lit(False)).alias("abstenida"),
+        F.coalesce(last(reason, "abstain", "error"), F.lit("")).alias("motivo"),
+        F.coalesce(last(F.col("d.latencias_ms"), "done"), F.expr("cast(map() as map<string,double>)")).alias("latencias_ms"),
+    )
+    empty = lines.select("request_id").distinct().join(of, "request_id", "left")  # an answer may have no data
+    none = {"texto": F.lit(""), "citas": F.expr("cast(array() as array<struct<legal_ref:string,quote:string>>)"), "fuentes": F.expr("cast(array() as array<struct<legal_ref:string,n:int,titulo:string>>)"), "abstenida": F.lit(False), "motivo": F.lit(""), "latencias_ms": F.expr("cast(map() as map<string,double>)")}
+    return empty.withColumns({c: F.coalesce(F.col(c), d) for c, d in none.items()})

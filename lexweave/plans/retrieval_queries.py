@@ -1,12 +1,13 @@
-"""Queries over stored indexes: vectors in lists, words with blocks and positions."""
+"""Queries over stored indexes (vectors in lists, words with blocks and positions), and of serving."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import citations as C
 from ..functions import text
-from ..operators import text_index, vector_index
-from .registry import _SQL, REF, WORD, lexical_index, query, table
+from ..operators import text_index, vector_index, verification
+from .registry import _QUERIES, _SQL, REF, WORD, _requests, lexical_index, query, table
 
 #: Lists of the vectors' index here, and how many a question visits where the search is approximate.
 LISTS, PROBES = 16, 14  # these vectors lie in all directions alike, the hardest case for lists
@@ -54,3 +55,31 @@ def cover_density(spark, sf_dir):
     said = F.when(kind == 0, F.concat_ws(" ", F.slice("s", 1, 3))).when(kind == 1, F.concat(F.lit('"'), F.concat_ws(" ", F.slice("w", 1, 2)), F.lit('"'))).otherwise(F.concat_ws(" ", F.slice("s", 1, 2), F.concat(F.lit("-"), F.get("s", F.lit(2)))))
     asked = b.select("query_id", text_index.web_query(said).alias("asked"))
     return lexical_index(spark, sf_dir).covers(asked).withColumn("score", F.round("score", 9))
+
+
+# Serving: of a conversation's attempts one cites its first turn, the next what no turn holds, the next outside its sources, and the next can't answer.
+@query(rf"""WITH s AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY 1),
+f AS (SELECT conv_id, conv_id % 4 AS k, conv_id % 6 = 0 AS low, trim(regexp_replace(substr(t[1], 2, 30), '\s+', ' ', 'g')) AS q FROM s),
+g AS (SELECT *, CASE WHEN q = '' THEN 'quote_vacio' WHEN length(q) < 12 THEN 'quote_demasiado_corto' END AS bad FROM f)
+SELECT conv_id AS request_id, CASE WHEN NOT low AND k = 0 AND bad IS NULL THEN '{C.ANSWER}' ELSE '{C.ABSTAIN}' END AS salida,
+  CAST(CASE WHEN low THEN 0 WHEN k = 0 THEN CASE WHEN bad IS NULL THEN 0 ELSE 2 END WHEN k = 1 THEN 2 WHEN k = 2 THEN 1 ELSE 0 END AS INTEGER) AS reintentos,
+  CASE WHEN low THEN '{C.NOT_RELEVANT}' WHEN k = 0 AND bad IS NOT NULL THEN '{C.OUT_OF_RANGE}' END AS motivo, CASE WHEN NOT low AND k = 0 AND bad IS NULL THEN 'It is so [[REF:1]].' END AS answer FROM g""")
+def serve_requests(spark, sf_dir):
+    i = F.col("request_id")
+    requests = _requests(spark, sf_dir).select("request_id", "sources", F.when(i % 6 == 0, 0.05).when(i % 6 == 1, F.lit(None)).otherwise(0.5).alias("relevance"), F.lit("q").alias("pregunta"))
+
+    def emit(rows, attempt):
+        kind, own = (i + attempt) % 4, F.regexp_replace(F.substring(F.get("sources", F.lit(0))["texto"], 2, 30), r"\s+", " ")
+        good = F.concat(F.lit("CITAS\n[[REF:1]] «"), own, F.lit("»\nRESPUESTA\nIt is so [[REF:1]]."))
+        draft = F.when(kind == 0, good).when(kind == 1, "CITAS\n[[REF:1]] «words that no turn holds»\nRESPUESTA\nNo.").when(kind == 2, "As [[REF:99]] says").otherwise("No puedo responder.")
+        return rows.select("request_id", F.posexplode(text.tokens_of_stream(draft)).alias("seq", "token"))
+
+    return verification.serve_requests(requests, emit)[1].select("request_id", "salida", "reintentos", "motivo", "answer")
+
+
+@query(f"""WITH e AS ({_SQL['sse_events']})
+SELECT request_id, coalesce(string_agg(CASE WHEN event = 'token' THEN data::JSON ->> '$.texto' END, '' ORDER BY seq), '') AS texto, coalesce(max(CASE WHEN event = 'citations' THEN array_to_string(list_transform(json_extract_string(data, '$.citas[*].quote'), lambda q: q), '|') END), '') AS quotes,
+  coalesce(max(CASE WHEN event = 'sources' THEN array_to_string(json_extract_string(data, '$.fuentes[*].legal_ref'), ',') END), '') AS refs, bool_or(event = 'abstain') AS abstenida, coalesce(max(CASE WHEN event = 'abstain' THEN data::JSON ->> '$.motivo' END), '') AS motivo FROM e GROUP BY 1""")
+def read_sse(spark, sf_dir):
+    got = verification.read_sse(verification.sse_lines(_QUERIES["sse_events"](spark, sf_dir)))
+    return got.select("request_id", "texto", F.array_join(F.transform("citas", lambda c: c["quote"]), "|").alias("quotes"), F.array_join(F.transform("fuentes", lambda f: f["legal_ref"]), ",").alias("refs"), "abstenida", "motivo")

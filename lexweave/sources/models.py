@@ -111,24 +111,68 @@ def _lines(url: str, body: dict, timeout: float) -> Iterator[str]:
             yield line.decode()
 
 
-def http_token_stream(base_url: str, model: str, max_tokens: int = 256, temperature: float = 0.0, timeout: float = 120, lines: Callable = _lines) -> Callable[[DataFrame, int], DataFrame]:
-    """The same endpoint asked to stream: from rows with request_id and prompt to (request_id, seq, token), a token for each line with text."""
+def _spoken(lines: Iterator[str]) -> Iterator[str]:
+    """The text in each line of a streamed completion that carries some."""
+    for line in map(str.strip, lines):
+        if line.startswith("data:") and line[5:].strip() != "[DONE]":
+            choices = json.loads(line[5:]).get("choices") or [{}]
+            if text := (choices[0].get("delta") or {}).get("content"):
+                yield text
+
+
+def http_token_events(base_url: str, model: str, max_tokens: int = 256, temperature: float = 0.0, timeout: float = 120, lines: Callable = _lines, at_once: int = 16) -> Callable[[DataFrame], DataFrame]:
+    """The same endpoint asked to stream: from rows with request_id, attempt, prompt, n_sources to what ``guard_stream`` takes.
+
+    Rows may be a table or a stream. Tokens go on as their lines come, ``at_once`` in a
+    batch. The guard reads along: with the token that retracts an attempt its request is
+    closed and no further line is read. The last token has is_last; an answer without text is one empty token.
+    """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..streaming.guard import RETRACTED, Guard
+
         for b in batches:
-            for request, prompt in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            request_type = b.column(0).type
+            for request, attempt, prompt, n_sources in zip(*(c.to_pylist() for c in b.columns)):
                 body = {"model": model, "messages": [{"role": "user", "content": prompt}], "max_tokens": max_tokens, "temperature": temperature, "stream": True}
-                told: list[str] = []
-                for line in map(str.strip, lines(f"{base_url}/v1/chat/completions", body, timeout)):
-                    if line.startswith("data:") and line[5:].strip() != "[DONE]":
-                        choices = json.loads(line[5:]).get("choices") or [{}]
-                        if text := (choices[0].get("delta") or {}).get("content"):
-                            told.append(text)
-                yield pa.RecordBatch.from_arrays([pa.array([request] * len(told), b.column(0).type), pa.array(range(len(told)), pa.int64()), pa.array(told, pa.string())], names=["request_id", "seq", "token"])
+                guard, held, seq = Guard(n_sources or 0), [], 0
+
+                def batch(last: bool, request=request, attempt=attempt, n_sources=n_sources) -> pa.RecordBatch:
+                    n, first = len(held), seq - len(held)
+                    columns = [pa.array([request] * n, request_type), pa.array([attempt] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), pa.array(held, pa.string()), pa.array([n_sources] * n, pa.int32()), pa.array([last and i == n - 1 for i in range(n)])]
+                    return pa.RecordBatch.from_arrays(columns, names=["request_id", "attempt", "seq", "token", "n_sources", "is_last"])
+
+                answer = lines(f"{base_url}/v1/chat/completions", body, timeout)
+                try:
+                    for text in _spoken(answer):
+                        if len(held) >= at_once:  # one more has come, so none of these is the last
+                            yield batch(False)
+                            held = []
+                        held.append(text)
+                        seq += 1
+                        guard.take(text)
+                        if guard.state == RETRACTED:
+                            break
+                finally:
+                    if hasattr(answer, "close"):
+                        answer.close()
+                if not seq:
+                    held, seq = [""], 1
+                yield batch(True)
+
+    def events(rows: DataFrame) -> DataFrame:
+        kind = rows.schema["request_id"].dataType.simpleString()
+        return rows.select("request_id", F.col("attempt").cast("int"), "prompt", F.col("n_sources").cast("int")).mapInArrow(tokens, f"request_id {kind}, attempt int, seq bigint, token string, n_sources int, is_last boolean")
+
+    return events
+
+
+def http_token_stream(base_url: str, model: str, **how) -> Callable[[DataFrame, int], DataFrame]:
+    """The same for ``serve_requests``: from rows with request_id, prompt and sources to (request_id, seq, token)."""
+    events = http_token_events(base_url, model, **how)
 
     def emit(rows: DataFrame, attempt: int) -> DataFrame:
-        kind = rows.schema["request_id"].dataType.simpleString()
-        return rows.select("request_id", "prompt").mapInArrow(tokens, f"request_id {kind}, seq bigint, token string")
+        return events(rows.withColumns({"attempt": F.lit(attempt), "n_sources": F.size("sources")})).select("request_id", "seq", "token")
 
     return emit
 

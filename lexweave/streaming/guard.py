@@ -89,10 +89,11 @@ class _GuardProcessor(StatefulProcessor):
     marks, and attempts that nothing comes for, go after ``keep_ms``.
     """
 
-    def __init__(self, keep_ms: int) -> None:
-        self.keep_ms = keep_ms
+    def __init__(self, keep_ms: int, whole: bool = False) -> None:
+        self.keep_ms, self.whole = keep_ms, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.said = handle.getListState("said", "text string", self.keep_ms) if self.whole else None
         self.at = handle.getValueState("at", "next bigint, state string, buffer string, n_sources int, over boolean", self.keep_ms)
         self.early = handle.getMapState("early", "seq bigint", "token string, is_last boolean", self.keep_ms)
 
@@ -116,28 +117,35 @@ class _GuardProcessor(StatefulProcessor):
             self.early.removeKey((turn,))
             text, holes = g.take(token)
             over = bool(last) or g.state == RETRACTED
+            if self.whole and text:
+                self.said.appendValue((text,))
             if text or holes or over:
-                out.append((request, attempt, turn, text, holes, g.state, over))
+                whole = ("".join(t for (t,) in self.said.get()) if over else None,) if self.whole else ()
+                out.append((request, attempt, turn, text, holes, g.state, over, *whole))
             turn += 1
         if over:
             self.early.clear()
+            if self.whole:
+                self.said.clear()
         self.at.update((turn, g.state, "" if over else g.buffer, n or 0, over))
         if out:
-            yield pd.DataFrame(out, columns=PIECES.names)
+            yield pd.DataFrame(out, columns=[*PIECES.names, "emitted"] if self.whole else PIECES.names)
 
     def close(self) -> None:
         pass
 
 
-def guard_stream(tokens: DataFrame, keep_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def guard_stream(tokens: DataFrame, keep_ms: int = 24 * 3600 * 1000, whole: bool = False) -> DataFrame:
     """Pieces that may be shown, as tokens come: (request_id, attempt, seq, token, n_sources, is_last) in any order.
 
     ``seq`` counts from 0 in each attempt; a piece goes out once all before it have
     come. ``done`` marks the last one: the attempt's end, or its retraction. What is
     held back when an attempt ends is dropped, and its state but for a mark, which
-    goes after ``keep_ms``. The session needs the RocksDB state store.
+    goes after ``keep_ms``. With ``whole`` the last piece has all that the attempt
+    has let out as emitted. The session needs the RocksDB state store.
     """
-    return tokens.groupBy("request_id", "attempt").transformWithStateInPandas(statefulProcessor=_GuardProcessor(keep_ms), outputStructType=PIECES, outputMode="Append", timeMode="ProcessingTime")
+    fields = T.StructType([*PIECES.fields, T.StructField("emitted", T.StringType())]) if whole else PIECES
+    return tokens.groupBy("request_id", "attempt").transformWithStateInPandas(statefulProcessor=_GuardProcessor(keep_ms, whole), outputStructType=fields, outputMode="Append", timeMode="ProcessingTime")
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours", ts: str = "ts", by: str = "event_type") -> DataFrame:
