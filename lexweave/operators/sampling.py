@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import written
+from . import vector_index
 
 # Classes of questions, and the shares of failure that part easy from hard.
 COVERAGE_OF = {"positivo": "rgc", "negativo": "fuera"}
 EASY, HARD = 6, 20
+#: Near pairs of a component that one task goes through.
+MAX_COMPONENT = 1_000_000
 
 
 def draw_key(seed: str | int, *parts: Column) -> Column:
@@ -59,58 +65,111 @@ def blind_round_robin(rows: DataFrame, n: int, seed: str | int, subject: str = "
     return rows.join(chosen, id_col, "left").withColumn("a_ciegas", F.coalesce("_blind", F.lit(False))).drop("_blind")
 
 
-def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", block_rows: int = 8192) -> DataFrame:
+def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", lists: int | None = None) -> DataFrame:
     """(a, b, cosine) for a < b with a cosine of ``threshold`` or more; a row without a vector fails the query.
 
-    Exact. Blocks of rows are compared in groups, each pair of blocks in its own,
-    by products of narrow strips; only pairs that reach the threshold leave a group.
+    Exact: a vector meets the blocks of an index that can hold one so near, by the
+    triangle inequality of angles, and no others; only pairs that reach the
+    threshold leave a block.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.when(F.col(vector_col).isNull(), F.raise_error(F.concat(F.lit("no vector for "), F.col(id_col).cast("string"))).cast("array<double>")).otherwise(F.transform(vector_col, lambda x: x.cast("double"))).alias("x"))
-    blocks = max(1, -(-rows.count() // block_rows))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    meets = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "x")
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, own = t["id"].to_numpy(), t["block"].to_numpy()
-        x = np.array(t["x"].to_pylist(), dtype=float)
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.where(length > 0, x / np.where(length > 0, length, 1), 0)
-        apart = t["i"][0].as_py() != t["j"][0].as_py()
-        out: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
-        for at in range(0, len(ids), 1024):
-            c = x[at : at + 1024] @ x.T
-            a, b = np.nonzero(c >= threshold)
-            keep = (ids[a + at] < ids[b]) & (own[a + at] != own[b] if apart else True)
-            a, b = a[keep], b[keep]
-            for part, values in zip(out, (ids[a + at], ids[b], c[a, b])):
-                part.append(values)
-        a, b, c = (np.concatenate(part) for part in out)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(c)})
-
-    return meets.groupBy("i", "j").applyInArrow(run, "a bigint, b bigint, cosine double")
+    missing = F.raise_error(F.concat(F.lit("no vector for "), F.col(id_col).cast("string"))).cast("array<double>")
+    rows = written(vectors.select(F.col(id_col).cast("bigint").alias("id"), F.when(F.col(vector_col).isNull(), missing).otherwise(F.col(vector_col).cast("array<double>")).alias("v")))
+    found = vector_index.build(rows, "id", "v", lists).within(rows, threshold)
+    return found.where("q < id").select(F.col("q").alias("a"), F.col("id").alias("b"), "cosine")
 
 
 def greedy_dedupe(rows: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """The rows that going through them in order would keep, dropping each that is near one already kept.
 
-    ``edges`` holds pairs a < b in that order. In each round an undecided row goes
-    if an earlier neighbour is kept, and stays if all its earlier neighbours have
-    gone; at least the first undecided one is decided, so the rounds end. Each is
-    checkpointed.
+    ``edges`` holds pairs a < b in that order. What happens in one component of the
+    pairs doesn't touch another, so a component is gone through in one task, in
+    order, however long its chains are. Components of more than ``MAX_COMPONENT`` pairs, which
+    no task should hold, are decided in rounds: an undecided row goes if an earlier neighbour is kept, and stays
+    if all its earlier neighbours have gone.
     """
-    state = written(edges.select(F.col("b").alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    e = written(edges.select("a", F.col("b").alias("id")).distinct())
+    own = written(edges.select("a", F.col("b").alias("id")).distinct())
+    root = components(own.select("a", F.col("id").alias("b")))
+    placed = written(own.join(root.select(F.col("id").alias("a"), "root"), "a"))
+    sizes = written(placed.groupBy("root").agg((F.count("*") > MAX_COMPONENT).alias("large")))
+    placed = placed.join(sizes, "root")
+    kind = own.schema["id"].dataType.simpleString()
+
+    def run(pairs: pa.Table) -> pa.Table:
+        gone: set = set()
+        kept_before: dict = {}
+        for a, b in zip(*(pairs.column(c).to_pylist() for c in ("a", "id"))):
+            kept_before.setdefault(b, []).append(a)
+        for b in sorted(kept_before):
+            if any(a not in gone for a in kept_before[b]):
+                gone.add(b)
+        return pa.table({"id": pa.array(list(gone), pairs.schema.field("id").type)})
+
+    gone = placed.where("not large").select("root", "a", "id").groupBy("root").applyInArrow(run, f"id {kind}")
+    if not sizes.where("large").isEmpty():
+        gone = gone.unionByName(_gone_in_rounds(placed.where("large").select("a", "id")))
+    return rows.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti")
+
+
+def _gone_in_rounds(e: DataFrame) -> DataFrame:
+    """The ids that go, a round at a time; each is checkpointed. At least the first undecided one is decided, so the rounds end."""
+    e = written(e)
+    state = written(e.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")))
     while True:
         # A row without earlier neighbours isn't in the state: it is kept.
         seen = e.join(state.select(F.col("id").alias("a"), F.col("kept").alias("a_kept"), F.lit(True).alias("known")), "a", "left")
         own = seen.groupBy("id").agg(F.max(F.when(F.col("known").isNull(), True).otherwise(F.col("a_kept"))).alias("some_kept"), F.count(F.when(F.col("known") & F.col("a_kept").isNull(), 1)).alias("open"))
         state = written(own.select("id", F.when(F.col("some_kept"), False).when(F.col("open") == 0, True).alias("kept")))
         if state.where("kept is null").isEmpty():
-            gone = state.where("not kept").select(F.col("id").alias(id_col))
-            return rows.join(gone, id_col, "left_anti")
+            return state.where("not kept").select("id")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) of every id in the pairs (a, b): the smallest id that pairs lead to.
+
+    Each task first joins what its own pairs connect, which shortens long chains; then every id is
+    led to the smallest of its neighbours' roots, and roots to each other, until nothing changes.
+    The rounds grow with the logarithm of what is left of a chain.
+    """
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):
+            top = x
+            while parent.get(top, top) != top:
+                top = parent[top]
+            while x != top:
+                parent[x], x = top, parent.get(x, x)
+            return top
+
+        arrow = None
+        for b in batches:
+            arrow = b.column(0).type
+            for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                a, c = find(a), find(c)
+                parent.setdefault(a, a)
+                parent[max(a, c)] = min(a, c)
+        if arrow is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parent), arrow), pa.array([find(x) for x in parent], arrow)], names=["id", "root"])
+
+    # Ids that lie near one another are often in one chain: sorted ranges of pairs hold its pieces.
+    local = written(edges.repartitionByRange("a", "b").mapInArrow(joined, f"id {kind}, root {kind}"))
+    links = local.where("id <> root").select("id", "root").distinct()
+    while True:
+        # Larger neighbours are led to the smallest one, then smaller ones: alternating stars.
+        both = links.unionByName(links.select(F.col("root").alias("id"), F.col("id").alias("root")))
+        least = both.groupBy("id").agg(F.min("root").alias("least")).select("id", F.least("id", "least").alias("least"))
+        star = written(both.join(least, "id").where("root > id").select(F.col("root").alias("id"), F.col("least").alias("root")).distinct())
+        down = written(star.groupBy("id").agg(F.min("root").alias("root")))
+        again = star.join(down.withColumnRenamed("root", "least"), "id")
+        small = written(again.where("root > least").select(F.col("root").alias("id"), F.col("least").alias("root")).unionByName(down).distinct())
+        done = small.groupBy("id").count().where("count > 1").isEmpty() and small.join(small.select(F.col("id").alias("root")), "root", "left_semi").isEmpty()
+        links = small
+        if done:
+            break
+    every = local.select("id").unionByName(local.select(F.col("root").alias("id"))).distinct()
+    return every.join(links, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def random_case(cases: DataFrame, seed: str | int, id_col: str = "id") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from . import vector_index
 
 # The fusion constant, and how many rows a channel, the reranker and the generator take.
 RRF_K, PER_CHANNEL, RERANKED, FINAL = 60, 30, 30, 5
-#: Short quotes that are sent to every task at once; more take further passes.
-QUERIES_PER_PASS = 4096
+#: Short quotes in one automaton, which every task builds; more take further passes over the texts.
+QUOTES_PER_PASS = 200_000
 #: Distinct question terms that are sent to every task; more are joined by shuffle.
 MAX_BROADCAST_TERMS = 100_000
 
@@ -145,8 +146,9 @@ def quote_search(quotes: DataFrame, docs: DataFrame, id_col: str = "quote_id", q
 
     A quote's words but the first and the last stand whole in any text that
     contains it, so the longest of them leads to the candidates and ``contains``
-    decides. Quotes of fewer than three words have no such word; they are
-    compared with all texts, ``QUERIES_PER_PASS`` or so in each pass.
+    decides. Quotes of fewer than three words have no such word; an automaton of
+    all of them walks once through each text, or several do where they are more
+    than ``QUOTES_PER_PASS``.
     """
     words = F.split(quote_col, r"\s+", -1)
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
@@ -157,9 +159,41 @@ def quote_search(quotes: DataFrame, docs: DataFrame, id_col: str = "quote_id", q
     places = docs.select(doc_col, F.explode(F.array_distinct(F.split(text_col, r"\s+", -1))).alias("anchor")).join(F.broadcast(known) if few else known, "anchor", "left_semi")
     candidates = places.join(anchored, "anchor").select(doc_col, id_col, quote_col)
     found = candidates.join(docs.select(doc_col, text_col), doc_col).where(F.col(text_col).contains(F.col(quote_col))).select(id_col, doc_col)
-    short = anchored.where("anchor is null").select(id_col, quote_col)
-    passes = -(-short.count() // QUERIES_PER_PASS)
+    short = anchored.where("anchor is null").select(F.col(id_col).alias("q"), F.col(quote_col).alias("quote"))
+    passes = -(-short.count() // QUOTES_PER_PASS)
     for p in range(passes):
-        part = short.where(F.pmod(F.xxhash64(id_col, quote_col), F.lit(passes)) == p)
-        found = found.unionByName(docs.select(doc_col, text_col).join(F.broadcast(part), F.col(text_col).contains(F.col(quote_col))).select(id_col, doc_col))
+        part = short.where(F.pmod(F.xxhash64("q", "quote"), F.lit(passes)) == p)
+        found = found.unionByName(_with_any(part, docs, doc_col, text_col).select(F.col("q").alias(id_col), F.col("d").alias(doc_col)))
     return found.distinct()
+
+
+def _with_any(quotes: DataFrame, docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+    """(q, d) for every quote in every text, by one walk of an automaton of all quotes through each text. ``quotes`` are at most ``QUOTES_PER_PASS`` or so, of two words."""
+    rows = quotes.toArrow()
+    of: dict[str, list[int]] = {}
+    for i, quote in enumerate(rows.column("quote").to_pylist()):
+        of.setdefault(quote, []).append(i)
+    shared = docs.sparkSession.sparkContext.broadcast((rows.column("q").combine_chunks(), of))
+    kinds = [df.schema[c].dataType for df, c in ((quotes, "q"), (docs, doc_col))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ids, of = shared.value
+        automaton = ahocorasick.Automaton()
+        for quote, numbers in of.items():
+            if quote:
+                automaton.add_word(quote, numbers)
+        automaton.make_automaton()
+        everywhere = of.get("", [])  # the empty quote is in every text
+        for b in batches:
+            at, which = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if text is not None:
+                    held = {id(n): n for _, n in automaton.iter(text)} if len(automaton) else {}
+                    here = [*everywhere, *(x for n in held.values() for x in n)]
+                    at += [i] * len(here)
+                    which += here
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), b.column(0).take(pa.array(at, pa.int64()))], names=["q", "d"])
+
+    return docs.select(doc_col, text_col).mapInArrow(run, f"q {kinds[0].simpleString()}, d {kinds[1].simpleString()}")

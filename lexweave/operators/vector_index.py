@@ -84,8 +84,17 @@ class VectorIndex:
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return ranked.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "distance", "rank")
 
+    def within(self, questions: DataFrame, threshold: float) -> DataFrame:
+        """q, id, cosine: every entry with a cosine of ``threshold`` or more, for questions (id, v). Blocks that can't hold one are not met."""
+        asked = questions.select(F.col("id").alias("q"), _doubles(F.col("v")).alias("v"), F.lit(1.0 - threshold).alias("kth"))
+        own, rest = self._targets(asked, 0, True), self._targets(asked, 0, False)
+        return self._visit(own.unionByName(rest), None, False, threshold)
+
     def _targets(self, asked: DataFrame, probes: int, first: bool) -> DataFrame:
-        """q, v, list, shell: what each question visits first, or afterwards, given the k-th distance ``kth`` found (null: fewer than k)."""
+        """q, v, list, shell: what each question visits first, or afterwards, given the k-th distance ``kth`` found (null: fewer than k).
+
+        First come the list of vectors that have no angle and the ``probes`` nearest lists; afterwards the others, as far as they can hold something so near.
+        """
         spark = asked.sparkSession
         # At most MAX_LISTS lists of SHELLS shells.
         known = [(r["list"], r["shell"], r.low, r.high) for r in self.shells.where("list >= 0").select("list", "shell", "low", "high").collect()]
@@ -108,7 +117,8 @@ class VectorIndex:
                     angle = np.arccos(np.clip(v @ centroids.T, -1, 1))
                     angle[(v == 0).all(axis=1)] = np.pi / 2
                     nearest = np.zeros(angle.shape, bool)
-                    np.put_along_axis(nearest, np.argpartition(angle, min(probes, angle.shape[1]) - 1, axis=1)[:, :probes], True, axis=1)
+                    if probes:
+                        np.put_along_axis(nearest, np.argpartition(angle, min(probes, angle.shape[1]) - 1, axis=1)[:, :probes], True, axis=1)
                     if first:
                         wanted = nearest[:, lists]
                     else:
@@ -126,11 +136,11 @@ class VectorIndex:
 
         return asked.mapInArrow(run, f"q {kind.simpleString()}, v array<double>, list int, shell int")
 
-    def _visit(self, targets: DataFrame, k: int, skip_self: bool) -> DataFrame:
-        """q, id, distance: the k best of each block that a question visits."""
+    def _visit(self, targets: DataFrame, k: int | None, skip_self: bool, threshold: float = 0.0) -> DataFrame:
+        """q, id, distance: the k best of each block that a question visits; without ``k`` q, id, cosine of all that reach the threshold."""
         q_kind, id_kind = targets.schema["q"].dataType, self.entries.schema["id"].dataType
         arrow = to_arrow_type(q_kind), to_arrow_type(id_kind)
-        targets = written(targets)
+        targets, value = written(targets), "cosine" if k is None else "distance"
         # How many blocks a shell has, and by how many groups of questions each is met.
         load = targets.groupBy("list", "shell").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("groups")).join(self.shells.select("list", "shell", "blocks"), ["list", "shell"])
         key = ["list", "shell", "block", "group"]
@@ -141,17 +151,20 @@ class VectorIndex:
 
         def run(entries: pa.Table, asked: pa.Table) -> pa.Table:
             if not len(entries) or not len(asked):
-                return pa.table({"q": pa.array([], arrow[0]), "id": pa.array([], arrow[1]), "distance": pa.array([], pa.float64())})
+                return pa.table({"q": pa.array([], arrow[0]), "id": pa.array([], arrow[1]), value: pa.array([], pa.float64())})
             ids, qs = entries.column("id").combine_chunks(), asked.column("q").combine_chunks()
             width = len(entries.column("v")[0])
             x = unit(_rows(entries.column("v").combine_chunks(), width))
             y = unit(_rows(asked.column("asked").combine_chunks(), width))
-            by_id = pc.rank(ids, null_placement="at_start", tiebreaker="first").to_numpy()
-            out = [best(x, y[i : i + 256], by_id, k, i) for i in range(0, len(y), 256)]
-            q, at, distance = (np.concatenate(c) for c in zip(*out))
-            return pa.table({"q": qs.take(pa.array(q)), "id": ids.take(pa.array(at)), "distance": pa.array(distance)})
-
-        found = left.groupBy(*key).cogroup(right.groupBy(*[f"{c}_" for c in key])).applyInArrow(run, f"q {q_kind.simpleString()}, id {id_kind.simpleString()}, distance double")
+            if k is None:
+                out = [_reaching(x, y[i : i + 256], threshold, i) for i in range(0, len(y), 256)]
+            else:
+                by_id = pc.rank(ids, null_placement="at_start", tiebreaker="first").to_numpy()
+                out = [best(x, y[i : i + 256], by_id, k, i) for i in range(0, len(y), 256)]
+            q, at, found = (np.concatenate(c) for c in zip(*out))
+            return pa.table({"q": qs.take(pa.array(q)), "id": ids.take(pa.array(at)), value: pa.array(found)})
+
+        found = left.groupBy(*key).cogroup(right.groupBy(*[f"{c}_" for c in key])).applyInArrow(run, f"q {q_kind.simpleString()}, id {id_kind.simpleString()}, {value} double")
         return found.where("q <> id") if skip_self else found
 
     def write(self, path: str, version: str) -> None:
@@ -170,6 +183,12 @@ class VectorIndex:
         return VectorIndex(spark.read.parquet(f"{folder}/entries"), spark.read.parquet(f"{folder}/shells"), np.array([r.centroid for r in rows], dtype=float).reshape(len(rows), -1))
 
 
+def _reaching(x: np.ndarray, y: np.ndarray, threshold: float, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cosine = y @ x.T
+    q, at = np.nonzero(cosine >= threshold)
+    return q + first, at, cosine[q, at]
+
+
 def best(x: np.ndarray, y: np.ndarray, by_id: np.ndarray, k: int, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row of ``y`` the k nearest rows of ``x``: its number (from ``first``), theirs, and the distances. Of all that tie those of the smallest ids."""
     distance = np.round(1.0 - x @ y.T, DIGITS)

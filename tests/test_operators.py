@@ -311,26 +311,60 @@ def test_ties_are_cut_where_they_are_found(spark):
 
 
 def test_short_quotes_in_passes(spark, monkeypatch):
-    from lexweave.operators import search
-
-    monkeypatch.setattr(search, "QUERIES_PER_PASS", 3)
-    docs = spark.createDataFrame([(i, f"uno w{i} dos tres cuatro w{i + 1} fin") for i in range(20)], "doc_id int, text string")
-    quotes = spark.createDataFrame([(i, f"w{i}") for i in range(12)] + [(100, "dos tres"), (101, "uno w3 dos"), (102, None)], "quote_id int, quote string")
+    monkeypatch.setattr(search, "QUOTES_PER_PASS", 3)
+    docs = spark.createDataFrame([(i, f"uno w{i} dos tres cuatro w{i + 1} fin") for i in range(20)] + [(50, None), (51, "é"), (52, "")], "doc_id int, text string")
+    quotes = spark.createDataFrame([(i, f"w{i}") for i in range(12)] + [(100, "dos tres"), (101, "uno w3 dos"), (102, None), (103, "dos"), (104, "dos"), (105, ""), (106, "é"), (107, "s t"), (108, "nowhere at")], "quote_id int, quote string")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    want = sorted((q, d) for q, t in [(r.quote_id, r.quote) for r in quotes.collect()] if t for d, x in texts.items() if t in x)
+    want = sorted((q, d) for q, t in [(r.quote_id, r.quote) for r in quotes.collect()] if t is not None for d, x in texts.items() if x is not None and t in x)
     assert sorted((r.quote_id, r.doc_id) for r in search.quote_search(quotes, docs).collect()) == want
 
 
-def test_near_pairs_over_blocks_and_strips(spark):
+def test_near_pairs(spark, monkeypatch):
+    from lexweave.operators import vector_index
+
     r = np.random.default_rng(3)
-    x = r.normal(size=(1500, 6))
-    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id bigint, vector array<double>")
+    x = np.concatenate([r.normal(size=(900, 6)), np.repeat(r.normal(size=(30, 6)), 20, axis=0) + 0.01 * r.normal(size=(600, 6))])
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(5000, [0.0] * 6), (5001, [1.0])], "id bigint, vector array<double>")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     c = u @ u.T
     a, b = np.nonzero(np.triu(c >= 0.95, 1))
-    for block in (100, 5000):
-        got = sampling.near_pairs(rows, 0.95, block_rows=block).collect()
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 64)
+    for lists in (1, 40):
+        got = sampling.near_pairs(rows, 0.95, lists=lists).collect()
         assert sorted((g.a, g.b) for g in got) == sorted(zip(a.tolist(), b.tolist()))
+    # How many pairs are compared, of n * n.
+    index = vector_index.build(rows.withColumnRenamed("vector", "v"), "id", "v", 40)
+    asked = rows.select(F.col("id").alias("q"), F.col("vector").alias("v"), F.lit(0.05).alias("kth"))
+    compared = index._targets(asked, 0, False).join(index.shells, ["list", "shell"]).agg(F.sum("n")).first()[0]
+    assert compared < 0.25 * len(x) ** 2
+    with pytest.raises(Exception, match="no vector for 7"):
+        sampling.near_pairs(spark.createDataFrame([(7, None)], "id bigint, vector array<double>"), 0.5).collect()
+
+
+def test_greedy_dedupe_of_a_long_chain(spark, monkeypatch):
+    n = 100_000
+    chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    kept = sampling.greedy_dedupe(spark.range(n), chain)
+    assert kept.agg(F.count("*"), F.sum(F.col("id") % 2)).first()[:] == (n // 2, 0)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before
+    assert jobs < 150
+    r = random.Random(6)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(300), r.randrange(300)) for _ in range(280)) if a != b})
+    roots = {}
+    find = lambda x: x if roots.get(x, x) == x else find(roots[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        roots[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)
+    assert {(x.id, x.root) for x in sampling.components(df).collect()} == {(x, find(x)) for e in edges for x in e}
+    kept = set()
+    for i in range(300):
+        if not any((k, i) in set(edges) for k in kept):
+            kept.add(i)
+    for most in (1_000_000, 3):  # large components in rounds
+        monkeypatch.setattr(sampling, "MAX_COMPONENT", most)
+        assert {x.id for x in sampling.greedy_dedupe(spark.range(300), df).collect()} == kept
 
 
 def test_metrics_of_nothing_are_null(spark):
