@@ -36,9 +36,3 @@ def recording_key(model: Column, text: Column) -> Column:
 
 def cache_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
-
-
-def index_fingerprint(chunk: str = "chunk_id", content: str = "content_hash", model: str = "embedding_model", dim: str = "dim", version: str = "index_version") -> Column:
-    """An aggregate: equal for two indexes of the same rows, in whatever order. It needs one row per chunk in memory of one task."""
-    row = F.concat_ws("|", chunk, content, model, F.col(dim).cast("string"), version)
-    return F.sha2(F.array_join(F.array_sort(F.collect_set(row)), "\n"), 256)

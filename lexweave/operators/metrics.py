@@ -50,10 +50,15 @@ def citation_precision(pairs: DataFrame, article_level: bool = False) -> DataFra
     return _metric(pairs, "precision_cita_articulo" if article_level else "precision_cita", F.when(~F.col("abstenida"), right))
 
 
+def unknown_refs(cited: DataFrame, known_refs: DataFrame) -> DataFrame:
+    """The rows of ``cited`` whose reference (column ref) the index lacks."""
+    return cited.join(known_refs.select("ref").distinct(), "ref", "left_anti")
+
+
 def hallucination(pairs: DataFrame, known_refs: DataFrame) -> DataFrame:
     """The share of answered cases that cite a reference which the index (column ref) lacks."""
     cited = pairs.where(~F.col("abstenida")).select("id", F.explode("cited").alias("ref"))
-    bad = cited.join(known_refs.select("ref").distinct(), "ref", "left_anti").select("id").distinct().withColumn("bad", F.lit(True))
+    bad = unknown_refs(cited, known_refs).select("id").distinct().withColumn("bad", F.lit(True))
     flags = pairs.join(bad, "id", "left")
     return _metric(flags, "alucinacion", F.when(~F.col("abstenida"), F.coalesce("bad", F.lit(False))))
 

@@ -132,6 +132,11 @@ def rerank_labels(ranked: DataFrame, answers: DataFrame, promoted: int = FINAL,
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(query_col).orderBy(F.col("_turn").asc_nulls_last(), "rank"))).drop("label", "pos", "_turn")
 
 
+def except_named(ranked: DataFrame, named: DataFrame, query_col: str = "query_id", id_col: str = "legal_ref") -> DataFrame:
+    """The rows of a ranking that are not named for their question."""
+    return ranked.join(named.select(query_col, id_col), [query_col, id_col], "left_anti")
+
+
 def hybrid_search(lexical: DataFrame, vector: DataFrame, k: int = FINAL, group: Callable[[str], Column] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, query_col: str = "query_id", id_col: str = "legal_ref") -> DataFrame:
     """Collapse each channel, fuse (lexical first), collapse again, rerank if asked, cut to ``k``."""
     by = group(id_col) if group else article_of(F.col(id_col))

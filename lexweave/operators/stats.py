@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 #: The modulus of hashed draws: 2 ** 31 - 1.
@@ -32,15 +35,46 @@ def paired_difference_ci(base: np.ndarray, head: np.ndarray, n_resamples: int, s
 
 
 def bootstrap_ci(scores: DataFrame, n_resamples: int, seed: int, level: float = 0.95, by: str = "metric") -> DataFrame:
-    """(``by``, point, low, high, n) from (``by``, case_id, base, head); a set of cases is one group of one task, in the order of the cases."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("case_id")
-        point, low, high = paired_difference_ci(g["base"].to_numpy(), g["head"].to_numpy(), n_resamples, seed, level)
-        return pd.DataFrame({by: [g[by].iloc[0]], "point": [point], "low": [low], "high": [high], "n": [len(g)]})
+    """(``by``, point, low, high, n) from (``by``, case_id, base, head): the percentile bootstrap of the mean difference.
 
-    kind = scores.schema[by].dataType.simpleString()
-    return scores.select(by, "case_id", "base", "head").groupBy(by).applyInPandas(run, f"{by} {kind}, point double, low double, high double, n bigint")
+    Cases count by their difference: a difference that n cases have is drawn
+    Poisson(n) times in each resample, from a generator of its own, so the result
+    does not depend on partitioning and the work is differences by resamples, however
+    many cases there are. A task adds up its differences; no task holds a set of cases.
+    """
+    values = scores.groupBy(by, (F.col("head").cast("double") - F.col("base").cast("double")).alias("d")).agg(F.count("*").alias("n"))
+    values = values.select(by, "d", "n", F.xxhash64(by, "d", F.lit(seed)).alias("own"))
+    kind = scores.schema[by].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+
+        def told() -> pa.RecordBatch:
+            names = list(sums)
+            columns = [pa.array([m for m in names for _ in range(n_resamples)], to_arrow_type(kind)), pa.array(np.tile(np.arange(n_resamples, dtype=np.int32), len(names))), *(pa.array(np.concatenate([sums[m][k] for m in names] or [np.empty(0)])) for k in (0, 1))]
+            return pa.RecordBatch.from_arrays(columns, names=[by, "r", "w", "s"])
+
+        for b in batches:
+            for m, d, n, own in zip(*(c.to_pylist() for c in b.columns)):
+                drawn = np.random.default_rng(own & (2**64 - 1)).poisson(n, n_resamples).astype(float)
+                if m not in sums and len(sums) >= 64:
+                    yield told()
+                    sums.clear()
+                held = sums.setdefault(m, [np.zeros(n_resamples), np.zeros(n_resamples)])
+                held[0] += drawn
+                held[1] += drawn * d
+        if sums:
+            yield told()
+
+    parts = values.mapInArrow(run, f"{by} {kind.simpleString()}, r int, w double, s double")
+    means = parts.groupBy(by, "r").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).where("w > 0").select(by, (F.col("s") / F.col("w")).alias("m"))
+    return _intervals(scores, means, level, by)
+
+
+def _intervals(scores: DataFrame, means: DataFrame, level: float, by: str) -> DataFrame:
+    interval = means.groupBy(by).agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
+    point = scores.groupBy(by).agg(F.avg(F.col("head") - F.col("base")).alias("point"), F.count("*").alias("n"))
+    return point.join(interval, by).select(by, "point", "low", "high", "n")
 
 
 def bootstrap_ci_hashed(scores: DataFrame, n_resamples: int, seed: int, level: float = 0.95, by: str = "metric") -> DataFrame:
@@ -61,9 +95,7 @@ def bootstrap_ci_hashed(scores: DataFrame, n_resamples: int, seed: int, level: f
     hashed = scores.select(by, "base", "head", case.alias("c"))
     drawn = hashed.withColumn("r", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_resamples).cast("bigint")))).withColumn("u", u).withColumn("w", weight)
     means = drawn.groupBy(by, "r").agg((F.sum(F.col("w") * (F.col("head") - F.col("base"))) / F.sum("w")).alias("m"))
-    interval = means.groupBy(by).agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
-    point = scores.groupBy(by).agg(F.avg(F.col("head") - F.col("base")).alias("point"), F.count("*").alias("n"))
-    return point.join(interval, by).select(by, "point", "low", "high", "n")
+    return _intervals(scores, means, level, by)
 
 
 def regression_flag(intervals: DataFrame, higher_is_better: str | bool = True) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text, vectors
-from ..operators import golden, metrics, sampling, search
-from ..sources import models
+from ..operators import golden, metrics, sampling, search, structure
+from ..sources import lawxml, models
 from . import evaluate, index
 from .registry import _QUERIES, _SQL, LEXICAL_CTE, QUOTA, VERIFY_CTE, _cases, _lexical, _predictions, _requests, _rounded, greedy_cte, query, table
 
@@ -32,7 +32,7 @@ def spanish_lexemes(spark, sf_dir):
        "h AS (SELECT query_id, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(x, ' ')) AS term FROM docs) JOIN q USING (term) GROUP BY 1, 2) SELECT query_id, doc_id, round(n * 0.1, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 10")
 def lexical_topk_spanish(spark, sf_dir):
     word = lambda k: F.element_at(F.array(*map(F.lit, LEXEMES)), ((F.col("doc_id") + k) % len(LEXEMES) + 1).cast("int"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("el "), word(0), F.lit(", de la "), word(3)).alias("content"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" el "), word(0), F.lit(", de la "), word(3)).alias("content"))
     asked = spark.range(3).select(F.col("id").cast("int").alias("query_id"), F.element_at(F.array(F.lit("¿Qué vehiculos?"), F.lit("las SEÑALES y el permiso"), F.lit("conduciendo")), (F.col("id") + 1).cast("int")).alias("pregunta"))
     found = search.lexical_topk(asked, docs, 10, id_col="doc_id", tokens=text.spanish_lexemes)
     return found.withColumn("score", F.round("score", 6))
@@ -193,3 +193,33 @@ def queue_oversample(spark, sf_dir):
     pairs = ids.join(ids.select((F.col("doc_id") - 20).alias("a")), F.col("doc_id") == F.col("a")).select("a", (F.col("a") + 20).alias("b"))
     near = pairs.join(drawn.select(F.col("doc_id").alias("a")), "a", "left_semi").join(drawn.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
     return sampling.queue(d, near, 100, 7, 7, 1.25, "source", "doc_id").select("doc_id", "source")
+
+
+# Each document as a law: a preamble, two titles with an article each, whose last version counts and whose nested paragraphs don't; every tenth is unsafe.
+_PLAIN = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))"
+
+
+def _laws(spark, sf_dir):
+    body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    i = F.col("doc_id").cast("string")
+    article = lambda n, text_: F.concat(F.lit(f'<bloque id="a{n}" tipo="precepto" titulo="Artículo '), F.when((F.col("doc_id") % 2 == 0) | F.lit(n == 1), "1").otherwise("2"), F.lit(' "><version id_norma="OLD"><p class="parrafo">Old.</p></version><version id_norma="N'), i, F.lit('" fecha_vigencia="20200101"><p class="articulo">Artículo. Rubric.</p><p class="parrafo">'), text_, F.lit(' </p><blockquote><p class="parrafo">Nested.</p></blockquote></version></bloque>'))
+    head = lambda n: F.lit(f'<bloque id="t{n}" tipo="encabezado" titulo="TÍTULO {"I" * n}"><version id_norma="N"><p class="titulo_num">T</p></version></bloque>')
+    start = F.when(F.col("doc_id") % 10 == 0, '<!DOCTYPE x [<!ENTITY e "e">]>').otherwise("")
+    xml = F.concat(start, F.lit("<response><data><texto>"), head(1), article(1, F.concat(body, F.lit("."))), head(2), article(2, F.lit("<strong>So</strong> it is")), F.lit("</texto></data></response>"))
+    return lawxml.blocks_of(table(spark, sf_dir, "documents").select(i.alias("doc_id"), xml.alias("xml")))
+
+
+@query(f"""WITH d AS (SELECT doc_id::VARCHAR AS id, doc_id % 2 = 0 AS even, doc_id % 10 = 0 AS bad, {_PLAIN} || '.' AS body FROM documents),
+b AS (SELECT id, unnest([struct_pack(pos := 0, t := 'TÍTULO I', n := 'N', c := 'titulo_num', x := 'T'), struct_pack(pos := 1, t := 'Artículo 1', n := 'N' || id, c := 'articulo|parrafo', x := 'Artículo. Rubric.|' || body), struct_pack(pos := 2, t := 'TÍTULO II', n := 'N', c := 'titulo_num', x := 'T'),
+  struct_pack(pos := 3, t := CASE WHEN even THEN 'Artículo 1' ELSE 'Artículo 2' END, n := 'N' || id, c := 'articulo|parrafo', x := 'Artículo. Rubric.|So it is')]) AS b FROM d WHERE NOT bad)
+SELECT id AS doc_id, b.pos AS pos, b.t AS titulo, b.n AS id_norma, b.c AS classes, sha256(b.x) AS texts, NULL::VARCHAR AS error FROM b UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, 'DTD or entities' FROM d WHERE bad""")
+def scan_law_xml(spark, sf_dir):
+    part = lambda name: F.array_join(F.transform("paras", lambda p: p[name]), "|")
+    return _laws(spark, sf_dir).select("doc_id", "pos", "titulo", F.col("version.id_norma").alias("id_norma"), part("class").alias("classes"), F.sha2(part("text"), 256).alias("texts"), "error")
+
+
+@query(f"""WITH d AS (SELECT doc_id::VARCHAR AS id, doc_id % 2 = 0 AS even, {_PLAIN} || '.' AS body FROM documents WHERE doc_id % 10 <> 0)
+SELECT id AS doc_id, CASE WHEN even THEN 'ti-1' ELSE '1' END AS articulo, 'TÍTULO I' AS titulo, 'Rubric.' AS rubrica, true AS vigente FROM d UNION ALL SELECT id, CASE WHEN even THEN 'tii-1' ELSE '2' END, 'TÍTULO II', 'Rubric.', true FROM d""")
+def title_collisions(spark, sf_dir):
+    found = structure.units(_laws(spark, sf_dir), F.lit("N-1/2000"))
+    return found.select("doc_id", F.regexp_replace("articulo", "^rd-", "").alias("articulo"), "titulo", F.regexp_replace("rubrica", r"^Artículo\. ", "").alias("rubrica"), "vigente")

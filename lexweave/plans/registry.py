@@ -273,8 +273,8 @@ def hallucination(spark, sf_dir):
 
 @query(f"WITH {CASES_CTE} SELECT DISTINCT ref FROM cite WHERE ref NOT IN (SELECT ref FROM want)")
 def anti_hallucination(spark, sf_dir):
-    cited = _predictions(spark, sf_dir).select(F.explode("refs").alias("ref")).distinct()
-    return cited.join(_cases(spark, sf_dir).select(F.explode("refs").alias("ref")), "ref", "left_anti")
+    cited = _predictions(spark, sf_dir).select(F.explode("refs").alias("ref"))
+    return metrics.unknown_refs(cited, _cases(spark, sf_dir).select(F.explode("refs").alias("ref"))).distinct()
 
 
 @query("SELECT 'cita_literal' AS id, round(coalesce(avg(CASE WHEN contains(c.text, substr(c.text, 3, 20)) AND c.turn % 3 > 0 THEN 1.0 ELSE 0.0 END), 1.0), 9) AS valor, count(*) AS n FROM conversations c")
@@ -774,9 +774,9 @@ def windowed_event_counts(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events"))
 
 
-@query("SELECT sha256('m' || chr(1) || text) AS key, count(*) AS n FROM documents GROUP BY 1")
+@query(r"SELECT sha256('m\x00'::BLOB || encode(text)) AS key, count(*) AS n FROM documents GROUP BY 1")
 def recording_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2(F.concat(F.lit("m\x01"), "text"), 256).alias("key")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").groupBy(ids.recording_key(F.lit("m"), F.col("text")).alias("key")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '\\S+\\s*|\\s+')) AS n FROM documents")
@@ -863,8 +863,7 @@ def sort_most_common(spark, sf_dir):
 
 @query(f"WITH {LEXICAL_CTE} SELECT query_id, legal_ref FROM lexical WHERE NOT EXISTS (SELECT 1 FROM distinct_terms t WHERE t.query_id = lexical.query_id AND t.legal_ref = lexical.legal_ref)")
 def except_named(spark, sf_dir):
-    named = _lexical(spark, sf_dir, True).select("query_id", "legal_ref")
-    return _lexical(spark, sf_dir, False).select("query_id", "legal_ref").join(named, ["query_id", "legal_ref"], "left_anti")
+    return search.except_named(_lexical(spark, sf_dir, False), _lexical(spark, sf_dir, True)).select("query_id", "legal_ref")
 
 
 @query(f"WITH {CASES_CTE} SELECT count(DISTINCT ref) AS n, min(ref) AS first, max(ref) AS last FROM want")

@@ -158,7 +158,8 @@ def test_retrieve_finds_inflected_words(spark):
 def test_bootstrap_queries_take_the_references_resamples(spark, monkeypatch):
     taken = []
     for name in ("bootstrap_ci", "bootstrap_ci_hashed"):
-        monkeypatch.setattr(registry.stats, name, lambda scores, n, seed: taken.append(n))
+        found = spark.createDataFrame([("quality", 0.0, -1.0, 1.0, 1)], "metric string, point double, low double, high double, n bigint")
+        monkeypatch.setattr(registry.stats, name, lambda scores, n, seed, found=found: taken.append(n) or found)
         registry.queries()[name](spark, str(DATA))
     assert taken == [10_000, 10_000]
 
