@@ -25,7 +25,7 @@ from .ngram_join import _bounds, _groups
 THRESHOLD = 0.9
 #: How far below its home's a centroid's cosine may lie for a vector to visit its cell. Two vectors of cosine
 #: 0.9 that differ in a random direction of 64 dimensions miss each other with probability under 0.001.
-MARGIN = 0.15
+MARGIN, MARGIN_WIDTH = 0.15, 64
 #: Vectors that the centroids are trained on, at most.
 MAX_TRAINING_VECTORS = 16_384
 #: Classes a cell should hold, and centroids, at most: one for each training vector. Beyond 8 million classes cells grow.
@@ -122,7 +122,7 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[0], p[0]]), pa.int64()), second, pa.array(np.concatenate([e[1], np.zeros(p.shape[1], dtype=np.int64)]), pa.int64())], names=["a", "b", "links"])
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, max_training: int = MAX_TRAINING_VECTORS, per_cell: int = PER_CELL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: float | None = None, max_training: int = MAX_TRAINING_VECTORS, per_cell: int = PER_CELL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id_col``, n_links, component_id, kept: one row for each row of ``vectors``.
 
     Vectors of one width are linked if their cosine in double precision is
@@ -134,7 +134,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     one id count as copies. Other columns are not read.
 
     Every row is indexed and every pair that meets is compared exactly; pairs that
-    share no cell are missed (see ``MARGIN``), and no pair below the threshold is
+    share no cell are missed (see ``MARGIN``; narrower vectors, whose pairs differ more in any
+    one direction, get a margin as much wider, unless one is given), and no pair below the threshold is
     linked. Centroids are trained on the ``max_training`` classes with the smallest
     hashed ids.
     """
@@ -154,6 +155,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
         centroids = train_centroids(unit / np.linalg.norm(unit, axis=1, keepdims=True), max(1, min(MAX_CELLS, math.ceil(n / per_cell), len(unit))))
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
+    margin = margin if margin is not None else MARGIN * max(1.0, math.sqrt(MARGIN_WIDTH / width[0].w)) if width else MARGIN
     fields = f"rep bigint, copies bigint, x {kind}, home int, cells array<int>"
     placed = classes.select("rep", "copies", "x").mapInArrow(lambda b: _assigned(b, shared.value, margin), fields).withColumn("cell", F.explode("cells"))
     resident = F.col("home") == F.col("cell")

@@ -205,6 +205,26 @@ def test_embedding_dedup_at_its_own_margin(spark, monkeypatch):
     assert all(found[i].kept == (found[i].component_id == i) for i in range(len(x)))
 
 
+@pytest.mark.parametrize("width", [16, 64])
+def test_embedding_dedup_finds_isolated_pairs_at_the_boundary(spark, width):
+    """Pairs of a cosine just over 0.9, each alone, among many cells."""
+    r = np.random.default_rng(width)
+    n = 1500
+    x = r.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = r.normal(size=(n, width))
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    c = r.uniform(0.9005, 0.93, size=(n, 1))
+    every = np.concatenate([x, c * x + np.sqrt(1 - c * c) * away])
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id bigint, embedding array<double>")
+    found = {f.vec_id: f for f in embedding_dedup(docs, per_cell=32).collect()}
+    assert np.mean([found[n + i].component_id == found[i].component_id for i in range(n)]) >= 0.99
+    linked = (every @ every.T / np.outer(np.linalg.norm(every, axis=1), np.linalg.norm(every, axis=1)) >= 0.9).sum(axis=1) - 1
+    got = np.array([found[i].n_links for i in range(2 * n)])
+    assert (got <= linked).all() and got.sum() >= 0.99 * linked.sum()
+
+
 def test_ngram_join_over_blocks_and_large_buckets(spark, monkeypatch):
     from lexweave.llm import ngram_join as n
 
