@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Rules up to this number are sent to every task; more are dealt out by host.
 MAX_BROADCAST_RULES = 100_000
-SALTS = 32
+#: Urls that a group sweeps, about.
+GROUP_URLS = 20_000
 
 SEPARATOR = "\x00"
 
@@ -114,15 +117,20 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
 
 def _dealt(given: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """Many rules: distinct (host, path) are dealt out by host suffix, hot suffixes over ``SALTS`` groups, and swept there."""
-    deal = F.hash("suffix") % 256
+    """Many rules: distinct (host, path) meet the rules of their host's suffixes in groups, and are swept there.
+
+    A group has about ``GROUP_URLS`` of them however many there are: suffixes are dealt to as many
+    bins as that takes, and the urls of a hot suffix to as many salts, each with all its rules.
+    """
     most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0  # labels that a rule has
     suffixes = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
     urls = given.select("host", "path").distinct()
-    probes = urls.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("suffix")).join(rules.select(F.col("host").alias("suffix")).distinct(), "suffix", "left_semi")
-    probes = probes.select("suffix", "host", "path", deal.alias("deal"), (F.hash("host", "path") % SALTS).alias("salt"))
-    dealt = rules.select(F.col("host").alias("suffix"), "path", "verdict").withColumn("deal", deal)
-    dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(1 - SALTS), F.lit(SALTS - 1))))
+    probes = cut(urls.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("suffix")).join(rules.select(F.col("host").alias("suffix")).distinct(), "suffix", "left_semi"))
+    sizes = probes.groupBy("suffix").agg(F.ceil(F.count("*") / GROUP_URLS).cast("int").alias("salts"))
+    bins = max(1, -(-probes.count() // GROUP_URLS))
+    deal = F.pmod(F.xxhash64("suffix"), F.lit(bins))
+    probes = probes.join(sizes, "suffix").select("suffix", "host", "path", deal.alias("deal"), F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"))
+    dealt = rules.select(F.col("host").alias("suffix"), "path", "verdict").join(sizes, "suffix").withColumns({"deal": deal, "salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1))}).drop("salts")
 
     def run(keys: pa.Table, rules: pa.Table) -> pa.Table:
         rows, own = keys.to_pylist(), rules.to_pylist()
