@@ -8,13 +8,16 @@ corpus can't belong to a repeated window and is left out before any text moves.
 
 A shard holds each different segment once, with its first place. Its words are
 indexed by an FM-index: their Burrows-Wheeler transform in a wavelet matrix of
-packed bits with rank counts. The documents' segments are then streamed through
-it: backward search over the wavelet matrix gives, for each position, its
+packed bits with rank counts. Every segment of the documents is in its shard, so
+the documents are streamed through the index by walking the shard's own text
+backwards, each different segment once: backward search over the wavelet matrix gives, for each position, its
 matching statistic (the length of the longest run of words ending there that
 stands elsewhere in the shard, up to a window) and that run's interval of the
-suffix order. Statistics of a whole window are reported. The interval names the
+suffix order. Only statistics of a whole window are above the threshold and
+reported; shorter ones are no more than steps of the search. The interval names the
 window's content, so the first place of each interval is the one to keep, and
-every other place has a match of full length that starts earlier. Those windows
+every other place has a match of full length that starts earlier. The documents
+then get the answer for each of their segments by its digest. Those windows
 are removed.
 
 Repetition that needs no index is settled first: later copies of a whole text
