@@ -143,6 +143,21 @@ def test_topk_search_of_any_finite_vector(spark):
 URLS = ["http://a.example.com/en/7x?q", "https://EXAMPLE.com/en/8#x", "http://com/en/", "http://xcom/en/7", "nothing", None, "http://b.net/de/1", "http://b.example.net/de/8", "http://c.org/es", "http://c.org/es/", "ftp://", "http://d.com?x=/en/", "http://d.com/en/7://"]
 
 
+def test_url_filter_over_hot_suffixes_and_many_groups(spark, monkeypatch):
+    from lexweave.llm import url_filters
+
+    monkeypatch.setattr(url_filters, "GROUP_URLS", 16)
+    r = random.Random(31)
+    hosts = ["example.com", "a.example.com", "b.example.com", "net", "x.net", "www.x.net", "org"]
+    path = lambda n: "/" + "/".join(r.choice("ab") for _ in range(r.randint(0, n)))
+    rules = {(r.choice([*hosts, "com"]), path(3)): r.choice(["allow", "block"]) for _ in range(60)}
+    urls = [f"https://{r.choice(hosts) if r.random() < 0.5 else 'example.com'}{path(6)}" for _ in range(600)] + [None, "no url", "http://", "https://else.where/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").repartition(5)
+    table = spark.createDataFrame([(h, p, v) for (h, p), v in rules.items()], "host string, path string, verdict string")
+    few, many = (sorted((x.page_id, x.rule or "", x.verdict) for x in url_filter(pages, table, max_broadcast_rules=limit).collect()) for limit in (100, 0))
+    assert few == many and len({x[1] for x in few}) > 20
+
+
 def test_url_filter_both_ways(spark):
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"), ("ORG", "/es/", "allow"), (None, "/", "block")]
     table = spark.createDataFrame(rules, "host string, path string, verdict string")
