@@ -92,12 +92,12 @@ class TextIndex:
         scored = rows.join(gone, ["q", "id"], "left_anti").withColumn("score", cover_density("found")).where("score > 0")
         return scored.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score")
 
-    def write(self, path: str, version: str) -> None:
-        """Writes the index as that of a version, which must not be there. A term that many documents have is spread over files by block."""
-        folder = f"{path}/version={version}"
-        self.postings.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
-        self.maxima.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/maxima")
-        self.postings.sparkSession.range(1).select(F.lit(self.blocks).alias("blocks")).write.parquet(f"{folder}/size")  # last: what is complete has it
+    def write(self, path: str, version: str, replace: bool = False) -> None:
+        """Writes the index as that of a version, which must not be there without ``replace``. A term that many documents have is spread over files by block."""
+        folder, mode = f"{path}/version={version}", "overwrite" if replace else "error"
+        self.postings.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode(mode).partitionBy("bucket").parquet(f"{folder}/postings")
+        self.maxima.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{folder}/maxima")
+        self.postings.sparkSession.range(1).select(F.lit(self.blocks).alias("blocks")).write.mode(mode).parquet(f"{folder}/size")  # last: what is complete has it
 
     @staticmethod
     def read(spark: SparkSession, path: str, version: str) -> TextIndex:
@@ -116,13 +116,13 @@ def build(docs: DataFrame, id_col: str = "legal_ref", text_col: str = "content",
 
 
 def stored(spark: SparkSession, folder: str, version: str, docs: Callable[[], DataFrame], **how) -> TextIndex:
-    """The index of a version from ``folder``; it is built and written if it isn't there."""
+    """The index of a version from ``folder``; it is built and written if it isn't there, or not to its end."""
     try:
         return TextIndex.read(spark, folder, version)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    build(docs(), **how).write(folder, version)
+    build(docs(), **how).write(folder, version, replace=True)
     return TextIndex.read(spark, folder, version)
 
 

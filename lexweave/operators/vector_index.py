@@ -55,7 +55,8 @@ class VectorIndex:
     """``entries``: list, shell, angle, id, v; ``shells``: list, shell, n, low, high, blocks; ``centroids``: a row for each list.
 
     Zero vectors, and those of another width than the centroids, are in the list
-    minus their width less one; a question of that width visits it always.
+    minus their width less one; a question of that width visits it always. So are
+    all vectors where there are no centroids, being few.
     """
 
     entries: DataFrame
@@ -88,13 +89,15 @@ class VectorIndex:
         """q, id, cosine: every entry with a cosine of ``threshold`` or more, for questions (id, v). Blocks that can't hold one are not met."""
         asked = questions.select(F.col("id").alias("q"), _doubles(F.col("v")).alias("v"), F.lit(1.0 - threshold).alias("kth"))
         own, rest = self._targets(asked, 0, True), self._targets(asked, 0, False)
-        return self._visit(own.unionByName(rest), None, False, threshold)
+        return self._visit(own.unionByName(rest) if len(self.centroids) else own, None, False, threshold)
 
     def _targets(self, asked: DataFrame, probes: int, first: bool) -> DataFrame:
         """q, v, list, shell: what each question visits first, or afterwards, given the k-th distance ``kth`` found (null: fewer than k).
 
         First come the list of vectors that have no angle and the ``probes`` nearest lists; afterwards the others, as far as they can hold something so near.
         """
+        if not len(self.centroids):
+            return asked.where(F.lit(first)).select("q", "v", (F.lit(-1) - F.size("v")).alias("list"), F.lit(0).alias("shell"))
         spark = asked.sparkSession
         # At most MAX_LISTS lists of SHELLS shells.
         known = [(r["list"], r["shell"], r.low, r.high) for r in self.shells.where("list >= 0").select("list", "shell", "low", "high").collect()]
@@ -111,7 +114,7 @@ class VectorIndex:
                 at, to = [], []
                 if first:
                     at, to = [np.arange(len(b))], [np.stack([-1 - widths, np.zeros(len(b), int)], axis=1)]
-                here = np.flatnonzero(widths == centroids.shape[1]) if len(centroids) else []
+                here = np.flatnonzero(widths == centroids.shape[1])
                 for part in np.array_split(here, max(1, -(-len(here) // 256))) if len(here) else ():
                     v = unit(_rows(b.column("v").take(pa.array(part)), centroids.shape[1]))
                     angle = np.arccos(np.clip(v @ centroids.T, -1, 1))
@@ -140,7 +143,7 @@ class VectorIndex:
         """q, id, distance: the k best of each block that a question visits; without ``k`` q, id, cosine of all that reach the threshold."""
         q_kind, id_kind = targets.schema["q"].dataType, self.entries.schema["id"].dataType
         arrow = to_arrow_type(q_kind), to_arrow_type(id_kind)
-        targets, value = written(targets), "cosine" if k is None else "distance"
+        targets, value = written(targets) if len(self.centroids) else targets, "cosine" if k is None else "distance"
         # How many blocks a shell has, and by how many groups of questions each is met.
         load = targets.groupBy("list", "shell").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("groups")).join(self.shells.select("list", "shell", "blocks"), ["list", "shell"])
         key = ["list", "shell", "block", "group"]
@@ -210,7 +213,7 @@ def fit(vectors: DataFrame, width: int, n: int, lists: int) -> np.ndarray:
     taken = vectors.where(F.pmod(F.xxhash64("v", F.lit(17)), F.lit(share)) == 0).limit(2 * most).select("v").toArrow()
     x = unit(_rows(taken.column(0).combine_chunks(), width)) if len(taken) else np.empty((0, width))
     x = x[np.lexsort(x.T[:3])] if len(x) else x  # in an order of its own, whatever the partitions
-    if lists == 1 or len(x) <= lists:
+    if len(x) <= lists:
         return unit(x.mean(axis=0, keepdims=True)) if len(x) else np.empty((0, width))
     centroids = x[np.linspace(0, len(x) - 1, lists).astype(int)]
     for _ in range(ROUNDS):
@@ -227,8 +230,11 @@ def build(docs: DataFrame, id_col: str = "id", vector_col: str = "embedding", li
     rows = docs.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).alias("id"), _doubles(F.col(vector_col)).alias("v"))
     main = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     width, n = (main["w"], main["count"]) if main else (1, 0)
-    zero = F.forall("v", lambda x: x == 0)
     lists = lists or (1 if n <= BLOCK_ROWS else round(n**0.5))
+    if lists == 1:
+        entries = rows.select((F.lit(-1) - F.size("v")).alias("list"), F.lit(0).alias("shell"), F.lit(0.0).alias("angle"), "id", "v")
+        return VectorIndex(entries, _shells(entries), np.empty((0, width)))
+    zero = F.forall("v", lambda x: x == 0)
     centroids = fit(rows.where((F.size("v") == width) & ~zero), width, n, lists)
     shared = docs.sparkSession.sparkContext.broadcast(centroids)
 
@@ -249,8 +255,11 @@ def build(docs: DataFrame, id_col: str = "id", vector_col: str = "embedding", li
 
     kind = rows.schema["id"].dataType.simpleString()
     entries = written(rows.mapInArrow(run, f"list int, shell int, angle double, id {kind}, v array<double>"))
-    shells = written(entries.groupBy("list", "shell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")))
-    return VectorIndex(entries, shells, centroids)
+    return VectorIndex(entries, written(_shells(entries)), centroids)
+
+
+def _shells(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("list", "shell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
 
 
 def recall(found: DataFrame, exact: DataFrame, query_col: str = "query_id", id_col: str = "id") -> DataFrame:

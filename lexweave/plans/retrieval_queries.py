@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text
-from ..operators import text_index, vector_index, verification
+from ..operators import search, text_index, vector_index, verification
 from .registry import _QUERIES, _SQL, REF, WORD, _requests, lexical_index, query, table
 
 #: Lists of the vectors' index here, and how many a question visits where the search is approximate.
@@ -83,3 +83,9 @@ SELECT request_id, coalesce(string_agg(CASE WHEN event = 'token' THEN data::JSON
 def read_sse(spark, sf_dir):
     got = verification.read_sse(verification.sse_lines(_QUERIES["sse_events"](spark, sf_dir)))
     return got.select("request_id", "texto", F.array_join(F.transform("citas", lambda c: c["quote"]), "|").alias("quotes"), F.array_join(F.transform("fuentes", lambda f: f["legal_ref"]), ",").alias("refs"), "abstenida", "motivo")
+
+
+@query("SELECT item_id AS quote_id, doc_id FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1:1 + item_id % 2], ' ') AS quote FROM benchmark) JOIN documents ON contains(text, quote)")
+def short_quote_join(spark, sf_dir):
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.concat_ws(" ", F.slice(F.split("text", " ", -1), F.lit(1), (F.col("item_id") % 2 + 1).cast("int"))).alias("quote"))
+    return search.quote_search(quotes, table(spark, sf_dir, "documents"))
