@@ -171,8 +171,14 @@ def labelled_findings(spark: SparkSession, n: int = 11000) -> DataFrame:
     package = F.concat(at(["org.", "com.", "example.", "self."], 29), F.substring(syllables, 1, 16), F.lit("."), F.concat(camel, F.lit("Context")))
     said = F.base64(F.concat(F.lit("https://example.com/"), snake))
     size = 20 + F.pmod(F.hash(i, F.lit(6)), F.lit(21))
+    # What the kinds are made of is written first, so that it isn't planned again with each of them.
+    pieces = {
+        "digest": digest, "other": other, "base64": base64, "word": word, "snake": snake, "syllables": syllables, "name": name, "mild": mild, "prose": prose, "close": close, "url": url, "asks": asks, "shows": shows, "tight": tight, "plain": plain, "mixed": mixed, "marked": marked, "spoken": spoken, "lower": lower, "given": given, "shut": shut, "camel": camel, "strange": strange, "amazon": amazon, "web": web, "summed": summed, "size": size, "uuid": uuid, "named": named, "foreign": foreign, "tag": tag, "end": end, "parted": parted, "package": package, "said": said,
+    }
+    made = cut(spark.range(n).select("id", *[x.alias(key) for key, x in pieces.items()]))
+    digest, other, base64, word, snake, syllables, name, mild, prose, close, url, asks, shows, tight, plain, mixed, marked, spoken, lower, given, shut, camel, strange, amazon, web, summed, size, uuid, named, foreign, tag, end, parted, package, said = map(F.col, pieces)
     kinds = [
-        (name, F.substring(digest, 1, 40), close, 1), (name, F.substring(digest, 1, 32), close, 1), (name, F.substring(base64, 1, 40), close, 1), (name, F.expr("substring(regexp_replace(base64(unhex(sha2(cast(id as string), 256))), '[+/=]', ''), 1, 24 + pmod(hash(id), 16))"), close, 1),
+        (name, F.substring(digest, 1, 40), close, 1), (name, F.substring(digest, 1, 32), close, 1), (name, F.substring(base64, 1, 40), close, 1), (name, F.expr("substring(regexp_replace(base64, '[+/=]', ''), 1, 24 + pmod(hash(id), 16))"), close, 1),
         (prose, F.concat(at(["ghp_", "sk-", "xoxb-", "AKIA", "glpat-"], 7), F.substring(F.regexp_replace(base64, "[+/]", ""), 1, 30)), at([" ", "\n", ","], 5), 1), (name, F.substring(digest, 1, 24), close, 1),
         (mild, F.substring(digest, 1, 40), at([" ", "\n", "\""], 5), 0), (mild, digest, at([" ", "\n", "\""], 5), 0), (prose, F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4), F.substring(digest, 17, 4), F.substring(digest, 21, 12)), at([" ", "\n", ","], 5), 0),
         (F.concat(prose, F.lit("https://example.com/")), F.concat(snake, F.lit("/"), F.substring(digest, 1, 12)), at(["?x", "/", ".html", " "], 5), 0), (F.concat(prose, F.lit("src/")), snake, F.lit(".py "), 0), (prose, word, at([" ", ".", ","], 5), 0), (prose, syllables, at([" ", ".", ","], 5), 0), (prose, F.initcap(syllables), at([" ", ".", ",", "ä", "é"], 5), 0), (at([".\n", "ä", "é", ". ", "(", "\""], 10), F.initcap(syllables), at([" ", ".", ",", "***"], 5), 0),
@@ -189,9 +195,11 @@ def labelled_findings(spark: SparkSession, n: int = 11000) -> DataFrame:
         (F.concat(prose, at(["key ", "", "send with ", "use "], 21)), parted, at([" ", "\n", ","], 5), 1), (F.concat(prose, at(["class ", "import ", "see ", ""], 21)), package, at([" ", "(", ".", ";"], 5), 0), (F.concat(prose, at(["issue ", "see ", "data ", "id "], 21)), said, at([" ", "\n", ","], 5), 0),
     ]
     pick = F.pmod(i, F.lit(len(kinds)))
-    # A line evaluates its own kind only; lines are written, for they are read by several jobs.
-    row = reduce(lambda rest, k: F.when(pick == k[0], F.struct(k[1][0].alias("before"), k[1][1].alias("candidate"), k[1][2].alias("after"), F.lit(float(k[1][3])).alias("label"))).otherwise(rest), enumerate(kinds), F.lit(None))
-    made = cut(spark.range(n).select(row.alias("r")))
+    row = None  # a line evaluates its own kind only
+    for k, (before, candidate, after, label) in enumerate(kinds):
+        own = F.struct(before.alias("before"), candidate.alias("candidate"), after.alias("after"), F.lit(float(label)).alias("label"))
+        row = F.when(pick == k, own) if row is None else row.when(pick == k, own)
+    made = cut(made.select(row.alias("r")))  # several jobs read it
     lines = _split(made.withColumn("line", F.concat("r.before", "r.candidate", "r.after")), F.col("line"))
     start, end = F.length("r.before"), F.length("r.before") + F.length("r.candidate")
 
