@@ -45,7 +45,7 @@ BITS = (14, 14, 15)
 ROWS = sum(1 << b for b in BITS)
 STARTS = np.cumsum([0] + [1 << b for b in BITS])[:-1]
 #: Tokens that meet the weights at once.
-AT_ONCE = 1 << 15
+AT_ONCE = 1 << 13
 #: What stands before a document's first word.
 BEGIN = np.uint64(0x5BD1E9955BD1E995)
 #: Pseudo-counts of a leaf's share in every row, and how far the updates go. Three features are active at a time.
@@ -55,11 +55,19 @@ PRIOR, STEPS = 50.0, (0.5, 0.5)
 # Tokenising
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_array(raw: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
 def encoded_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of documents: block, ids, train, lens, tokens (numbers of the block's words), words, hashes, counts (in training documents).
+    """Blocks of documents: block, ids, train, lens, and compressed tokens, words and counts (of the words in training documents).
 
-    ``docs`` has a boolean column train. The last word of a block is the end, written
-    as no bytes; every document has it once.
+    ``docs`` has a boolean column train. A token is the number of a word of the
+    block, the commonest being 0. Every document ends with the end, which is written as a word of no bytes.
     """
     kind = docs.schema[id_col].dataType
 
@@ -79,7 +87,7 @@ def encoded_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield _encoded(held, first + k)
         give_back()
 
-    schema = f"block bigint, ids array<{kind.simpleString()}>, train array<boolean>, lens array<int>, tokens binary, words array<binary>, hashes binary, counts array<int>"
+    schema = f"block bigint, ids array<{kind.simpleString()}>, train array<boolean>, lens array<int>, tokens binary, n_words int, n_bytes bigint, word_lens binary, words binary, counts binary"
     return docs.select(F.col(id_col).alias("id"), "train", F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -95,40 +103,82 @@ def _encoded(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
     # Each document's words, then the end.
     lens = np.diff(before, prepend=0) + 1
     train = table.column("train").to_numpy()
-    tokens = np.full(int(lens.sum()), len(words) - 1, np.uint32)
+    tokens = np.full(int(lens.sum()), len(words) - 1, np.int64)
     place = np.ones(len(tokens), bool)
     place[np.cumsum(lens) - 1] = False
     tokens[place] = coded.indices.to_numpy()
-    counts = np.bincount(tokens[np.repeat(train, lens)], minlength=len(words))
-    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    hashes = np.append(word_hashes(words.buffers()[2].to_pybytes() if words.buffers()[2] else b"", offsets[:-2], offsets[1:-1]), mix64(np.array([1], np.uint64)))
-    small = tokens.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+    order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+    number = np.empty(len(words), np.uint32)
+    number[order] = np.arange(len(words))
+    tokens, words = number[tokens], words.take(pa.array(order))
+    counts = np.bincount(tokens[np.repeat(train, lens)], minlength=len(words)).astype(np.int32)
+    sizes = pc.binary_length(words).to_numpy().astype(np.uint32)
     one = lambda x, kind: pa.array([x], kind)
+    raw = b"".join(words.to_pylist())
     return pa.RecordBatch.from_arrays(
-        [one(block, pa.int64()), one(table.column("id").to_pylist(), pa.list_(table.schema.field("id").type)), one(train, pa.list_(pa.bool_())), one(lens, pa.list_(pa.int32())), one(small.tobytes(), pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary())), one((hashes >> np.uint64(32)).astype(np.uint32).tobytes(), pa.binary()), one(counts.astype(np.int32), pa.list_(pa.int32()))],
-        names=["block", "ids", "train", "lens", "tokens", "words", "hashes", "counts"],
+        [one(block, pa.int64()), one(table.column("id").to_pylist(), pa.list_(table.schema.field("id").type)), one(train, pa.list_(pa.bool_())), one(lens, pa.list_(pa.int32())), one(_packed(tokens), pa.binary()), one(len(words), pa.int32()), one(len(raw), pa.int64()), one(_packed(sizes), pa.binary()), one(_packed(np.frombuffer(raw, np.uint8)), pa.binary()), one(_packed(counts), pa.binary())],
+        names=["block", "ids", "train", "lens", "tokens", "n_words", "n_bytes", "word_lens", "words", "counts"],
     )
 
 
+def _words(row) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a block's words, one after another, and where each begins, with the end of the last."""
+    n_words, n_bytes = row("n_words"), row("n_bytes")
+    return _unpacked_array(row("words"), n_bytes, np.uint8), np.concatenate([[0], np.cumsum(_unpacked_array(row("word_lens"), n_words, np.uint32).astype(np.int64))])
+
+
+def word_rows(encoded: DataFrame) -> DataFrame:
+    """block, place, word, n: each block's words, how often they stand in training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                row = lambda c, b=b, i=i: b.column(c)[i].as_py()
+                raw, at = _words(row)
+                words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]).cast(pa.binary())
+                counts = _unpacked_array(row("counts"), len(words), np.int32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row("block"))), pa.array(np.arange(len(words), dtype=np.int32)), words, pa.array(counts)], names=["block", "place", "word", "n"])
+
+    return encoded.select("block", "n_words", "n_bytes", "word_lens", "words", "counts").mapInArrow(run, "block bigint, place int, word binary, n bigint")
+
+
 # Counts
 
 
-def word_counts(pairs: DataFrame) -> DataFrame:
-    """(word, c, leaf) of all words of (word, n). The first leaves are the common words', of equal counts the smaller first."""
-    counts = cut(pairs.groupBy("word").agg(F.sum("n").alias("c")))
-    common = [bytes(r.word) for r in counts.where("c > 0").orderBy(F.desc("c"), "word").limit(COMMON).collect()]
-    numbers = counts.sparkSession.createDataFrame(list(enumerate(common)), "own int, common binary")
-    leaf = F.coalesce("own", F.lit(COMMON) + F.pmod(F.xxhash64(F.expr(f"substring(word, -{ENDING})")), F.lit(SHARED)).cast("int"))
-    return counts.join(F.broadcast(numbers), F.col("word") == F.col("common"), "left").select("word", "c", leaf.alias("leaf"))
+def common_words(counts: DataFrame) -> list[bytes]:
+    """The words with a leaf of their own: the commonest, of equal counts the smaller first."""
+    return [bytes(r.word) for r in counts.where("c > 0").orderBy(F.desc("c"), "word").limit(COMMON).collect()]
+
+
+def leaf_of(words: pa.Array, raw: np.ndarray, at: np.ndarray, common: list[bytes]) -> np.ndarray:
+    """Each word's leaf: its own, or one by its last bytes. ``raw`` and ``at``: the words' bytes, and where each begins."""
+    own = pc.index_in(words, value_set=pa.array(common, words.type)).fill_null(-1).to_numpy()
+    ending = np.zeros(len(words), np.uint64)
+    for k in range(1, ENDING + 1):
+        there = np.flatnonzero(np.diff(at) >= k)
+        ending[there] = ending[there] * np.uint64(256) + raw[at[there + 1] - k] + np.uint64(1)
+    return np.where(own >= 0, own, COMMON + (mix64(ending) % np.uint64(SHARED)).astype(np.int64))
 
 
 class Leaves:
     """How the training words of each leaf share its probability."""
 
     def __init__(self, counts: DataFrame) -> None:
-        known = counts.where("c > 0").groupBy("leaf").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum((F.col("c") == 2).cast("long")).alias("twice"))
+        self.common = common = common_words(counts)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((4, LEAVES), np.int64)
+            for b in batches:
+                words, c = b.column(0).cast(pa.large_binary()), b.column(1).to_numpy()
+                at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+                leaf = leaf_of(words, np.frombuffer(words.buffers()[2] or b"", np.uint8), at, common)
+                for k, x in enumerate((c, c > 0, c == 1, c == 2)):
+                    sums[k] += np.bincount(leaf, weights=x, minlength=LEAVES).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEAVES, dtype=np.int32)), *map(pa.array, sums)], names=["leaf", "n", "v", "once", "twice"])
+
+        known = counts.where("c > 0").select("word", "c").mapInArrow(run, "leaf int, n bigint, v bigint, once bigint, twice bigint")
         self.n, self.v, self.cut = np.zeros(LEAVES), np.zeros(LEAVES), np.zeros(LEAVES)
-        for r in known.collect():
+        for r in known.groupBy("leaf").agg(*[F.sum(x).alias(x) for x in ("n", "v", "once", "twice")]).collect():
             self.n[r.leaf], self.v[r.leaf] = r.n, r.v
             # What each word gives to those that training has not seen, by Good and Turing; a common word has no such neighbours.
             self.cut[r.leaf] = 0 if r.leaf < COMMON else min(max(r.once / max(1, r.once + 2 * r.twice), 0.05), 0.95)
@@ -143,26 +193,33 @@ class Leaves:
         return np.log10(np.where(c > 0, c - self.cut[leaf], unseen) / np.where(n > 0, n, 1))
 
 
-def counted_blocks(encoded: DataFrame, pairs: DataFrame, counts: DataFrame, leaves: Leaves) -> DataFrame:
-    """Blocks with what the counts say of their words: block, ids, train, lens, tokens, leaf, hashes and, for each document, base, inner, known."""
-    found = pairs.join(counts, "word").select(F.col("block").alias("of"), "place", "c", "leaf")
+def counted_blocks(encoded: DataFrame, rows: DataFrame, counts: DataFrame, leaves: Leaves) -> DataFrame:
+    """Blocks with what the counts say of their words: block, ids, train, lens, tokens, n_words, leaf, hashes and, for each document, base, inner, known.
+
+    Only words of several blocks are brought back to them; of the others a block has the count itself.
+    """
+    found = rows.select(F.col("block").alias("of"), "place", "word").join(counts.where("blocks > 1").select("word", "c"), "word").select("of", "place", "c")
     ids = encoded.schema["ids"].dataType
 
     def run(key, words: pa.Table, blocks: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("place").to_numpy())
-        c, leaf = words.column("c").to_numpy()[order], words.column("leaf").to_numpy()[order]
-        tokens, lens = _tokens(blocks.column("tokens")[0].as_py(), len(c)), blocks.column("lens").combine_chunks().flatten().to_numpy()
+        row = lambda c: blocks.column(c)[0].as_py()
+        n_words = row("n_words")
+        c = _unpacked_array(row("counts"), n_words, np.int32).astype(np.int64)
+        c[words.column("place").to_numpy()] = words.column("c").to_numpy()
+        raw, at = _words(row)
+        leaf = leaf_of(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_words, [None, pa.py_buffer(at), pa.py_buffer(raw)]), raw, at, leaves.common)
+        hashes = np.full(n_words, mix64(np.array([1], np.uint64))[0])  # the end's
+        there = np.diff(at) > 0
+        hashes[there] = word_hashes(raw.tobytes(), at[:-1][there], at[1:][there])
+        tokens, lens = _unpacked_array(row("tokens"), int(sum(row("lens"))), np.uint32), blocks.column("lens").combine_chunks().flatten().to_numpy()
         begin = np.cumsum(lens) - lens
         each = lambda x: pa.array([np.add.reduceat(x[tokens], begin)])
-        columns = [blocks.column(x) for x in ("block", "ids", "train", "lens", "tokens")]
-        return pa.table([*columns, pa.array([leaf.astype(np.uint16).tobytes()]), blocks.column("hashes"), each(leaves.base(c)), each(leaves.inner(c, leaf)), each((c > 0).astype(np.int64))], names=["block", "ids", "train", "lens", "tokens", "leaf", "hashes", "base", "inner", "known"])
+        columns = [blocks.column(x) for x in ("block", "ids", "train", "lens", "tokens", "n_words")]
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        return pa.table([*columns, pa.array([leaf.astype(np.uint16).tobytes()]), pa.array([short.tobytes()]), each(leaves.base(c)), each(leaves.inner(c, leaf)), each((c > 0).astype(np.int64))], names=["block", "ids", "train", "lens", "tokens", "n_words", "leaf", "hashes", "base", "inner", "known"])
 
-    schema = f"block bigint, ids {ids.simpleString()}, train array<boolean>, lens array<int>, tokens binary, leaf binary, hashes binary, base array<double>, inner array<double>, known array<bigint>"
-    return found.groupBy("of").cogroup(encoded.select("block", "ids", "train", "lens", "tokens", "hashes").groupBy("block")).applyInArrow(run, schema)
-
-
-def _tokens(raw: bytes, n_words: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if n_words <= 1 << 16 else np.uint32)
+    schema = f"block bigint, ids {ids.simpleString()}, train array<boolean>, lens array<int>, tokens binary, n_words int, leaf binary, hashes binary, base array<double>, inner array<double>, known array<bigint>"
+    return found.groupBy("of").cogroup(encoded.groupBy("block")).applyInArrow(run, schema)
 
 
 # Weights
@@ -184,18 +241,20 @@ class Weights:
         self.first, self.second = np.zeros((ROWS, GROUPS), np.float32), np.zeros((ROWS, IN_GROUP), np.float32)
         self.bias = np.log(self.group_share).astype(np.float32), np.log(self.leaf_share).astype(np.float32)
 
-    def chances(self, rows: np.ndarray, inner_rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The softmax over groups, and that over the leaves of ``group``."""
-        first = self.bias[0] + self.first[rows[0]] + self.first[rows[1]] + self.first[rows[2]]
-        second = self.bias[1][group] + self.second[inner_rows[0]] + self.second[inner_rows[1]] + self.second[inner_rows[2]]
-        return _softmax(first), _softmax(second)
-
+    def odds(self, rows: list[np.ndarray], inner_rows: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of the groups, and of the leaves of ``group``, up to a factor for each token.
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+        Weights are sums of logarithms of ratios of counts, far from where exponentials leave 32 bits.
+        The results are viewed as this process' own type of numbers: in a worker the weights' is an
+        equal one that was sent along, for which ``add.at`` is slow.
+        """
+        first, second = np.take(self.first, rows[0], axis=0), np.take(self.second, inner_rows[0], axis=0)
+        for r, q in zip(rows[1:], inner_rows[1:]):
+            first += np.take(self.first, r, axis=0)
+            second += np.take(self.second, q, axis=0)
+        first += self.bias[0]
+        second += np.take(self.bias[1], group, axis=0)
+        return np.exp(first, out=first).view(np.float32), np.exp(second, out=second).view(np.float32)
 
 
 def features(tokens: np.ndarray, lens: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
@@ -220,7 +279,8 @@ def _unpacked(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[tup
         for i in range(len(b)):
             leaf = np.frombuffer(b.column("leaf")[i].as_py(), np.uint16).astype(np.int64)
             hashes = np.frombuffer(b.column("hashes")[i].as_py(), np.uint32)
-            tokens, lens = _tokens(b.column("tokens")[i].as_py(), len(leaf)), b.column("lens")[i].values.to_numpy()
+            lens = b.column("lens")[i].values.to_numpy()
+            tokens = _unpacked_array(b.column("tokens")[i].as_py(), int(lens.sum()), np.uint32)
             if training:
                 train = b.column("train")[i].values.to_numpy(zero_copy_only=False)
                 tokens, lens = tokens[np.repeat(train, lens)], lens[train]
@@ -255,7 +315,7 @@ def _summed(blocks: DataFrame, width: int, add) -> dict[int, np.ndarray]:
 
     parts = blocks.select("train", "lens", "tokens", "leaf", "hashes").mapInArrow(run, "row int, sums binary")
     dealt = parts.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
-    rows = dealt.mapInArrow(total, "row int, sums binary").toArrow()
+    rows = cut(dealt.mapInArrow(total, "row int, sums binary")).toArrow()  # the tasks' tables go as soon as they are added up
     return dict(zip(rows.column(0).to_pylist(), (np.frombuffer(v, float) for v in rows.column(1).to_pylist())))
 
 
@@ -316,29 +376,28 @@ def _expected(shared):
 
     def add(unpacked):
         w: Weights = shared.value
-        first, second = np.zeros((ROWS, GROUPS), np.float32), np.zeros((ROWS, IN_GROUP), np.float32)
+        first, second = np.zeros((ROWS, GROUPS)), np.zeros((ROWS, IN_GROUP))
         for _, _, tokens, lens, leaf, hashes in unpacked:
             rows, group = features(tokens, lens, hashes), w.group[leaf[tokens]]
             inner = inner_features(rows, group)
+            # A block's sums have 32 bits, as the chances: adding up is slow where the two differ.
+            own = np.zeros(ROWS * GROUPS, np.float32), np.zeros(ROWS * IN_GROUP, np.float32)
             for i in range(0, len(tokens), AT_ONCE):
                 part = slice(i, i + AT_ONCE)
                 r, q = [x[part] for x in rows], [x[part] for x in inner]
-                outer, within = w.chances(r, q, group[part])
+                outer, within = w.odds(r, q, group[part])
+                outer /= outer.sum(axis=1, keepdims=True)
+                within /= within.sum(axis=1, keepdims=True)
                 for k in range(len(BITS)):
-                    _scatter(first, r[k], outer)
-                    _scatter(second, q[k], within)
+                    np.add.at(own[0], (r[k][:, None] * GROUPS + np.arange(GROUPS)).ravel(), outer.ravel())
+                    np.add.at(own[1], (q[k][:, None] * IN_GROUP + np.arange(IN_GROUP)).ravel(), within.ravel())
+            first += own[0].reshape(first.shape)
+            second += own[1].reshape(second.shape)
         return [first, second]
 
     return add
 
 
-def _scatter(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds each of ``values`` to its row."""
-    order = np.argsort(rows.astype(np.uint16 if ROWS <= 1 << 16 else np.int64), kind="stable")
-    begin = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    to[rows[order[begin]]] += np.add.reduceat(values[order], begin, axis=0)
-
-
 def train(blocks: DataFrame, shares: np.ndarray, steps: tuple[float, ...] = STEPS) -> Weights:
     """The weights after ``len(steps)`` gradient updates over all training tokens."""
     w = Weights(leaf_groups(blocks), shares)
@@ -365,9 +424,9 @@ def log_chances(w: Weights, tokens: np.ndarray, lens: np.ndarray, leaf: np.ndarr
     for i in range(0, len(tokens), AT_ONCE):
         part = slice(i, i + AT_ONCE)
         group, place = w.group[x[part]], w.place[x[part]]
-        outer, within = w.chances([r[part] for r in rows], [q[part] for q in inner], group)
+        outer, within = w.odds([r[part] for r in rows], [q[part] for q in inner], group)
         at = np.arange(len(group))
-        out[part] = np.log10(outer[at, group].astype(float)) + np.log10(within[at, place].astype(float))
+        out[part] = np.log10(outer[at, group].astype(float) * within[at, place] / (outer.sum(axis=1, dtype=float) * within.sum(axis=1, dtype=float)))
     return out
 
 
@@ -390,10 +449,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         held_out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
     encoded = cut(encoded_blocks(rows, "id", "text"))
-    pairs = encoded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").cast("bigint").alias("n"))
-    counts = word_counts(pairs)
+    words = word_rows(encoded)
+    counts = cut(words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")))
     leaves = Leaves(counts)
-    blocks = cut(counted_blocks(encoded, pairs, counts, leaves))
+    blocks = cut(counted_blocks(encoded, words, counts, leaves))
     weights = train(blocks, leaves.n, steps)
     return _scored(blocks, weights, leaves.train_tokens, docs.schema[id_col].dataType.simpleString(), id_col)
 

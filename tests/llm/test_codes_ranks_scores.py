@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,13 +190,18 @@ def corpus(r, n):
     return out
 
 
-def blocks_of(docs, size):
+def blocks_of(docs):
     rows = docs.select(F.col("doc_id").alias("id"), "text", (~(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1)).alias("train"))
     encoded = cut(maxent_lm.encoded_blocks(rows, "id", "text"))
-    pairs = encoded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").cast("bigint").alias("n"))
-    counts = maxent_lm.word_counts(pairs)
+    words = maxent_lm.word_rows(encoded)
+    counts = cut(words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")))
     leaves = maxent_lm.Leaves(counts)
-    return cut(maxent_lm.counted_blocks(encoded, pairs, counts, leaves)), counts, leaves
+    return cut(maxent_lm.counted_blocks(encoded, words, counts, leaves)), leaves
+
+
+def leaf_of(word, leaves):
+    raw = np.frombuffer(word, np.uint8)
+    return int(maxent_lm.leaf_of(pa.array([word], pa.large_binary()), raw, np.array([0, len(word)]), leaves.common)[0])
 
 
 def test_lm_scores_against_a_plain_model(spark, monkeypatch):
@@ -215,8 +221,9 @@ def test_lm_scores_against_a_plain_model(spark, monkeypatch):
     assert {(x.doc_id, x.held_out, x.train_tokens) for x in found} == {(i, held(i), total) for i, _ in rows}
 
     # The model, one token after another.
-    blocks, counts, leaves = blocks_of(docs, 3000)
-    leaf = {bytes(x.word): x.leaf for x in counts.collect()}
+    blocks, leaves = blocks_of(docs)
+    assert leaves.common == [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: maxent_lm.COMMON]]
+    leaf = {w: leaf_of(w, leaves) for _, t in rows for w in split(t)}
     groups = maxent_lm.leaf_groups(blocks)
     assert Counter(groups.tolist()) == dict.fromkeys(range(maxent_lm.GROUPS), maxent_lm.IN_GROUP)
     members = [[x for x in range(maxent_lm.LEAVES) if groups[x] == g] for g in range(maxent_lm.GROUPS)]
