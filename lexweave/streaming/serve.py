@@ -95,7 +95,7 @@ class _CourseProcessor(StatefulProcessor):
         self.handle.registerTimer(deadline)
         return deadline
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (request,) = key
         asked, attempt, over, _ = self.at.get() if self.at.exists() else (False, 0, True, 0)
         if not over:
