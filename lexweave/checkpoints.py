@@ -1,4 +1,4 @@
-"""Where a plan's lineage is cut: the shared folder that the session names."""
+"""Where a plan's lineage is cut: the shared folder that the session names; and how much of it a batch holds."""
 
 from __future__ import annotations
 
@@ -24,3 +24,18 @@ def written(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``most`` bytes at most: texts are long, and each task holds several copies of a batch.
+
+    The plan runs later, under the session's setting, so the setting stays lowered; one that is lower already stays as it is.
+    """
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH_BYTES)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most:
+        conf.set(_BATCH_BYTES, str(most))
+    return df

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..checkpoints import ensure_checkpoint_dir
+from ..checkpoints import ensure_checkpoint_dir, small_batches
 
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _GRAM_BASE = np.uint64(0xD6E8FEB86659FD93 | 1)
@@ -35,21 +35,6 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold ``most`` bytes at most: texts are long, and each task holds several copies of a batch.
-
-    The plan runs later, under the session's setting, so the setting stays lowered; one that is lower already stays as it is.
-    """
-    conf = df.sparkSession.conf
-    now = conf.get(_BATCH_BYTES)
-    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most:
-        conf.set(_BATCH_BYTES, str(most))
-    return df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 

@@ -9,19 +9,23 @@ k-th score found. Postings lie by bucket of terms, term and block.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..checkpoints import written
+from ..checkpoints import small_batches, written
 from ..functions.text import simple_lexemes
 
 #: Documents of a block, folders that terms are dealt to, and blocks that each question scores first.
 BLOCK_DOCS, BUCKETS, FIRST_BLOCKS = 1024, 64, 8
+#: Questions that are sent to every task at once, and cells of a table of documents by questions.
+QUESTIONS_PER_PASS, CELLS = 1 << 17, 1 << 21
 #: Fixed value: what an occurrence counts, the weight of plain text.
 WEIGHT = 0.1
 
@@ -79,8 +83,7 @@ class TextIndex:
         for each cover ``WEIGHT`` / (1 + places in it that hold none of the question's terms).
         A question without a term or phrase finds nothing. Ids are unique.
         """
-        q = questions.select(F.col(query_col).alias("q"), "asked.*")
-        q = q.withColumn("units", F.concat(F.transform(F.array_distinct("terms"), lambda t: F.array(t)), F.col("phrases")))
+        q = _units(questions, query_col)
         names = F.array_distinct(F.flatten("units"))
         asked = written(q.where(F.size("units") > 0).withColumn("names", names).select("q", "units", "excluded", "names", F.explode("names").alias("term")).withColumn("bucket", _bucket("term")))
         found = self._of(self.postings, asked).select("bucket", "term", "id", "places").join(asked.select("q", "bucket", "term"), ["bucket", "term"])
@@ -105,6 +108,75 @@ class TextIndex:
         return TextIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/maxima"), spark.read.parquet(f"{folder}/size").first().blocks)
 
 
+def _units(questions: DataFrame, query_col: str) -> DataFrame:
+    """q, units (each a term or the words of a phrase), excluded, and what else ``asked`` has."""
+    q = questions.select(F.col(query_col).alias("q"), "asked.*")
+    return q.withColumn("units", F.concat(F.transform(F.array_distinct("terms"), lambda t: F.array(t)), F.col("phrases")))
+
+
+def scan_covers(questions: DataFrame, docs: DataFrame, query_col: str = "query_id", id_col: str = "legal_ref", text_col: str = "content", tokens: Callable[[Column], Column] = simple_lexemes) -> DataFrame:
+    """What ``covers`` of an index of ``docs`` gives, without one: each document is judged in the task that reads it, and nothing is shuffled.
+
+    For questions that are asked once. Rows of one id are one document, found by an index of these.
+    """
+    once, again = parted(docs, id_col)
+    asked = written(_units(questions, query_col).where(F.size("units") > 0).select("q", "units", F.array_distinct("excluded").alias("excluded")))
+    words = small_batches(once).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
+    passes, found = max(1, -(-asked.count() // QUESTIONS_PER_PASS)), None
+    for p in range(passes):
+        one = _covers_of(asked if passes == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == p), words)
+        found = one if found is None else found.unionByName(one)
+    found = found.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score")
+    return found if again is None else found.unionByName(build(again, id_col, text_col, tokens).covers(questions, query_col, id_col))
+
+
+def _covers_of(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """q, id, score of the documents (id, words) that have all of a question's units and nothing that it excludes."""
+    rows = asked.toArrow()  # QUESTIONS_PER_PASS or so
+    units, excluded = rows.column("units").to_pylist(), rows.column("excluded").to_pylist()
+    number: dict[str, int] = {}
+    coded = [[[number.setdefault(t, len(number)) for t in unit] for unit in u] for u in units]
+    out = [[number.setdefault(t, len(number)) for t in e or ()] for e in excluded]
+    needed = [{t for unit in u for t in unit} for u in coded]
+    # The questions that ask for a term; one that excludes it can't reach its number of terms.
+    pairs = sorted([(t, i, 1) for i, ts in enumerate(needed) for t in ts] + [(t, i, -len(needed[i]) - 1) for i, ts in enumerate(out) for t in ts])
+    term, of, counts = (np.array(c, np.int64) for c in (zip(*pairs) if pairs else ((), (), ())))
+    begin = np.searchsorted(term, np.arange(len(number) + 1))
+    shared = words.sparkSession.sparkContext.broadcast((rows.column("q").combine_chunks(), pa.array(list(number), pa.string()), coded, np.array([len(n) for n in needed], np.int64), begin, of, counts))
+    q_kind, id_kind = asked.schema["q"].dataType, words.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, known, coded, needed, begin, of, counts = shared.value
+        step = max(1, CELLS // max(1, len(names)))
+        for b in batches:
+            for first in range(0, len(b) if len(names) else 0, step):
+                lists = b.column(1).slice(first, step)
+                code = pc.index_in(lists.flatten(), value_set=known)
+                doc = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                there = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+                key = doc[there] * len(known) + code.take(pa.array(there)).to_numpy()
+                order = np.argsort(key, kind="stable")
+                keys, times = np.unique(key, return_counts=True)
+                place, ends = place[there][order], np.cumsum(times)
+                at, m = begin[keys % len(known)], np.diff(begin)[keys % len(known)]
+                entry = np.arange(int(m.sum())) + np.repeat(at - (np.cumsum(m) - m), m)
+                cell = np.repeat(keys // len(known), m) * len(names) + of[entry]
+                n = np.bincount(cell, counts[entry], len(lists) * len(names)).reshape(len(lists), len(names))
+                docs, asked_ = np.nonzero(n == needed)
+                spot = dict(zip(keys.tolist(), range(len(keys))))
+
+                def places(d: int, t: int) -> list[int]:
+                    i = spot[d * len(known) + t]
+                    return place[ends[i] - times[i] : ends[i]].tolist()
+
+                score = np.array([density([[places(d, t) for t in unit] for unit in coded[i]]) for d, i in zip(docs.tolist(), asked_.tolist())], float)
+                good = np.flatnonzero(score > 0)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(asked_[good])), b.column(0).slice(first, step).take(pa.array(docs[good])), pa.array(score[good])], names=["q", "id", "score"])
+
+    return words.mapInArrow(run, f"q {q_kind.simpleString()}, id {id_kind.simpleString()}, score double")
+
+
 def build(docs: DataFrame, id_col: str = "legal_ref", text_col: str = "content", tokens: Callable[[Column], Column] = simple_lexemes) -> TextIndex:
     """The index of all documents. Null texts have no terms; rows of one id are one document, whose places are those of all."""
     words = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("place", "term"))
@@ -115,6 +187,16 @@ def build(docs: DataFrame, id_col: str = "legal_ref", text_col: str = "content",
     return TextIndex(postings, postings.groupBy("bucket", "term", "block").agg(F.max("tf").alias("most"), F.count("*").alias("docs")), blocks)
 
 
+def parted(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose id stands once, and those of repeated ids, if there are any. Null is an id."""
+    repeated = docs.groupBy(F.col(id_col).alias("_repeated")).agg(F.count("*").alias("n")).where("n > 1").select("_repeated")
+    if repeated.isEmpty():
+        return docs, None
+    repeated = written(repeated)
+    same = F.col(id_col).eqNullSafe(F.col("_repeated"))
+    return docs.join(repeated, same, "left_anti"), docs.join(repeated, same, "left_semi")
+
+
 def stored(spark: SparkSession, folder: str, version: str, docs: Callable[[], DataFrame], **how) -> TextIndex:
     """The index of a version from ``folder``; it is built and written if it isn't there, or not to its end."""
     try:

@@ -298,6 +298,53 @@ def test_text_index(spark, monkeypatch, tmp_path):
     assert found[0] == found[1] and found[0]
 
 
+def test_lexical_search_sends_on_few_rows(spark, monkeypatch):
+    from collections import Counter
+
+    from lexweave.functions.text import simple_lexemes
+    from lexweave.operators import text_index
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(r.choices(words, [1 / (k + 1) for k in range(30)], k=r.randint(0, 40)))) for i in range(400)] + [(7, "w3 w3 w0"), (7, None), (500, None), (None, "w1 w29"), (None, "w2")]
+    docs = spark.createDataFrame(rows, "legal_ref bigint, content string").repartition(3)
+    said = [(i, " ".join(r.choices(words, k=r.randint(1, 5)))) for i in range(30)] + [(3, "w0 w4"), (100, ""), (101, None), (None, "w2 w2"), (102, "nowhere")]
+    asked = spark.createDataFrame(said, "query_id int, pregunta string")
+    held, wanted = {}, {}
+    for i, t in rows:
+        held.setdefault(i, Counter()).update((t or "").split())
+    for q, t in said:
+        wanted.setdefault(q, set()).update((t or "").split())
+    for cells, hits, pairs in ((1 << 21, 1 << 22, 1 << 20), (70, 5, 20)):
+        monkeypatch.setattr(search, "CELLS", cells)
+        monkeypatch.setattr(search, "HITS", hits)
+        monkeypatch.setattr(search, "TERMS_PER_PASS", pairs)
+        for distinct in (False, True):
+            want = set()
+            for q, terms in wanted.items():
+                n = {i: sum(min(1, c[t]) if distinct else c[t] for t in terms) for i, c in held.items()}
+                best = sorted((i for i in n if n[i]), key=lambda i: (-n[i], i is not None, i or 0))[:4]
+                want |= {(q, i, round(n[i] * 0.1, 9), k + 1) for k, i in enumerate(best)}
+            got = [(x.query_id, x.legal_ref, round(x.score, 9), x["rank"]) for x in search.lexical_topk(asked, docs, 4, distinct=distinct).collect()]
+            assert len(got) == len(want) and set(got) == want
+    # A common word is in every document; four rows for each task and question leave it.
+    monkeypatch.setattr(search, "CELLS", 1 << 21)
+    common = spark.range(3000).select(F.col("id"), F.split(F.lit("de la ley"), " ").alias("words")).repartition(2)
+    terms = spark.range(5).select(F.col("id").alias("q"), F.explode(F.array(F.lit("de"), F.lit("ley"))).alias("term"))
+    assert search._candidates(terms, common, 4, False).count() <= 2 * 5 * 4
+
+    # Covers without an index: as with one, and without a shuffle.
+    said = ["w0 w1", '"w0 w1"', "w0 w2 -w1", 'w3 "w0 w1" w0', '"w0 w0"', '"w1 w0 w2" -w5', '-"w0 w7" w1', "-w1", "w0 nothing", '"w4"', "w1 w1", "w1 -w1"]
+    q = spark.createDataFrame(list(enumerate(said)), "query_id int, said string").withColumn("asked", text_index.web_query(F.col("said")))
+    as_set = lambda df: {(x.query_id, x.legal_ref, round(x.score, 9)) for x in df.collect()}
+    for own in (docs, docs.where("legal_ref <> 7")):
+        for cells in (1 << 21, 30):
+            monkeypatch.setattr(text_index, "CELLS", cells)
+            assert len(want := as_set(text_index.build(own).covers(q))) > 100 and as_set(text_index.scan_covers(q, own)) == want
+    plan = text_index.scan_covers(q, spark.range(9).select(F.col("id").alias("legal_ref"), F.lit("w0 w1").alias("content")))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and text_index.scan_covers(q.limit(0), docs, tokens=simple_lexemes).count() == 0
+
+
 def test_ties_are_cut_where_they_are_found(spark):
     from lexweave.operators.vector_index import best, unit
 
