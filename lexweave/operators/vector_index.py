@@ -30,6 +30,9 @@ from ..checkpoints import written
 MAX_LISTS, MAX_CENTROID_BYTES, SAMPLE, ROUNDS = 4096, 64 << 20, 1 << 15, 5
 #: Shells of a list, rows of a block, and questions that meet a block at once.
 SHELLS, BLOCK_ROWS, QUESTIONS = 32, 8192, 4096
+#: Where all pairs are compared: bytes of a block, blocks that a task's worth of rows is dealt to for the cores' sake and rows that are worth one, tasks at most,
+#: cells of a product, and pairs that are looked at once more.
+MET_BYTES, SPREAD, MET_ROWS, MET_TASKS, MET_CELLS, MET_PAIRS = 16 << 20, 12, 1024, 2000, 1 << 22, 1 << 16
 #: Lists that each question visits first.
 PROBES = 8
 #: Rounding allowed for in a bound on angles; distances are rounded to ``DIGITS`` digits.
@@ -262,6 +265,64 @@ def _shells(entries: DataFrame) -> DataFrame:
     return entries.groupBy("list", "shell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
 
 
+def pairs_within(rows: DataFrame, threshold: float) -> DataFrame:
+    """a, b, cosine: every two rows (id, v) of one width with a < b and a cosine of ``threshold`` or more.
+
+    For wide vectors and low thresholds, where hardly a list can be left out. Rows are dealt
+    into blocks bounded in bytes, and every two blocks meet in a task, so a row is shuffled once for
+    each block of its width and no more. All pairs are compared: in single precision first, and what may reach the threshold in double.
+    """
+    rows = rows.where(F.size("v") > 0).select("id", _doubles(F.col("v")).alias("v"), F.size("v").alias("width"))
+    most = F.greatest(F.lit(1), F.floor(F.lit(MET_BYTES) / (8 * F.col("width"))))
+    sizes = written(rows.groupBy("width").agg(F.count("*").alias("n")).select("width", F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(SPREAD), F.ceil(F.col("n") / MET_ROWS))).cast("int").alias("blocks")))
+    tasks = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    dealt = _dealt(rows, sizes).repartition(int(min(tasks, MET_TASKS)), "width", "i", "j").sortWithinPartitions("width", "i", "j")
+
+    def met(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        width, i, j = (table.column(c)[0].as_py() for c in ("width", "i", "j"))
+        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
+        x = unit(_rows(table.column("v").combine_chunks(), width))
+        less, near = x.astype(np.float32), threshold - 1e-6 - 2e-7 * width
+        left = np.flatnonzero(own == i)
+        right = np.flatnonzero(own == j)
+        step = max(1, MET_CELLS // max(1, len(right)))
+        for first in range(0, len(left), step):
+            some = left[first : first + step]
+            p, q = np.nonzero(less[some] @ less[right].T >= near)
+            if i == j:
+                p, q = p[q > p + first], q[q > p + first]
+            for k in range(0, len(p), MET_PAIRS):
+                a, b = some[p[k : k + MET_PAIRS]], right[q[k : k + MET_PAIRS]]
+                cosine = np.einsum("ij,ij->i", x[a], x[b])
+                good = (cosine >= threshold) & (ids[a] != ids[b])
+                a, b = ids[a[good]], ids[b[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine[good])], names=["a", "b", "cosine"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy() for c in ("width", "i", "j")])
+            edges = [0, *(np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1).tolist(), len(b)]
+            for s, e in zip(edges[:-1], edges[1:]):
+                if e > s:
+                    if held and key[:, s].tolist() != at:
+                        yield from met(held)
+                        held = []
+                    at = key[:, s].tolist()
+                    held.append(b.slice(s, e - s))
+        if held:
+            yield from met(held)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, cosine double")
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """width, i, j, own, id, v: each row in its own block, once for each block that it meets; i is the smaller number of the two."""
+    own = rows.join(sizes, "width").withColumn("own", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("width", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v")
+
+
 def recall(found: DataFrame, exact: DataFrame, query_col: str = "query_id", id_col: str = "id") -> DataFrame:
     """``query_col``, n, found: how many of a question's exact neighbours a search has found."""
     hits = exact.select(query_col, id_col).join(found.select(query_col, id_col, F.lit(1).alias("hit")), [query_col, id_col], "left")

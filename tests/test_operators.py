@@ -388,6 +388,41 @@ def test_near_pairs(spark, monkeypatch):
         sampling.near_pairs(spark.createDataFrame([(7, None)], "id bigint, vector array<double>"), 0.5).collect()
 
 
+def test_near_pairs_of_wide_vectors(spark, monkeypatch):
+    from lexweave.operators import vector_index
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(1500, 64))
+    x[1400:] = x[7]
+    rows = spark.createDataFrame([(i * 3, row.tolist()) for i, row in enumerate(x)] + [(5001, [0.0] * 64), (5002, [1.0]), (5003, [2.0]), (5004, [])], "id bigint, vector array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    want = {(3 * a, 3 * b): c[a, b] for a, b in zip(*np.nonzero(np.triu(c >= 0.4, 1)))} | {(5002, 5003): 1.0}
+    sent = []
+    deal = vector_index._dealt
+    monkeypatch.setattr(vector_index, "_dealt", lambda *a: sent.append(deal(*a)) or sent[-1])
+    for how in ({}, {"MET_BYTES": 200 * 64 * 8, "MET_CELLS": 999, "MET_PAIRS": 50}):
+        for name, value in how.items():
+            monkeypatch.setattr(vector_index, name, value)
+        got = sampling.near_pairs(rows, 0.4).collect()
+        assert len(got) == len(want) and all(abs(want[g.a, g.b] - g.cosine) < 1e-12 for g in got)
+    # A vector is sent once for each block of 200, however many lists or shells there could be.
+    assert sent[-1].count() == 1501 * 8 + 2 and sampling.near_pairs(rows.limit(0), 0.4).count() == 0
+
+
+def test_greedy_dedupe_of_a_dense_graph(spark, monkeypatch):
+    r = random.Random(9)
+    edges = {(a, b) for a in range(400) for b in range(a + 1, 400) if r.random() < 0.1}
+    kept = set()
+    for i in range(400):
+        if not any((k, i) in edges for k in kept):
+            kept.add(i)
+    monkeypatch.setattr(sampling, "components", lambda e: pytest.fail("one component holds everything"))
+    df = spark.createDataFrame(sorted(edges), "a bigint, b bigint")
+    assert {x.id for x in sampling.greedy_dedupe(spark.range(400), df).collect()} == kept
+    assert sampling.greedy_dedupe(spark.range(5), df.limit(0)).count() == 5
+
+
 def test_greedy_dedupe_of_a_long_chain(spark, monkeypatch):
     n = 100_000
     chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
