@@ -34,8 +34,8 @@ ORDER, BITS = 4, 16
 START, OTHER = 0, 1
 #: Characters with a number of their own, the most frequent ones of the training text; more don't fit ``BITS``.
 MAX_CHARACTERS = (1 << BITS) - 2
-#: Trusted documents that the model is trained on, at most.
-MAX_TRAINING_DOCUMENTS = 4000
+#: Ids of training documents that are sent to every task; more are joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 QUANTILE = 0.998
 #: Languages with fewer trusted documents use the thresholds of all languages; a threshold rests on as many at least.
 LEAST_TRUSTED = 50
@@ -140,8 +140,8 @@ class KneserNey:
 
 
 def train_kneser_ney(texts: DataFrame, text_col: str = "text") -> KneserNey | None:
-    """A model of the non-empty texts, or None if there are none. The caller bounds their number."""
-    texts = cut(texts.select(F.col(text_col).cast("string").alias("t")).where("length(t) > 0"))
+    """A model of all non-empty texts, or None if there are none. They are read twice: for their characters, then for their n-grams."""
+    texts = texts.select(F.col(text_col).cast("string").alias("t")).where("length(t) > 0")
 
     def characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0x110000, dtype=np.int64)
@@ -306,14 +306,13 @@ def thresholds(trusted: DataFrame, quantile: float = QUANTILE, least: int = LEAS
     return cut(ranked.where(F.col("below") >= quantile * F.col("all")).groupBy("lang", F.col("for").alias("size")).agg(F.min("bits").alias("threshold")))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, columns: Sequence[str] | None = None, max_training: int = MAX_TRAINING_DOCUMENTS, quantile: float = QUANTILE, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, columns: Sequence[str] | None = None, quantile: float = QUANTILE, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
     """All rows of ``docs`` (doc_id, lang, text, others), with bits_per_char, perplexity, threshold (in bits a character) and kept.
 
     ``columns`` of ``docs`` are returned, or all. Trusted are the documents with a
-    label of quality 1 (and none of 0). Half of them, by the hash of their ids,
-    may train the model, and of those the ``max_training`` with the smallest
-    hashes do; thresholds come from the other half, by language and length. Fewer
-    than twice ``LEAST_TRUSTED`` serve both ends.
+    label of quality 1 (and none of 0). The half of them with even hashes of their ids
+    trains the model, and all of the other half give the thresholds, by language and
+    length: a text that a model is trained on says nothing of what it makes of others. Fewer than twice ``LEAST_TRUSTED`` serve both ends.
 
     A text is kept if its perplexity is at most its threshold. A null or empty
     text has no perplexity and is kept, as is everything where nothing is trusted
@@ -328,8 +327,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, columns: Sequence[str
     sure = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     number = F.xxhash64("doc_id")
     trains = F.lit(True) if (all_serve := sure.count() < 2 * LEAST_TRUSTED) else number % 2 == 0
-    sample = sure.where(trains).orderBy(number, "doc_id").limit(max_training)
-    model = train_kneser_ney(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi"))  # max_training ids
+    own = cut(sure.where(trains))
+    few = own.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    model = train_kneser_ney(docs.select("doc_id", "text").join(F.broadcast(own) if few else own, "doc_id", "left_semi"))
     scored = cut(with_bits(docs, model, columns, block_characters=block_characters))
     trusted = scored.join(sure if all_serve else sure.where(~trains), "doc_id", "left_semi").where("bits_per_char is not null")
     found = thresholds(trusted.select("lang", F.col("bits_per_char").alias("bits"), F.col("_chars").alias("chars")), quantile)

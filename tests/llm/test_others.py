@@ -266,6 +266,21 @@ def test_kneser_ney_against_its_definition(spark):
     assert quality.train_kneser_ney(docs.limit(0)) is None
 
 
+def test_every_trusted_document_trains_or_sets_thresholds(spark, monkeypatch):
+    from lexweave.llm import quality
+
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    half = docs.where(F.xxhash64("doc_id") % 2 == 0)
+    train, limits, seen = quality.train_kneser_ney, quality.thresholds, {}
+    monkeypatch.setattr(quality, "train_kneser_ney", lambda texts: seen.update(trains=texts.count()) or train(texts))
+    monkeypatch.setattr(quality, "thresholds", lambda rows, *a: seen.update(limits=rows.count()) or limits(rows, *a))
+    for most in (1_000_000, 10):  # ids joined by shuffle
+        monkeypatch.setattr(quality, "MAX_BROADCAST_IDS", most)
+        assert quality.quality_classifier(docs, labels).count() == 9000
+        assert seen["trains"] == half.count() > 4000 and sum(seen.values()) == 9000
+
+
 def test_thresholds_by_language_and_length(spark):
     r = random.Random(4)
     rows = [(r.choice(["en", "en", "fr", "xx", None]), round(r.gauss(3, 0.5), 3), 2 ** r.choice([3, 3, 5, 9]) + r.randint(0, 7)) for _ in range(700)]
