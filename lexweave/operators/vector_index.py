@@ -22,13 +22,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from ..checkpoints import written
 
 #: Lists there are at most, and bytes of centroids; vectors that they are fitted to, at most, and rounds of fitting.
 MAX_LISTS, MAX_CENTROID_BYTES, SAMPLE, ROUNDS = 4096, 64 << 20, 1 << 15, 5
-#: Shells of a list, rows of a block, and questions that meet a block at once.
+#: Shells of a list, rows of a block, and questions that meet a block at once (where all rows are scanned: at all).
 SHELLS, BLOCK_ROWS, QUESTIONS = 32, 8192, 4096
 #: Where all pairs are compared: bytes of a block, blocks that a task's worth of rows is dealt to for the cores' sake and rows that are worth one, tasks at most,
 #: cells of a product, and pairs that are looked at once more.
@@ -199,7 +199,7 @@ def best(x: np.ndarray, y: np.ndarray, by_id: np.ndarray, k: int, first: int = 0
     """For each row of ``y`` the k nearest rows of ``x``: its number (from ``first``), theirs, and the distances. Of all that tie those of the smallest ids."""
     distance = np.round(1.0 - x @ y.T, DIGITS)
     keep = min(k, len(x))
-    limit = np.partition(distance, keep - 1, axis=0)[keep - 1]
+    limit = np.partition(np.where(np.isnan(distance), np.inf, distance), keep - 1, axis=0)[keep - 1]
     at, q = np.nonzero(distance <= limit)
     order = np.lexsort((by_id[at], distance[at, q], q))
     at, q = at[order], q[order]
@@ -208,6 +208,51 @@ def best(x: np.ndarray, y: np.ndarray, by_id: np.ndarray, k: int, first: int = 0
     return q + first, at, distance[at, q]
 
 
+def few(questions: DataFrame, query_col: str, query_vector: str) -> pa.Table | None:
+    """q, v of the questions with a vector, if these are at most ``QUESTIONS`` and as many bytes as centroids may have."""
+    asked = questions.where(F.col(query_vector).isNotNull() & (F.size(query_vector) > 0)).select(F.col(query_col).alias("q"), _doubles(F.col(query_vector)).alias("v"))
+    asked = written(asked)
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("components")).first()
+    return asked.toArrow() if size.n <= QUESTIONS and 8 * size.components <= MAX_CENTROID_BYTES else None
+
+
+def scan(asked: pa.Table, docs: DataFrame, k: int, query_col: str = "query_id", id_col: str = "id", vector_col: str = "embedding", skip_self: bool = False) -> DataFrame:
+    """What ``VectorIndex.search`` finds, for ``few`` questions and without an index.
+
+    Every row is compared in the task that reads it, which sends on what may be among a question's ``k`` best.
+    """
+    rows = docs.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).alias("id"), _doubles(F.col(vector_col)).alias("v"))
+    qs, vectors = asked.column("q").combine_chunks(), asked.column("v").combine_chunks()
+    widths = vectors.value_lengths().to_numpy()
+    of = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+    held = {w: (at, unit(_rows(vectors.take(pa.array(at)), w))) for w, at in of.items()}
+    shared, need = docs.sparkSession.sparkContext.broadcast((qs, held)), k + skip_self
+    q_kind, id_kind = from_arrow_type(qs.type).simpleString(), rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qs, held = shared.value
+        least = {w: np.full(len(at), np.inf) for w, (at, _) in held.items()}  # what the last of a question's best has at most
+        for b in batches:
+            lengths = b.column("v").value_lengths().to_numpy()
+            for w, (at, y) in held.items():
+                here, step = np.flatnonzero(lengths == w), max(need, MET_CELLS // len(y))
+                for first in range(0, len(here), step):
+                    part = b.take(pa.array(here[first : first + step]))
+                    by_id = pc.rank(part.column("id"), null_placement="at_start", tiebreaker="first").to_numpy()
+                    q, row, distance = best(unit(_rows(part.column("v"), w)), y, by_id, need)
+                    good = distance <= least[w][q]
+                    yield pa.RecordBatch.from_arrays([qs.take(pa.array(at[q[good]])), part.column("id").take(pa.array(row[good])), pa.array(distance[good])], names=["q", "id", "distance"])
+                    full = np.bincount(q, minlength=len(y)) == need
+                    last = np.full(len(y), -np.inf)
+                    np.maximum.at(last, q, distance)
+                    least[w] = np.where(full, np.minimum(least[w], last), least[w])
+
+    found = rows.mapInArrow(run, f"q {q_kind}, id {id_kind}, distance double")
+    found = found.where("q <> id") if skip_self else found
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "distance", "rank")
+
+
 def fit(vectors: DataFrame, width: int, n: int, lists: int) -> np.ndarray:
     """Unit centroids by spherical k-means over a sample by hash of at most 2 * ``SAMPLE`` vectors."""
     lists = max(1, min(lists, MAX_LISTS, MAX_CENTROID_BYTES // (8 * width)))

@@ -366,6 +366,37 @@ def test_short_quotes_in_passes(spark, monkeypatch):
     assert sorted((r.quote_id, r.doc_id) for r in search.quote_search(quotes, docs).collect()) == want
 
 
+def test_few_questions_meet_vectors_where_they_are_read(spark, monkeypatch):
+    from lexweave.operators import vector_index
+
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(200, 6)), np.repeat(r.normal(size=(4, 6)), 50, axis=0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [1.0]), (1002, [0.0] * 6), (1003, [2.0]), (1004, []), (1005, [float("nan")] * 6), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    asked = df.where("vec_id % 7 = 0 or vec_id in (1001, 1002)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = asked.unionByName(asked.where("query_id = 7"))
+    as_list = lambda found: sorted((f.query_id, f.rank, -1 if f.vec_id is None else f.vec_id, f.distance) for f in found.collect())
+    # Both are held against products that are computed apart from them.
+    u = vector_index.unit(np.concatenate([x, np.zeros((1, 6)), np.ones((1, 6))]))
+    ids = np.array([*range(len(x)), 1002, -1])
+    for cells in (1 << 22, 700):
+        monkeypatch.setattr(vector_index, "MET_CELLS", cells)
+        for own in (False, True):
+            got = as_list(search.vector_topk(asked, df, 4, id_col="vec_id", skip_self=own))
+            by = {}
+            for q, _, i, d in got:
+                by.setdefault(q, []).append((i, round(d, 9)))
+            assert set(by) == {*range(0, len(x), 7), 1001, 1002}
+            for q in set(by) - {1001, 7}:
+                d = np.round(1 - u @ u[list(ids).index(q)], 12)
+                order = [i for i in np.lexsort((ids, d)) if not (own and ids[i] in (q, -1))][:4]
+                assert [i for i, _ in by[q]] == ids[order].tolist(), (cells, own, q)
+            assert by[1001] == ([(1003, 0.0)] if own else [(1001, 0.0), (1003, 0.0)])
+    plan = search.vector_topk(asked, df, 4, id_col="vec_id")._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "Join" not in plan
+    assert search.vector_topk(asked.limit(0), df, 4, id_col="vec_id").count() == 0
+
+
 def test_near_pairs(spark, monkeypatch):
     from lexweave.operators import vector_index
 
