@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..functions import citations as C
 from ..functions.text import query_terms, spanish_lexemes
 from ..operators import search, verification
@@ -36,7 +37,7 @@ def ask(questions: DataFrame, chunks: DataFrame, k: int = search.FINAL) -> DataF
         raise ValueError("k lies between 1 and 20")
     docs = chunks.withColumnRenamed("ref", "legal_ref")
     hits = search.vector_topk(checked(questions), docs, k)
-    return hits.join(docs.select("legal_ref", "content", "titulo"), "legal_ref").select("query_id", "rank", "legal_ref", "content", "titulo", "distance")
+    return search.with_payload(written(hits), docs.select("legal_ref", "content", "titulo")).select("query_id", "rank", "legal_ref", "content", "titulo", "distance")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, k: int = search.FINAL, subject: str | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, per_channel: int = search.PER_CHANNEL, tokens: Callable[[Column], Column] = spanish_lexemes, words: TextIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
@@ -52,7 +53,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = search.FINAL, sub
     lexical = words.search(asked, per_channel, tokens=tokens) if words is not None and subject is None else search.lexical_topk(asked, worded, per_channel, tokens=tokens)
     vector = vectors.search(asked, per_channel, id_col="legal_ref") if vectors is not None else search.vector_topk(asked, docs, per_channel)
     found = search.hybrid_search(lexical, vector, k, rerank=rerank)
-    return found.join(docs.select("legal_ref", "content", "titulo"), "legal_ref").select("query_id", "rank", "legal_ref", "content", "titulo")
+    return search.with_payload(written(found), docs.select("legal_ref", "content", "titulo")).select("query_id", "rank", "legal_ref", "content", "titulo")
 
 
 def as_sources(found: DataFrame) -> DataFrame:

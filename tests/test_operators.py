@@ -149,6 +149,32 @@ def test_rerank(spark):
     assert search.labels(3) == ["AA", "AB", "AC"] and len(search.labels(1000)) == 676
 
 
+def test_a_short_ranking_meets_documents_where_they_are_read(spark, monkeypatch):
+    from lexweave.plans import ask, registry
+
+    docs = spark.createDataFrame([(f"r{i % 50}", i) for i in range(60)] + [(None, 99)], "legal_ref string, points int")
+    ranked = spark.createDataFrame([(q, f"r{q * 7 % 60}", q % 3) for q in range(40)] + [(41, None, 0)], "query_id int, legal_ref string, rank int")
+    want = sorted((q, ref, rank, p) for q, ref, rank in map(tuple, ranked.collect()) for r, p in map(tuple, docs.collect()) if ref is not None and r == ref)
+    found = lambda: search.with_payload(ranked, docs).select("query_id", "legal_ref", "rank", "points")
+    assert sorted(map(tuple, found().collect())) == want
+    monkeypatch.setattr(search, "MAX_BROADCAST_ROWS", 40)  # too many rows: by shuffle
+    assert sorted(map(tuple, found().collect())) == want
+    monkeypatch.undo()
+    # The query, and an answer from chunks, whose texts are long: neither joins by shuffle, however large the documents are thought to be.
+    rows = [(i, f"la ley w{i}", i) for i in range(30)]
+    monkeypatch.setattr(registry, "table", lambda s, _, name: s.createDataFrame(rows, "doc_id bigint, text string, n_chars int") if name == "documents" else s.createDataFrame([(1, "ley w3")], "item_id int, text string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chunks = spark.createDataFrame([(f"N-1/2000#art{i}", f"la ley w{i}", "t", "m", [1.0, float(i)]) for i in range(9)], "ref string, content string, titulo string, materia string, embedding array<double>")
+        asked = spark.createDataFrame([("q", "ley w3", [1.0, 3.0])], "query_id string, pregunta string, vector array<double>")
+        for df in (registry.queries()["rerank_head_tail"](spark, ""), ask.retrieve(asked, chunks, 2), ask.ask(asked, chunks, 2)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+            assert df.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 SOURCES = [("N-1/2000#art1", "El titular del permiso. Deberá llevarlo siempre consigo."), ("N-1/2000#art2", "La velocidad máxima será de 120 km/h.")]
 DRAFTS = {
     "ok": ("RESP\nCITAS\n[[REF:2]] «La velocidad máxima»", True, None, ["N-1/2000#art2"]),
